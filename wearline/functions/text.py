@@ -135,7 +135,7 @@ def parse_strict(text: str, cap: int = 125, fallback: int | None = None) -> tupl
     told = F.regexp_extract(F.try_element_at(tagged, F.lit(-1)), "[0-9]+", 0)
     loose = F.regexp_extract(t, rf"(?<!{WORD})[0-9]{{1,3}}(?!{WORD})", 0)
     number = F.coalesce(F.nullif(told, F.lit("")), F.nullif(loose, F.lit("")))
-    value = F.least(F.lit(cap).cast("double"), number.cast("double")).cast("long")
+    value = _at_most(number, cap)
     if fallback is not None:
         value = F.coalesce(value, F.lit(fallback).cast("long"))
     reasons = F.filter(lines, lambda x: x.startswith("REASONING:"))
@@ -153,11 +153,16 @@ def parse_robust(text: str, cap: int = 125) -> tuple[Column, Column, Column]:
     told = F.nullif(F.regexp_extract(clean, rf"(?iu)RUL_ESTIMATE:{SPACE}*([0-9]+)", 1), F.lit(""))
     loose = F.regexp_extract_all(clean, F.lit(rf"(?<!{WORD})([0-9]{{1,3}})(?!{WORD})"), 1)
     within = F.filter(F.transform(loose, lambda x: x.cast("long")), lambda x: x <= cap)
-    value = F.coalesce(F.least(F.lit(cap).cast("double"), told.cast("double")).cast("long"), F.get(within, F.lit(0)))
+    value = F.coalesce(_at_most(told, cap), F.get(within, F.lit(0)))
     reason = F.regexp_extract(clean, rf"(?isu)REASONING:{SPACE}*(.+)", 1)
     return value, _strip(F.regexp_replace(reason, rf"{SPACE}+", " ")), told.isNotNull()
 
 
+def _at_most(number: Column, cap: int) -> Column:
+    """Digits as a long, at most cap; null stays null (least would skip it)."""
+    return F.when(number.isNotNull(), F.least(F.lit(cap).cast("double"), number.cast("double")).cast("long"))
+
+
 def _strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
 

@@ -20,13 +20,13 @@ from .ordering import average_ranks, cut_points, running_total, with_bucket
 def value_cells(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Complete pairs counted by distinct (x, y)."""
     whole = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return whole.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("w"))
+    return whole.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_w"))
 
 
 def _ranked_cells(cells: DataFrame, by: Sequence[str], x: str, y: str, cuts=None) -> DataFrame:
     cx, cy = cuts or (None, None)
-    rx = average_ranks(cells, by, x, "rx", "w", cx).select(*by, x, "rx", F.col("n").alias("nx"), "total")
-    ry = average_ranks(cells, by, y, "ry", "w", cy).select(*by, y, "ry", F.col("n").alias("ny"))
+    rx = average_ranks(cells, by, x, "rx", "_w", cx).select(*by, x, "rx", F.col("n").alias("nx"), "total")
+    ry = average_ranks(cells, by, y, "ry", "_w", cy).select(*by, y, "ry", F.col("n").alias("ny"))
     return cells.join(rx, [*by, x]).join(ry, [*by, y])
 
 
@@ -40,10 +40,10 @@ def spearman_of_cells(cells: DataFrame, by: Sequence[str], x: str, y: str, cuts=
     mid = (F.col("total") + 1) / 2.0
     dx, dy = F.col("rx") - mid, F.col("ry") - mid
     sums = ranked.groupBy(*by).agg(
-        F.sum("w").alias("n"),
-        F.sum(F.col("w") * dx * dy).alias("_xy"),
-        F.sum(F.col("w") * dx * dx).alias("_xx"),
-        F.sum(F.col("w") * dy * dy).alias("_yy"),
+        F.sum("_w").alias("n"),
+        F.sum(F.col("_w") * dx * dy).alias("_xy"),
+        F.sum(F.col("_w") * dx * dx).alias("_xx"),
+        F.sum(F.col("_w") * dy * dy).alias("_yy"),
     )
     return sums.select(*by, "n", ratio("_xy", F.sqrt(F.col("_xx")) * F.sqrt(F.col("_yy"))).alias("rho"))
 
@@ -71,7 +71,7 @@ def kendall(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """
     by = list(by)
     cells = value_cells(df, by, x, y)
-    xs = cells.groupBy(*by, x).agg(F.sum("w").alias("nx"))
+    xs = cells.groupBy(*by, x).agg(F.sum("_w").alias("nx"))
     dense = running_total(
         with_bucket(xs, x, cut_points(xs.select(x), x)), by, "_bucket", [x], F.lit(1).cast("long"), "dx", "levels"
     ).select(*by, x, "dx", "levels")
@@ -80,8 +80,8 @@ def kendall(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     prefix = F.expr("shiftright(dx, _level + 1)")
     bit = F.expr("shiftright(dx, _level) & 1")
     keys = [*by, "_level", "_prefix"]
-    zeros = F.sum(F.when(bit == 0, F.col("w")).otherwise(0))
-    ones = F.sum(F.when(bit == 1, F.col("w")).otherwise(0))
+    zeros = F.sum(F.when(bit == 0, F.col("_w")).otherwise(0))
+    ones = F.sum(F.when(bit == 1, F.col("_w")).otherwise(0))
     along = (
         spread.withColumn("_prefix", prefix).groupBy(*keys, y).agg(zeros.alias("_zero"), ones.alias("_one"))
     )
@@ -91,7 +91,7 @@ def kendall(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     net = ran.groupBy(*by).agg(F.sum((F.col("_one") * (F.col("_below") - above)).cast("double")).alias("_net"))
     pairs = lambda c: F.col(c).cast("double") * (F.col(c) - 1) / 2.0
     tx = xs.groupBy(*by).agg(F.sum("nx").alias("n"), F.sum(pairs("nx")).alias("_tx"))
-    ty = cells.groupBy(*by, y).agg(F.sum("w").alias("ny")).groupBy(*by).agg(F.sum(pairs("ny")).alias("_ty"))
+    ty = cells.groupBy(*by, y).agg(F.sum("_w").alias("ny")).groupBy(*by).agg(F.sum(pairs("ny")).alias("_ty"))
     out = net.join(tx, by).join(ty, by) if by else net.crossJoin(tx).crossJoin(ty)
     every = pairs("n")
     return out.select(
@@ -171,7 +171,7 @@ def mann_whitney(df: DataFrame, by: Sequence[str], group: str, value: str, first
     bigger = F.greatest(u, n1 * n2 - u)
     z = ratio(bigger - n1 * n2 / 2.0 - 0.5, sd)
     return wide.select(
-        *by, "n1", "n2", u.alias("u"), z.alias("z"), F.least(F.lit(1.0), tails.normal_two_sided(F.greatest(z, F.lit(0.0)))).alias("p")
+        *by, "n1", "n2", u.alias("u"), z.alias("z"), tails.normal_two_sided(F.when(z < 0, F.lit(0.0)).otherwise(z)).alias("p")
     )
 
 

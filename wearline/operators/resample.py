@@ -103,7 +103,7 @@ def bootstrap_rank_ci(
     by = list(by)
     cuts = (cut_points(df, x), cut_points(df, y))
     drawn = resample(df.select(*by, *key, x, y), by, key, b, seed)
-    cells = drawn.groupBy(*by, "b", x, y).agg(F.count(F.lit(1)).alias("w"))
+    cells = drawn.groupBy(*by, "b", x, y).agg(F.count(F.lit(1)).alias("_w"))
     rho = spearman_of_cells(cells, [*by, "b"], x, y, cuts)
     return interval(rho.withColumn("value", F.coalesce("rho", F.lit(0.0))), by)
 

@@ -20,5 +20,5 @@ def labels(preds: DataFrame) -> DataFrame:
 
 
 def beats_a_constant(spark: SparkSession, d: str) -> DataFrame:
-    scored = m.error_metrics(b.predictions(spark, d), ["dataset", "n", "q"])
+    scored = m.error_metrics(b.predictions(spark, d).withColumnRenamed("n", "w"), ["dataset", "w", "q"])
     return m.beats_constant(scored, baselines(spark, d))
