@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.numeric import FLAT_EPS, direction_of, is_directional, mean_flag, opposite, percent, ratio
+from ..session import stage
 from .ordering import exact_percentile
 
 
@@ -322,7 +323,7 @@ def sensor_rank_correlation(long: DataFrame, target: str, min_rows: int = 10, ke
 
 def sensor_directions(long: DataFrame, target: str, min_rows: int = 10) -> DataFrame:
     """Measured direction per (dataset, sensor): sign of the median unit correlation, and the share that agrees."""
-    per_unit = sensor_rank_correlation(long, target, min_rows)
+    per_unit = stage(sensor_rank_correlation(long, target, min_rows))
     median = exact_percentile(per_unit, ["dataset", "sensor"], "rho", {"median_rho": 0.5})
     joined = per_unit.join(median, ["dataset", "sensor"])
     agree = F.signum("rho") == F.signum("median_rho")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tails
 from ..functions.numeric import ratio
+from ..session import stage
 from .ordering import average_ranks, cut_points, running_total, with_bucket
 
 
@@ -32,7 +33,7 @@ def _ranked_cells(cells: DataFrame, by: Sequence[str], x: str, y: str, cuts=None
 
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, cuts=None) -> DataFrame:
     """n and Spearman's rho with mean ranks on ties; null where either side is constant."""
-    return spearman_of_cells(value_cells(df, by, x, y), by, x, y, cuts)
+    return spearman_of_cells(stage(value_cells(df, by, x, y)), by, x, y, cuts)
 
 
 def spearman_of_cells(cells: DataFrame, by: Sequence[str], x: str, y: str, cuts=None) -> DataFrame:
@@ -70,7 +71,7 @@ def kendall(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     n log n work, and the running totals split large groups.
     """
     by = list(by)
-    cells = value_cells(df, by, x, y)
+    cells = stage(value_cells(df, by, x, y))
     xs = cells.groupBy(*by, x).agg(F.sum("_w").alias("nx"))
     dense = running_total(
         with_bucket(xs, x, cut_points(xs.select(x), x)), by, "_bucket", [x], F.lit(1).cast("long"), "dx", "levels"

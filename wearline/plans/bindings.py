@@ -13,6 +13,7 @@ from ..functions.draws import uniform
 from ..operators import claims as cl
 from ..operators.frames import apply_minmax, fit_minmax, tail_windows, window_direction
 from ..operators.ordering import positions
+from ..session import spread, stage
 
 SENSORS = ("s1", "s2", "s3", "s4", "s5", "s6")
 SCORED = ("s1", "s2", "s3", "s5", "s6")
@@ -36,6 +37,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents"))
+
+
 def trajectories(spark: SparkSession, d: str) -> DataFrame:
     """One row per event: user = unit, event order = cycle, split by the hour for very active users."""
     e = table(spark, d, "events").select(
@@ -127,7 +132,7 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
     number = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
     unit = F.col("doc_id") % units
     dataset = F.when(unit % 2 == 0, "D0").otherwise("D1")
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         F.col("doc_id").alias("resp"),
         dataset.alias("dataset"),
         unit.alias("unit"),
@@ -156,11 +161,16 @@ def opportunities(spark: SparkSession, d: str) -> DataFrame:
     return cl.score_claims(cl.with_reference(joined, ASSERTED, CUED))
 
 
+def claims_table(spark: SparkSession, d: str) -> DataFrame:
+    """The directional claims, written once for the several passes of an inference."""
+    return stage(cl.directional(opportunities(spark, d)))
+
+
 def arm_claims(spark: SparkSession, d: str) -> DataFrame:
     """Four control arms paired on (engine, sensor); one arm is shown its window backwards."""
     units = unit_count(spark, d)
     arm = F.element_at(F.array(*[F.lit(a) for a in ARMS]), (F.col("doc_id") % 4 + 1).cast("int"))
-    docs = table(spark, d, "documents").select(
+    docs = documents(spark, d).select(
         arm.alias("arm"), F.floor(F.col("doc_id") / 4).alias("engine"), "text"
     )
     said = cl.classify(docs, ["arm", "engine"], "text", TERMS, LEXICON)

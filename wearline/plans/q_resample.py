@@ -56,7 +56,7 @@ def boot_sql(key: str) -> str:
 @query("F2_cluster_bootstrap_unit", sql("claims", boot_sql("unit")))
 def cluster_bootstrap_unit(spark, d):
     """Cued minus uncued agreement per template, resampling units."""
-    claims = _sided(cl.directional(b.opportunities(spark, d)))
+    claims = _sided(b.claims_table(spark, d))
     return rs.cluster_bootstrap(claims, ["mode"], ["unit"], SUMS, gap_column(), B)
 
 
@@ -75,7 +75,7 @@ def cluster_bootstrap_unit(spark, d):
 )
 def widest_interval(spark, d):
     """Input faithfulness minus base rate, clustered on unit and on configuration; the wider interval."""
-    claims = cl.directional(b.opportunities(spark, d)).withColumns(
+    claims = b.claims_table(spark, d).withColumns(
         {"n": F.lit(1.0), "h": F.col("input_hit").cast("double"), "g": F.col("base_hit").cast("double")}
     )
     stat = ratio(F.col("h") - F.col("g"), "n")
@@ -99,7 +99,7 @@ V_SQL = """select {by}, sqrt(sum((coalesce(x.c,0)-e)*(coalesce(x.c,0)-e)/e)/(max
     ),
 )
 def bootstrap_association(spark, d):
-    claims = cl.directional(b.opportunities(spark, d))
+    claims = b.claims_table(spark, d)
     return rs.bootstrap_association(claims, ["sensor"], ["config"], "claimed", "actual", B)
 
 
@@ -116,7 +116,7 @@ def bootstrap_association(spark, d):
 )
 def permute_sensors(spark, d):
     """All relabellings of which sensors are cued: exact p instead of random ones."""
-    claims = cl.directional(b.opportunities(spark, d))
+    claims = b.claims_table(spark, d)
     return rs.permute_sensors(claims, ["mode"], "sensor", b.CUED, b.SCORED, "reference_hit")
 
 
@@ -137,7 +137,7 @@ P_SQL = "count(*) as permutations, count(*) filter (where {hit}) as hits, round(
     ),
 )
 def permute_templates(spark, d):
-    claims = cl.directional(b.opportunities(spark, d)).withColumn("zs", F.col("mode") == "zero_shot")
+    claims = b.claims_table(spark, d).withColumn("zs", F.col("mode") == "zero_shot")
     return rs.permute_labels(claims, ["dataset"], "config", "zs", "reference_hit", B)
 
 
@@ -160,7 +160,7 @@ SWAPS = f"""select s.dataset, s.b, s.unit, t.unit as swapped from (select *, row
 )
 def permute_units(spark, d):
     """Units trade windows within their dataset; every lookup hits because directions exist for all opportunities."""
-    claims = cl.directional(b.opportunities(spark, d))
+    claims = b.claims_table(spark, d)
     return rs.permute_units(claims, b.window_directions(spark, d), ["n", "sensor"], ["sensor"], "claimed", "actual", B)
 
 
@@ -175,7 +175,7 @@ def permute_units(spark, d):
 )
 def permutation_table_holes(spark, d):
     """Cells a permutation may look up, and how many of them the full table lacks."""
-    claims, full = cl.directional(b.opportunities(spark, d)), b.window_directions(spark, d)
+    claims, full = b.claims_table(spark, d), b.window_directions(spark, d)
     needed = claims.select("dataset", "n", "sensor").distinct().join(full.select("dataset", "unit").distinct(), "dataset")
     holes = rs.missing_cells(claims, full, ["n", "sensor"]).groupBy("dataset").agg(F.count(F.lit(1)).alias("missing"))
     return needed.groupBy("dataset").agg(F.count(F.lit(1)).alias("needed")).join(holes, "dataset", "left").fillna(0, ["missing"])
@@ -278,7 +278,7 @@ def multiplicity(spark, d):
 )
 def sensitivity(spark, d):
     """The same contrast with and without flagged claims (here: many mentions), from one pass."""
-    claims = cl.directional(b.opportunities(spark, d)).withColumn("flag", F.col("mentions") > 5)
+    claims = b.claims_table(spark, d).withColumn("flag", F.col("mentions") > 5)
     sets = rs.with_and_without(claims, "flag").withColumns(
         {"n": F.lit(1.0), "hh": F.col("input_hit").cast("double"), "g": F.col("base_hit").cast("double")}
     )

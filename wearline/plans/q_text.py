@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..operators import claims as cl
 from ..operators import metrics as m
 from ..operators import validate as va
+from ..session import spread
 from . import bindings as b
 from .oracle import CTX, mentions, said, sql, values
 from .registry import query
@@ -19,13 +20,13 @@ TURNS = "select conv_id*1000+turn as resp, text from conversations"
 
 @query("I1_classify_documents", sql("", "select resp, sensor, claimed, mentions from " + said("t", "resp"), t=DOCS))
 def classify_documents(spark, d):
-    docs = b.table(spark, d, "documents").select(F.col("doc_id").alias("resp"), "text")
+    docs = b.documents(spark, d).select(F.col("doc_id").alias("resp"), "text")
     return cl.classify(docs, ["resp"], "text", b.TERMS, b.LEXICON)
 
 
 @query("I1_classify_conversations", sql("", "select resp, sensor, claimed, mentions from " + said("t", "resp"), t=TURNS))
 def classify_conversations(spark, d):
-    turns = b.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("resp"), "text")
+    turns = spread(b.table(spark, d, "conversations")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("resp"), "text")
     return cl.classify(turns, ["resp"], "text", b.TERMS, b.LEXICON)
 
 
@@ -43,7 +44,7 @@ EVERY = f"(select s.resp, t.sensor from t s cross join {values('t', b.TERMS.item
     ),
 )
 def matched_clauses(spark, d):
-    docs = b.table(spark, d, "documents").select(F.col("doc_id").alias("resp"), "text")
+    docs = b.documents(spark, d).select(F.col("doc_id").alias("resp"), "text")
     out = cl.matched_clauses(docs, ["resp"], "text", b.TERMS, "blest|therr|eurs")
     return out.select("resp", "sensor", F.md5("clause").alias("clause_md5"), "off_trend")
 
@@ -60,7 +61,7 @@ def matched_clauses(spark, d):
     ),
 )
 def reader_contexts(spark, d):
-    docs = b.table(spark, d, "documents").select(F.col("doc_id").alias("resp"), "text")
+    docs = b.documents(spark, d).select(F.col("doc_id").alias("resp"), "text")
     out = cl.reader_contexts(docs, ["resp"], "text", b.TERMS)
     return out.select("resp", "sensor", "mentions", F.md5("context").alias("context_md5"), F.length("context").alias("chars"))
 
@@ -78,7 +79,7 @@ def _replies(spark, d):
         .when(shape == 4, F.concat(F.lit("RUL_ESTIMATE: none\n"), F.col("text")))
         .otherwise(F.col("text"))
     )
-    return b.table(spark, d, "documents").select("doc_id", text.alias("reply"))
+    return b.documents(spark, d).select("doc_id", text.alias("reply"))
 
 
 REPLIES = """select doc_id, case doc_id%6 when 0 then 'RUL_ESTIMATE: '||n_chars||chr(10)||'REASONING: '||text
@@ -244,4 +245,4 @@ def math(spark, d):
     sql("", "select lang, count(*) as records, count(*) filter (where regexp_matches(lower(source||' '||text), 'whst|(tion){2}|src1 ')) as matching from documents group by 1"),
 )
 def keyword_screen(spark, d):
-    return va.keyword_screen(b.table(spark, d, "documents"), ["source", "text"], "whst|(tion){2}|src1 ", ["lang"])
+    return va.keyword_screen(b.documents(spark, d), ["source", "text"], "whst|(tion){2}|src1 ", ["lang"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,28 +23,43 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the cluster names; a temporary one only where it names none."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="wearline-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach, as the cluster names it; a temporary one only in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="wearline-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write an intermediate table that several passes read, and go on from the written copy.
+
+    The copy cuts the lineage, survives lost executors, is read by column, and has a
+    size Spark knows when it chooses a join.
+    """
+    path = f"{shared_folder(df.sparkSession)}/wearline-stage/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """One partition per core for heavy work per row. A scan that already has them is not shuffled."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    parts = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan if parts >= cores else scan.repartition(cores)
 
 
 def settle(df: DataFrame, limit: int = 100_000) -> DataFrame:
     """Evaluate a fitted or per-cluster table once.
 
     Up to `limit` rows come back as a local table, whose exact size Spark then
-    knows, so its own threshold decides about broadcasting. A larger table is
-    checkpointed and stays distributed.
+    knows, so its own threshold decides about broadcasting. A larger table stays
+    distributed: it is staged.
     """
     rows = df.limit(limit + 1).collect()
     if len(rows) <= limit:
         return df.sparkSession.createDataFrame(rows, df.schema)
-    return cut_lineage(df)
+    return stage(df)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import config_from_file
+from ..operators.metrics import run_manifest
 from ..operators.ordering import positions
 
 TRACE_SCHEMA = (
@@ -85,22 +86,26 @@ def read_traces(spark: SparkSession, path: str, array_files: bool = True) -> Dat
     )
 
 
+READING = "case bigint, sensor string, first_label string, first_at string, revealed boolean, note string"
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Human readings from a nested export: either root key, with or without a 'data' wrapper."""
-    reading = "array<struct<case:string,sensor:string,label:string,first_label:string,first_at:string,updated_at:string,revealed:boolean,changed_after_reveal:boolean,note:string>>"
-    body = f"note string, readings {reading}, letture {reading}"
-    schema = f"{body}, data struct<note:string,readings:{reading},letture:{reading}>"
+    """Human readings from an export: a list of records, or one under either root key; records may be wrapped in 'data'."""
+    record = f"struct<{READING.replace(' ', ':').replace(',:', ',')},data:struct<{READING.replace(' ', ':').replace(',:', ',')}>>"
+    schema = f"{READING}, data struct<{READING.replace(' ', ':').replace(',:', ',')}>, readings array<{record}>, letture array<{record}>"
     raw = spark.read.option("multiLine", True).schema(schema).json(path)
-    rows = F.coalesce("readings", "letture", "data.readings", "data.letture")
-    flat = raw.select(F.inline(rows))
-    label = F.coalesce(F.nullif(F.col("first_label"), F.lit("")), F.col("label"))
+    names = [part.split(" ")[0] for part in READING.split(", ")]
+    itself = F.array(F.struct(*names, "data"))
+    rows = raw.select(F.explode(F.coalesce("readings", "letture", itself)).alias("r"))
+    wrapped = F.col("r.data").isNotNull()
+    flat = rows.select(*[F.when(wrapped, F.col(f"r.data.{n}")).otherwise(F.col(f"r.{n}")).alias(n) for n in names])
     return flat.select(
         "case",
         "sensor",
-        F.lower(F.trim(label)).alias("label"),
+        F.lower(F.trim(F.coalesce("first_label", F.lit("")))).alias("label"),
         F.coalesce("revealed", F.lit(False)).alias("revealed"),
         F.to_timestamp("first_at").alias("first_at"),
-        F.trim(F.coalesce("note", F.lit(""))).alias("note"),
+        F.coalesce("note", F.lit("")).alias("note"),
     )
 
 
@@ -122,21 +127,30 @@ def write_claims(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("dataset").parquet(path)
 
 
-# Experiment class by trace file name, first match wins.
+# Experiment class by folder or file name, first match wins.
 EXPERIMENT_PATTERNS = (
-    ("control arms", r"^traces_p0_.*_(repl|nocue|invcue|revdata)\.json$"),
-    ("few-shot sampling", r"^traces_p1_.*_(strat|random|asis)_seed\d+\.json$"),
-    ("corrected grid", r"^traces_p1_.*_fs_k\d+_n\d+_.*\.json$"),
-    ("model sweep", r"^traces_p1_.*_zs_n\d+_.*\.json$"),
-    ("original grid", r"^traces_[A-Za-z]+\d+_(zero_shot|few_shot)_.*\.json$"),
+    ("original grid", r"/results/[^/]+$"),
+    ("control arms", r"/results_p0/[^/]+$"),
+    ("corrected grid", r"_grid_[^/]*$"),
+    ("example-set experiment", r"_fs_k5_n5_(asis|strat|random)_seed[^/]*$"),
+    ("multi-condition", r"/traces_p2_[^/]*$"),
 )
+OTHER_EXPERIMENT = "model sweep"
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     """File name, size, SHA-256 and experiment class. Trace files are small, so their bytes pass one task each."""
     files = spark.read.format("binaryFile").load(path)
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    kind = F.lit("other")
+    kind = F.lit(OTHER_EXPERIMENT)
     for label, pattern in reversed(EXPERIMENT_PATTERNS):
-        kind = F.when(name.rlike(pattern), F.lit(label)).otherwise(kind)
+        kind = F.when(F.col("path").rlike(pattern), F.lit(label)).otherwise(kind)
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
     return files.select(name.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), kind.alias("experiment"))
+
+
+def trace_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The file manifest with each file's configuration and run statistics."""
+    by = ["file", "dataset", "mode", "k", "n_cycles", "run", "seed"]
+    traces = read_traces(spark, path).where(F.col("pred").isNotNull())
+    stats = run_manifest(traces.fillna(-1, ["seed"]).fillna("", ["dataset", "mode"]), by, "text")
+    return file_manifest(spark, path).join(stats, "file", "left").withColumn("seed", F.when(F.col("seed") >= 0, F.col("seed")))
