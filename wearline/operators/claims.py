@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.numeric import FLAT_EPS, direction_of, is_directional, mean_flag, opposite, percent, ratio
 from ..session import stage
+from .frames import with_life
 from .ordering import exact_percentile
 
 
@@ -322,7 +323,10 @@ def sensor_rank_correlation(long: DataFrame, target: str, min_rows: int = 10, ke
 
 
 def sensor_directions(long: DataFrame, target: str, min_rows: int = 10) -> DataFrame:
-    """Measured direction per (dataset, sensor): sign of the median unit correlation, and the share that agrees."""
+    """Measured direction per (dataset, sensor) and the share of units that agree with it.
+
+    `target` is remaining life: a sensor that rises as life runs out correlates negatively.
+    """
     per_unit = stage(sensor_rank_correlation(long, target, min_rows))
     median = exact_percentile(per_unit, ["dataset", "sensor"], "rho", {"median_rho": 0.5})
     joined = per_unit.join(median, ["dataset", "sensor"])
@@ -331,7 +335,7 @@ def sensor_directions(long: DataFrame, target: str, min_rows: int = 10) -> DataF
         F.count(F.lit(1)).alias("units"),
         F.max("median_rho").alias("median_rho"),
         mean_flag(agree).alias("agree_share"),
-    )
+    ).withColumn("measured", F.when(F.col("median_rho") < 0, "increase").otherwise("decrease"))
 
 
 def share_rising(
@@ -341,10 +345,9 @@ def share_rising(
 
     Everything a unit contributes is a conditional aggregate against its own last cycle.
     """
-    life = df.groupBy("dataset", "unit").agg(F.max(cycle).alias("life"))
     back = F.col("life") - F.col(cycle) + 1
     wanted = (F.col(cycle) <= head) | (back <= max(head, *lengths))
-    rows = df.join(life, ["dataset", "unit"]).withColumn("_back", back).where(wanted)
+    rows = with_life(df, ["dataset", "unit"], cycle).withColumn("_back", back).where(wanted)
     aggs = [F.max("life").alias("life")]
     for s in sensors:
         aggs += [

@@ -19,20 +19,23 @@ UNIT = ("dataset", "unit")
 
 
 # ------------------------------------------------------------------ labels
-def unit_life(df: DataFrame, unit: Sequence[str] = UNIT, cycle: str = "cycle") -> DataFrame:
-    return df.groupBy(*unit).agg(F.max(cycle).alias("life"))
+def with_life(df: DataFrame, unit: Sequence[str] = UNIT, cycle: str = "cycle") -> DataFrame:
+    """Last cycle of the unit next to every row.
+
+    A partially aggregated maximum is joined back, so a very long unit is split by adaptive
+    skew handling instead of filling one window task. A table that knows it already is left alone.
+    """
+    if "life" in df.columns:
+        return df
+    return df.join(df.groupBy(*unit).agg(F.max(cycle).alias("life")), list(unit))
 
 
 def with_rul(
     df: DataFrame, cap: float = RUL_CAP, unit: Sequence[str] = UNIT, cycle: str = "cycle", out: str = "rul"
 ) -> DataFrame:
-    """Piecewise label least(last cycle − cycle, cap).
-
-    The last cycle is a partially aggregated maximum joined back, so a very
-    long unit is split by adaptive skew handling instead of filling one window task.
-    """
-    joined = df.join(unit_life(df, unit, cycle), list(unit))
-    return joined.withColumn(out, F.least(F.lit(cap).cast("long"), F.col("life") - F.col(cycle))).drop("life")
+    """Piecewise label least(last cycle − cycle, cap)."""
+    left = F.col("life") - F.col(cycle)
+    return with_life(df, unit, cycle).withColumn(out, F.least(F.lit(cap).cast("long"), left)).drop("life")
 
 
 def attach_terminal_labels(last: DataFrame, labels: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from ..functions.draws import uniform
 from ..functions.numeric import RUL_CAP, asymmetric_penalty, mean_flag, percent, ratio, to_grid
 from ..functions import tails
 from ..session import settle
-from .ordering import exact_percentile
 
 
 def _errors(pred: str = "pred", truth: str = "truth", weight: str | None = None) -> list[Column]:
@@ -45,19 +44,23 @@ def constant_baselines(train: DataFrame, test: DataFrame, cap: float = RUL_CAP,
     """Metrics of the constants a forecaster without skill would state.
 
     Train mean and median, test mean and median (an oracle), a fixed guess and half the cap.
-    `train` has (dataset, rul), `test` has (dataset, truth). The constants meet label counts, not labels.
+    `train` has (dataset, rul), `test` has (dataset, truth), both capped whole numbers. Everything is
+    computed from label counts: at most cap + 1 values per dataset.
     """
-    tr, te = truth_counts(train, truth="rul"), truth_counts(test)
+    tr, te = settle(truth_counts(train, truth="rul")), settle(truth_counts(test))
     by = ["dataset"]
 
     def mean(c: DataFrame, name: str) -> DataFrame:
         return c.groupBy(*by).agg((F.sum(F.col("truth") * F.col("w")) / F.sum("w")).alias(name))
 
+    def median(c: DataFrame, name: str) -> DataFrame:
+        return c.groupBy(*by).agg(F.percentile("truth", F.lit(0.5), F.col("w")).alias(name))
+
     fits = (
         mean(tr, "train_mean")
-        .join(exact_percentile(tr, by, "truth", {"train_median": 0.5}, "w"), by)
+        .join(median(tr, "train_median"), by)
         .join(mean(te, "test_mean"), by)
-        .join(exact_percentile(te, by, "truth", {"test_median": 0.5}, "w"), by)
+        .join(median(te, "test_median"), by)
     )
     names = ["train_mean", "train_median", "test_mean", "test_median"]
     cells = [F.struct(F.lit(n).alias("baseline"), F.col(n).alias("constant")) for n in names]

@@ -42,7 +42,7 @@ def resample(items: DataFrame, by: Sequence[str], key: Sequence[str], b: int, se
     by hash. `payload` (several rows per item) replaces the item's own columns.
     """
     by, key = list(by), list(key)
-    numbered = settle(hash_positions(items, by, key, seed, "_pos", "_size"))
+    numbered = settle(hash_positions(settle(items), by, key, seed, "_pos", "_size"))
     slots = numbered.select(*by, "_size", "_pos", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("b"))
     picks = slots.select(*by, "b", pick(seed, F.col("_size"), F.col("b"), F.col("_pos")).alias("_pos"))
     if payload is None:
@@ -101,8 +101,9 @@ def bootstrap_rank_ci(
     Each replicate is re-ranked from its counts by distinct value.
     """
     by = list(by)
-    cuts = (cut_points(df, x), cut_points(df, y))
-    drawn = resample(df.select(*by, *key, x, y), by, key, b, seed)
+    items = settle(df.select(*by, *key, x, y))
+    cuts = (cut_points(items, x), cut_points(items, y))
+    drawn = resample(items, by, key, b, seed)
     cells = drawn.groupBy(*by, "b", x, y).agg(F.count(F.lit(1)).alias("_w"))
     rho = spearman_of_cells(cells, [*by, "b"], x, y, cuts)
     return interval(rho.withColumn("value", F.coalesce("rho", F.lit(0.0))), by)
@@ -176,6 +177,7 @@ def permute_labels(
     items = df.groupBy(*by, item).agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(hit).cast("double")).alias("h"), F.max(label).alias("_lab")
     )
+    items = settle(items)
     base = settle(hash_positions(items, by, [item], seed, "_pos"))
     rows = base.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(b))))
     shuffled = hash_positions(rows.drop("_pos", "_lab"), [*by, "b"], ["b", item], seed, "_pos")
@@ -194,7 +196,7 @@ def permute_labels(
 
 def unit_permutations(units: DataFrame, b: int, seed, block: str = "dataset", unit: str = "unit") -> DataFrame:
     """(block, b, unit) → another unit of the same block, a permutation for every b."""
-    base = settle(hash_positions(units.select(block, unit).distinct(), [block], [unit], seed, "_pos"))
+    base = settle(hash_positions(settle(units.select(block, unit).distinct()), [block], [unit], seed, "_pos"))
     rows = base.drop("_pos").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(b))))
     shuffled = hash_positions(rows, [block, "b"], ["b", unit], seed, "_pos")
     target = base.withColumnRenamed(unit, "swapped")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import hash_int
 from ..functions.numeric import RUL_EDGES, bin_rul
-from ..session import shuffle_width
+from ..session import settle, shuffle_width
 from .frames import eligible_cuts
 from .ordering import hash_bucket, hash_positions, positions
 
@@ -32,7 +32,7 @@ def stratified_sample(
     taken = ranked.where(F.col("_rn") <= F.element_at(wanted, F.col(stratum))).drop("_rn", "_h")
     if not shuffle_ids:
         return taken
-    return hash_positions(taken, [], [stratum, *key], f"{seed}-order", "id")
+    return hash_positions(settle(taken), [], [stratum, *key], f"{seed}-order", "id")
 
 
 def random_examples(df: DataFrame, k: int, key: Sequence[str], n: int, seed="examples", cycle: str = "cycle") -> DataFrame:

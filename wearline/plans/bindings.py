@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import uniform
 from ..operators import claims as cl
-from ..operators.frames import apply_minmax, fit_minmax, tail_windows, window_direction
+from ..operators.frames import apply_minmax, fit_minmax, tail_windows, window_direction, with_life
 from ..operators.ordering import positions
 from ..session import spread, stage
 
@@ -42,7 +42,7 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trajectories(spark: SparkSession, d: str) -> DataFrame:
-    """One row per event: user = unit, event order = cycle, split by the hour for very active users."""
+    """One row per event: user = unit, event order = cycle, split by the hour for very active users; `life` is the last cycle."""
     e = table(spark, d, "events").select(
         F.when(F.col("user_id") % 2 == 0, "D0").otherwise("D1").alias("dataset"),
         F.col("user_id").alias("unit"),
@@ -56,11 +56,12 @@ def trajectories(spark: SparkSession, d: str) -> DataFrame:
         F.length("event_type").cast("double").alias("s3"),
         F.lit(1.0).alias("s4"),
     )
-    numbered = positions(e, ["dataset", "unit"], ["ts", "event_id"], F.date_trunc("hour", "ts"), "cycle")
+    numbered = positions(e, ["dataset", "unit"], ["ts", "event_id"], F.date_trunc("hour", "ts"), "cycle", "life")
     return numbered.select(
         "dataset",
         "unit",
         "cycle",
+        "life",
         *SETTINGS,
         "s1",
         "s2",
@@ -73,9 +74,8 @@ def trajectories(spark: SparkSession, d: str) -> DataFrame:
 
 def observed(traj: DataFrame) -> DataFrame:
     """Test view of the units: every unit is seen up to 50–95 % of its life."""
-    life = traj.groupBy("dataset", "unit").agg(F.max("cycle").alias("life"))
     end = F.floor(F.col("life") * (uniform("censor", F.col("unit")) * 0.45 + 0.5))
-    return traj.join(life, ["dataset", "unit"]).where(F.col("cycle") <= end)
+    return with_life(traj).where(F.col("cycle") <= end)
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
@@ -153,17 +153,17 @@ def window_directions(spark: SparkSession, d: str, eps: float = 0.01) -> DataFra
     return window_direction(windows(trajectories(spark, d)), SCORED, ["dataset", "unit", "n"], eps=eps)
 
 
-def opportunities(spark: SparkSession, d: str) -> DataFrame:
+def opportunities(spark: SparkSession, d: str, shown: DataFrame | None = None) -> DataFrame:
     """Every (response, sensor) pair with the stated, the asserted and the shown direction."""
     said = cl.classify(responses(spark, d), ["resp", "dataset", "unit", "config", "mode", "n"], "text", TERMS, LEXICON)
-    shown = window_directions(spark, d)
+    shown = shown or window_directions(spark, d)
     joined = said.join(shown, ["dataset", "unit", "n", "sensor"])
     return cl.score_claims(cl.with_reference(joined, ASSERTED, CUED))
 
 
-def claims_table(spark: SparkSession, d: str) -> DataFrame:
+def claims_table(spark: SparkSession, d: str, shown: DataFrame | None = None) -> DataFrame:
     """The directional claims, written once for the several passes of an inference."""
-    return stage(cl.directional(opportunities(spark, d)))
+    return stage(cl.directional(opportunities(spark, d, shown)))
 
 
 def arm_claims(spark: SparkSession, d: str) -> DataFrame:

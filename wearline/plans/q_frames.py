@@ -339,7 +339,7 @@ def prompts(spark, d):
     "D27_sensor_directions",
     sql(
         "train",
-        f"""select dataset, sensor, count(*) as units, {d6('max(med)', 'median_rho')}, {d6('avg(cast(sign(rho)=sign(med) as int))', 'agree_share')} from (
+        f"""select dataset, sensor, count(*) as units, {d6('max(med)', 'median_rho')}, {d6('avg(cast(sign(rho)=sign(med) as int))', 'agree_share')}, case when max(med)<0 then 'increase' else 'decrease' end as measured from (
         select *, median(rho) over (partition by dataset, sensor) as med from (
         select dataset, sensor, unit, corr(rx, ry) as rho from (
         select *, rank() over (partition by unit, sensor order by reading)+(count(*) over (partition by unit, sensor, reading)-1)/2e0 as rx,

@@ -10,6 +10,7 @@ from ..operators import frames as fr
 from ..operators import rank as rk
 from ..operators import resample as rs
 from ..operators import sampling as sp
+from ..session import stage
 from . import bindings as b
 from .oracle import d6, h, sql, u
 from .q_metrics import RANKED
@@ -160,8 +161,8 @@ SWAPS = f"""select s.dataset, s.b, s.unit, t.unit as swapped from (select *, row
 )
 def permute_units(spark, d):
     """Units trade windows within their dataset; every lookup hits because directions exist for all opportunities."""
-    claims = b.claims_table(spark, d)
-    return rs.permute_units(claims, b.window_directions(spark, d), ["n", "sensor"], ["sensor"], "claimed", "actual", B)
+    shown = stage(b.window_directions(spark, d))
+    return rs.permute_units(b.claims_table(spark, d, shown), shown, ["n", "sensor"], ["sensor"], "claimed", "actual", B)
 
 
 @query(
@@ -175,7 +176,8 @@ def permute_units(spark, d):
 )
 def permutation_table_holes(spark, d):
     """Cells a permutation may look up, and how many of them the full table lacks."""
-    claims, full = b.claims_table(spark, d), b.window_directions(spark, d)
+    full = stage(b.window_directions(spark, d))
+    claims = b.claims_table(spark, d, full)
     needed = claims.select("dataset", "n", "sensor").distinct().join(full.select("dataset", "unit").distinct(), "dataset")
     holes = rs.missing_cells(claims, full, ["n", "sensor"]).groupBy("dataset").agg(F.count(F.lit(1)).alias("missing"))
     return needed.groupBy("dataset").agg(F.count(F.lit(1)).alias("needed")).join(holes, "dataset", "left").fillna(0, ["missing"])
@@ -335,8 +337,10 @@ def random_examples(spark, d):
 
 
 def _pool(spark, d):
-    seen = b.observed(fr.with_rul(b.trajectories(spark, d), b.CAP))
-    return sp.last_cycle_pool(seen, EDGES)
+    seen = b.observed(b.trajectories(spark, d))
+    left = F.least(F.lit(b.CAP).cast("long"), F.col("life") - F.max("cycle"))
+    ends = seen.groupBy("dataset", "unit", "life").agg(F.max("cycle").alias("cycle"), left.alias("rul"))
+    return sp.last_cycle_pool(ends, EDGES)
 
 
 POOL = "select dataset, unit, cycle, rul, {bin} as bin from (select dataset, unit, max(cycle) as cycle, least(40, max(life)-max(cycle)) as rul from obs group by all)".format(bin=BIN)
