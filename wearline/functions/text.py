@@ -1,9 +1,9 @@
 """Mentions of a term in a text, and what is said around them, as column expressions.
 
-A text is cut in front of every mention. The context of a mention then needs
-only a few neighbouring pieces: each piece is at least one term and one
-separator long, which bounds how many pieces a context of fixed width can
-span. The work is linear in the text, whatever its length.
+A text is cut once, in front of every mention of any term. The context of a
+mention then needs only a few neighbouring pieces: each piece is at least one
+term and one separator long, which bounds how many pieces a context of fixed
+width can span. The work is linear in the text, whatever its length.
 """
 
 from __future__ import annotations
@@ -62,44 +62,57 @@ def any_case(term: str) -> str:
     return "".join(out)
 
 
-def pieces(text, term: str) -> Column:
-    """The text before the first mention, then one piece per mention that starts with it.
+def pieces(text, terms: Sequence[str]) -> Column:
+    """The text before the first mention of any term, then one piece per mention that starts with it.
 
     The mark in front keeps that first piece when the text opens with a mention.
     """
     text = F.col(text) if isinstance(text, str) else text
     marked = F.concat(F.lit(HEAD_MARK), F.coalesce(text, F.lit("")))
-    cut = F.split(marked, rf"(?={any_case(term)}(?!{WORD}))(?<!{WORD})", -1)
+    words = "|".join(any_case(t) for t in terms)
+    cut = F.split(marked, rf"(?=(?:{words})(?!{WORD}))(?<!{WORD})", -1)
     return F.transform(cut, lambda p, i: F.when(i == 0, F.substr(p, F.lit(2))).otherwise(p))
 
 
-def mention_count(parts) -> Column:
-    return (F.size(parts) - 1).cast("long")
+def _reach(width: int, terms: Sequence[str]) -> int:
+    return math.ceil(width / (min(map(len, terms)) + 1)) + 1
 
 
-def _reach(width: int, term: str) -> int:
-    return math.ceil(width / (len(term) + 1)) + 1
+def heads_and_tails(parts: str, terms: Sequence[str], before: int, after: int) -> tuple[Column, Column]:
+    """The pieces trimmed at either end to what a context can need, plus one character that tells of more."""
+    need = max(map(len, terms)) + after + 1
+    heads = F.transform(parts, lambda p: F.left(p, F.lit(need)))
+    return heads, F.transform(parts, lambda p: F.substr(p, F.lit(-before - 1), F.lit(before + 1)))
 
 
-def tails_of(parts, width: int) -> Column:
-    return F.transform(parts, lambda p: F.substr(p, F.lit(-width), F.lit(width)))
+def mentions(heads: str, tails: str, terms: Sequence[str], before: int, after: int) -> Column:
+    """Array over all mentions in text order: `left` text (one character more than the context) and `right` text from the mention on."""
+    longest = max(map(len, terms))
+    back, ahead = _reach(before + 1, terms), _reach(longest + after + 1, terms)
 
+    def one(i: Column) -> Column:
+        first = F.greatest(F.lit(1), i - back)
+        left = F.array_join(F.slice(tails, first, i - first), "")
+        right = F.array_join(F.slice(heads, i, F.lit(ahead)), "")
+        return F.struct(
+            F.substr(left, F.lit(-before - 1), F.lit(before + 1)).alias("left"),
+            F.left(right, F.lit(longest + after + 1)).alias("right"),
+        )
 
-def heads_of(parts, width: int, term: str) -> Column:
-    return F.transform(parts, lambda p: F.left(p, F.lit(width + len(term) + 1)))
+    none = F.array().cast("array<int>")
+    return F.transform(F.when(F.size(heads) > 1, F.sequence(F.lit(2), F.size(heads))).otherwise(none), one)
 
 
-def per_mention(heads: str, tails: str, term: str, before: int, after: int, use) -> Column:
-    """Array of use(before, token, after, is_cut_before, is_cut_after), one per mention, in text order.
+def per_mention(found: str, term: str, before: int, after: int, use) -> Column:
+    """Array of use(before, token, after, more_left, more_right) over the mentions of one term.
 
     The last two tell whether the text goes on beyond the context.
     """
-    back, ahead, size = _reach(before, term), _reach(after, term), len(term)
+    size = len(term)
+    own = F.filter(found, lambda m: m["right"].rlike(rf"^{any_case(term)}(?!{WORD})"))
 
-    def one(i: Column) -> Column:
-        first = F.greatest(F.lit(1), i - back)
-        left = F.array_join(F.slice(tails, first, i - first), "")
-        right = F.array_join(F.slice(heads, i, F.lit(ahead)), "")
+    def one(m: Column) -> Column:
+        left, right = m["left"], m["right"]
         return use(
             F.substr(left, F.lit(-before), F.lit(before)),
             F.left(right, F.lit(size)),
@@ -108,8 +121,7 @@ def per_mention(heads: str, tails: str, term: str, before: int, after: int, use)
             F.length(right) > size + after,
         )
 
-    index = F.when(F.size(heads) > 1, F.sequence(F.lit(2), F.size(heads))).otherwise(F.array().cast("array<int>"))
-    return F.transform(index, one)
+    return F.transform(own, one)
 
 
 def clause(before: Column, token: Column, after: Column) -> Column:

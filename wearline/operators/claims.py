@@ -20,16 +20,16 @@ def _literal_map(values: Mapping[str, str]) -> Column:
 
 
 # ------------------------------------------------------------------ text to verdicts
-def _with_pieces(df: DataFrame, keys: Sequence[str], text: str, terms: Mapping[str, str], before: int, after: int) -> DataFrame:
-    """Per term: the pieces of the text around its mentions, trimmed to what a context can need."""
-    cut = df.select(*keys, *[tx.pieces(text, t).alias(f"_p{i}") for i, t in enumerate(terms.values())])
-    trimmed = []
-    for i, t in enumerate(terms.values()):
-        trimmed += [
-            tx.tails_of(f"_p{i}", before + 1).alias(f"_t{i}"),
-            tx.heads_of(f"_p{i}", after, t).alias(f"_h{i}"),
-        ]
-    return cut.select(*keys, *trimmed)
+def _with_mentions(df: DataFrame, keys: Sequence[str], text: str, terms: Mapping[str, str], before: int, after: int) -> DataFrame:
+    """The keys and `_m`, the contexts of all mentions of all terms; the text itself is dropped.
+
+    The steps are separate projections so that Spark computes each array once.
+    """
+    words = list(terms.values())
+    cut = df.select(*keys, tx.pieces(text, words).alias("_p"))
+    heads, tails = tx.heads_and_tails("_p", words, before, after)
+    trimmed = cut.select(*keys, heads.alias("_h"), tails.alias("_t"))
+    return trimmed.select(*keys, tx.mentions("_h", "_t", words, before, after).alias("_m"))
 
 
 def _per_term(df, keys, terms: Mapping[str, str], make) -> DataFrame:
@@ -51,14 +51,13 @@ def classify(
     The terms are a fixed list, so each text yields a fixed number of rows in a
     projection: no join, no shuffle, and the text itself is dropped at once.
     """
-    cut = _with_pieces(df, keys, text, terms, before, after)
+    cut = _with_mentions(df, keys, text, terms, before, after)
     contexts = [
-        tx.per_mention(f"_h{i}", f"_t{i}", t, before, after, lambda b, m, a, _l, _r: tx.clause(b, m, a)).alias(f"_c{i}")
+        tx.per_mention("_m", t, before, after, lambda b, m, a, _l, _r: tx.clause(b, m, a)).alias(f"_c{i}")
         for i, t in enumerate(terms.values())
     ]
-    said = cut.select(*keys, *contexts)
     return _per_term(
-        said,
+        cut.select(*keys, *contexts),
         keys,
         terms,
         lambda i, _t: (
@@ -72,15 +71,13 @@ def matched_clauses(
     df: DataFrame, keys: Sequence[str], text: str, terms: Mapping[str, str], off_trend: str = tx.OFF_TREND
 ) -> DataFrame:
     """The clause around every mention, joined by ' || ', and whether it talks of levels rather than trends."""
-    cut = _with_pieces(df, keys, text, terms, tx.BEFORE, tx.AFTER)
-    joined = [
-        F.array_join(
-            tx.per_mention(f"_h{i}", f"_t{i}", t, tx.BEFORE, tx.AFTER, lambda b, m, a, _l, _r: tx.clause(b, m, a)), " || "
-        ).alias(f"_c{i}")
-        for i, t in enumerate(terms.values())
-    ]
-    out = _per_term(cut.select(*keys, *joined), keys, terms, lambda i, _t: (F.col(f"_c{i}").alias("clause"),))
-    return out.withColumn("off_trend", F.col("clause").rlike(off_trend))
+    cut = _with_mentions(df, keys, text, terms, tx.BEFORE, tx.AFTER)
+
+    def make(_i, t):
+        clauses = tx.per_mention("_m", t, tx.BEFORE, tx.AFTER, lambda b, m, a, _l, _r: tx.clause(b, m, a))
+        return (F.array_join(clauses, " || ").alias("clause"),)
+
+    return _per_term(cut, keys, terms, make).withColumn("off_trend", F.col("clause").rlike(off_trend))
 
 
 def reader_contexts(
@@ -98,16 +95,17 @@ def reader_contexts(
         body = F.translate(F.concat(b, m, a), "\n", " ")
         return F.concat(F.when(more_left, "...").otherwise(""), body, F.when(more_right, "...").otherwise(""))
 
-    cut = _with_pieces(df, keys, text, terms, before, after)
+    cut = _with_mentions(df, keys, text, terms, before, after)
+    shown_to_reader = [tx.per_mention("_m", t, before, after, shown).alias(f"_c{i}") for i, t in enumerate(terms.values())]
 
-    def make(i, t):
-        joined = F.array_join(tx.per_mention(f"_h{i}", f"_t{i}", t, before, after, shown), " || ")
+    def make(i, _t):
+        joined = F.array_join(f"_c{i}", " || ")
         return (
-            tx.mention_count(f"_h{i}").alias("mentions"),
+            F.size(f"_c{i}").cast("long").alias("mentions"),
             (F.left(joined, F.lit(cap)) if cap else joined).alias("context"),
         )
 
-    return _per_term(cut, keys, terms, make)
+    return _per_term(cut.select(*keys, *shown_to_reader), keys, terms, make)
 
 
 # ------------------------------------------------------------------ references and flags

@@ -243,6 +243,7 @@ def condition_variability(runs: DataFrame, by: Sequence[str], metric: str, modal
 
 
 def distinct_list(df: DataFrame, by: Sequence[str], value: str, out: str = "values") -> DataFrame:
+    """Distinct values as one printed cell: for outputs that take few values, such as modal values or labels."""
     return df.groupBy(*by).agg(F.array_join(F.sort_array(F.collect_set(F.col(value).cast("string"))), ",").alias(out))
 
 
@@ -322,8 +323,9 @@ def run_agreement(df: DataFrame, runs: Sequence[str], by: Sequence[str] = ("data
     """
     by = list(by)
     observed = run_pairs(df, runs, [*by, "unit"], by).where("units > 0")
-    share = F.col("count") / F.sum("count").over(Window.partitionBy(*by, "run"))
-    freq = value_frequencies(df, [*by, "run"]).withColumn("p", share)
+    freq = value_frequencies(df, [*by, "run"])
+    sizes = df.where(F.col("pred").isNotNull()).groupBy(*by, "run").agg(F.count(F.lit(1)).alias("_size"))
+    freq = freq.join(sizes, [*by, "run"]).withColumn("p", F.col("count") / F.col("_size"))
     wide = freq.groupBy(*by, "value").agg(*[F.coalesce(F.sum(F.when(F.col("run") == r, F.col("p"))), F.lit(0.0)).alias(f"_{r}") for r in runs])
     pairs = [(a, b) for i, a in enumerate(runs) for b in runs[i + 1 :]]
     chance = wide.groupBy(*by).agg(*[F.sum(F.col(f"_{a}") * F.col(f"_{b}")).alias(f"{a}_{b}") for a, b in pairs])

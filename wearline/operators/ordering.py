@@ -22,7 +22,7 @@ from ..session import shuffle_width
 
 def cut_points(df: DataFrame, column: str, parts: int | None = None) -> list[float]:
     """Inner quantiles of the column: one row on the driver, as a range partitioner takes."""
-    parts = parts or max(2, shuffle_width(df.sparkSession))
+    parts = parts or 4 * shuffle_width(df.sparkSession)
     probs = [i / parts for i in range(1, parts)]
     row = df.agg(F.percentile_approx(F.col(column).cast("double"), probs).alias("c")).first()
     return sorted(set(row["c"] or []))

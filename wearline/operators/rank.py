@@ -70,6 +70,8 @@ def kendall(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     all cells that have it clear. One cell meets each other cell on one level only:
     n log n work, and the running totals split large groups.
     """
+    if not by:
+        return kendall(df.withColumn("_one", F.lit(1)), ["_one"], x, y).drop("_one")
     by = list(by)
     cells = stage(value_cells(df, by, x, y))
     xs = cells.groupBy(*by, x).agg(F.sum("_w").alias("nx"))
@@ -93,7 +95,7 @@ def kendall(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     pairs = lambda c: F.col(c).cast("double") * (F.col(c) - 1) / 2.0
     tx = xs.groupBy(*by).agg(F.sum("nx").alias("n"), F.sum(pairs("nx")).alias("_tx"))
     ty = cells.groupBy(*by, y).agg(F.sum("_w").alias("ny")).groupBy(*by).agg(F.sum(pairs("ny")).alias("_ty"))
-    out = net.join(tx, by).join(ty, by) if by else net.crossJoin(tx).crossJoin(ty)
+    out = net.join(tx, by).join(ty, by)
     every = pairs("n")
     return out.select(
         *by, "n", ratio("_net", F.sqrt(every - F.col("_tx")) * F.sqrt(every - F.col("_ty"))).alias("tau")
@@ -127,6 +129,8 @@ def rank_tests(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
 
 def leave_one_out(df: DataFrame, by: Sequence[str], key: str, x: str, y: str) -> DataFrame:
     """Pearson's r of the group without each row in turn, from the group's sums: no self join."""
+    if not by:
+        return leave_one_out(df.withColumn("_one", F.lit(1)), ["_one"], key, x, y).drop("_one")
     by = list(by)
     whole = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     centre = whole.groupBy(*by).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))

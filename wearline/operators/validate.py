@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import is_directional, mean_flag, percent, ratio
@@ -235,17 +235,21 @@ def verify_cells(cells: DataFrame, known: DataFrame) -> DataFrame:
     return joined.withColumn("status", status)
 
 
-def phrase_audit(phrases: DataFrame, corpus: DataFrame, text: str, key: str) -> DataFrame:
+def phrase_audit(phrases: DataFrame, corpus: DataFrame, text: str, size: int = 200) -> DataFrame:
     """In how many texts does each required phrase occur?
 
-    The phrases are a checked list (`settle`d by the caller), so every text is tested
-    against all of them where it lies and only counts are shuffled.
+    Phrases are tested in blocks of at most `size` literals, one scan per block: every
+    text is read where it lies and only counts are shuffled. A list of any length works.
     """
-    listed = phrases.agg(F.collect_set("phrase").alias("p")).first()["p"]
-    hits = [F.when(F.contains(F.col(text), F.lit(p)), F.lit(i)) for i, p in enumerate(listed)]
-    found = corpus.select(F.explode(F.array_compact(F.array(*hits))).alias("_i"))
-    names = F.array(*[F.lit(p) for p in listed])
-    counts = found.groupBy("_i").agg(F.count(F.lit(1)).alias("texts")).select(F.get(names, F.col("_i")).alias("phrase"), "texts")
+    phrases = phrases.distinct()
+    blocks = -(-phrases.count() // size)
+    slot = F.pmod(F.xxhash64("phrase"), F.lit(max(blocks, 1)))
+    parts = []
+    for i in range(max(blocks, 1)):
+        listed = [r["phrase"] for r in phrases.where(slot == i).collect()]
+        hits = [F.when(F.contains(F.col(text), F.lit(p)), F.lit(p)) for p in listed] or [F.lit(None).cast("string")]
+        parts.append(corpus.select(F.explode(F.array_compact(F.array(*hits))).alias("phrase")))
+    counts = reduce(DataFrame.unionByName, parts).groupBy("phrase").agg(F.count(F.lit(1)).alias("texts"))
     return phrases.join(counts, "phrase", "left").withColumn("texts", F.coalesce("texts", F.lit(0).cast("long"))).withColumn(
         "present", F.col("texts") > 0
     )
@@ -278,6 +282,5 @@ def common_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def sort_configs(df: DataFrame, *order: str) -> DataFrame:
-    """Rows with their place in the sorted list, e.g. for a printed table."""
-    w = Window.partitionBy(F.lit(1)).orderBy(*order)
-    return df.withColumn("place", F.row_number().over(w).cast("long")).orderBy("place")
+    """Rows in the order of several keys: a range-partitioned sort."""
+    return df.orderBy(*order)

@@ -502,7 +502,7 @@ def pred_vs_true(spark, d):
 # ------------------------------------------------------------------ sorts, sets, unions
 @query(
     "H1_sort_configs",
-    sql("preds", f"select row_number() over (order by dataset, q, w) as place, dataset, w, q, n, {ERRS} from (select * exclude (n), n as w from preds) group by dataset, w, q".replace("w, q, n, ", "w, q, count(*) as n, ")),
+    sql("preds", f"select dataset, w, q, n, {ERRS} from (select * exclude (n), n as w from preds) group by dataset, w, q".replace("w, q, n, ", "w, q, count(*) as n, ")),
 )
 def sort_configs(spark, d):
     return va.sort_configs(_run_metrics(spark, d), "dataset", "q", "w")

@@ -289,7 +289,7 @@ def phrase_audit(spark, d):
     bench = b.table(spark, d, "benchmark")
     rebuilt = F.format_string("item %d", F.col("item_id"))
     phrases = bench.select(F.left("text", F.lit(12)).alias("phrase")).union(bench.select(rebuilt)).distinct()
-    return va.phrase_audit(phrases, b.table(spark, d, "documents"), "text", "doc_id")
+    return va.phrase_audit(phrases, b.table(spark, d, "documents"), "text")
 
 
 @query(
