@@ -89,6 +89,12 @@ def test_constant_predictor_has_no_rank_correlation(spark):
     df = spark.createDataFrame([("a", 5.0, float(i)) for i in range(6)], "g string, pred double, truth double")
     assert rk.spearman(df, ["g"], "pred", "truth").first().rho is None
     assert rk.kendall(df, ["g"], "pred", "truth").first().tau is None
+    assert rk.pearson(df, ["g"], "pred", "truth").first().r is None
+    none = rs.bootstrap_pearson_ci(df, ["g"], ["truth"], "pred", "truth", 10).first()
+    assert (none.replicates, none.lo) == (0, None)
+    assert rs.bootstrap_rank_ci(df, ["g"], ["truth"], "pred", "truth", 10).first().lo == 0.0
+    one = spark.createDataFrame([("a", 1, 2.0, 3.0)], "g string, k int, x double, y double")
+    assert rk.leave_one_out(one, ["g"], "k", "x", "y").first().r is None
     assert m.is_degenerate(df, ["g"]).first().degenerate
     c = m.concentration(df, ["g"]).first()
     assert (c.distinct_values, c.modal_value, c.modal_share_pct, c.entropy_bits) == (1, 5.0, 100.0, 0.0)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tails
@@ -49,10 +49,15 @@ def spearman_of_cells(cells: DataFrame, by: Sequence[str], x: str, y: str, cuts=
     return sums.select(*by, "n", ratio("_xy", F.sqrt(F.col("_xx")) * F.sqrt(F.col("_yy"))).alias("rho"))
 
 
-def pearson(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
+def correlation(x: str, y: str) -> Column:
+    """Aggregate: Pearson's r, null where a side is constant (`corr` fails there under ANSI division)."""
     varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varies, ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
+def pearson(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    return df.where(both).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(varies, F.corr(x, y)).alias("r"))
+    return df.where(both).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation(x, y).alias("r"))
 
 
 def linear_fit(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
@@ -142,7 +147,7 @@ def leave_one_out(df: DataFrame, by: Sequence[str], key: str, x: str, y: str) ->
         F.sum(F.col("_x") * F.col("_y")).alias("_sxy"),
     )
     # With centred sums, removing one row (a, b) from n lowers Sab by a·b·n/(n − 1).
-    grow = F.col("_n") / (F.col("_n") - 1.0)
+    grow = ratio("_n", F.col("_n") - 1)
     sxx = F.col("_sxx") - F.col("_x") * F.col("_x") * grow
     syy = F.col("_syy") - F.col("_y") * F.col("_y") * grow
     sxy = F.col("_sxy") - F.col("_x") * F.col("_y") * grow

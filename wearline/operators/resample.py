@@ -19,7 +19,7 @@ from ..functions.numeric import ratio
 from ..session import settle
 from .metrics import association_of_cells
 from .ordering import cut_points, hash_positions
-from .rank import spearman_of_cells
+from .rank import correlation, spearman_of_cells
 
 # Replicates per contrast, tails of a 95 % interval, comparison tolerance.
 REPLICATES = 10_000
@@ -115,8 +115,7 @@ def bootstrap_pearson_ci(
     """Interval of Pearson's r; replicates without variation are skipped."""
     by = list(by)
     drawn = resample(df.select(*by, *key, x, y), by, key, b, seed)
-    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return interval(drawn.groupBy(*by, "b").agg(F.when(varies, F.corr(x, y)).alias("value")), by)
+    return interval(drawn.groupBy(*by, "b").agg(correlation(x, y).alias("value")), by)
 
 
 def stratified_bootstrap(
@@ -252,7 +251,7 @@ def adjust_pvalues(df: DataFrame, by: Sequence[str], p: str, alpha: float = 0.05
     place = F.rank().over(Window.partitionBy(*family).orderBy(F.col(p)))
     ties = F.count(p).over(Window.partitionBy(*family, p))
     step = df.withColumn("_live", live).withColumn("_m", m).withColumn("_i", place + ties - 1)
-    raw = step.withColumn("_q", F.col(p) * F.col("_m") / F.col("_i"))
+    raw = step.withColumn("_q", ratio(F.col(p) * F.col("_m"), "_i"))
     above = Window.partitionBy(*family).orderBy(F.col(p)).rangeBetween(Window.currentRow, Window.unboundedFollowing)
     bh = F.when(live, F.least(F.lit(1.0), F.min("_q").over(above)))
     bonferroni = F.when(live, F.least(F.lit(1.0), F.col(p) * F.col("_m")))

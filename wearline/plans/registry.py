@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,13 @@ def query(name: str, check: str | None = None):
     return add
 
 
+def six_decimals(c: Column) -> Column:
+    """Rounded half away from zero in binary arithmetic, as other engines do; `round` would go through decimals."""
+    near = F.floor(F.abs(c) * 1e6 + 0.5) / 1e6
+    near = F.when(c < 0, -near).otherwise(near)
+    return F.when(F.isnan(c) | (F.abs(c) >= 1e12), c).when(near == 0, F.lit(0.0)).otherwise(near)
+
+
 def tidy(df: DataFrame) -> DataFrame:
     """Result types that compare across engines: bigint and double with 6 decimals."""
     out = []
@@ -35,7 +42,6 @@ def tidy(df: DataFrame) -> DataFrame:
         if kind in ("integer", "short", "byte"):
             c = c.cast("long")
         elif kind in ("double", "float", "decimal"):
-            c = F.round(c.cast("double"), 6)
-            c = F.when(c == 0, F.lit(0.0)).otherwise(c)
+            c = six_decimals(c.cast("double"))
         out.append(c.alias(f.name))
     return df.select(*out)
