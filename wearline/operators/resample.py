@@ -101,7 +101,7 @@ def bootstrap_rank_ci(
     Each replicate is re-ranked from its counts by distinct value.
     """
     by = list(by)
-    items = settle(df.select(*by, *key, x, y))
+    items = settle(df.select(*dict.fromkeys([*by, *key, x, y])))
     cuts = (cut_points(items, x), cut_points(items, y))
     drawn = resample(items, by, key, b, seed)
     cells = drawn.groupBy(*by, "b", x, y).agg(F.count(F.lit(1)).alias("_w"))
@@ -114,7 +114,7 @@ def bootstrap_pearson_ci(
 ) -> DataFrame:
     """Interval of Pearson's r; replicates without variation are skipped."""
     by = list(by)
-    drawn = resample(df.select(*by, *key, x, y), by, key, b, seed)
+    drawn = resample(df.select(*dict.fromkeys([*by, *key, x, y])), by, key, b, seed)
     return interval(drawn.groupBy(*by, "b").agg(correlation(x, y).alias("value")), by)
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import metrics as m
 from ..operators import resample as rs
 from ..operators import validate as va
+from ..session import staging_path
+from ..sources import files
 from . import bindings as b
 from .oracle import d6, sql
 from .q_metrics import ERRS
@@ -303,6 +305,25 @@ def rederived_claims(spark, d):
     return va.rederived_differences(ev, derived, ["event_id"], "v")
 
 
+@query(
+    "A1_trajectory_files",
+    sql("traj", "select dataset, unit, cycle, setting1, round(s1,6) as s1, round(s2,6) as s2, s3 from traj"),
+)
+def trajectory_files(spark, d):
+    """All trajectories written as whitespace-separated text and read back; a column without readings is dropped."""
+    path, columns = staging_path(spark), ["unit", "cycle", "setting1", "s1", "s2", "s3", "empty"]
+    files.write_trajectories(b.trajectories(spark, d).withColumn("empty", F.lit(None).cast("double")), path, columns)
+    return files.read_trajectories(spark, path, columns)
+
+
+@query("A4_summary_files", sql("lpreds", f"select config, count(*) as n, {ERRS} from lpreds group by all"))
+def summary_files(spark, d):
+    """A run summary written as CSV and read back."""
+    path = staging_path(spark)
+    files.write_summary(m.error_metrics(b.line_predictions(spark, d), ["config"]), path)
+    return files.read_summary(spark, path, "config string, n bigint, rmse double, mae double, score double")
+
+
 @query(
     "A8_upsert",
     sql(

@@ -34,13 +34,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def staging_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/wearline-stage/{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write an intermediate table that several passes read, and go on from the written copy.
 
     The copy cuts the lineage, survives lost executors, is read by column, and has a
     size Spark knows when it chooses a join.
     """
-    path = f"{shared_folder(df.sparkSession)}/wearline-stage/{uuid.uuid4().hex}"
+    path = staging_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -22,7 +22,8 @@ def trajectory_columns(settings: int = 3, sensors: int = 21) -> list[str]:
 
 
 def read_trajectories(spark: SparkSession, path: str, columns: Sequence[str] | None = None, drop_empty: bool = True) -> DataFrame:
-    """Headerless, whitespace-separated trajectories; the dataset name comes from the file name.
+    """Headerless, whitespace-separated trajectories; the dataset name comes from the folder
+    (`dataset=…`) or the file name.
 
     Columns without any value are dropped after one counting pass.
     """
@@ -30,8 +31,9 @@ def read_trajectories(spark: SparkSession, path: str, columns: Sequence[str] | N
     parts = F.split(F.trim("value"), r"\s+")
     kinds = {"unit": "bigint", "cycle": "bigint"}
     lines = spark.read.text(path).where(F.trim("value") != "")
+    named = F.regexp_extract("_metadata.file_name", r"([A-Za-z]+\d+)\.txt$", 1)
+    dataset = (F.col("dataset") if "dataset" in lines.columns else named).alias("dataset")
     cells = [F.try_element_at(parts, F.lit(i + 1)).try_cast(kinds.get(c, "double")).alias(c) for i, c in enumerate(columns)]
-    dataset = F.regexp_extract("_metadata.file_name", r"([A-Za-z]+\d+)\.txt$", 1).alias("dataset")
     df = lines.select(dataset, *cells)
     # NaN marks a missing reading
     df = df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in columns if c not in kinds})
@@ -117,6 +119,12 @@ def read_summary(spark: SparkSession, path: str, schema: str | None = None) -> D
     return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in doubles})
 
 
+def write_trajectories(df: DataFrame, path: str, columns: Sequence[str]) -> None:
+    """The same layout, one folder per dataset; a missing reading is written as NaN."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("NaN")) for c in columns]
+    df.select("dataset", F.concat_ws(" ", *cells).alias("value")).write.partitionBy("dataset").text(path)
+
+
 def write_summary(df: DataFrame, path: str) -> None:
     """Summary tables are small results; they leave as CSV with a header."""
     df.write.mode("overwrite").option("header", True).csv(path)
