@@ -5,7 +5,6 @@ import re
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from wearline.functions import text as tx
 from wearline.operators import claims as cl

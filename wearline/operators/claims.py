@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.numeric import FLAT_EPS, direction_of, is_directional, mean_flag, opposite, percent, ratio
+from ..functions.numeric import direction_of, is_directional, mean_flag, opposite, percent, ratio
 from ..session import stage
 from .frames import with_life
 from .ordering import exact_percentile

@@ -8,7 +8,7 @@ from ..operators import claims as cl
 from ..operators import metrics as m
 from ..operators import validate as va
 from . import bindings as b
-from .oracle import d6, direction, sql, values
+from .oracle import d6, direction, sql
 from .q_frames import attested_sql
 from .registry import query
 

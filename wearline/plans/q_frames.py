@@ -10,7 +10,7 @@ from ..operators import frames as fr
 from ..operators import prompts as pr
 from ..operators.ordering import value_positions
 from . import bindings as b
-from .oracle import FLIP, RANGES, d6, direction, long, sql
+from .oracle import RANGES, d6, long, sql
 from .registry import query
 
 S4 = ("s1", "s2", "s3", "s4")

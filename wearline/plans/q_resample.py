@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.numeric import ratio
 from ..operators import claims as cl
 from ..operators import frames as fr
-from ..operators import rank as rk
 from ..operators import resample as rs
 from ..operators import sampling as sp
 from ..session import stage
 from . import bindings as b
-from .oracle import d6, h, sql, u
+from .oracle import h, sql, u
 from .q_metrics import RANKED
 from .registry import query
 
