@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import bpe, simhash, tokenizers
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,10 @@ def op1(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, d, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op6_bpe_encode_decode")
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of every text's token ids and of the text they decode to."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return bpe.digests(docs, tokenizers.content()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
