@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, tokenizers
+from . import bpe, langid, simhash, tokenizers
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,14 @@ def op6(spark: SparkSession, d: str) -> DataFrame:
     """Digests of every text's token ids and of the text they decode to."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     return bpe.digests(docs, tokenizers.content()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op3_language_id")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    """Predicted language of every document, learned from the documents that are not held out."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    out = langid.held_out("doc_id")
+    learned = langid.sample(docs.where(~out))
+    return langid.identify(docs.select("doc_id", "text", out.alias("held_out")), learned).select(
+        "doc_id", "held_out", "lang_pred", "score"
+    )
