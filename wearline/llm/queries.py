@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, simhash, tokenizers
+from . import bpe, langid, lines, simhash, tokenizers
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,32 @@ def op3(spark: SparkSession, d: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", out.alias("held_out")), learned).select(
         "doc_id", "held_out", "lang_pred", "score"
     )
+
+
+@query(
+    "op8_line_dedup",
+    """
+    with cut as (select doc_id, source, string_split(text, chr(10)) ls from documents where text is not null),
+    l as (select distinct source, unnest(ls) line from cut),
+    wide as (select line from l where length(trim(line)) > 0 group by line having count(*) >= 5),
+    placed as (select doc_id, unnest(ls) line, generate_subscripts(ls, 1) i from cut),
+    kept as (
+        select a.doc_id, string_agg(a.line, chr(10) order by i) filter (w.line is null) body,
+               count(*) filter (w.line is not null) n_removed, count(*) n_lines
+        from placed a left join wide w on a.line = w.line group by a.doc_id)
+    select d.doc_id, coalesce(k.n_lines, 0)::bigint n_lines, coalesce(k.n_removed, 0)::bigint n_removed,
+           sha256(coalesce(k.body, '')) kept_sha256
+    from documents d left join kept k on k.doc_id = d.doc_id
+    """,
+)
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    """Every document without the lines that five sources or more share."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    sized = docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long"))
+    clean = lines.without_boilerplate(sized, removed="n_removed")
+    return clean.select(
+        "doc_id",
+        F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"),
+        "n_removed",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
