@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, simhash, tokenizers
-from .common import table
+from . import bpe, langid, lines, mixing, simhash, tokenizers
+from .common import WORD_PATTERN, keep, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -76,3 +76,52 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
         "n_removed",
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
+
+
+@query(
+    "op10_mix_sources",
+    f"""
+    with d as (
+        select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD_PATTERN}')), 0)::bigint size from documents),
+    sized as (select source, sum(size)::bigint source_size from d group by source),
+    numbered as (select *, row_number() over (order by source nulls last) s from sized),
+    weighed as (
+        select *, case (s - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end w,
+               source_size * 3 cap from numbered),
+    filled as (
+        select *, (sum(source_size) over () - coalesce(sum(cap) over o, 0))::double
+                  / (sum(w) over () - coalesce(sum(w) over o, 0)) lvl
+        from weighed window o as (order by cap / w, s rows between unbounded preceding and 1 preceding)),
+    aims as (
+        select source, source_size, least(cap::double, w * (select max(lvl) from filled where lvl <= cap / w)) target
+        from filled),
+    blocks as (select doc_id, source, size, unnest(range(0, size, 512)) start from d where size > 0),
+    keyed as (
+        select doc_id, source, start // 512 block, least(512, size - start) words,
+               ('0x' || substr(md5('0:' || doc_id || ':' || (start // 512)), 1, 15))::bigint h from blocks),
+    placed as (
+        select k.*, a.source_size, a.target, floor(a.target / a.source_size) passes,
+               coalesce(sum(words) over (partition by k.source order by h, doc_id, block
+                                         rows between unbounded preceding and 1 preceding), 0) + words / 2.0 mid
+        from keyed k join aims a on k.source is not distinct from a.source),
+    took as (
+        select doc_id, sum(words * (passes + (mid <= target - passes * source_size)::int))::bigint taken
+        from placed group by doc_id)
+    select d.doc_id, d.size, a.source_size, a.target, coalesce(t.taken, 0)::bigint taken
+    from d join aims a on d.source is not distinct from a.source left join took t using (doc_id)
+    """,
+)
+def op10(spark: SparkSession, d: str) -> DataFrame:
+    """How many words of every document the mix takes, in blocks of 512 words over eight shards."""
+    sized = keep(
+        table(spark, d, "documents").select(
+            "doc_id", "source", mixing.words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")
+        )
+    )
+    draws, aims = mixing.mix(sized, "doc_id", "size", "source", tie="tie")
+    took = draws.groupBy("row", "tie").agg(F.sum("words").cast("long").alias("taken"))
+    return (
+        sized.join(aims, sized["source"].eqNullSafe(aims["source"]))
+        .join(took, sized["doc_id"].eqNullSafe(took["row"]) & (sized["tie"] == took["tie"]), "left")
+        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    )
