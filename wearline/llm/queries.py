@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, mixing, simhash, tokenizers
+from . import bpe, langid, lines, mixing, neighbours, simhash, tokenizers
 from .common import WORD_PATTERN, keep, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,24 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
         .join(took, sized["doc_id"].eqNullSafe(took["row"]) & (sized["tie"] == took["tie"]), "left")
         .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
     )
+
+
+@query(
+    "op9_nearest_vectors",
+    """
+    with v as (
+        select vec_id, embedding::double[] x from embeddings
+        where embedding is not null and vec_id is not null
+          and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0
+          and len(list_filter(embedding, lambda e: e <> 0)) > 0),
+    s as (
+        select q.vec_id query_id, c.vec_id, list_inner_product(q.x, c.x) score
+        from v q join v c on q.vec_id <> c.vec_id and len(q.x) = len(c.x) where q.vec_id % 20 = 0),
+    r as (select *, row_number() over (partition by query_id order by score desc, vec_id) k from s)
+    select query_id, k::int rank, vec_id, score from r where k <= 20
+    """,
+)
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 vectors with the largest inner product for every twentieth vector."""
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(vectors.where("vec_id % 20 = 0"), vectors)
