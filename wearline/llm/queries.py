@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, mixing, neighbours, simhash, tokenizers
+from . import bpe, langid, lines, mixing, neighbours, omh, simhash, tokenizers
 from .common import WORD_PATTERN, keep, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,9 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
     """The 20 vectors with the largest inner product for every twentieth vector."""
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
     return neighbours.search(vectors.where("vec_id % 20 = 0"), vectors)
+
+
+@query("op4_order_minhash")
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints of every document, of its edited text, and their likeness."""
+    return omh.edit_test(table(spark, d, "documents"))
