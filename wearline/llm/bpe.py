@@ -18,7 +18,9 @@ import json
 from collections.abc import Iterator
 from itertools import chain
 
+import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,8 +56,11 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of = dict(zip(ids.values(), ids.keys(), strict=True))
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
-        self.longest = max(map(len, ids))
-        self.id_of = ids
+        # all tokens that end at a position, the longest first
+        self.ends = ahocorasick.Automaton()
+        for token, i in ids.items():
+            self.ends.add_word(token.decode("latin-1"), (i, len(token)))
+        self.ends.make_automaton()
         self.rank: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int, int]] = {}
         for r, merge in enumerate(spec["model"]["merges"]):
@@ -67,6 +72,10 @@ class Vocabulary:
         self.split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.apart: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = {s: (i,) for s, i in self.special.items()}
 
     def _edge(self, token: int, right: bool) -> list[tuple[int, int]]:
         """Tokens at one edge of `token` while it is built, with the rank that absorbs each."""
@@ -107,7 +116,6 @@ class Vocabulary:
     def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Encodings of distinct words in byte order, in that order."""
         out, last, path = [], b"", []
-        get, longest = self.id_of.get, self.longest
         for word in words:
             same, most = 0, min(len(word), len(last))
             if word[:most] == last[:most]:
@@ -116,12 +124,11 @@ class Vocabulary:
                 while word[same] == last[same]:
                     same += 1
             del path[same:]
-            for end in range(same + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    t = get(word[start:end])
-                    if t is not None and (start == 0 or self.stay_apart(path[start - 1], t)):
-                        path.append(t)
-                        break
+            done = same - 1
+            for end, (t, n) in self.ends.iter(word.decode("latin-1")):
+                if end > done and (n > end or self.stay_apart(path[end - n], t)):
+                    path.append(t)
+                    done = end
             last, ids, at = word, [], len(word)
             while at:
                 ids.append(path[at - 1])
@@ -129,14 +136,15 @@ class Vocabulary:
             out.append(tuple(reversed(ids)))
         return out
 
-    def learn(self, words: set[str]) -> dict[str, tuple[int, ...]]:
-        """Encodings by word for all given words; new ones go through the trie together."""
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > WORDS_KEPT:
-            self.known, new = {}, words
+    def learn(self, words: set[str]) -> None:
+        """Remember the encodings of all given words; new ones go through the trie together."""
+        known = self.known
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > WORDS_KEPT:
+            self._forget()
+            new = [w for w in words if w not in self.known]
         spelt = sorted((w.encode(), w) for w in new)
         self.known.update(zip((w for _, w in spelt), self.encode_words([b for b, _ in spelt]), strict=True))
-        return self.known
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text in order; a special token is a piece of its own."""
@@ -149,11 +157,12 @@ class Vocabulary:
             at = m.end()
         return out + self.pattern.findall(text[at:])
 
-    def encode_pieces(self, pieces: list[str]) -> list[int]:
-        known = self.learn(set(pieces) - self.special.keys())
-        if self.special and any(s in known or s in pieces for s in self.special):
-            known = {**{w: known[w] for w in set(pieces) if w in known}, **{s: (i,) for s, i in self.special.items()}}
-        return list(chain.from_iterable(map(known.__getitem__, pieces)))
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """Token ids of each text; the distinct words of all of them share one trie."""
+        pieces = [self.pieces(t) for t in texts]
+        self.learn(set(chain.from_iterable(pieces)))
+        for words in pieces:
+            yield list(chain.from_iterable(map(self.known.__getitem__, words)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -181,7 +190,7 @@ def encode(
     """
 
     def add(vocab: Vocabulary, texts: list[str]) -> dict[str, pa.Array]:
-        lists = [vocab.encode_pieces(vocab.pieces(t)) for t in texts]
+        lists = list(vocab.encode(texts))
         out = {ids: pa.array(lists, pa.list_(pa.int32()))}
         if decoded:
             out[decoded] = pa.array([vocab.decode(x).decode("utf-8", "replace") for x in lists], pa.string())
@@ -199,8 +208,7 @@ def digests(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
 
     def add(vocab: Vocabulary, texts: list[str]) -> dict[str, pa.Array]:
         n, a, b = [], [], []
-        for t in texts:
-            found = vocab.encode_pieces(vocab.pieces(t))
+        for found in vocab.encode(texts):
             n.append(len(found))
             a.append(hashlib.sha256(",".join(map(str, found)).encode()).hexdigest())
             b.append(hashlib.sha256(vocab.decode(found).decode("utf-8", "replace").encode()).hexdigest())
@@ -232,10 +240,8 @@ def _with_columns(docs: DataFrame, tokenizer: str, text: str, kinds: dict[str, s
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, at: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, at: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes of text each."""
-    import pyarrow.compute as pc
-
     sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
