@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, mixing, neighbours, omh, simhash, tokenizers
+from . import bpe, langid, lines, mixing, neighbours, ngrams, omh, simhash, tokenizers
 from .common import WORD_PATTERN, keep, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,12 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
 def op4(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprints of every document, of its edited text, and their likeness."""
     return omh.edit_test(table(spark, d, "documents"))
+
+
+@query("op5_ngram_scores")
+def op5(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of all documents, learned from those outside fold 1 of 5."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    out = langid.held_out("doc_id", fold=1)
+    found = ngrams.score(docs, "doc_id", "text", ~out)
+    return found.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
