@@ -74,7 +74,7 @@ def by_owner(df: DataFrame, key: str, answer: Callable, schema: str) -> DataFram
 
 def arrow_kinds(schema: str) -> dict[str, pa.DataType]:
     known = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "string": pa.string()}
-    known |= {"boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+    known |= {"boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
     return {x.split()[0]: known[x.split()[1]] for x in schema.split(",")}
 
 

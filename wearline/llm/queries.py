@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, mixing, neighbours, ngrams, omh, simhash, tokenizers
+from . import bpe, langid, lines, mixing, neighbours, ngrams, omh, simhash, suffixes, tokenizers
 from .common import WORD_PATTERN, keep, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,15 @@ def op5(spark: SparkSession, d: str) -> DataFrame:
     out = langid.held_out("doc_id", fold=1)
     found = ngrams.score(docs, "doc_id", "text", ~out)
     return found.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of every document without the 100-byte strings that start earlier too."""
+    return suffixes.without_repeats(table(spark, d, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
