@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, mixing, neighbours, ngrams, omh, simhash, suffixes, tokenizers
+from . import bpe, langid, lines, mixing, neighbours, ngrams, omh, simhash, suffixes, tokencounts, tokenizers
 from .common import WORD_PATTERN, keep, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,21 @@ def op2(spark: SparkSession, d: str) -> DataFrame:
         F.size("starts").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op7_token_counts")
+def op7(spark: SparkSession, d: str) -> DataFrame:
+    """Token counts of every document before and after three edits of it: a replacement, an insertion, a deletion."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    n = F.coalesce(F.length("text"), F.lit(0))
+    steps = [(n / 3, 12, F.lit(" revised ")), (n * 2 / 3, 0, F.coalesce("source", F.lit(""))), (n - 5, 5, F.lit(""))]
+    edits = F.array(
+        *[
+            F.struct(F.floor(s).cast("long").alias("start"), F.lit(k).cast("long").alias("length"), x.alias("insert"))
+            for s, k, x in steps
+        ]
+    )
+    counted = tokencounts.trees(docs.withColumn("edits", edits), tokenizers.content())
+    before = counted.withColumn("n_tokens_before", F.col("n_tokens"))
+    after = tokencounts.apply_edits(before, tokenizers.content())
+    return after.select("doc_id", "n_tokens_before", F.col("n_tokens").alias("n_tokens_after"), "n_reread")
