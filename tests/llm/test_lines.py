@@ -7,8 +7,10 @@ from wearline.llm import lines, queries
 
 
 def plain(rows, min_sites):
-    sites = {}
+    sites, first = {}, {}
     for _, text, site in rows:
+        first[text] = min(first.get(text, "~"), "s" + site if site is not None else "")
+    for text, site in first.items():
         for x in (text or "").split("\n") if text is not None else []:
             if x.strip(" "):
                 sites.setdefault(x, set()).add(site)

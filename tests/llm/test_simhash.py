@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -18,11 +19,11 @@ def plain_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def plain_components(prints):
+def plain_components(prints, radius=3):
     ids = list(range(len(prints)))
     for i in range(len(prints)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 3 and ids[i] != ids[j]:
+            if (prints[i] ^ prints[j]).bit_count() <= radius and ids[i] != ids[j]:
                 a, b = ids[i], ids[j]
                 ids = [a if x == b else x for x in ids]
     return ids
@@ -30,10 +31,11 @@ def plain_components(prints):
 
 def test_masks_cover_every_pair_within_the_radius():
     rng = random.Random(1)
-    tables = simhash.masks(list(range(64)), 3)
-    for _ in range(2000):
-        x = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3)))
-        assert any(x & m == 0 for m in tables)
+    for radius in (1, 3, 5, 7, 9):
+        tables = simhash.masks(list(range(64)), radius)
+        for _ in range(2000):
+            x = sum(1 << b for b in rng.sample(range(64), rng.randint(0, radius)))
+            assert any(x & m == 0 for m in tables)
 
 
 def test_fingerprint_over_block_borders(monkeypatch):
@@ -57,19 +59,20 @@ def test_query_equals_all_pairs(spark, sf_dir):
         assert got[r["doc_id"]]["component_id"] == least[g]
 
 
-def test_full_buckets_are_split_and_stay_exact(spark):
+@pytest.mark.parametrize(("radius", "bucket"), [(3, 8), (7, 60), (3, 2048)])
+def test_full_buckets_are_split_and_stay_exact(spark, radius, bucket):
     rng = random.Random(7)
     seeds = [rng.getrandbits(64) for _ in range(3)]
     prints = {s for s in seeds}
-    while len(prints) < 250:
+    while len(prints) < 200:
         x = rng.choice(seeds)
         for b in rng.sample(range(64), rng.randint(1, 9)):
             x ^= 1 << b
         prints.add(x)
     prints = sorted(prints)
     df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
-    roots = {r["node"] % (1 << 64): r["root"] for r in components(simhash.links(df, bucket=8)).collect()}
-    group = plain_components(prints)
+    roots = {r["node"] % (1 << 64): r["root"] for r in components(simhash.links(df, radius, bucket)).collect()}
+    group = plain_components(prints, radius)
     for i, p in enumerate(prints):
         same = {q for j, q in enumerate(prints) if group[j] == group[i]}
         assert (len(same) == 1 and p not in roots) or {q for q in prints if roots.get(q, q) == roots[p]} == same

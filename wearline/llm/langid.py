@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
@@ -28,6 +28,7 @@ ALL_CHARS = 400_000
 LANGUAGE_CHARS = 48_000
 ROW_CHARS = 6_000
 LANGUAGE_ROWS = 400
+HASH_RANGE = 1 << 30
 #: Distinct letters of the folded alphabet; all others share one symbol that no automaton knows.
 LETTERS = 110
 UNKNOWN = "und"
@@ -163,30 +164,31 @@ def held_out(doc_id: str, folds: int = 5, fold: int = 0) -> F.Column:
 def sample(labelled: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple[str, list[str]]]:
     """The bounded training sample: whole rows of bounded length, in hash order, per language.
 
-    At most LANGUAGE_ROWS rows of at most ROW_CHARS characters reach the driver for
-    a language, and ALL_CHARS characters are used in all.
+    One aggregate counts each language's distinct texts; hash ranges that hold
+    about LANGUAGE_ROWS of them then reach the driver, and ALL_CHARS characters at
+    most are used. A text counts once, whatever number of copies it has.
     """
     short = labelled.where(
         F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}") & (F.length(text) <= ROW_CHARS)
     ).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    # a text counts once, whatever number of copies it has
-    sizes = short.withColumn("n", F.length("text")).withColumn("r", rank).where(f"r <= {LANGUAGE_ROWS}")
-    total = Window.partitionBy("lang").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    rows = (
-        sizes.withColumn("before", F.coalesce(F.sum("n").over(total), F.lit(0)))
-        .where(f"before < {LANGUAGE_CHARS}")
-        .select("lang", "r", "text")
-        .collect()
-    )
+    turn = F.pmod("h", F.lit(HASH_RANGE))
+    counts = short.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
+    if not counts:
+        return []
+    bound = F.lit(0)
+    for c in counts:
+        share = int(min(1.0, LANGUAGE_ROWS / max(c["n"], 1)) * HASH_RANGE)
+        bound = F.when(F.col("lang") == c["lang"], share).otherwise(bound)
+    rows = short.where(turn < bound).distinct().collect()
+    rows.sort(key=lambda r: (r["lang"], r["h"], r["text"]))
     parts: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["r"])):
+    for r in rows:
         parts.setdefault(r["lang"], []).append(r["text"])
     most = min(LANGUAGE_CHARS, ALL_CHARS // max(1, len(parts)))
     found = []
     for name, texts in sorted(parts.items()):
         taken, n = [], 0
-        for t in dict.fromkeys(texts):
+        for t in texts:
             if n < most:
                 taken.append(t)
                 n += len(t)

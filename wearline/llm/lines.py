@@ -34,15 +34,20 @@ def spread_lines(
 ) -> DataFrame:
     """(h, sites, exact): hashes of the non-blank lines on at least `min_sites` distinct sites.
 
+    Exact copies of a document count as one, on the first of their sites: a document
+    that many sites mirror is no boilerplate.
+
     `sites` is the exact count where `exact` is true and the sketch's estimate
     elsewhere. A line's hash is the 64-bit hash of its text. A null site is a site
     of its own; null texts have no lines.
     """
-    sites = docs.select(
-        F.explode(F.array_distinct(_lines(F.col(text)))).alias("line"),
-        F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col(f"`{site}`").cast("string")), F.lit(""))).alias("site"),
+    own = F.coalesce(F.concat(F.lit("s"), F.col(f"`{site}`").cast("string")), F.lit(""))
+    cut = docs.select(
+        F.explode(F.array_distinct(_lines(F.col(f"`{text}`")))).alias("line"),
+        F.xxhash64(F.col(f"`{text}`")).alias("copy"),
+        own.alias("site"),
     ).where(F.length(F.trim("line")) > 0)
-    found = sites.select(F.xxhash64("line").alias("h"), "site")
+    found = cut.groupBy(F.xxhash64("line").alias("h"), "copy").agg(F.min("site").alias("site")).select("h", "site")
     often = found.groupBy("h").agg(
         F.count(F.lit(1)).alias("n"), F.min("site").alias("first"), F.max("site").alias("last")
     )

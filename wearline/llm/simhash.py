@@ -60,88 +60,92 @@ def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
 
 
 def masks(open_bits: list[int], radius: int) -> list[int]:
-    """The covering's masks over the given bit positions."""
-    tables = 2 ** (radius + 1)
-    return [
-        sum(1 << bit for j, bit in enumerate(open_bits) if ((1 + j % (tables - 1)) & v).bit_count() & 1)
-        for v in range(1, tables)
-    ]
+    """The covering's masks over the given bit positions.
+
+    A radius over three deals the bits into groups: of 4 g - 1 differing bits or
+    fewer, one of g groups has three at most, and its own covering meets the pair.
+    """
+    groups = radius // 4 + 1
+    found = []
+    for g in range(groups):
+        bits, near = open_bits[g::groups], radius // groups
+        tables = 2 ** (near + 1)
+        found += [
+            sum(1 << bit for j, bit in enumerate(bits) if ((1 + j % (tables - 1)) & v).bit_count() & 1)
+            for v in range(1, tables)
+        ]
+    return found
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _linked(run: list[int], radius: int, before: list[int]) -> Iterator[tuple[int, int]]:
-    """Links that connect what the run connects; pairs that an earlier table holds are left to it."""
-    m = len(run)
-    if m == 2:
-        pairs = [(0, 1)]
-    else:
-        values = np.array(run, np.uint64)
-        pairs = []
-        for i in range(m - 1):
-            near = np.bitwise_count(values[i + 1 :] ^ values[i]) <= radius
-            pairs += [(i, i + 1 + j) for j in np.flatnonzero(near).tolist()]
-    parent = list(range(m))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for i, j in pairs:
-        x = run[i] ^ run[j]
-        if x.bit_count() > radius or any(x & mask == 0 for mask in before):
-            continue
-        a, b = root(i), root(j)
-        if a != b:
-            parent[b] = a
-            yield run[i], run[j]
-
-
-def _search(levels: dict[int, list[int]], radius: int, limit: int):
+def _connect(path: np.ndarray, key: np.ndarray, fp: np.ndarray, radius: int, earlier: dict[int, list[int]]):
+    """(a, b) that connect what the pairs within the radius of the same bucket connect.
+
+    All buckets are compared together, at every distance between rows. Pairs that an
+    earlier table has in one bucket too are left to it.
+    """
+    found = []
+    for lag in range(1, len(fp)):
+        same = np.flatnonzero((path[lag:] == path[:-lag]) & (key[lag:] == key[:-lag]))
+        if not len(same):
+            break
+        near = same[np.bitwise_count(fp[same] ^ fp[same + lag]) <= radius]
+        found.append(np.stack([near, near + lag]))
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    x, of = fp[pairs[0]] ^ fp[pairs[1]], path[pairs[0]]
+    new = np.ones(len(x), bool)
+    for p in np.unique(of).tolist():
+        for mask in earlier[p]:
+            new &= (of != p) | ((x & np.uint64(mask)) != 0)
+    i, j = pairs[:, new]
+    label = np.arange(len(fp))
+    while True:
+        before = label.copy()
+        least = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, least)
+        np.minimum.at(label, j, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    hung = np.flatnonzero(label != np.arange(len(fp)))
+    return fp[hung], fp[label[hung]], path[hung]
+
+
+def _search(earlier: dict[int, list[int]], radius: int, limit: int):
     """Scan rows sorted by (path, key): links of small buckets, members of large ones (b is null)."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, run, large = None, [], False
-        out: list[tuple[int, int | None, int]] = []
-
-        def close() -> None:
-            if large:
-                out.extend((_signed(x), None, now[0]) for x in run)
-            elif len(run) > 1:
-                out.extend((_signed(a), _signed(b), now[0]) for a, b in _linked(run, radius, levels[now[0]]))
-
-        def rows() -> pa.RecordBatch:
-            a, b, path = zip(*out, strict=True) if out else ((), (), ())
-            out.clear()
-            return pa.record_batch(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(path, pa.int32())], ["a", "b", "path"]
-            )
+    def rows(a: np.ndarray, b: np.ndarray | None, path: np.ndarray) -> pa.RecordBatch:
+        second = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64))
+        return pa.record_batch([pa.array(a.view(np.int64)), second, pa.array(path)], ["a", "b", "path"])
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+        full = None  # the bucket under way, if it is known to be large
         for batch in batches:
-            path, key, fp = (batch.column(i).to_numpy() for i in range(3))
-            new = np.flatnonzero((path[1:] != path[:-1]) | (key[1:] != key[:-1])) + 1
-            fps = fp.view(np.uint64).tolist()
-            edges = [0, *new.tolist(), len(fps)]
-            for s, e in zip(edges, edges[1:], strict=False):
-                if s == e:
-                    continue
-                at = (int(path[s]), int(key[s]))
-                if at != now:
-                    close()
-                    now, run, large = at, [], False
-                run += fps[s:e]
-                if len(run) > limit:
-                    large = True
-                    out.extend((_signed(x), None, now[0]) for x in run)
-                    run = []
-            if len(out) > 10_000:
-                yield rows()
-        close()
-        yield rows()
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
+            path, key, fp = (np.concatenate(x) for x in zip(held, new, strict=True))
+            if full is not None:
+                n = int(((path == full[0]) & (key == full[1])).sum())
+                yield rows(fp[:n], None, path[:n])
+                path, key, fp = path[n:], key[n:], fp[n:]
+            if not len(fp):
+                held = [path, key, fp]
+                continue
+            starts = np.flatnonzero(np.concatenate(([True], (path[1:] != path[:-1]) | (key[1:] != key[:-1]))))
+            sizes = np.diff(np.append(starts, len(fp)))
+            large = np.repeat(sizes > limit, sizes)
+            yield rows(fp[large], None, path[large])
+            full = (path[-1], key[-1]) if sizes[-1] > limit else None
+            # the last bucket may go on in the next batch
+            done = np.arange(len(fp)) < starts[-1]
+            yield rows(*_connect(path[done & ~large], key[done & ~large], fp[done & ~large], radius, earlier))
+            rest = ~done & ~large
+            held = [path[rest], key[rest], fp[rest]]
+        if len(held[2]):
+            yield rows(*_connect(*held, radius, earlier))
 
     return scan
 
@@ -150,23 +154,21 @@ def links(prints: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame
     """Links (a, b) between distinct 64-bit fingerprints (column `fp`) at most `radius` bits apart.
 
     The links connect exactly what all such pairs connect. A path numbers the masks
-    taken on the way to a bucket, 16 or 2^(radius + 1) to a level.
+    taken on the way to a bucket.
     """
     spark = prints.sparkSession
     workers_import_this(spark)
-    step = 2 ** (radius + 1)
     rows = prints.select("fp").where("fp is not null").distinct()
     level = dict(enumerate(masks(list(range(64)), radius), 1))
+    step = len(level) + 1
     found = None
-    keyed = rows.select(
-        F.explode(F.array(*[_entry(path, mask) for path, mask in level.items()])).alias("t"), "fp"
-    )
+    keyed = rows.select(F.explode(F.array(*[_entry(p, m) for p, m in level.items()])).alias("t"), "fp")
     while True:
         earlier = {p: [m for q, m in level.items() if q < p and q // step == p // step] for p in level}
         dealt = keyed.select("t.path", "t.key", "fp").repartition(width(spark), "path", "key")
         hits = keep(
             dealt.sortWithinPartitions("path", "key", "fp").mapInArrow(
-                _search(earlier, radius, bucket), "a long, b long, path int"
+                _search(earlier, radius, bucket), "a long, b long, path long"
             )
         )
         good = hits.where("b is not null").select("a", "b")
@@ -177,11 +179,10 @@ def links(prints: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame
             return found
         deeper, entries = {}, None
         for p in paths:
-            base = level[p]
-            rest = [i for i in range(64) if not base >> i & 1]
-            for v, sub in enumerate(masks(rest, radius), 1):
-                deeper[p * step + v] = base | sub
-            one = F.array(*[_entry(q, m) for q, m in deeper.items() if q // step == p])
+            rest = [i for i in range(64) if not level[p] >> i & 1]
+            own = {p * step + v: level[p] | sub for v, sub in enumerate(masks(rest, radius), 1)}
+            deeper |= own
+            one = F.array(*[_entry(q, m) for q, m in own.items()])
             entries = F.when(F.col("path") == p, one) if entries is None else entries.when(F.col("path") == p, one)
         level = deeper
         members = large.select("path", F.col("a").alias("fp"))
@@ -190,22 +191,34 @@ def links(prints: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame
 
 def _entry(path: int, mask: int):
     key = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
-    return F.struct(F.lit(path).alias("path"), key.alias("key"))
+    return F.struct(F.lit(path).cast("long").alias("path"), key.alias("key"))
 
 
-def fingerprints(docs: DataFrame, doc_id: str, text: str, size: int = 3) -> DataFrame:
-    """(doc_id, fp long) for every row; a null text counts as empty."""
+def fingerprints(docs: DataFrame, keys: list[str], text: str, size: int = 3) -> DataFrame:
+    """(keys…, fp long) for every row; a null text counts as empty."""
     workers_import_this(docs.sparkSession)
+    rows = docs.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").cast("binary").alias("_text_bytes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = len(keys)
             prints = np.fromiter(
-                (fingerprint(t.as_py() or b"", size) for t in batch.column(1)), np.uint64, batch.num_rows
+                (fingerprint(t.as_py() or b"", size) for t in batch.column(at)), np.uint64, batch.num_rows
             )
-            yield pa.record_batch([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([*batch.columns[:at], pa.array(prints.view(np.int64))], [*keys, "fp"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, rows.drop("_text_bytes").withColumn("fp", F.lit(0).cast("long")).schema)
+
+
+def groups(
+    docs: DataFrame, keys: list[str], text: str = "text", size: int = 3, radius: int = 3, bucket: int = BUCKET
+) -> DataFrame:
+    """(keys…, fp, root) for every row: rows share a root if links of at most `radius` bits connect them."""
+    prints = keep(fingerprints(docs, keys, text, size))
+    roots = components(links(prints, radius, bucket)).withColumnRenamed("node", "fp")
+    own = prints.select("fp").distinct().join(roots, "fp", "left")
+    by_print = keep(own.select("fp", F.coalesce("root", "fp").alias("root")))
+    return prints.join(by_print, "fp").select(*[F.col(f"`{k}`") for k in keys], "fp", "root")
 
 
 def near_duplicates(
@@ -217,12 +230,7 @@ def near_duplicates(
     fingerprint zero and are linked like any other. A null doc_id stays null and is
     never a component's id unless all of its documents have none.
     """
-    prints = keep(fingerprints(docs, doc_id, text, size))
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = keep(components(links(prints, radius, bucket)))
-    own = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
-    )
-    named = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = own.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    found = keep(groups(rows, ["doc_id"], "text", size, radius, bucket))
+    named = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return found.join(named, "root").select("doc_id", "fp", "component_id")
