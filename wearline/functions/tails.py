@@ -123,3 +123,39 @@ def correlation_t(r: Column, n: Column) -> Column:
 def correlation_p(r: Column, n: Column) -> Column:
     exact = (F.abs(r) >= 1.0) & (n > 2)
     return F.when(exact, F.lit(0.0)).otherwise(student_two_sided(correlation_t(r, n), n - 2))
+
+
+def kendall_exact(n: int, net: int) -> float:
+    """Two-sided p of concordant minus discordant pairs among n untied rows: permutations by inversions."""
+    counts = [1]
+    for k in range(2, n + 1):
+        grown = [0] * (len(counts) + k - 1)
+        for i, c in enumerate(counts):
+            for j in range(k):
+                grown[i + j] += c
+        counts = grown
+    pairs = n * (n - 1) // 2
+    least = (pairs - abs(net)) // 2
+    return min(1.0, 2.0 * sum(counts[: least + 1]) / math.factorial(n))
+
+
+#: Rows up to which tau without ties is tested exactly.
+EXACT_ROWS = 33
+
+
+@F.pandas_udf(T.DoubleType())
+def _kendall(n: pd.Series, net: pd.Series, tied: pd.Series, z: pd.Series) -> pd.Series:
+    out = []
+    for rows, pairs, ties, score in zip(n, net, tied, z, strict=True):
+        if score is None or score != score:
+            out.append(None)
+        elif not ties and rows <= EXACT_ROWS:
+            out.append(kendall_exact(int(rows), int(round(pairs))))
+        else:
+            out.append(math.erfc(abs(score) / math.sqrt(2.0)))
+    return pd.Series(out, dtype="float64")
+
+
+def kendall_two_sided(n: Column, net: Column, tied: Column, z: Column) -> Column:
+    """p of tau: exact for few rows without ties, else normal with the tie-corrected variance."""
+    return _kendall(n.cast("double"), net.cast("double"), tied, z)

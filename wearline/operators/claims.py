@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.numeric import direction_of, is_directional, mean_flag, opposite, percent, ratio
-from ..session import stage
-from .frames import with_life
-from .ordering import exact_percentile
+from ..session import shared
+from .frames import row_positions
+from .ordering import exact_percentile, match
 
 
 def _literal_map(values: Mapping[str, str]) -> Column:
@@ -87,9 +87,12 @@ def reader_contexts(
     terms: Mapping[str, str],
     before: int = tx.READER_BEFORE,
     after: int = tx.READER_AFTER,
-    cap: int | None = tx.READER_CAP,
+    cap: int | None = None,
 ) -> DataFrame:
-    """What a human reader is shown: wider contexts with ellipses, line breaks as spaces, and the mention count."""
+    """What a human reader is shown: wider contexts with ellipses, line breaks as spaces, and the mention count.
+
+    Whole contexts, unless `cap` asks for a number of characters (the original sheet had tx.READER_CAP).
+    """
 
     def shown(b, m, a, more_left, more_right):
         body = F.translate(F.concat(b, m, a), "\n", " ")
@@ -325,9 +328,9 @@ def sensor_directions(long: DataFrame, target: str, min_rows: int = 10) -> DataF
 
     `target` is remaining life: a sensor that rises as life runs out correlates negatively.
     """
-    per_unit = stage(sensor_rank_correlation(long, target, min_rows))
+    per_unit = shared(sensor_rank_correlation(long, target, min_rows))
     median = exact_percentile(per_unit, ["dataset", "sensor"], "rho", {"median_rho": 0.5})
-    joined = per_unit.join(median, ["dataset", "sensor"])
+    joined = match(per_unit, median, ["dataset", "sensor"])
     agree = F.signum("rho") == F.signum("median_rho")
     return joined.groupBy("dataset", "sensor").agg(
         F.count(F.lit(1)).alias("units"),
@@ -341,15 +344,16 @@ def share_rising(
 ) -> DataFrame:
     """Share of units whose sensor is higher at the end than at the start, over the life and over the last n rows.
 
-    Everything a unit contributes is a conditional aggregate against its own last cycle.
+    Rows are counted from either end by position, whatever gaps the cycles have.
     """
-    back = F.col("life") - F.col(cycle) + 1
-    wanted = (F.col(cycle) <= head) | (back <= max(head, *lengths))
-    rows = with_life(df, ["dataset", "unit"], cycle).withColumn("_back", back).where(wanted)
-    aggs = [F.max("life").alias("life")]
+    placed = row_positions(df, ["dataset", "unit"], cycle)
+    rows = match(placed, placed.groupBy("dataset", "unit").agg(F.max("_pos").alias("_rows")), ["dataset", "unit"])
+    rows = rows.withColumn("_back", F.col("_rows") - F.col("_pos") + 1)
+    rows = rows.where((F.col("_pos") <= head) | (F.col("_back") <= max(head, *lengths)))
+    aggs = [F.max("_rows").alias("life")]
     for s in sensors:
         aggs += [
-            F.avg(F.when(F.col(cycle) <= head, F.col(s))).alias(f"_{s}_start"),
+            F.avg(F.when(F.col("_pos") <= head, F.col(s))).alias(f"_{s}_start"),
             F.avg(F.when(F.col("_back") <= head, F.col(s))).alias(f"_{s}_end"),
             F.max(F.when(F.col("_back") == 1, F.col(s))).alias(f"_{s}_last"),
         ]

@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import FLAT_EPS, RUL_CAP, direction_of
-from ..session import settle
-from .ordering import value_positions
+from .ordering import match, positions, value_positions
 
 UNIT = ("dataset", "unit")
 
@@ -27,7 +26,7 @@ def with_life(df: DataFrame, unit: Sequence[str] = UNIT, cycle: str = "cycle") -
     """
     if "life" in df.columns:
         return df
-    return df.join(df.groupBy(*unit).agg(F.max(cycle).alias("life")), list(unit))
+    return match(df, df.groupBy(*unit).agg(F.max(cycle).alias("life")), list(unit))
 
 
 def with_rul(
@@ -52,18 +51,18 @@ def last_observation(df: DataFrame, columns: Sequence[str], unit: Sequence[str]
 
 # ------------------------------------------------------------------ scaling
 def fit_minmax(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("dataset",)) -> DataFrame:
-    """Minimum and maximum per group, evaluated once like any fitted model."""
+    """Minimum and maximum per group."""
     stats = []
     for c in columns:
         stats += [F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
-    return settle(df.groupBy(*by).agg(*stats))
+    return df.groupBy(*by).agg(*stats)
 
 
 def apply_minmax(
     df: DataFrame, scaler: DataFrame, columns: Sequence[str], by: Sequence[str] = ("dataset",), clip: bool = False
 ) -> DataFrame:
     """Scale with a fitted table. A constant column maps to value − min; rows without a fit get null."""
-    joined = df.join(scaler, list(by), "left")
+    joined = match(df, scaler, list(by), "left")
     out = {}
     for c in columns:
         low, high = F.col(f"{c}_min"), F.col(f"{c}_max")
@@ -108,7 +107,7 @@ def tail_windows(df: DataFrame, lengths: Sequence[int], unit: Sequence[str] = UN
 def reverse_window(window: DataFrame, by: Sequence[str] = UNIT, back: str = "back") -> DataFrame:
     """Show a window backwards: the oldest row takes the place of the newest."""
     rows = window.groupBy(*by).agg(F.max(back).alias("_rows"))
-    return window.join(rows, list(by)).withColumn(back, F.col("_rows") + 1 - F.col(back)).drop("_rows")
+    return match(window, rows, list(by)).withColumn(back, F.col("_rows") + 1 - F.col(back)).drop("_rows")
 
 
 def long_sensors(df: DataFrame, keys: Sequence[str], sensors: Sequence[str]) -> DataFrame:
@@ -133,12 +132,17 @@ def window_direction(
 
 
 # ------------------------------------------------------------------ features
-def _chunked(df: DataFrame, n: int, cycle: str, chunk: int) -> DataFrame:
-    """Cut long units into chunks of cycles; the n − 1 rows before a chunk are repeated in it."""
-    own = F.floor((F.col(cycle) - 1) / chunk)
-    following = F.floor((F.col(cycle) - 1 + (n - 1)) / chunk)
-    homes = F.when(own == following, F.array(own)).otherwise(F.array(own, following))
-    return df.withColumn("_own", own).withColumn("_chunk", F.explode(homes))
+def row_positions(df: DataFrame, unit: Sequence[str] = UNIT, cycle: str = "cycle", chunk: int = 8192) -> DataFrame:
+    """Position of every row in its unit, whatever gaps its cycles have."""
+    return positions(df, list(unit), [cycle], F.floor((F.col(cycle) - 1) / chunk), "_pos")
+
+
+def _chunked(df: DataFrame, n: int, unit: Sequence[str], cycle: str, chunk: int) -> DataFrame:
+    """Cut long units into chunks of rows; a row is repeated in every later chunk whose windows reach back to it."""
+    placed = row_positions(df, unit, cycle, chunk)
+    own = F.floor((F.col("_pos") - 1) / chunk)
+    last = F.floor((F.col("_pos") - 1 + (n - 1)) / chunk)
+    return placed.withColumn("_own", own).withColumn("_chunk", F.explode(F.sequence(own, last))).drop("_pos")
 
 
 def sliding_features(
@@ -152,10 +156,10 @@ def sliding_features(
 ) -> DataFrame:
     """Mean, population sd and net change of the last n rows, for rows with a full window.
 
-    Windows run inside (unit, chunk of cycles): a unit of any length spreads
-    over many tasks, at the price of n − 1 repeated rows per chunk.
+    Windows run inside (unit, chunk of rows): a unit of any length spreads over
+    many tasks, at the price of n − 1 repeated rows per chunk.
     """
-    cut = _chunked(df, n, cycle, chunk)
+    cut = _chunked(df, n, unit, cycle, chunk)
     part = Window.partitionBy(*unit, "_chunk").orderBy(cycle)
     w = part.rowsBetween(-(n - 1), 0)
     feats = []
@@ -212,7 +216,7 @@ def sequences(
     chunk: int = 8192,
 ) -> DataFrame:
     """n × columns array ending at each row with a full window."""
-    cut = _chunked(df, n, cycle, chunk)
+    cut = _chunked(df, n, unit, cycle, chunk)
     w = Window.partitionBy(*unit, "_chunk").orderBy(cycle).rowsBetween(-(n - 1), 0)
     step = F.array(*[F.col(c).cast("double") for c in columns])
     out = cut.select(*unit, cycle, *keep, "_own", "_chunk", F.collect_list(step).over(w).alias("sequence"))
@@ -230,9 +234,9 @@ def tail_sequences(
     return rows.select(*unit, F.concat(padding, F.transform("_r", lambda s: s["x"])).alias("sequence"))
 
 
-def eligible_cuts(df: DataFrame, n: int, cycle: str = "cycle") -> DataFrame:
-    """Rows with at least n rows of history: cycles are dense, so the position is the cycle."""
-    return df.where(F.col(cycle) >= n)
+def eligible_cuts(df: DataFrame, n: int, cycle: str = "cycle", unit: Sequence[str] = UNIT) -> DataFrame:
+    """Rows with at least n rows of history, counting rows and not cycles."""
+    return row_positions(df, unit, cycle).where(F.col("_pos") >= n).drop("_pos")
 
 
 def lag_labels(window: DataFrame, n: int, by: Sequence[str] = UNIT, back: str = "back") -> DataFrame:
@@ -240,7 +244,7 @@ def lag_labels(window: DataFrame, n: int, by: Sequence[str] = UNIT, back: str =
     rows = window.groupBy(*by).agg(F.max(back).alias("_rows"))
     lag = F.lit(n) - (F.col("_rows") - F.col(back))
     return (
-        window.join(rows, list(by))
+        match(window, rows, list(by))
         .withColumn("lag", lag.cast("long"))
         .withColumn("label", F.concat(F.lit("t-"), F.col("lag").cast("string")))
         .drop("_rows")

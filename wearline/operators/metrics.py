@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import uniform
 from ..functions.numeric import RUL_CAP, asymmetric_penalty, mean_flag, percent, ratio, to_grid
 from ..functions import tails
-from ..session import settle
+from .ordering import match
 
 
 def _errors(pred: str = "pred", truth: str = "truth", weight: str | None = None) -> list[Column]:
@@ -30,8 +30,12 @@ def _errors(pred: str = "pred", truth: str = "truth", weight: str | None = None)
 
 
 def error_metrics(df: DataFrame, by: Sequence[str], pred: str = "pred", truth: str = "truth") -> DataFrame:
-    """RMSE, MAE and asymmetric score: one partial aggregation, no matter how skewed the groups."""
-    return df.where(F.col(pred).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *_errors(pred, truth))
+    """RMSE, MAE and asymmetric score: one partial aggregation, no matter how skewed the groups.
+
+    n counts the rows that have both values.
+    """
+    both = F.col(pred).isNotNull() & F.col(truth).isNotNull()
+    return df.where(both).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *_errors(pred, truth))
 
 
 def truth_counts(test: DataFrame, by: Sequence[str] = ("dataset",), truth: str = "truth") -> DataFrame:
@@ -47,7 +51,7 @@ def constant_baselines(train: DataFrame, test: DataFrame, cap: float = RUL_CAP,
     `train` has (dataset, rul), `test` has (dataset, truth), both capped whole numbers. Everything is
     computed from label counts: at most cap + 1 values per dataset.
     """
-    tr, te = settle(truth_counts(train, truth="rul")), settle(truth_counts(test))
+    tr, te = truth_counts(train, truth="rul"), truth_counts(test)
     by = ["dataset"]
 
     def mean(c: DataFrame, name: str) -> DataFrame:
@@ -66,7 +70,7 @@ def constant_baselines(train: DataFrame, test: DataFrame, cap: float = RUL_CAP,
     cells = [F.struct(F.lit(n).alias("baseline"), F.col(n).alias("constant")) for n in names]
     cells.append(F.struct(F.lit("fixed").alias("baseline"), F.lit(float(fixed)).alias("constant")))
     cells.append(F.struct(F.lit("half_cap").alias("baseline"), F.lit(cap / 2.0).alias("constant")))
-    constants = settle(fits.select(*by, F.inline(F.array(*cells))))
+    constants = fits.select(*by, F.inline(F.array(*cells)))
     return te.join(constants, by).groupBy(*by, "baseline", "constant").agg(F.sum("w").alias("n"), *_errors("constant", "truth", "w"))
 
 
@@ -183,7 +187,7 @@ def score_models(df: DataFrame, by: Sequence[str] = ("dataset", "model")) -> Dat
     )
     seen = df.groupBy(*by, F.round("pred", 3).alias("v")).agg(F.lit(1)).groupBy(*by).agg(F.count("v").alias("distinct_3dp"))
     rho = spearman(df, by, "pred", "truth").select(*by, "rho")
-    out = base.join(seen, by).join(rho, by, "left")
+    out = match(match(base, seen, by), rho, by, "left")
     return out.withColumn("rho", F.when(F.col("range") >= 1e-3, F.col("rho")))
 
 
@@ -198,7 +202,7 @@ def run_manifest(df: DataFrame, by: Sequence[str], text: str) -> DataFrame:
         F.count_if(F.trim(F.coalesce(F.col(text), F.lit(""))) == "").alias("empty_texts"),
         F.avg(F.length(F.coalesce(F.col(text), F.lit("")))).alias("text_chars_mean"),
     )
-    return base.join(concentration(df, by), by)
+    return match(base, concentration(df, by), by)
 
 
 def manifest_totals(manifest: DataFrame, by: str) -> DataFrame:
@@ -219,8 +223,8 @@ def grid_spread(metrics: DataFrame, row: Sequence[str], column: str, levels: Seq
     """One row per window length with the metric at each grid level, its spread, and the best and worst level."""
     cells = [F.max(F.when(F.col(column) == v, F.col(value))).alias(f"{column}{v}") for v in levels]
     names = [f"{column}{v}" for v in levels]
-    best = F.min(F.struct(F.col(value), F.col(column))).alias("_b")
-    worst = F.max(F.struct(F.col(value), F.col(column))).alias("_w")
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(value), F.col(column)))
+    best, worst = F.min(known).alias("_b"), F.max(known).alias("_w")
     wide = metrics.groupBy(*row).agg(*cells, best, worst)
     return wide.select(
         *row,
@@ -242,9 +246,9 @@ def condition_variability(runs: DataFrame, by: Sequence[str], metric: str, modal
     )
 
 
-def distinct_list(df: DataFrame, by: Sequence[str], value: str, out: str = "values") -> DataFrame:
-    """Distinct values as one printed cell: for outputs that take few values, such as modal values or labels."""
-    return df.groupBy(*by).agg(F.array_join(F.sort_array(F.collect_set(F.col(value).cast("string"))), ",").alias(out))
+def distinct_list(df: DataFrame, by: Sequence[str], value: str, out: str = "value") -> DataFrame:
+    """Distinct values of each group, one row per value, in ascending order."""
+    return df.select(*by, F.col(value).alias(out)).distinct().orderBy(*by, out)
 
 
 def parse_quality(df: DataFrame, by: Sequence[str], ok: str = "parse_ok", pred: str = "pred") -> DataFrame:
@@ -259,7 +263,7 @@ def select_best(metrics: DataFrame, by: Sequence[str], names: Sequence[str], key
     """Best configuration per group and metric, chosen on the test set and flagged as such."""
     cells = [F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names]
     long = metrics.select(*by, key, F.inline(F.array(*cells)))
-    best = F.min(F.struct("value", key)).alias("b")
+    best = F.min(F.when(F.col("value").isNotNull(), F.struct("value", key))).alias("b")
     return long.groupBy(*by, "metric").agg(best).select(
         *by, "metric", F.col(f"b.{key}").alias(key), F.col("b.value").alias("value"), F.lit(True).alias("chosen_on_test")
     )
@@ -319,22 +323,36 @@ def run_pairs(df: DataFrame, runs: Sequence[str], keys: Sequence[str] = ("datase
 def run_agreement(df: DataFrame, runs: Sequence[str], by: Sequence[str] = ("dataset",)) -> DataFrame:
     """Observed agreement, agreement expected from the value marginals, and the excess, in percent.
 
-    Expects the runs to cover the same units, as replicate runs do.
+    Both are taken over the units that two runs share: each unit becomes one wide
+    row, and each pair counts its own marginals.
     """
     by = list(by)
     observed = run_pairs(df, runs, [*by, "unit"], by).where("units > 0")
-    freq = value_frequencies(df, [*by, "run"])
-    sizes = df.where(F.col("pred").isNotNull()).groupBy(*by, "run").agg(F.count(F.lit(1)).alias("_size"))
-    freq = freq.join(sizes, [*by, "run"]).withColumn("p", F.col("count") / F.col("_size"))
-    wide = freq.groupBy(*by, "value").agg(*[F.coalesce(F.sum(F.when(F.col("run") == r, F.col("p"))), F.lit(0.0)).alias(f"_{r}") for r in runs])
-    pairs = [(a, b) for i, a in enumerate(runs) for b in runs[i + 1 :]]
-    chance = wide.groupBy(*by).agg(*[F.sum(F.col(f"_{a}") * F.col(f"_{b}")).alias(f"{a}_{b}") for a, b in pairs])
-    chance = chance.select(
-        *by,
-        F.inline(F.array(*[F.struct(F.lit(a).alias("run_a"), F.lit(b).alias("run_b"), F.col(f"{a}_{b}").alias("c")) for a, b in pairs])),
+    wide = df.where(F.col("run").isin(*runs)).groupBy(*by, "unit").agg(
+        *[F.max(F.when(F.col("run") == r, F.col("pred"))).alias(f"_{r}") for r in runs]
+    )
+    sides = []
+    for i, x in enumerate(runs):
+        for y in runs[i + 1 :]:
+            both = F.col(f"_{x}").isNotNull() & F.col(f"_{y}").isNotNull()
+            for value, first in ((x, 1), (y, 0)):
+                one = F.struct(
+                    F.lit(x).alias("run_a"),
+                    F.lit(y).alias("run_b"),
+                    F.col(f"_{value}").alias("value"),
+                    F.lit(first).cast("long").alias("a"),
+                    F.lit(1 - first).cast("long").alias("b"),
+                )
+                sides.append(F.when(both, one))
+    stated = wide.select(*by, F.explode(F.array_compact(F.array(*sides))).alias("s")).select(*by, "s.*")
+    per_value = stated.groupBy(*by, "run_a", "run_b", "value").agg(
+        F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b")
+    )
+    chance = per_value.groupBy(*by, "run_a", "run_b").agg(
+        (F.sum(F.col("a") * F.col("b")) / (F.sum("a") * F.sum("b"))).alias("c")
     )
     obs, exp = percent("same", "units"), F.col("c") * 100
-    return observed.join(chance, [*by, "run_a", "run_b"]).select(
+    return match(observed, chance, [*by, "run_a", "run_b"]).select(
         *by, "run_a", "run_b", "units", obs.alias("observed_pct"), exp.alias("chance_pct"), (obs - exp).alias("excess_pct")
     )
 

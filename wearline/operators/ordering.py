@@ -11,6 +11,7 @@ cell by a fixed share of all rows however skewed the groups are.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -20,12 +21,31 @@ from ..functions.draws import SPAN, hash_int
 from ..session import shuffle_width
 
 
+#: Most ranges that a column is cut into; quantiles are exact to a tenth of a range.
+MOST_PARTS = 2_000
+
+
 def cut_points(df: DataFrame, column: str, parts: int | None = None) -> list[float]:
     """Inner quantiles of the column: one row on the driver, as a range partitioner takes."""
-    parts = parts or 4 * shuffle_width(df.sparkSession)
-    probs = [i / parts for i in range(1, parts)]
-    row = df.agg(F.percentile_approx(F.col(column).cast("double"), probs).alias("c")).first()
-    return sorted(set(row["c"] or []))
+    return cut_points_of(df, [column], parts)[column]
+
+
+def cut_points_of(df: DataFrame, columns: Sequence[str], parts: int | None = None) -> dict[str, list[float]]:
+    """Inner quantiles of several columns in one pass."""
+    parts = min(parts or 4 * shuffle_width(df.sparkSession), MOST_PARTS)
+    probs = [i / parts for i in range(1, parts)] or [0.5]
+    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, 10 * parts).alias(c) for c in columns]).first()
+    return {c: sorted(set(row[c] or [])) for c in columns}
+
+
+def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null, as grouping has it; the keys appear once."""
+    if not keys:  # two tables of one row
+        one = F.lit(1).alias("_one")
+        return match(left.select("*", one), right.select("*", one), ["_one"], how).drop("_one")
+    other = right.select(*[F.col(k).alias(f"_m_{k}") if k in keys else F.col(k) for k in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in keys])
+    return left.join(other, same, how).drop(*[f"_m_{k}" for k in keys])
 
 
 def with_bucket(df: DataFrame, column: str, cuts: Sequence[float], out: str = "_bucket") -> DataFrame:
@@ -57,7 +77,7 @@ def running_total(
 ) -> DataFrame:
     """Sum of `amount` over the earlier rows of the group (exclusive), and the group's total.
 
-    `bucket` names a column that is monotone in `order`; group keys must not be null.
+    `bucket` names a column that is monotone in `order`. A null key is a group like any other.
     """
     by = list(by)
     keys = [*by, bucket]
@@ -71,7 +91,7 @@ def running_total(
     )
     within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = df.withColumn("_local", F.coalesce(F.sum(amount).over(within), F.lit(0)))
-    return local.join(offsets, keys).withColumn(out, F.col("_offset") + F.col("_local")).drop("_offset", "_local")
+    return match(local, offsets, keys).withColumn(out, F.col("_offset") + F.col("_local")).drop("_offset", "_local")
 
 
 def positions(

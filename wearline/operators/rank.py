@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import tails
 from ..functions.numeric import ratio
-from ..session import stage
-from .ordering import average_ranks, cut_points, running_total, with_bucket
+from ..session import shared
+from .ordering import average_ranks, cut_points_of, match, running_total, with_bucket
 
 
 def value_cells(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
@@ -25,15 +25,18 @@ def value_cells(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
 
 
 def _ranked_cells(cells: DataFrame, by: Sequence[str], x: str, y: str, cuts=None) -> DataFrame:
-    cx, cy = cuts or (None, None)
+    if cuts is None:
+        both = cut_points_of(cells, [x, y])
+        cuts = both[x], both[y]
+    cx, cy = cuts
     rx = average_ranks(cells, by, x, "rx", "_w", cx).select(*by, x, "rx", F.col("n").alias("nx"), "total")
     ry = average_ranks(cells, by, y, "ry", "_w", cy).select(*by, y, "ry", F.col("n").alias("ny"))
-    return cells.join(rx, [*by, x]).join(ry, [*by, y])
+    return match(match(cells, rx, [*by, x]), ry, [*by, y])
 
 
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, cuts=None) -> DataFrame:
     """n and Spearman's rho with mean ranks on ties; null where either side is constant."""
-    return spearman_of_cells(stage(value_cells(df, by, x, y)), by, x, y, cuts)
+    return spearman_of_cells(shared(value_cells(df, by, x, y)), by, x, y, cuts)
 
 
 def spearman_of_cells(cells: DataFrame, by: Sequence[str], x: str, y: str, cuts=None) -> DataFrame:
@@ -66,7 +69,7 @@ def linear_fit(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     )
 
 
-def kendall(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
+def kendall(df: DataFrame, by: Sequence[str], x: str, y: str, parts: bool = False) -> DataFrame:
     """Kendall's tau-b without forming pairs.
 
     Two values of x differ first at exactly one bit of their dense rank. So for
@@ -76,15 +79,16 @@ def kendall(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     n log n work, and the running totals split large groups.
     """
     if not by:
-        return kendall(df.withColumn("_one", F.lit(1)), ["_one"], x, y).drop("_one")
+        return kendall(df.withColumn("_one", F.lit(1)), ["_one"], x, y, parts).drop("_one")
     by = list(by)
-    cells = stage(value_cells(df, by, x, y))
+    cells = shared(value_cells(df, by, x, y))
+    cuts = cut_points_of(cells, [x, y])
     xs = cells.groupBy(*by, x).agg(F.sum("_w").alias("nx"))
     dense = running_total(
-        with_bucket(xs, x, cut_points(xs.select(x), x)), by, "_bucket", [x], F.lit(1).cast("long"), "dx", "levels"
+        with_bucket(xs, x, cuts[x]), by, "_bucket", [x], F.lit(1).cast("long"), "dx", "levels"
     ).select(*by, x, "dx", "levels")
     bits = F.length(F.bin(F.greatest(F.col("levels") - 1, F.lit(1).cast("long"))))
-    spread = cells.join(dense, [*by, x]).withColumn("_level", F.explode(F.sequence(F.lit(0), bits - 1)))
+    spread = match(cells, dense, [*by, x]).withColumn("_level", F.explode(F.sequence(F.lit(0), bits - 1)))
     prefix = F.expr("shiftright(dx, _level + 1)")
     bit = F.expr("shiftright(dx, _level) & 1")
     keys = [*by, "_level", "_prefix"]
@@ -93,42 +97,58 @@ def kendall(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     along = (
         spread.withColumn("_prefix", prefix).groupBy(*keys, y).agg(zeros.alias("_zero"), ones.alias("_one"))
     )
-    along = with_bucket(along, y, cut_points(cells.select(y), y))
+    along = with_bucket(along, y, cuts[y])
     ran = running_total(along, keys, "_bucket", [y], F.col("_zero"), "_below", "_all")
     above = F.col("_all") - F.col("_below") - F.col("_zero")
     net = ran.groupBy(*by).agg(F.sum((F.col("_one") * (F.col("_below") - above)).cast("double")).alias("_net"))
     pairs = lambda c: F.col(c).cast("double") * (F.col(c) - 1) / 2.0
-    tx = xs.groupBy(*by).agg(F.sum("nx").alias("n"), F.sum(pairs("nx")).alias("_tx"))
-    ty = cells.groupBy(*by, y).agg(F.sum("_w").alias("ny")).groupBy(*by).agg(F.sum(pairs("ny")).alias("_ty"))
-    out = net.join(tx, by).join(ty, by)
+
+
+    def ties(c: str, side: str) -> list[Column]:
+        t = F.col(c).cast("double")
+        return [
+            F.sum(pairs(c)).alias(f"_t{side}"),
+            F.sum(t * (t - 1) * (t - 2)).alias(f"_u{side}"),
+            F.sum(t * (t - 1) * (t * 2 + 5)).alias(f"_v{side}"),
+        ]
+
+    tx = xs.groupBy(*by).agg(F.sum("nx").alias("n"), *ties("nx", "x"))
+    ty = cells.groupBy(*by, y).agg(F.sum("_w").alias("ny")).groupBy(*by).agg(*ties("ny", "y"))
+    out = match(match(net, tx, by), ty, by)
     every = pairs("n")
-    return out.select(
-        *by, "n", ratio("_net", F.sqrt(every - F.col("_tx")) * F.sqrt(every - F.col("_ty"))).alias("tau")
-    )
+    tau = ratio("_net", F.sqrt(every - F.col("_tx")) * F.sqrt(every - F.col("_ty")))
+    return out.select(*by, "n", tau.alias("tau"), *(KENDALL_PARTS if parts else ()))
 
 
-def kendall_z(tau, n):
-    """Normal approximation of tau without the tie correction of the variance."""
-    n = n.cast("double")
-    return tau * F.sqrt(n * (n - 1) * 9.0 / ((n * 2 + 5) * 2.0))
+#: Net concordance and tie sums behind tau, for its test.
+KENDALL_PARTS = ("_net", "_tx", "_ux", "_vx", "_ty", "_uy", "_vy")
+
+
+def kendall_z() -> Column:
+    """Concordant minus discordant pairs over its standard deviation, corrected for ties on both sides."""
+    n = F.col("n").cast("double")
+    size = n * (n - 1)
+    free = (size * (n * 2 + 5) - F.col("_vx") - F.col("_vy")) / 18.0
+    tied = F.col("_tx") * F.col("_ty") * 2.0 / size
+    tied_three = F.when(n > 2, F.col("_ux") * F.col("_uy") / (size * (n - 2) * 9.0)).otherwise(0.0)
+    return ratio("_net", F.sqrt(free + tied + tied_three))
 
 
 def rank_tests(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """rho, r and tau with their test statistics and two-sided p-values, one row per group."""
     by = list(by)
-    all3 = (
-        spearman(df, by, x, y)
-        .join(pearson(df, by, x, y).select(*by, "r"), by)
-        .join(kendall(df, by, x, y).select(*by, "tau"), by)
-    )
+    tau = kendall(df, by, x, y, parts=True).withColumn("tau_z", kendall_z())
+    tau = tau.withColumn("_tied", (F.col("_tx") > 0) | (F.col("_ty") > 0))
+    all3 = match(spearman(df, by, x, y), pearson(df, by, x, y).select(*by, "r"), by)
+    all3 = match(all3, tau.select(*by, "tau", "tau_z", "_net", "_tied"), by)
     n = F.col("n")
     return (
         all3.withColumn("rho_t", tails.correlation_t(F.col("rho"), n))
         .withColumn("r_t", tails.correlation_t(F.col("r"), n))
-        .withColumn("tau_z", kendall_z(F.col("tau"), n))
         .withColumn("rho_p", tails.correlation_p(F.col("rho"), n))
         .withColumn("r_p", tails.correlation_p(F.col("r"), n))
-        .withColumn("tau_p", tails.normal_two_sided(F.col("tau_z")))
+        .withColumn("tau_p", tails.kendall_two_sided(n, F.col("_net"), F.col("_tied"), F.col("tau_z")))
+        .drop("_net", "_tied")
     )
 
 
@@ -139,7 +159,7 @@ def leave_one_out(df: DataFrame, by: Sequence[str], key: str, x: str, y: str) ->
     by = list(by)
     whole = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     centre = whole.groupBy(*by).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
-    c = whole.join(centre, by).withColumn("_x", F.col(x) - F.col("_mx")).withColumn("_y", F.col(y) - F.col("_my"))
+    c = match(whole, centre, by).withColumn("_x", F.col(x) - F.col("_mx")).withColumn("_y", F.col(y) - F.col("_my"))
     sums = c.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum(F.col("_x") * F.col("_x")).alias("_sxx"),
@@ -151,7 +171,7 @@ def leave_one_out(df: DataFrame, by: Sequence[str], key: str, x: str, y: str) ->
     sxx = F.col("_sxx") - F.col("_x") * F.col("_x") * grow
     syy = F.col("_syy") - F.col("_y") * F.col("_y") * grow
     sxy = F.col("_sxy") - F.col("_x") * F.col("_y") * grow
-    return c.join(sums, by).select(*by, key, (F.col("_n") - 1).alias("n"), ratio(sxy, F.sqrt(sxx) * F.sqrt(syy)).alias("r"))
+    return match(c, sums, by).select(*by, key, (F.col("_n") - 1).alias("n"), ratio(sxy, F.sqrt(sxx) * F.sqrt(syy)).alias("r"))
 
 
 def rank_sums(df: DataFrame, by: Sequence[str], group: str, value: str) -> DataFrame:
@@ -161,10 +181,10 @@ def rank_sums(df: DataFrame, by: Sequence[str], group: str, value: str) -> DataF
     per_sample = df.where(F.col(value).isNotNull()).groupBy(*by, group, value).agg(F.count(F.lit(1)).alias("_k"))
     ties = F.col("_ties").cast("double")
     tie_term = ranks.groupBy(*by).agg(F.sum(ties * ties * ties - ties).alias("tie_term"))
-    sums = per_sample.join(ranks, [*by, value]).groupBy(*by, group).agg(
+    sums = match(per_sample, ranks, [*by, value]).groupBy(*by, group).agg(
         F.sum("_k").alias("n"), F.sum(F.col("_k") * F.col("rank")).alias("rank_sum"), F.max("total").alias("total")
     )
-    return sums.join(tie_term, by)
+    return match(sums, tie_term, by)
 
 
 def mann_whitney(df: DataFrame, by: Sequence[str], group: str, value: str, first, second) -> DataFrame:

@@ -7,7 +7,6 @@ no task ever holds one contrast as a whole.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 
@@ -16,15 +15,17 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import hash_int, pick
 from ..functions.numeric import ratio
-from ..session import settle
+from ..session import shared
 from .metrics import association_of_cells
-from .ordering import cut_points, hash_positions
+from .ordering import cut_points_of, hash_positions, match, running_total
 from .rank import correlation, spearman_of_cells
 
 # Replicates per contrast, tails of a 95 % interval, comparison tolerance.
 REPLICATES = 10_000
 TAILS = (0.025, 0.975)
 TOLERANCE = 1e-12
+#: Buckets of [0, 1] that a family of p-values is ranked in.
+P_CELLS = 4096
 
 
 def interval(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
@@ -42,13 +43,13 @@ def resample(items: DataFrame, by: Sequence[str], key: Sequence[str], b: int, se
     by hash. `payload` (several rows per item) replaces the item's own columns.
     """
     by, key = list(by), list(key)
-    numbered = settle(hash_positions(settle(items), by, key, seed, "_pos", "_size"))
+    numbered = shared(hash_positions(shared(items), by, key, seed, "_pos", "_size"))
     slots = numbered.select(*by, "_size", "_pos", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("b"))
     picks = slots.select(*by, "b", pick(seed, F.col("_size"), F.col("b"), F.col("_pos")).alias("_pos"))
     if payload is None:
-        return picks.join(numbered.drop("_size"), [*by, "_pos"]).drop("_pos")
-    drawn = picks.join(numbered.select(*by, *key, "_pos"), [*by, "_pos"]).drop("_pos")
-    return drawn.join(settle(payload), [*by, *key])
+        return match(picks, numbered.drop("_size"), [*by, "_pos"]).drop("_pos")
+    drawn = match(picks, numbered.select(*by, *key, "_pos"), [*by, "_pos"]).drop("_pos")
+    return match(drawn, payload, [*by, *key])
 
 
 def cluster_sums(df: DataFrame, by: Sequence[str], cluster: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -101,8 +102,9 @@ def bootstrap_rank_ci(
     Each replicate is re-ranked from its counts by distinct value.
     """
     by = list(by)
-    items = settle(df.select(*dict.fromkeys([*by, *key, x, y])))
-    cuts = (cut_points(items, x), cut_points(items, y))
+    items = shared(df.select(*dict.fromkeys([*by, *key, x, y])))
+    both = cut_points_of(items, [x, y])
+    cuts = both[x], both[y]
     drawn = resample(items, by, key, b, seed)
     cells = drawn.groupBy(*by, "b", x, y).agg(F.count(F.lit(1)).alias("_w"))
     rho = spearman_of_cells(cells, [*by, "b"], x, y, cuts)
@@ -142,27 +144,41 @@ def hits_to_p(df: DataFrame, by: Sequence[str], value: str = "value", observed:
 def permute_sensors(df: DataFrame, by: Sequence[str], sensor: str, flagged: Sequence[str], every: Sequence[str], hit: str) -> DataFrame:
     """Exact test of flagged against other sensors: all relabellings with as many flagged sensors.
 
-    `every` is the fixed list of sensors, so the relabellings are a parameter-sized list
-    and each meets one row of counts per sensor.
+    `every` is the fixed list of sensors. Each group becomes one row of counts per
+    sensor, and the relabellings are numbers generated next to it.
     """
-    by = list(by)
-    sums = df.groupBy(*by, sensor).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(hit).cast("double")).alias("h"))
-    m = len([s for s in every if s in set(flagged)])
-    choices = list(itertools.combinations(sorted(every), m))
-    sets = F.array(*[F.array(*[F.lit(s) for s in c]) for c in choices])
-    tried = sums.withColumn("labels", F.explode(sets)).withColumn("_in", F.array_contains("labels", F.col(sensor)))
-
-    def gap(inside: Column) -> Column:
-        side = lambda c, cond: F.sum(F.when(cond, F.col(c)).otherwise(0))
-        return ratio(side("h", inside), side("n", inside)) - ratio(side("h", ~inside), side("n", ~inside))
-
-    each = tried.groupBy(*by, "labels").agg(
-        gap(F.col("_in")).alias("value"), gap(F.col(sensor).isin(*flagged)).alias("observed")
+    by, names = list(by), sorted(every)
+    flagged = set(flagged)
+    m = sum(x in flagged for x in names)
+    counts = [F.count_if(F.col(sensor) == x).cast("double").alias(f"_n{i}") for i, x in enumerate(names)]
+    hits = [
+        F.coalesce(F.sum(F.when(F.col(sensor) == x, F.col(hit).cast("double"))), F.lit(0.0)).alias(f"_h{i}")
+        for i, x in enumerate(names)
+    ]
+    # a relabelling is a number whose set bits are the flagged sensors; its halves are spread in turn
+    low = len(names) // 2
+    high = F.sequence(F.lit(0).cast("long"), F.lit((1 << (len(names) - low)) - 1).cast("long"))
+    rest = F.sequence(F.lit(0).cast("long"), F.lit((1 << low) - 1).cast("long"))
+    whole = df.groupBy(*by).agg(*counts, *hits).withColumn("_high", F.explode(high))
+    fits = F.filter(rest, lambda x: F.bit_count(x) + F.bit_count("_high") == m)
+    tried = whole.withColumn("labels", F.explode(F.transform(fits, lambda x: F.shiftleft("_high", low) + x)))
+
+    def gap(inside: list[Column]) -> Column:
+        def rate(side: list[Column]) -> Column:
+            pick = lambda c: sum((F.when(x, F.col(f"_{c}{i}")).otherwise(0.0) for i, x in enumerate(side)), F.lit(0.0))
+            return ratio(pick("h"), pick("n"))
+
+        return rate(inside) - rate([~x for x in inside])
+
+    each = tried.select(
+        *by,
+        gap([F.getbit("labels", F.lit(i)) == 1 for i in range(len(names))]).alias("value"),
+        gap([F.lit(x in flagged) for x in names]).alias("observed"),
     )
     extreme = F.abs(F.col("value")) >= F.abs(F.col("observed")) - TOLERANCE
     return each.groupBy(*by).agg(
         F.max("observed").alias("observed"), F.count("value").alias("permutations"), F.count_if(extreme).alias("hits")
-    ).withColumn("p", ratio("hits", "permutations")).withColumn("floor_p", F.lit(1.0 / math.comb(len(every), m)))
+    ).withColumn("p", ratio("hits", "permutations")).withColumn("floor_p", F.lit(1.0 / math.comb(len(names), m)))
 
 
 def permute_labels(
@@ -176,30 +192,29 @@ def permute_labels(
     items = df.groupBy(*by, item).agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(hit).cast("double")).alias("h"), F.max(label).alias("_lab")
     )
-    items = settle(items)
-    base = settle(hash_positions(items, by, [item], seed, "_pos"))
+    items = shared(items)
+    base = shared(hash_positions(items, by, [item], seed, "_pos"))
     rows = base.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(b))))
     shuffled = hash_positions(rows.drop("_pos", "_lab"), [*by, "b"], ["b", item], seed, "_pos")
-    moved = shuffled.join(base.select(*by, "_pos", "_lab"), [*by, "_pos"])
+    moved = match(shuffled, base.select(*by, "_pos", "_lab"), [*by, "_pos"])
 
     def gap() -> Column:
         side = lambda c, cond: F.sum(F.when(cond, F.col(c)).otherwise(0.0))
         lab = F.col("_lab")
         return ratio(side("h", lab), side("n", lab)) - ratio(side("h", ~lab), side("n", ~lab))
 
-    observed = settle(items.groupBy(*by).agg(gap().alias("observed")))
+    observed = items.groupBy(*by).agg(gap().alias("observed"))
     each = moved.groupBy(*by, "b").agg(gap().alias("value"))
-    joined = each.join(observed, by) if by else each.withColumn("observed", F.lit(observed.first()[0]))
-    return hits_to_p(joined, by)
+    return hits_to_p(match(each, observed, by), by)
 
 
 def unit_permutations(units: DataFrame, b: int, seed, block: str = "dataset", unit: str = "unit") -> DataFrame:
     """(block, b, unit) → another unit of the same block, a permutation for every b."""
-    base = settle(hash_positions(settle(units.select(block, unit).distinct()), [block], [unit], seed, "_pos"))
+    base = shared(hash_positions(shared(units.select(block, unit).distinct()), [block], [unit], seed, "_pos"))
     rows = base.drop("_pos").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(b))))
     shuffled = hash_positions(rows, [block, "b"], ["b", unit], seed, "_pos")
     target = base.withColumnRenamed(unit, "swapped")
-    return shuffled.join(target, [block, "_pos"]).select(block, "b", unit, "swapped")
+    return match(shuffled, target, [block, "_pos"]).select(block, "b", unit, "swapped")
 
 
 def missing_cells(claims: DataFrame, full: DataFrame, on: Sequence[str], block: str = "dataset", unit: str = "unit") -> DataFrame:
@@ -223,18 +238,18 @@ def permute_units(
     looked = moved.join(full.select("dataset", "unit", *on, c), ["dataset", "unit", *on])
     tables = looked.groupBy(*by, "b", a, c).agg(F.sum("k").alias("c"))
     each = association_of_cells(tables, [*by, "b"], a, c).select(*by, "b", F.col("cramers_v").alias("value"))
-    observed = settle(
+    observed = (
         association_of_cells(claims.groupBy(*by, a, c).agg(F.count(F.lit(1)).alias("c")), by, a, c)
         .where(F.col("cramers_v").isNotNull())
         .select(*by, F.col("cramers_v").alias("observed"))
     )
-    return hits_to_p(each.join(observed, by), by, two_sided=False)
+    return hits_to_p(match(each, observed, by), by, two_sided=False)
 
 
 def sign_flip(df: DataFrame, by: Sequence[str], cluster: Sequence[str], diff: str, b: int = REPLICATES, seed="flip") -> DataFrame:
     """Test that a paired difference is zero: whole clusters change sign together."""
     by, cluster = list(by), list(cluster)
-    sums = settle(df.groupBy(*by, *cluster).agg(F.sum(diff).cast("double").alias("_s"), F.count(diff).alias("_n")))
+    sums = shared(df.groupBy(*by, *cluster).agg(F.sum(diff).cast("double").alias("_s"), F.count(diff).alias("_n")))
     sign = (hash_int(seed, F.col("b"), *[F.col(c) for c in cluster]) % 2) * 2 - 1
     each = sums.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(b)))).groupBy(*by, "b").agg(
         (F.sum(sign * F.col("_s")) / F.sum("_n")).alias("value"), (F.sum("_s") / F.sum("_n")).alias("observed")
@@ -244,24 +259,32 @@ def sign_flip(df: DataFrame, by: Sequence[str], cluster: Sequence[str], diff: st
 
 # ------------------------------------------------------------------ multiplicity
 def adjust_pvalues(df: DataFrame, by: Sequence[str], p: str, alpha: float = 0.05) -> DataFrame:
-    """Benjamini-Hochberg and Bonferroni p-values within a family; undefined p-values stay outside the family."""
-    live = F.col(p).isNotNull()
-    family = [*by, "_live"]
-    m = F.count(p).over(Window.partitionBy(*family))
-    place = F.rank().over(Window.partitionBy(*family).orderBy(F.col(p)))
-    ties = F.count(p).over(Window.partitionBy(*family, p))
-    step = df.withColumn("_live", live).withColumn("_m", m).withColumn("_i", place + ties - 1)
-    raw = step.withColumn("_q", ratio(F.col(p) * F.col("_m"), "_i"))
-    above = Window.partitionBy(*family).orderBy(F.col(p)).rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    bh = F.when(live, F.least(F.lit(1.0), F.min("_q").over(above)))
-    bonferroni = F.when(live, F.least(F.lit(1.0), F.col(p) * F.col("_m")))
-    return (
-        raw.withColumn("p_bh", bh)
-        .withColumn("p_bonferroni", bonferroni)
-        .withColumn("significant_raw", F.col(p) < alpha)
-        .withColumn("significant_bh", F.col("p_bh") < alpha)
-        .withColumn("significant_bonferroni", F.col("p_bonferroni") < alpha)
-        .drop("_live", "_m", "_i", "_q")
+    """Benjamini-Hochberg and Bonferroni p-values within a family; undefined p-values stay outside the family.
+
+    Everything depends on the p-value only, so a family is first counted by value.
+    Ranks are running totals over buckets of [0, 1]; the smallest later p·m/i comes
+    from the values after it in its bucket and from the minima of later buckets. No
+    family has to fit into one task.
+    """
+    by = list(by)
+    values = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_w"))
+    values = values.withColumn("_cell", F.floor(F.col(p) * P_CELLS).cast("long"))
+    ranked = running_total(values, by, "_cell", [p], F.col("_w"), "_before", "_m")
+    ranked = ranked.withColumn("_q", F.col(p) * F.col("_m") / (F.col("_before") + F.col("_w")))
+    inside = Window.partitionBy(*by, "_cell").orderBy(p).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ranked = ranked.withColumn("_here", F.min("_q").over(inside))
+    behind = Window.partitionBy(*by).orderBy("_cell").rowsBetween(1, Window.unboundedFollowing)
+    later = ranked.groupBy(*by, "_cell").agg(F.min("_q").alias("_least"))
+    later = later.select(*by, "_cell", F.min("_least").over(behind).alias("_later"))
+    done = match(ranked, later, [*by, "_cell"]).select(
+        *by, p, F.least(F.lit(1.0), "_here", "_later").alias("p_bh"), F.least(F.lit(1.0), F.col(p) * F.col("_m")).alias("p_bonferroni")
+    )
+    return match(df, done, [*by, p], "left").withColumns(
+        {
+            "significant_raw": F.col(p) < alpha,
+            "significant_bh": F.col("p_bh") < alpha,
+            "significant_bonferroni": F.col("p_bonferroni") < alpha,
+        }
     )
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import hash_int
 from ..functions.numeric import RUL_EDGES, bin_rul
-from ..session import settle, shuffle_width
+from ..session import shared
 from .frames import eligible_cuts
-from .ordering import hash_bucket, hash_positions, positions
+from .ordering import hash_positions, match
 
 
 def _hash(df: DataFrame, seed, key: Sequence[str]) -> DataFrame:
@@ -23,16 +23,16 @@ def stratified_sample(
 ) -> DataFrame:
     """Up to quota[s] rows of every listed stratum, without replacement, then numbered in a random order.
 
-    The largest quota bounds what leaves a map task per stratum (WindowGroupLimit).
+    Positions in hash order come from buckets of the hash, so a stratum and a quota
+    of any size spread over many tasks.
     """
     wanted = F.create_map(*[F.lit(x) for kv in quota.items() for x in kv])
-    listed = _hash(df.where(F.col(stratum).isin(*quota)), seed, key)
-    w = Window.partitionBy(stratum).orderBy("_h", *key)
-    ranked = listed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max(quota.values()))
-    taken = ranked.where(F.col("_rn") <= F.element_at(wanted, F.col(stratum))).drop("_rn", "_h")
+    listed = df.where(F.col(stratum).isin(*quota))
+    ranked = hash_positions(listed, [stratum], key, seed, "_rn")
+    taken = ranked.where(F.col("_rn") <= F.element_at(wanted, F.col(stratum))).drop("_rn")
     if not shuffle_ids:
         return taken
-    return hash_positions(settle(taken), [], [stratum, *key], f"{seed}-order", "id")
+    return hash_positions(shared(taken), [], [stratum, *key], f"{seed}-order", "id")
 
 
 def random_examples(df: DataFrame, k: int, key: Sequence[str], n: int, seed="examples", cycle: str = "cycle") -> DataFrame:
@@ -48,12 +48,11 @@ def stratified_examples(df: DataFrame, k: int, n: int, seed="examples", edges=RU
     base, rest = divmod(k, 3)
     quota = {b: base + (1 if b < rest else 0) for b in range(3)}
     key = [*by, "unit", "cycle"]
-    w = Window.partitionBy(*by, "bin").orderBy("_h", *key)
-    ranked = _hash(pool, seed, key).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max(quota.values()))
+    ranked = hash_positions(pool, [*by, "bin"], key, seed, "_rn")
     wanted = F.element_at(F.create_map(*[F.lit(x) for kv in quota.items() for x in kv]), F.col("bin"))
     drawn = ranked.where(F.col("_rn") <= wanted).select(*by, "unit", "rul", "bin", F.col("cycle").alias("drawn_cycle"))
     latest = eligible_cuts(df, n).groupBy(*by, "unit", "rul").agg(F.max("cycle").alias("cycle"))
-    return drawn.join(latest, [*by, "unit", "rul"])
+    return match(drawn, latest, [*by, "unit", "rul"])
 
 
 def last_cycle_pool(df: DataFrame, edges=RUL_EDGES, by=("dataset",)) -> DataFrame:
@@ -88,7 +87,7 @@ def group_split(df: DataFrame, share: float = 0.15, unit: Sequence[str] = ("data
     numbered = hash_positions(units, [], unit, seed, "_pos", "_units")
     held = F.greatest(F.lit(1), F.floor(F.col("_units") * share))
     flags = numbered.select(*unit, (F.col("_pos") <= held).alias("validation"))
-    return df.join(flags, list(unit))
+    return match(df, flags, list(unit))
 
 
 def first_units(df: DataFrame, n: int, unit: Sequence[str] = ("dataset", "unit")) -> DataFrame:
@@ -101,8 +100,3 @@ def head_per(df: DataFrame, by: Sequence[str], order: Sequence, k: int) -> DataF
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 
-
-def shuffled(df: DataFrame, key: Sequence[str], seed="shuffle", out: str = "id") -> DataFrame:
-    """Number all rows in a random order without sorting them in one place."""
-    h = _hash(df, seed, key)
-    return positions(h, [], ["_h", *key], hash_bucket(F.col("_h"), 4 * shuffle_width(df.sparkSession)), out).drop("_h")

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import is_directional, mean_flag, percent, ratio
 from ..functions.text import is_percent, number_in
+from .ordering import match
 
 LABELS = ("increase", "decrease", "stable", "unspecified", "absent")
 # Tolerances of stated numbers, of printed table cells and of printed percentages.
 AUDIT_ABS, AUDIT_REL = 0.051, 0.002
 CELL_TOLERANCE, PERCENT_TOLERANCE = 0.011, 0.51
+#: Letters by which phrases without an inner word are looked up.
+GRAM = 3
 
 
 # ------------------------------------------------------------------ confusion
@@ -64,76 +67,102 @@ def pooled_scores(df: DataFrame, pred: str, ref: str, by: Sequence[str] = ()) ->
 
 # ------------------------------------------------------------------ reweighting
 def stratum_weights(sample: DataFrame, corpus: DataFrame, stratum: str) -> DataFrame:
-    """Corpus count over sampled count per stratum (both already one row per stratum when joined)."""
+    """Corpus count over sampled count per stratum. A stratum of the corpus without sampled rows stays, with no weight."""
     taken = sample.groupBy(stratum).agg(F.count(F.lit(1)).alias("sampled"))
     total = corpus.groupBy(stratum).agg(F.count(F.lit(1)).alias("corpus"))
-    return taken.join(total, stratum).withColumn("weight", F.col("corpus") / F.col("sampled"))
+    both = match(total, taken, [stratum], "left").withColumn("sampled", F.coalesce("sampled", F.lit(0).cast("long")))
+    return both.withColumn("weight", ratio("corpus", "sampled"))
 
 
 def reweight(sample: DataFrame, weights: DataFrame, stratum: str) -> DataFrame:
-    return sample.join(weights.select(stratum, "weight"), stratum)
+    return match(sample, weights.select(stratum, "weight"), [stratum])
 
 
 def corpus_accuracy(sample: DataFrame, weights: DataFrame, stratum: str, ok: Column) -> DataFrame:
-    """Agreement per stratum, and over the corpus by weighting each stratum with its corpus count."""
+    """Agreement per stratum, and over the corpus by weighting each stratum with its corpus count.
+
+    Strata without sampled rows are listed with an unknown accuracy and count in the
+    corpus; the accuracy of all is that of the strata that were sampled.
+    """
     per = sample.groupBy(stratum).agg(
         F.count(F.lit(1)).alias("sampled"), F.count_if(ok).alias("agree"), mean_flag(ok).alias("_acc")
-    ).join(weights.select(stratum, "corpus"), stratum)
+    )
+    per = match(weights.select(stratum, "corpus"), per, [stratum], "left").fillna(0, ["sampled", "agree"])
+    known = F.when(F.col("sampled") > 0, F.col("corpus"))
     out = per.rollup(stratum).agg(
         F.grouping(stratum).alias("_g"),
         F.sum("sampled").alias("sampled"),
         F.sum("agree").alias("agree"),
         F.sum("corpus").alias("corpus"),
-        (F.sum(F.col("_acc") * F.col("corpus")) / F.sum("corpus") * 100).alias("accuracy_pct"),
+        percent(F.sum(F.col("_acc") * F.col("corpus")), F.sum(known)).alias("accuracy_pct"),
     )
     return out.withColumn(stratum, F.when(F.col("_g") == 1, "ALL").otherwise(F.col(stratum).cast("string"))).drop("_g")
 
 
-def indicator_columns(label: str, prefix: str, weight: str = "weight") -> dict[str, Column]:
-    """Weighted numerators and denominators of the seven corpus figures under one reading.
+def claim_figures(label: str) -> dict[str, tuple[Column, Column | None]]:
+    """Corpus figures of a reading: which claims count, and out of which (None: a plain total).
 
     Expects columns expected, actual, measured, attested, conflict.
     """
-    lab = F.col(label)
-    d = is_directional(label)
-    flags = {
-        "claims": d,
-        "ref": d & (lab == F.col("expected")),
-        "window": d & (lab == F.col("actual")),
-        "base": d & (F.col("expected") == F.col("actual")),
-        "scorable": d & F.col("attested"),
-        "bench": d & F.col("attested") & (lab == F.col("measured")),
-        "conflict": d & F.col("conflict"),
-        "conflict_ref": d & F.col("conflict") & (lab == F.col("expected")),
+    said = F.col(label)
+    stated = is_directional(label)
+    hits = lambda other: stated & (said == F.col(other))
+    return {
+        "claims": (stated, None),
+        "ref": (hits("expected"), stated),
+        "window": (hits("actual"), stated),
+        "base": (stated & (F.col("expected") == F.col("actual")), stated),
+        "bench": (hits("measured") & F.col("attested"), stated & F.col("attested")),
+        "conflict_ref": (hits("expected") & F.col("conflict"), stated & F.col("conflict")),
     }
-    return {f"{prefix}_{k}": F.when(v, F.col(weight)).otherwise(0.0) for k, v in flags.items()}
 
 
-def figure_ratios(prefix: str) -> dict[str, Column]:
-    """The seven figures from summed indicator columns."""
-    s = lambda k: F.col(f"{prefix}_{k}")
-    return {
-        "claims": s("claims"),
-        "ref": percent(s("ref"), s("claims")),
-        "window": percent(s("window"), s("claims")),
-        "base": percent(s("base"), s("claims")),
-        "gap": percent(s("window") - s("base"), s("claims")),
-        "bench": percent(s("bench"), s("scorable")),
-        "conflict_ref": percent(s("conflict_ref"), s("conflict")),
-    }
+class WeightedFigures:
+    """Figures as ratios of weighted sums, for several readings of the same rows.
+
+    `columns` are the row values to sum, and `values` the figures from their sums;
+    whoever sums them, a plain aggregate or a resampling, gets the same figures.
+    """
+
+    def __init__(self, readings: dict[str, str], weight: str = "weight"):
+        self.columns: dict[str, Column] = {}
+        self.values: dict[str, dict[str, Column]] = {}
+        for reading, label in readings.items():
+            own: dict[str, Column] = {}
+            for name, (top, bottom) in claim_figures(label).items():
+                sums = []
+                for part, condition in (("over", top), ("of", bottom)):
+                    if condition is not None:
+                        column = f"{reading}_{name}_{part}"
+                        self.columns[column] = F.when(condition, F.col(weight)).otherwise(0.0)
+                        sums.append(F.col(column))
+                own[name] = sums[0] if bottom is None else percent(*sums)
+            own["gap"] = own["window"] - own["base"]
+            self.values[reading] = own
+
+    def differences(self, first: str, second: str) -> dict[str, Column]:
+        return {k: self.values[second][k] - v for k, v in self.values[first].items()}
 
 
 def reweighted_figures(sample: DataFrame, extractor: str, reader: str) -> DataFrame:
     """Every corpus figure under the extractor's and under the reader's labels."""
-    cols = {**indicator_columns(extractor, "e"), **indicator_columns(reader, "a")}
-    sums = sample.withColumns(cols).agg(*[F.sum(c).alias(c) for c in cols])
-    e, a = figure_ratios("e"), figure_ratios("a")
-    cells = [F.struct(F.lit(k).alias("figure"), e[k].alias("extractor"), a[k].alias("reader"), (a[k] - e[k]).alias("difference")) for k in e]
+    figures = WeightedFigures({"extractor": extractor, "reader": reader})
+    sums = sample.withColumns(figures.columns).agg(*[F.sum(c).alias(c) for c in figures.columns])
+    gaps = figures.differences("extractor", "reader")
+    cells = [
+        F.struct(
+            F.lit(k).alias("figure"), v.alias("extractor"), figures.values["reader"][k].alias("reader"), gaps[k].alias("difference")
+        )
+        for k, v in figures.values["extractor"].items()
+    ]
     return sums.select(F.inline(F.array(*cells)))
 
 
 def extraction_errors(sample: DataFrame, extractor: str, reader: str, weights: DataFrame) -> DataFrame:
-    """Missed claims, extra calls and wrong signs per stratum, scaled to the corpus stratum by stratum."""
+    """Missed claims, extra calls and wrong signs per stratum, scaled to the corpus stratum by stratum.
+
+    A stratum without sampled rows has no estimate: `corpus_unseen` is how many corpus rows such strata hold.
+    """
     e, r = is_directional(extractor), is_directional(reader)
     kinds = {
         "missed": ~e & r,
@@ -153,15 +182,15 @@ def extraction_errors(sample: DataFrame, extractor: str, reader: str, weights: D
             )
         )
     per = sample.groupBy(extractor).agg(F.count(F.lit(1)).alias("sampled"), F.array(*cells).alias("_c"))
-    flat = per.select(extractor, "sampled", F.inline("_c")).join(
-        weights.select(F.col(extractor), "corpus"), extractor
-    )
-    return flat.groupBy("error").agg(
+    flat = match(per.select(extractor, "sampled", F.inline("_c")), weights.select(extractor, "corpus"), [extractor])
+    unseen = weights.agg(F.coalesce(F.sum(F.when(F.col("sampled") == 0, F.col("corpus"))), F.lit(0)).alias("corpus_unseen"))
+    errors = flat.groupBy("error").agg(
         F.sum("cases").alias("cases"),
         F.sum("on_reference").alias("on_reference"),
         F.sum("on_window").alias("on_window"),
         F.sum(F.col("cases") / F.col("sampled") * F.col("corpus")).alias("corpus_estimate"),
     )
+    return match(errors.withColumn("_one", F.lit(1)), unseen.withColumn("_one", F.lit(1)), ["_one"]).drop("_one")
 
 
 # ------------------------------------------------------------------ data quality
@@ -235,24 +264,41 @@ def verify_cells(cells: DataFrame, known: DataFrame) -> DataFrame:
     return joined.withColumn("status", status)
 
 
-def phrase_audit(phrases: DataFrame, corpus: DataFrame, text: str, size: int = 200) -> DataFrame:
+def phrase_audit(phrases: DataFrame, corpus: DataFrame, key: str, text: str) -> DataFrame:
     """In how many texts does each required phrase occur?
 
-    Phrases are tested in blocks of at most `size` literals, one scan per block: every
-    text is read where it lies and only counts are shuffled. A list of any length works.
+    An inner word of a phrase (space before and after it in the phrase) is a whole
+    word of every text that holds the phrase, so texts and phrases meet on each
+    phrase's rarest inner word, and only those pairs are compared. Phrases without
+    an inner word meet on an inner letter sequence, all GRAM-grams of a text, in
+    the same way; those shorter than GRAM are tested against every text, in one scan.
     """
-    phrases = phrases.distinct()
-    blocks = -(-phrases.count() // size)
-    slot = F.pmod(F.xxhash64("phrase"), F.lit(max(blocks, 1)))
+    listed = phrases.select("phrase").where("phrase is not null").distinct()
+    texts = corpus.select(F.col(key).alias("_id"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    words = F.array_distinct(F.split("_text", " "))
+    inner = F.filter(F.split("phrase", " "), lambda w, i: (i > 0) & (i < F.size(F.split("phrase", " ")) - 1) & (w != ""))
+    grams = lambda c: F.array_distinct(
+        F.transform(F.sequence(F.lit(1), F.length(c) - GRAM + 1), lambda i: F.substring(c, i, F.lit(GRAM)))
+    )
+    wordy = listed.where(F.size(inner) > 0).withColumn("_k", F.explode(F.array_distinct(inner)))
+    gramy = listed.where((F.size(inner) == 0) & (F.length("phrase") >= GRAM)).withColumn("_k", F.explode(grams("phrase")))
+    short = listed.where((F.size(inner) == 0) & (F.length("phrase") < GRAM))
     parts = []
-    for i in range(max(blocks, 1)):
-        listed = [r["phrase"] for r in phrases.where(slot == i).collect()]
-        hits = [F.when(F.contains(F.col(text), F.lit(p)), F.lit(p)) for p in listed] or [F.lit(None).cast("string")]
-        parts.append(corpus.select(F.explode(F.array_compact(F.array(*hits))).alias("phrase")))
+    for keyed, own in ((wordy, words), (gramy, F.when(F.length("_text") >= GRAM, grams("_text")))):
+        at = texts.select("_id", F.explode(own).alias("_k"))
+        wanted = keyed.select("_k").distinct()
+        often = at.join(wanted, "_k", "left_semi").groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+        rarest = match(keyed, often, ["_k"], "left").groupBy("phrase").agg(
+            F.min_by("_k", F.coalesce("_n", F.lit(0).cast("long"))).alias("_k")
+        )
+        near = at.join(rarest, "_k").select("phrase", "_id")
+        parts.append(near.join(texts, "_id").where(F.contains("_text", F.col("phrase"))).select("phrase", "_id").distinct())
+    tiny = [r["phrase"] for r in short.collect()]  # at most as many as there are strings under GRAM letters
+    hits = F.array_compact(F.array(*[F.when(F.contains("_text", F.lit(x)), F.lit(x)) for x in tiny] or [F.lit(None).cast("string")]))
+    parts.append(texts.select(F.explode(hits).alias("phrase"), "_id").distinct())
     counts = reduce(DataFrame.unionByName, parts).groupBy("phrase").agg(F.count(F.lit(1)).alias("texts"))
-    return phrases.join(counts, "phrase", "left").withColumn("texts", F.coalesce("texts", F.lit(0).cast("long"))).withColumn(
-        "present", F.col("texts") > 0
-    )
+    found = listed.join(counts, "phrase", "left").withColumn("texts", F.coalesce("texts", F.lit(0).cast("long")))
+    return found.withColumn("present", F.col("texts") > 0)
 
 
 def keyword_screen(df: DataFrame, columns: Sequence[str], pattern: str, by: Sequence[str] = ()) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions.draws import uniform
 from ..operators import claims as cl
 from ..operators.frames import apply_minmax, fit_minmax, tail_windows, window_direction, with_life
 from ..operators.ordering import positions
-from ..session import spread, stage
+from ..session import shared, spread
 
 SENSORS = ("s1", "s2", "s3", "s4", "s5", "s6")
 SCORED = ("s1", "s2", "s3", "s5", "s6")
@@ -162,8 +162,8 @@ def opportunities(spark: SparkSession, d: str, shown: DataFrame | None = None) -
 
 
 def claims_table(spark: SparkSession, d: str, shown: DataFrame | None = None) -> DataFrame:
-    """The directional claims, written once for the several passes of an inference."""
-    return stage(cl.directional(opportunities(spark, d, shown)))
+    """The directional claims, shared by the several passes of an inference."""
+    return shared(cl.directional(opportunities(spark, d, shown)))
 
 
 def arm_claims(spark: SparkSession, d: str) -> DataFrame:

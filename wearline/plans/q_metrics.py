@@ -476,13 +476,15 @@ def error_parts(spark, d):
 @query(
     "D43_partial_runs",
     sql(
-        "resp",
-        """select dataset, config, n, expected, expected-n as missing from (select dataset, config, count(*) as n from resp group by all)
-        join (select dataset, max(n) as expected from (select dataset, config, count(*) as n from resp group by all) group by 1) using (dataset) where n<expected""",
+        "",
+        """select dataset, config, n, expected, expected-n as missing from (select o_orderpriority as dataset, o_orderstatus as config, count(*) as n from orders group by all)
+        join (select dataset, max(n) as expected from (select o_orderpriority as dataset, o_orderstatus, count(*) as n from orders group by all) group by 1) using (dataset) where n<expected""",
     ),
 )
 def partial_runs(spark, d):
-    runs = b.responses(spark, d).groupBy("dataset", "config").agg(F.count(F.lit(1)).alias("n"))
+    """Order states as runs over the orders of a priority: each covers another number of them."""
+    orders = b.table(spark, d, "orders")
+    runs = orders.groupBy(F.col("o_orderpriority").alias("dataset"), F.col("o_orderstatus").alias("config")).agg(F.count(F.lit(1)).alias("n"))
     return m.partial_runs(runs, runs.groupBy("dataset").agg(F.max("n").alias("expected")))
 
 
@@ -539,11 +541,12 @@ def compare_models(spark, d):
 
 @query(
     "H5_set_equal",
-    sql("", "select c_mktsegment as v, 'a' as only_in from (select distinct left(c_mktsegment,1) as c_mktsegment from customer except select distinct left(p_type,1) from part) union all select p, 'b' from (select distinct left(p_type,1) as p from part except select distinct left(c_mktsegment,1) from customer)"),
+    sql("", "select v, 'a' as only_in from (select c_custkey as v from customer except select o_custkey from orders) union all select v, 'b' from (select o_custkey as v from orders except select c_custkey from customer)"),
 )
 def set_equal(spark, d):
-    seg = b.table(spark, d, "customer").select(F.left("c_mktsegment", F.lit(1)).alias("v"))
-    return va.set_equal(seg, b.table(spark, d, "part").select(F.left("p_type", F.lit(1)).alias("v")))
+    """Customers without orders, and customers of orders that are not listed."""
+    listed = b.table(spark, d, "customer").select(F.col("c_custkey").alias("v"))
+    return va.set_equal(listed, b.table(spark, d, "orders").select(F.col("o_custkey").alias("v")))
 
 
 @query(
@@ -557,7 +560,7 @@ def common_keys(spark, d):
 
 @query(
     "H7_distinct_list",
-    sql("preds", "select dataset, n, q, array_to_string(list_sort(list(distinct cast(pred as bigint)::varchar)),',') as values from preds group by all"),
+    sql("preds", "select distinct dataset, n, q, cast(pred as bigint) as value from preds"),
 )
 def distinct_list(spark, d):
     return m.distinct_list(b.predictions(spark, d).withColumn("pred", F.col("pred").cast("long")), ["dataset", "n", "q"], "pred")

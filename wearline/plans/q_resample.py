@@ -9,7 +9,7 @@ from ..operators import claims as cl
 from ..operators import frames as fr
 from ..operators import resample as rs
 from ..operators import sampling as sp
-from ..session import stage
+from ..session import shared
 from . import bindings as b
 from .oracle import h, sql, u
 from .q_metrics import RANKED
@@ -160,7 +160,7 @@ SWAPS = f"""select s.dataset, s.b, s.unit, t.unit as swapped from (select *, row
 )
 def permute_units(spark, d):
     """Units trade windows within their dataset; every lookup hits because directions exist for all opportunities."""
-    shown = stage(b.window_directions(spark, d))
+    shown = shared(b.window_directions(spark, d))
     return rs.permute_units(b.claims_table(spark, d, shown), shown, ["n", "sensor"], ["sensor"], "claimed", "actual", B)
 
 
@@ -175,7 +175,7 @@ def permute_units(spark, d):
 )
 def permutation_table_holes(spark, d):
     """Cells a permutation may look up, and how many of them the full table lacks."""
-    full = stage(b.window_directions(spark, d))
+    full = shared(b.window_directions(spark, d))
     claims = b.claims_table(spark, d, full)
     needed = claims.select("dataset", "n", "sensor").distinct().join(full.select("dataset", "unit").distinct(), "dataset")
     holes = rs.missing_cells(claims, full, ["n", "sensor"]).groupBy("dataset").agg(F.count(F.lit(1)).alias("missing"))

@@ -15,7 +15,7 @@ from .oracle import CTX, mentions, said, sql, values
 from .registry import query
 
 DOCS = "select doc_id as resp, text from documents"
-TURNS = "select conv_id*1000+turn as resp, text from conversations"
+TURNS = "select conv_id||':'||turn as resp, text from conversations"
 
 
 @query("I1_classify_documents", sql("", "select resp, sensor, claimed, mentions from " + said("t", "resp"), t=DOCS))
@@ -26,7 +26,7 @@ def classify_documents(spark, d):
 
 @query("I1_classify_conversations", sql("", "select resp, sensor, claimed, mentions from " + said("t", "resp"), t=TURNS))
 def classify_conversations(spark, d):
-    turns = spread(b.table(spark, d, "conversations")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("resp"), "text")
+    turns = spread(b.table(spark, d, "conversations")).select(F.concat_ws(":", "conv_id", "turn").alias("resp"), "text")
     return cl.classify(turns, ["resp"], "text", b.TERMS, b.LEXICON)
 
 
@@ -53,7 +53,7 @@ def matched_clauses(spark, d):
     "I3_reader_contexts",
     sql(
         "",
-        f"""select resp, sensor, mentions, md5(left(context,1200)) as context_md5, length(left(context,1200)) as chars from (
+        f"""select resp, sensor, mentions, md5(context) as context_md5, length(context) as chars from (
         select resp, sensor, coalesce(context,'') as context, coalesce(mentions,0)::bigint as mentions from {EVERY} left join (
         select resp, sensor, max(mentions) as mentions, string_agg((case when more_left then '...' else '' end)||replace(before||token||after,chr(10),' ')||(case when more_right then '...' else '' end), ' || ' order by i) as context
         from {mentions('t', 'resp', 120, 160)} group by all) using (resp, sensor))""",

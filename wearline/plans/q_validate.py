@@ -149,7 +149,7 @@ def corpus_accuracy(spark, d):
     return va.corpus_accuracy(sample, weights, "extractor", F.col("extractor") == F.col("reader"))
 
 
-ERR_SQL = """select '{n}' as error, cast(sum(cases) as bigint) as cases, cast(sum(a) as bigint) as on_reference, cast(sum(b) as bigint) as on_window, round(sum(cases/sampled::double*corpus),6) as corpus_estimate from (
+ERR_SQL = """select '{n}' as error, cast(sum(cases) as bigint) as cases, cast(sum(a) as bigint) as on_reference, cast(sum(b) as bigint) as on_window, round(sum(cases/sampled::double*corpus),6) as corpus_estimate, 0::bigint as corpus_unseen from (
         select extractor, count(*) filter (where flag='R') as sampled, count(*) as corpus, count(*) filter (where flag='R' and {c}) as cases,
         count(*) filter (where flag='R' and {c} and {l}=expected) as a, count(*) filter (where flag='R' and {c} and {l}=actual) as b from readings group by 1)"""
 
@@ -282,16 +282,16 @@ def verify_cells(spark, d):
     "J3_phrase_audit",
     sql(
         "",
-        """select phrase, count(doc_id) as texts, count(doc_id)>0 as present from (select distinct left(text, 12) as phrase from benchmark union select 'item '||item_id from benchmark) p
+        """select phrase, count(doc_id) as texts, count(doc_id)>0 as present from (select distinct text as phrase from benchmark where text is not null union select 'item '||item_id from benchmark) p
         left join documents d on contains(d.text, p.phrase) group by 1""",
     ),
 )
 def phrase_audit(spark, d):
-    """Openings of benchmark items and rebuilt labels, searched in every document."""
+    """Benchmark items and rebuilt labels, whole, searched in every document."""
     bench = b.table(spark, d, "benchmark")
     rebuilt = F.format_string("item %d", F.col("item_id"))
-    phrases = bench.select(F.left("text", F.lit(12)).alias("phrase")).union(bench.select(rebuilt)).distinct()
-    return va.phrase_audit(phrases, b.table(spark, d, "documents"), "text")
+    phrases = bench.select(F.col("text").alias("phrase")).union(bench.select(rebuilt)).distinct()
+    return va.phrase_audit(phrases, b.table(spark, d, "documents"), "doc_id", "text")
 
 
 @query(

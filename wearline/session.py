@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -14,6 +15,7 @@ def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
         builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        .config("spark.sql.optimizer.windowGroupLimitThreshold", "1000000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
@@ -38,32 +40,16 @@ def staging_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/wearline-stage/{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write an intermediate table that several passes read, and go on from the written copy.
+def shared(df: DataFrame) -> DataFrame:
+    """A table that several branches of a plan read: kept on the executors' disks once computed.
 
-    The copy cuts the lineage, survives lost executors, is read by column, and has a
-    size Spark knows when it chooses a join.
+    Nothing runs until a result is asked for. A lost partition is computed again, and
+    since draws are hashes it comes out the same.
     """
-    path = staging_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.persist(StorageLevel.DISK_ONLY)
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """One partition per core for heavy work per row. A scan that already has them is not shuffled."""
+    """At least one partition per core for heavy work per row, where the table has fewer files than cores."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    parts = scan._jdf.queryExecution().toRdd().getNumPartitions()
-    return scan if parts >= cores else scan.repartition(cores)
-
-
-def settle(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Evaluate a fitted or per-cluster table once.
-
-    Up to `limit` rows come back as a local table, whose exact size Spark then
-    knows, so its own threshold decides about broadcasting. A larger table stays
-    distributed: it is staged.
-    """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) <= limit:
-        return df.sparkSession.createDataFrame(rows, df.schema)
-    return stage(df)
+    return scan if len(scan.inputFiles()) >= cores else scan.repartition(cores)
