@@ -15,8 +15,7 @@ part of the automaton.
 
 from __future__ import annotations
 
-import re
-from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +24,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, keep, mixed, pack, pack_sorted, unpack, unpack_sorted, width, workers_import_this
+from .common import keep, mixed, pack, pack_sorted, unpack, unpack_sorted, width, workers_import_this
 from .exchange import by_owner, chunk_numbers, cuts, keep_bucketed, rows_of
 
-WORD = re.compile(rb"[^" + SPACES + rb"]+")
 #: Words of a chunk; a longer document is a chunk of its own.
-CHUNK_WORDS = 800_000
+CHUNK_WORDS = 400_000
+#: Key ranges that one task counts in turn.
+PARTS_PER_PARTITION = 4
 SEED = 42
 # no words, since they begin with a space
 END, START = (np.uint64(xxhash.xxh64_intdigest(x, SEED)) for x in (b" end", b" start"))
@@ -40,7 +40,8 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, learn) rows to chunks of coded words."""
     numbers = chunk_numbers()
-    words: dict[bytes, int] = {}
+    words: defaultdict[bytes, int] = defaultdict()
+    words.default_factory = words.__len__  # a new word gets the next number
     tokens: list[np.ndarray] = []
     ids, learn, total = [], [], 0
 
@@ -68,10 +69,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for doc, text, flag in zip(*(batch.column(i) for i in range(3)), strict=True):
-            found = WORD.findall((text.as_py() or b"").lower())
+            found = (text.as_py() or b"").lower().split()  # splits at \x20 and \x09 to \x0D
             if total and total + len(found) > CHUNK_WORDS:
                 yield close()
-            tokens.append(np.fromiter((words.setdefault(w, len(words)) for w in found), np.int32, len(found)))
+            tokens.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
             ids.append(doc.as_py())
             learn.append(bool(flag.as_py()))
             total += len(found)
@@ -82,9 +83,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Chunk:
     """The n-grams at every token of a chunk's documents, the end of each document included.
 
-    `grams[n - 1][i]` is the hash of the n-gram that ends at token i, and
-    `grams[n - 1][i] = context[n - 1][i]` extended by the token; contexts reach
-    over the start of a document with a start symbol, once.
+    `keys[n - 1]` are the chunk's distinct n-grams as sorted hashes, with the start
+    symbol where they can be contexts; `at[n - 1][i]` is the one that ends at token
+    i, and `before[n - 1][i]` the context of n - 1 tokens that it extends. Contexts
+    reach over the start of a document with a start symbol, once.
     """
 
     def __init__(self, row: dict, order: int):
@@ -92,25 +94,32 @@ class Chunk:
         self.ids = row["ids"]
         self.learn = np.repeat(unpack(row["learn"]).astype(bool), self.sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        n = int(self.sizes.sum())
-        words = np.full(n, END, np.uint64)
+        self.order, n = order, int(self.sizes.sum())
         inside = np.ones(n, bool)
         inside[self.starts + self.sizes - 1] = False
-        words[inside] = unpack(row["words"])[unpack(row["tokens"])] if n > len(self.ids) else END
-        self.grams, self.context = [words], [np.zeros(n, np.uint64)]
-        place = np.arange(n) - np.repeat(self.starts, self.sizes)
+        known = np.append(unpack(row["words"]), [END, START])
+        local = np.full(n, len(known) - 2, np.int64)
+        local[inside] = unpack(row["tokens"])
+        sort = np.argsort(known)
+        place = np.empty(len(known), np.int64)
+        place[sort] = np.arange(len(known))
+        self.keys, self.at, self.before = [known[sort]], [place[local]], [np.zeros(n, np.int64)]
+        first = np.zeros(n, bool)
+        first[self.starts] = True
+        gram = known[local]
         for k in range(1, order):
-            # the k tokens before; near the start, the start symbol and what follows it
-            before = np.empty(n, np.uint64)
-            before[1:] = self.grams[k - 1][:-1] if k > 1 else words[:-1]
-            before[place == 0] = START
-            self.context.append(before)
-            self.grams.append(mixed(before * STEP + words))
-
-    def keys(self, level: int) -> np.ndarray:
-        """The distinct n-grams of an order, and the contexts of the next."""
-        found = np.unique(self.grams[level])
-        return np.union1d(found, self.context[level + 1]) if level + 1 < len(self.grams) else found
+            # the k tokens before: what ended at the token before, or the start symbol
+            before = np.empty(n, np.int64)
+            before[1:] = self.at[k - 1][:-1]
+            before[first] = np.searchsorted(self.keys[k - 1], START)
+            self.before.append(before)
+            gram = mixed(self.keys[k - 1][before] * STEP + known[local])
+            keys, at = np.unique(gram, return_inverse=True)
+            if k + 1 < order:
+                new = int(np.searchsorted(keys, START))
+                keys, at = np.insert(keys, new, START), at + (at >= new)
+            self.keys.append(keys)
+            self.at.append(at)
 
 
 def _ask(order: int, level: int, parts: int):
@@ -123,20 +132,21 @@ def _ask(order: int, level: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             chunk = Chunk(row, order)
-            keys, at = np.unique(chunk.grams[level], return_inverse=True)
-            counts = np.bincount(at[chunk.learn], minlength=len(keys))
-            types = np.zeros(len(keys), np.int64)
-            total = np.zeros(len(keys), np.int64)
+            keys = chunk.keys[level]
+            sums = [np.bincount(chunk.at[level][chunk.learn], minlength=len(keys))]
             if level + 1 < order:
-                keys, counts, types, total = _reported(chunk, row, level, keys, counts)
+                sums += _reported(chunk, row, level)
             edge = cuts(keys, parts)
             for part in np.flatnonzero(np.diff(edge)).tolist():
                 s = slice(edge[part], edge[part + 1])
-                cells = [pack_sorted(keys[s]), *(pack(_small(x[s])) for x in (counts, types, total))]
                 yield pa.record_batch(
-                    [pa.array([part], pa.int32()), pa.array([row["chunk"]], pa.int64())]
-                    + [pa.array([c], pa.binary()) for c in cells],
-                    ["part", "chunk", "keys", "counts", "types", "total"],
+                    [
+                        pa.array([part], pa.int32()),
+                        pa.array([row["chunk"]], pa.int64()),
+                        pa.array([pack_sorted(keys[s])], pa.binary()),
+                        pa.array([[pack(_small(x[s])) for x in sums]], pa.list_(pa.binary())),
+                    ],
+                    ["part", "chunk", "keys", "sums"],
                 )
 
     return run
@@ -147,130 +157,113 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if most < 256 else np.uint32 if most < 1 << 32 else np.uint64)
 
 
-def _answers(row: dict, level: int) -> tuple[np.ndarray, ...]:
-    """(counts, types, total, own) of a chunk's keys of one order, in the order of the keys."""
-    parts = sorted(row[f"answers{level}"] or [], key=lambda a: a["part"])
-    return tuple(
-        np.concatenate([unpack(a[c]).astype(np.int64) for a in parts]) if parts else np.zeros(0, np.int64)
-        for c in ("counts", "types", "total", "own")
-    )
+def _answers(row: dict, level: int) -> list[np.ndarray]:
+    """Whose report a key is, its count, and for contexts the types and the total after it, in the order of the keys."""
+    parts = sorted(row[f"answers{level}"], key=lambda a: a["part"])
+    return [np.concatenate([unpack(a["cells"][i]).astype(np.int64) for a in parts]) for i in range(len(parts[0]["cells"]))]
 
 
-def _reported(chunk: Chunk, row: dict, level: int, keys: np.ndarray, counts: np.ndarray):
-    """The chunk's keys of this order with its reports from the n-grams one word longer."""
-    longer, first = np.unique(chunk.grams[level + 1], return_index=True)
-    asked = chunk.keys(level + 1)
-    seen, _, _, own = (x[np.searchsorted(asked, longer)] for x in _answers(row, level + 1))
-    context = chunk.context[level + 1][first]
-    every = chunk.keys(level)
-    at = np.searchsorted(every, context)
-    types = np.bincount(at[own > 0], minlength=len(every))
-    total = np.bincount(at[own > 0], weights=seen[own > 0].astype(np.float64), minlength=len(every)).astype(np.int64)
-    mine = np.zeros(len(every), np.int64)
-    mine[np.searchsorted(every, keys)] = counts
-    return every, mine, types, total
+def _reported(chunk: Chunk, row: dict, level: int) -> list[np.ndarray]:
+    """The chunk's reports for its contexts of this order: types and total of the words after them."""
+    own, seen, *_ = _answers(row, level + 1)
+    context = np.zeros(len(own), np.int64)
+    context[chunk.at[level + 1]] = chunk.before[level + 1]
+    own = own > 0
+    size = len(chunk.keys[level])
+    return [
+        np.bincount(context[own], minlength=size),
+        np.bincount(context[own], weights=seen[own], minlength=size).astype(np.int64),
+    ]
 
 
 def _tally(part: int, rows: list[dict]) -> Iterator[tuple]:
     """Sum the counts of each key over all chunks and answer every chunk; one of them reports each key."""
     keys = [unpack_sorted(r["keys"]) for r in rows]
     every, at = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = []
-    for c in ("counts", "types", "total"):
-        own = np.concatenate([unpack(r[c]).astype(np.int64) for r in rows])
+    at = at.astype(np.int32)
+    sums, mine = [], np.zeros(len(at), np.uint8)
+    for i in range(len(rows[0]["sums"])):
+        own = np.concatenate([unpack(r["sums"][i]) for r in rows])
         sums.append(np.bincount(at, weights=own, minlength=len(every)).astype(np.int64))
-        if c == "counts":
+        if not i:
             held = np.flatnonzero(own)
-            first = np.zeros(len(own), np.uint8)
-            first[held[np.unique(at[held], return_index=True)[1]]] = 1
-    counts = sums[0]
-    yield None, part, *[None] * 4, [int(x) for x in (counts.sum(), (counts > 0).sum(), (counts == 1).sum(), (counts == 2).sum())]
-    start = 0
+            first = np.empty(len(every), np.int64)
+            first[at[held[::-1]]] = held[::-1]  # the last one written is the first that counted it
+            mine[first[sums[0] > 0]] = 1
+    count = sums[0]
+    yield None, part, None, [int(x) for x in (count.sum(), (count > 0).sum(), (count == 1).sum(), (count == 2).sum())]
+    sums, start = [_small(x) for x in sums], 0
     for r, k in zip(rows, keys, strict=True):
         s = slice(start, start + len(k))
-        yield r["chunk"], part, *(pack(_small(x[at[s]])) for x in sums), pack(first[s]), None
+        yield r["chunk"], part, [pack(mine[s]), *(pack(x[at[s]]) for x in sums)], None
         start += len(k)
 
 
 class Automaton:
-    """The part of the backoff automaton that a chunk's n-grams reach.
+    """The part of the backoff automaton that a chunk's documents can reach.
 
-    State 0 is the root. Weights are log10 probabilities.
+    State 0 is the root; a state's depth is the length of its context. The arcs lie
+    along the text: `seen[d][i]` tells whether the state of depth d before token i
+    has an arc for the token, `weight[d][i]` is its log10 probability, and `to[d][i]`
+    the state it leads to. The root has an arc for every word.
     """
 
     def __init__(self, chunk: Chunk, row: dict, model: dict):
-        order = len(chunk.grams)
-        n = len(chunk.grams[0])
-        vocabulary = model["n"] + 0.5 * (model["v"] + 1)
-        self.arcs: dict[int, int] = {}
-        self.weight, self.to = array("d"), array("q")
-        self.back = [0.0]
-        levels = []
-        for k in range(order):
-            levels.append((chunk.keys(k), *_answers(row, k)))
-        # a state for every context seen in training
-        states = [np.zeros(1, np.int64)]
-        # by n: the state after each token, its longest suffix of up to n + 1 words that is one
-        after = [np.zeros(n, np.int64)]
+        order, n = chunk.order, len(chunk.at[0])
+        told = [_answers(row, k) for k in range(order)]
+        back, depth = [np.zeros(1)], [np.zeros(1, np.int64)]
+        number, states = [], 1
         for k in range(order - 1):
-            keys, _, types, total, _ = levels[k]
-            number = np.where(total > 0, np.cumsum(total > 0) + len(self.back) - 1, 0)
-            states.append(number)
-            self.back += np.log10(model["d"][k + 1] * types[total > 0] / total[total > 0]).tolist()
-            here = number[np.searchsorted(keys, chunk.grams[k])]
-            after.append(np.where(here > 0, here, after[-1]))
-        after = [*after[1:], after[-1]]
-        fail = np.zeros(len(self.back), np.int64)
+            _, _, types, total = told[k]
+            live = total > 0
+            number.append(np.where(live, np.cumsum(live) + states - 1, 0))
+            states += int(live.sum())
+            back.append(np.log10(model["d"][k + 1] * types[live] / total[live]))
+            depth.append(np.full(int(live.sum()), k + 1))
+        self.back, self.depth = np.concatenate(back).tolist(), np.concatenate(depth).tolist()
+        fail = np.zeros(states, np.int64)
         for k in range(1, order - 1):
             # the suffix of a context is what stands at the same token one order lower
-            shorter, longer = levels[k - 1][0], levels[k][0]
-            number = states[k + 1][np.searchsorted(longer, chunk.grams[k])]
-            fail[number] = states[k][np.searchsorted(shorter, chunk.grams[k - 1])]
-            number = states[k + 1][np.searchsorted(longer, START)]
-            fail[number] = states[k][np.searchsorted(shorter, START)]
+            fail[number[k][chunk.at[k]]] = number[k - 1][chunk.at[k - 1]]
+            start = [number[j][np.searchsorted(chunk.keys[j], START)] for j in (k, k - 1)]
+            fail[start[0]] = start[1]
         fail[0] = 0
         self.fail = fail.tolist()
-        keys, counts, *_ = levels[0]
-        word = np.searchsorted(keys, chunk.grams[0])
-        self.words = len(keys)
-        self.base = np.log10((counts + 0.5) / vocabulary)
-        self.word, self.known = word, counts[word] > 0
-        p = ((counts + 0.5) / vocabulary)[word]
-        unique, first = np.unique(word, return_index=True)
-        self._add(np.zeros(len(unique), np.int64), unique, p[first], after[0][first])
+        # by depth: the longest suffix of up to depth + 1 tokens that is a state
+        to, here = [], np.zeros(n, np.int64)
+        for k in range(order):
+            if k < order - 1:
+                longer = number[k][chunk.at[k]]
+                here = np.where(longer > 0, longer, here)
+            to.append(here)
+        size = model["n"] + 0.5 * (model["v"] + 1)
+        count = told[0][1][chunk.at[0]]
+        self.known, p = count > 0, (count + 0.5) / size
+        self.base = np.log10(p)
+        seen, weight = [np.ones(n, bool)], [self.base]
         for k in range(1, order):
-            keys, counts, *_ = levels[k]
-            grams, first = np.unique(chunk.grams[k], return_index=True)
-            lower = levels[k - 1]
-            at = np.searchsorted(lower[0], chunk.context[k])
-            types, total = lower[2][at], np.maximum(lower[3][at], 1)
-            seen = counts[np.searchsorted(keys, chunk.grams[k])]
-            d = model["d"][k]
+            types, total = (x[chunk.before[k]] for x in told[k - 1][2:])
+            count, d = told[k][1][chunk.at[k]], model["d"][k]
             # interpolated at every token, from the order below up
-            p = np.where(lower[3][at] > 0, (np.maximum(seen - d, 0) + d * types * p) / total, p)
-            first = first[seen[first] > 0]
-            self._add(states[k][at[first]], word[first], p[first], after[k][first])
-        self.start = 0
-        for k in range(1, order):
-            self.start = int(states[k][np.searchsorted(levels[k - 1][0], START)]) or self.start
-
-    def _add(self, state: np.ndarray, word: np.ndarray, p: np.ndarray, to: np.ndarray) -> None:
-        self.arcs.update(zip((state * self.words + word).tolist(), range(len(self.weight), len(self.weight) + len(p)), strict=True))
-        self.weight.extend(np.log10(p).tolist())
-        self.to.extend(to.tolist())
-
-    def walk(self, tokens: list[int]) -> float:
-        """log10 probability of one document's tokens, read from left to right."""
-        arcs, words, back, fail, weight, to = self.arcs.get, self.words, self.back, self.fail, self.weight, self.to
+            p = np.where(total > 0, (np.maximum(count - d, 0) + d * types * p) / np.maximum(total, 1), p)
+            seen.append(count > 0)
+            weight.append(np.log10(p))
+        self.seen, self.weight, self.to = ([x.tolist() for x in y] for y in (seen, weight, to))
+        starts = [int(number[k][np.searchsorted(chunk.keys[k], START)]) for k in range(order - 1)]
+        self.start = next((x for x in reversed(starts) if x), 0)
+
+    def walk(self, first: int, end: int) -> float:
+        """log10 probability of the tokens first to end - 1, one document, read from left to right."""
+        seen, weight, to, depth, back, fail = self.seen, self.weight, self.to, self.depth, self.back, self.fail
         state, score = self.start, 0.0
-        for t in tokens:
-            arc = arcs(state * words + t)
-            while arc is None:
+        for i in range(first, end):
+            d = depth[state]
+            while not seen[d][i]:
                 score += back[state]
                 state = fail[state]
-                arc = arcs(state * words + t)
-            score += weight[arc]
-            state = to[arc]
+                d = depth[state]
+            score += weight[d][i]
+            state = to[d][i]
         return score
 
 
@@ -284,7 +277,7 @@ def score(docs: DataFrame, doc_id: str, text: str, learn: Column, order: int = 2
     """
     spark = docs.sparkSession
     workers_import_this(spark)
-    parts = width(spark)
+    parts = PARTS_PER_PARTITION * width(spark)
     rows = docs.select(
         F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("binary"), F.coalesce(learn, F.lit(False))
     )
@@ -293,25 +286,25 @@ def score(docs: DataFrame, doc_id: str, text: str, learn: Column, order: int = 2
         "chunk",
     )
     met, model = chunks, {"d": [0.0] * order}
-    asked = "part int, chunk long, keys binary, counts binary, types binary, total binary"
-    told = "chunk long, part int, counts binary, types binary, total binary, own binary, sums array<long>"
+    told = "chunk long,part int,cells array<binary>,sums array<long>"
     for level in range(order - 1, -1, -1):
-        answers = keep(by_owner(met.mapInArrow(_ask(order, level, parts), asked), "part", _tally, told))
+        asked = met.mapInArrow(_ask(order, level, parts), "part int, chunk long, keys binary, sums array<binary>")
+        answers = keep(by_owner(asked, "part", _tally, told))
         sums = [F.coalesce(F.sum(F.col("sums")[i]), F.lit(0)) for i in range(4)]
         n, v, once, twice = answers.where("chunk is null").agg(*sums).first()
         model["d"][level] = once / (once + 2 * twice) if once and twice else 0.5
         model |= {"n": n, "v": v}
         mine = answers.where("chunk is not null").groupBy("chunk").agg(
-            F.collect_list(F.struct("part", "counts", "types", "total", "own")).alias(f"answers{level}")
+            F.collect_list(F.struct("part", "cells")).alias(f"answers{level}")
         )
-        met = met.join(mine, "chunk", "left")
+        met = met.join(mine, "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             chunk = Chunk(row, order)
             automaton = Automaton(chunk, row, model)
-            word, ends = automaton.word.tolist(), (chunk.starts + chunk.sizes).tolist()
-            walked = [automaton.walk(word[s:e]) for s, e in zip(chunk.starts.tolist(), ends, strict=True)]
+            ends = (chunk.starts + chunk.sizes).tolist()
+            walked = [automaton.walk(s, e) for s, e in zip(chunk.starts.tolist(), ends, strict=True)]
             size = len(chunk.ids)
             yield pa.record_batch(
                 [
@@ -319,7 +312,7 @@ def score(docs: DataFrame, doc_id: str, text: str, learn: Column, order: int = 2
                     pa.array(chunk.sizes, pa.int64()),
                     pa.array(np.add.reduceat(automaton.known.astype(np.int64), chunk.starts)),
                     pa.array(np.full(size, model["n"], np.int64)),
-                    pa.array(np.add.reduceat(automaton.base[automaton.word], chunk.starts)),
+                    pa.array(np.add.reduceat(automaton.base, chunk.starts)),
                     pa.array(walked, pa.float64()),
                 ],
                 ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
