@@ -52,7 +52,7 @@ def test_traces_and_manifest(spark, tmp_path):
     assert (r.dataset, r["mode"], r.k, r.n_cycles, r.run, r.pred, r.text) == ("FD001", "few_shot", 3, 15, "run2", 45.0, "s11 rising")
     assert got["traces_FD001_few_shot_k3_n15_run2.json", 2].pred is None
     assert got["traces_p0_FD001_zs_n30_nocue.json", 1].variant == "nocue"
-    man = {r.file: r for r in files.file_manifest(spark, str(tmp_path / "traces_*.json")).collect()}
+    man = {r.path.split("/")[-1]: r for r in files.file_manifest(spark, str(tmp_path / "traces_*.json")).collect()}
     for name, row in man.items():
         data = (tmp_path / name).read_bytes()
         assert (row.bytes, row.sha256) == (len(data), hashlib.sha256(data).hexdigest())
@@ -73,8 +73,24 @@ def test_experiment_classes(spark, tmp_path):
     for name in names:
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text("[]")
-    got = {r.file: r.experiment for r in files.file_manifest(spark, str(tmp_path / "results*" / "*.json")).collect()}
-    assert got == {n.split("/")[1]: k for n, k in names.items()}
+    same = tmp_path / "results_p0" / "traces_FD001_zero_shot_k0.json"
+    same.write_text('[{"engine_id": 1, "true_rul": 1.0, "pred_rul": 2.0}]')
+    names["results_p0/traces_FD001_zero_shot_k0.json"] = "control arms"
+    classes = (
+        ("original grid", r"/results/[^/]+$"),
+        ("control arms", r"/results_p0/[^/]+$"),
+        ("corrected grid", r"_grid_[^/]*$"),
+        ("example-set experiment", r"_(asis|strat|random)_seed[^/]*$"),
+        ("multi-condition", r"/traces_p2_[^/]*$"),
+    )
+    where = str(tmp_path / "results*" / "*.json")
+    root = f"file://{tmp_path}/"
+    got = {r.below_root: r.experiment for r in files.file_manifest(spark, where, classes, "model sweep", root).collect()}
+    assert got == names
+    runs = {r.path.removeprefix(root): r for r in files.trace_manifest(spark, where, classes, default_model="base").collect()}
+    assert len(runs) == len(names)
+    assert runs["results_p0/traces_FD001_zero_shot_k0.json"].n == 1
+    assert runs["results/traces_FD001_zero_shot_k0.json"].n is None
 
 
 @pytest.mark.parametrize("wrap, root", [(w, r) for w in (False, True) for r in ("readings", "letture", None)])

@@ -226,13 +226,13 @@ def config_from_file(name) -> dict[str, Column]:
 
     mode = part(r"_(zero_shot|few_shot|zs|fs)_")
     return {
-        "dataset": part(r"^traces_(?:p\d_)?([A-Za-z]+\d+)_"),
+        "dataset": part(r"^traces_(?:p\d_)?(?:grid_)?([A-Za-z]+\d+)_"),
         "mode": F.when(mode.isin("zero_shot", "zs"), "zero_shot").when(mode.isin("few_shot", "fs"), "few_shot"),
         "k": F.coalesce(part(r"_k(\d+)").cast("long"), F.lit(0).cast("long")),
         "n_cycles": F.coalesce(part(r"_n(\d+)").cast("long"), F.lit(5).cast("long")),
         "run": F.coalesce(part(r"_(run\d+)(?:_|$)"), F.lit("run1")),
         "seed": part(r"_seed(\d+)").cast("long"),
-        "variant": part(r"^traces_p\d_[A-Za-z]+\d+_(?:zs|fs)(?:_k\d+)?(?:_n\d+)?_(.+)$"),
+        "variant": part(r"^traces_p\d_(?:grid_)?[A-Za-z]+\d+_(?:zs|fs)(?:_k\d+)?+(?:_n\d+)?+_(.+)$"),
     }
 
 

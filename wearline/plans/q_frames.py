@@ -9,6 +9,8 @@ from ..operators import claims as cl
 from ..operators import frames as fr
 from ..operators import prompts as pr
 from ..operators.ordering import value_positions
+from ..session import staging_path
+from ..sources import files
 from . import bindings as b
 from .oracle import RANGES, d6, long, sql
 from .registry import query
@@ -29,13 +31,16 @@ S4 = ("s1", "s2", "s3", "s4")
     ),
 )
 def terminal_labels(spark, d):
-    """The label list of a dataset, by line position, joined to its units in ascending id."""
+    """The label list of a dataset, written one label to a line, read back and joined to the units in ascending id."""
     obs = b.observed(b.trajectories(spark, d))
     last = obs.groupBy("dataset", "unit").agg(F.max("cycle").alias("last"), F.max("life").alias("life"))
     lines = value_positions(last, ["dataset"], "unit").select(
         "dataset", "pos", (F.col("life") - F.col("last")).cast("double").alias("rul")
     )
-    return fr.attach_terminal_labels(last.drop("life"), lines).select("dataset", "unit", "last", "pos", "rul")
+    path = staging_path(spark)
+    files.write_label_lines(lines, path)
+    labels = files.read_terminal_labels(spark, path)
+    return fr.attach_terminal_labels(last.drop("life"), labels).select("dataset", "unit", "last", "pos", "rul")
 
 
 @query("B1_rul_label", sql("train", "select dataset, unit, cycle, cast(rul as bigint) as rul from train"))

@@ -209,13 +209,13 @@ def linear_fit(spark, d):
     "D15_leave_one_out",
     sql(
         "preds",
-        """select a.dataset, a.unit, count(*) as n, round(corr(p.pred,p.truth),6) as r from preds a join preds p on a.dataset=p.dataset and a.unit<>p.unit and p.n=30 and p.q=1
-        where a.n=30 and a.q=1 group by all""",
+        """select a.dataset, a.n as w, a.q, a.unit, count(*) as n, round(corr(p.pred,p.truth),6) as r from preds a join preds p on a.dataset=p.dataset and a.unit<>p.unit and p.n=a.n and p.q=a.q
+        group by a.dataset, a.n, a.q, a.unit""",
     ),
 )
 def leave_one_out(spark, d):
-    p = b.predictions(spark, d).where((F.col("n") == 30) & (F.col("q") == 1)).drop("n")
-    return rk.leave_one_out(p, ["dataset"], "unit", "pred", "truth")
+    p = b.predictions(spark, d).withColumnRenamed("n", "w")
+    return rk.leave_one_out(p, ["dataset", "w", "q"], "unit", "pred", "truth")
 
 
 ASSOC = """select {by}, cast(max(t) as bigint) as n, count(distinct a) as rows, count(distinct b) as cols, round(case when {ok} then sum(case when c is null then e else (c-e)*(c-e)/e end) end,6) as chi2,
@@ -492,13 +492,13 @@ def partial_runs(spark, d):
     "C11_pred_vs_true",
     sql(
         "train preds",
-        f"""select dataset, unit, max(truth) as truth, {', '.join(f"max(pred) filter (where q={q} and n=30) as q{q}" for q in b.QUANTA)}, max(c) as const_train_mean
+        f"""select dataset, unit, max(truth) as truth, {', '.join(f"max(pred) filter (where q={q} and n={n}) as n{n}_q{q}" for n in b.LENGTHS for q in b.QUANTA)}, max(c) as const_train_mean
         from preds join (select dataset, round(avg(rul),6) as c from train group by 1) using (dataset) group by all""",
     ),
 )
 def pred_vs_true(spark, d):
-    p = b.predictions(spark, d).withColumn("config", F.when(F.col("n") == 30, F.concat(F.lit("q"), "q")))
-    return m.pred_vs_true(p, baselines(spark, d), [f"q{q}" for q in b.QUANTA])
+    p = b.predictions(spark, d).withColumn("config", F.format_string("n%d_q%d", "n", "q"))
+    return m.pred_vs_true(p, baselines(spark, d), [f"n{n}_q{q}" for n in b.LENGTHS for q in b.QUANTA])
 
 
 # ------------------------------------------------------------------ sorts, sets, unions
@@ -518,10 +518,10 @@ def value_frequencies(spark, d):
     return m.top_values(b.line_predictions(spark, d), ["config"], 3)
 
 
-@query("H3_head_per", sql("preds", "select dataset, unit, pred from (select *, row_number() over (partition by dataset order by pred desc, unit) as r from preds where n=5 and q=1) where r<=3"))
+@query("H3_head_per", sql("preds", "select dataset, n, q, unit, pred from (select *, row_number() over (partition by dataset, n, q order by pred desc, unit) as r from preds) where r<=3"))
 def head_per(spark, d):
-    p = b.predictions(spark, d).where((F.col("n") == 5) & (F.col("q") == 1))
-    return sp.head_per(p, ["dataset"], [F.col("pred").desc(), "unit"], 3).select("dataset", "unit", "pred")
+    best = [F.col("pred").desc(), "unit"]
+    return sp.head_per(b.predictions(spark, d), ["dataset", "n", "q"], best, 3).select("dataset", "n", "q", "unit", "pred")
 
 
 @query(

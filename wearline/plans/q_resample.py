@@ -216,33 +216,33 @@ def paired_interval(spark, d):
     return rs.cluster_bootstrap(pairs, ["sensor"], ["engine"], ["n", "diff"], ratio("diff", "n"), B)
 
 
-WIDE1 = "select dataset, q, unit, pred, truth from preds where n=30"
+WIDE1 = "select dataset, n as w, q, unit, pred, truth from preds"
 
 
 @query(
     "F1_bootstrap_rank",
     sql(
         "preds",
-        f"""select dataset, q, count(v) as replicates, {ENDS.format(v='v')} from (select dataset, q, b, case when count(distinct rx)<2 or count(distinct ry)<2 then 0 else corr(rx,ry) end as v
-        from ({RANKED.format(by='dataset,q,b', x='pred', y='truth', t=drawn(WIDE1, 'dataset,q', 'unit', 'rank'))}) group by all) group by all""",
+        f"""select dataset, w, q, count(v) as replicates, {ENDS.format(v='v')} from (select dataset, w, q, b, case when count(distinct rx)<2 or count(distinct ry)<2 then 0 else corr(rx,ry) end as v
+        from ({RANKED.format(by='dataset,w,q,b', x='pred', y='truth', t=drawn(WIDE1, 'dataset,w,q', 'unit', 'rank'))}) group by all) group by all""",
     ),
 )
 def bootstrap_rank(spark, d):
-    p = b.predictions(spark, d).where(F.col("n") == 30)
-    return rs.bootstrap_rank_ci(p, ["dataset", "q"], ["unit"], "pred", "truth", B)
+    p = b.predictions(spark, d).withColumnRenamed("n", "w")
+    return rs.bootstrap_rank_ci(p, ["dataset", "w", "q"], ["unit"], "pred", "truth", B)
 
 
 @query(
     "F9_bootstrap_pearson",
     sql(
         "preds",
-        f"""select dataset, q, count(v) as replicates, {ENDS.format(v='v')} from (select dataset, q, b, case when count(distinct pred)>1 and count(distinct truth)>1 then corr(pred,truth) end as v
-        from {drawn(WIDE1, 'dataset,q', 'unit', 'pearson')} group by all) group by all""",
+        f"""select dataset, w, q, count(v) as replicates, {ENDS.format(v='v')} from (select dataset, w, q, b, case when count(distinct pred)>1 and count(distinct truth)>1 then corr(pred,truth) end as v
+        from {drawn(WIDE1, 'dataset,w,q', 'unit', 'pearson')} group by all) group by all""",
     ),
 )
 def bootstrap_pearson(spark, d):
-    p = b.predictions(spark, d).where(F.col("n") == 30)
-    return rs.bootstrap_pearson_ci(p, ["dataset", "q"], ["unit"], "pred", "truth", B)
+    p = b.predictions(spark, d).withColumnRenamed("n", "w")
+    return rs.bootstrap_pearson_ci(p, ["dataset", "w", "q"], ["unit"], "pred", "truth", B)
 
 
 @query(

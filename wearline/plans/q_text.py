@@ -141,7 +141,8 @@ def parse_quality(spark, d):
     return m.parse_quality(parsed, ["shape"])
 
 
-FILES = """select l_orderkey, l_linenumber::bigint as line, case l_linenumber%3
+FILES = """select l_orderkey, l_linenumber::bigint as line, case l_linenumber%5
+        when 3 then 'traces_p1_grid_FD001_fs_k'||l_suppkey||'_n15.json' when 4 then 'traces_p2_FD00'||(l_linenumber%4+1)||'_zs_n30.json'
         when 0 then 'traces_FD00'||(l_linenumber%4+1)||'_few_shot_k'||l_suppkey||'_n'||l_quantity::bigint||'_run'||l_linenumber||'.json'
         when 1 then 'traces_FD00'||(l_linenumber%4+1)||'_zero_shot_k0.json'
         else 'traces_p1_FD001_fs_k5_n30_'||lower(l_returnflag)||'_seed'||l_linenumber||'.json' end as file from lineitem"""
@@ -151,8 +152,10 @@ def _files(spark, d):
     n = F.col("l_linenumber")
     ds = (n % 4 + 1).cast("string")
     name = (
-        F.when(n % 3 == 0, F.concat(F.lit("traces_FD00"), ds, F.lit("_few_shot_k"), F.col("l_suppkey").cast("string"), F.lit("_n"), F.col("l_quantity").cast("long").cast("string"), F.lit("_run"), n.cast("string"), F.lit(".json")))
-        .when(n % 3 == 1, F.concat(F.lit("traces_FD00"), ds, F.lit("_zero_shot_k0.json")))
+        F.when(n % 5 == 3, F.concat(F.lit("traces_p1_grid_FD001_fs_k"), F.col("l_suppkey").cast("string"), F.lit("_n15.json")))
+        .when(n % 5 == 4, F.concat(F.lit("traces_p2_FD00"), ds, F.lit("_zs_n30.json")))
+        .when(n % 5 == 0, F.concat(F.lit("traces_FD00"), ds, F.lit("_few_shot_k"), F.col("l_suppkey").cast("string"), F.lit("_n"), F.col("l_quantity").cast("long").cast("string"), F.lit("_run"), n.cast("string"), F.lit(".json")))
+        .when(n % 5 == 1, F.concat(F.lit("traces_FD00"), ds, F.lit("_zero_shot_k0.json")))
         .otherwise(F.concat(F.lit("traces_p1_FD001_fs_k5_n30_"), F.lower("l_returnflag"), F.lit("_seed"), n.cast("string"), F.lit(".json")))
     )
     return b.table(spark, d, "lineitem").select("l_orderkey", n.cast("long").alias("line"), name.alias("file"))
@@ -162,10 +165,10 @@ def _files(spark, d):
     "I8_config_from_file",
     sql(
         "",
-        """select l_orderkey, line, case when line%3=2 then 'FD001' else 'FD00'||(line%4+1) end as dataset, case line%3 when 1 then 'zero_shot' else 'few_shot' end as mode,
-        case line%3 when 0 then l_suppkey when 1 then 0 else 5 end as k, case line%3 when 0 then l_quantity::bigint when 1 then 5 else 30 end as n_cycles,
-        case line%3 when 0 then 'run'||line else 'run1' end as run, case line%3 when 2 then line end as seed,
-        case line%3 when 2 then lower(l_returnflag)||'_seed'||line end as variant from (select *, l_linenumber::bigint as line from lineitem)""",
+        """select l_orderkey, line, case when line%5 in (2,3) then 'FD001' else 'FD00'||(line%4+1) end as dataset, case when line%5 in (1,4) then 'zero_shot' else 'few_shot' end as mode,
+        case line%5 when 0 then l_suppkey when 3 then l_suppkey when 2 then 5 else 0 end as k, case line%5 when 0 then l_quantity::bigint when 1 then 5 when 3 then 15 else 30 end as n_cycles,
+        case line%5 when 0 then 'run'||line else 'run1' end as run, case line%5 when 2 then line end as seed,
+        case line%5 when 2 then lower(l_returnflag)||'_seed'||line end as variant from (select *, l_linenumber::bigint as line from lineitem)""",
     ),
 )
 def config_from_file(spark, d):

@@ -12,7 +12,7 @@ from ..sources import files
 from . import bindings as b
 from .oracle import d6, sql
 from .q_metrics import ERRS
-from .q_resample import ENDS, drawn
+from .q_resample import B, ENDS, drawn
 from .registry import query
 
 DIRN = ("increase", "decrease")
@@ -28,6 +28,8 @@ def _readings(spark, d):
     extractor = pick(disc)
     df = li.select(
         "l_orderkey",
+        "l_partkey",
+        "l_suppkey",
         F.col("l_linenumber").cast("long").alias("line"),
         F.col("l_returnflag").alias("flag"),
         extractor.alias("extractor"),
@@ -40,7 +42,7 @@ def _readings(spark, d):
     return df.withColumn("conflict", F.col("attested") & (F.col("measured") != F.col("expected")))
 
 
-READ = """select *, attested and measured<>expected as conflict from (select l_orderkey, line, flag, ex as extractor, case when tax>2 then ex else L[(disc+tax)%5+1] end as reader,
+READ = """select *, attested and measured<>expected as conflict from (select l_orderkey, l_partkey, l_suppkey, line, flag, ex as extractor, case when tax>2 then ex else L[(disc+tax)%5+1] end as reader,
         case when l_quantity>25 then 'increase' else 'decrease' end as expected,
         case when l_suppkey%3=0 then 'stable' when l_partkey%2=0 then 'increase' else 'decrease' end as actual,
         case when l_suppkey%2=0 then 'increase' else 'decrease' end as measured, line<>3 as attested
@@ -174,34 +176,31 @@ def extraction_errors(spark, d):
     return va.extraction_errors(sample, "extractor", "reader", weights)
 
 
-CASES = """select lang as stratum, d.doc_id, case when n_chars>1500 then 1e0 else 0e0 end as e, cast(quality as double) as r, w from documents d join labels l on d.doc_id=l.doc_id
-        join (select lang, count(*)/(count(doc2))::double as w from (select lang, l.doc_id as doc2 from documents d left join labels l on d.doc_id=l.doc_id) group by 1) using (lang)"""
+READERS = ("extractor", "reader")
+DRAWN_FIGURES = ", ".join(f"{figure_sql(r, k)} as {r}_{k}" for r in READERS for k in FIG)
+FIGURE_NAMES = [f"{r}/{k}" for r in (*READERS, "difference") for k in FIG]
+FIGURE_VALUES = [f"{r}_{k}" for r in READERS for k in FIG] + [f"reader_{k}-extractor_{k}" for k in FIG]
+WEIGHTED = f"select s.*, weight from ({SAMPLE_Q}) s join ({WEIGHTS}) w using (extractor)"
 
 
 @query(
     "F8_stratified_bootstrap",
     sql(
         "",
-        f"""select figure, count(v) as replicates, {ENDS.format(v='v')} from (select b, unnest(['extractor','reader','difference']) as figure,
-        unnest([100e0*sum(w*e)/sum(w), 100e0*sum(w*r)/sum(w), 100e0*sum(w*r)/sum(w)-100e0*sum(w*e)/sum(w)]) as v from {drawn(CASES, 'stratum', 'doc_id', 'strata')} group by b) group by 1""",
+        f"""select figure, count(v) as replicates, {ENDS.format(v='v')} from (
+        select unnest({FIGURE_NAMES}) as figure, unnest([{', '.join(FIGURE_VALUES)}]) as v
+        from (select b, {DRAWN_FIGURES} from {drawn(WEIGHTED, 'extractor', 'l_orderkey,line,l_partkey,l_suppkey', 'strata')} group by b)) group by 1""",
+        readings=READ,
     ),
 )
 def stratified_bootstrap(spark, d):
-    """Labelled documents resampled within language; length rule against the human label, weighted to all documents."""
-    docs = b.table(spark, d, "documents").select("doc_id", F.col("lang").alias("stratum"), "n_chars")
-    sample = docs.join(b.table(spark, d, "labels"), "doc_id")
-    weights = va.stratum_weights(sample, docs, "stratum")
-    s = va.reweight(sample, weights, "stratum").select(
-        "stratum",
-        "doc_id",
-        F.col("weight").alias("w"),
-        F.when(F.col("n_chars") > 1500, F.col("weight")).otherwise(0.0).alias("we"),
-        (F.col("weight") * F.col("quality")).alias("wr"),
-    )
-    pct = lambda c: F.col(c) / F.col("w") * 100
-    return rs.stratified_bootstrap(
-        s, "stratum", ["doc_id"], ["w", "we", "wr"], {"extractor": pct("we"), "reader": pct("wr"), "difference": pct("wr") - pct("we")}, 200
-    )
+    """All corpus figures of both readings and their differences, the sample resampled within strata."""
+    sample, weights = _sample(spark, d)
+    figures = va.WeightedFigures({r: r for r in READERS})
+    rows = va.reweight(sample, weights, "extractor").withColumns(figures.columns)
+    values = {f"{r}/{k}": v for r in READERS for k, v in figures.values[r].items()}
+    values |= {f"difference/{k}": v for k, v in figures.differences(*READERS).items()}
+    return rs.stratified_bootstrap(rows, "extractor", ["l_orderkey", "line", "l_partkey", "l_suppkey"], list(figures.columns), values, B)
 
 
 @query(
@@ -337,3 +336,88 @@ def upsert(spark, d):
     o = b.table(spark, d, "orders").withColumnRenamed("o_orderpriority", "key")
     block = [F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean")]
     return va.upsert(o.groupBy("key").agg(*block), o.where(F.col("o_orderstatus") == "F").groupBy("key").agg(*block), ["key"])
+
+
+# ------------------------------------------------------------------ files
+TRACED = """select *, 'traces_'||dataset||'1_'||mode||'_k'||k||'_n'||n||'.json' as file from (
+        select dataset, mode, n, case mode when 'zero_shot' then 0 else 3 end as k, unit, resp, length(text)%126 as truth, resp%126 as pred, text from resp)"""
+
+
+def _trace_files(spark, d):
+    """Responses written as trace files, one per dataset, mode and window length."""
+    r = b.responses(spark, d)
+    k = F.when(F.col("mode") == "zero_shot", 0).otherwise(3)
+    name = F.concat(F.lit("traces_"), "dataset", F.lit("1_"), "mode", F.lit("_k"), k.cast("string"), F.lit("_n"), F.col("n").cast("string"), F.lit(".json"))
+    rows = r.select(
+        F.col("unit").alias("engine_id"),
+        (F.length("text") % 126).cast("double").alias("true_rul"),
+        (F.col("resp") % 126).cast("double").alias("pred_rul"),
+        F.col("text").alias("reasoning"),
+        name.alias("file"),
+    )
+    path = staging_path(spark)
+    files.write_traces(rows, path)
+    return path
+
+
+TRACE_KEYS = "dataset||'1' as dataset, mode, k::bigint as k, n as n_cycles"
+
+
+@query(
+    "A3_trace_files",
+    sql("resp", f"select {TRACE_KEYS}, count(*) as n, {ERRS} from (select *, n as w from traced) group by dataset, mode, k, n", traced=TRACED),
+)
+def trace_files(spark, d):
+    """Trace files read back with the configuration in their names, and scored."""
+    traces = files.read_traces(spark, _trace_files(spark, d), array_files=False)
+    return m.error_metrics(traces, ["dataset", "mode", "k", "n_cycles"])
+
+
+@query(
+    "A6_trace_manifest",
+    sql(
+        "resp",
+        f"""select file, {TRACE_KEYS}, case when mode='zero_shot' then 'zero' else 'other' end as experiment, count(*) as responses,
+        count(distinct pred) as distinct_values, true as hashed from traced group by all""",
+        traced=TRACED,
+    ),
+)
+def trace_manifest(spark, d):
+    """One row per trace file: path, size, hash, class, configuration and run statistics."""
+    found = files.trace_manifest(spark, _trace_files(spark, d), (("zero", "zero_shot"),), array_files=False)
+    return found.select(
+        "file",
+        "dataset",
+        "mode",
+        "k",
+        "n_cycles",
+        "experiment",
+        F.col("n").alias("responses"),
+        "distinct_values",
+        ((F.length("sha256") == 64) & (F.col("bytes") > 0) & F.col("path").endswith(F.col("file"))).alias("hashed"),
+    )
+
+
+@query(
+    "A5_label_export",
+    sql("", "select doc_id as \"case\", 's'||quality as sensor, case when toxic=1 then 'increase' else 'stable' end as label, toxic=1 as revealed from labels"),
+)
+def label_export(spark, d):
+    """Labels written as exports of a reading tool, a list under either root key, wrapped or not, and imported."""
+    lab = b.table(spark, d, "labels")
+    one = F.struct(
+        F.col("doc_id").alias("case"),
+        F.concat(F.lit("s"), "quality").alias("sensor"),
+        F.when(F.col("toxic") == 1, " Increase ").otherwise("STABLE").alias("first_label"),
+        (F.col("toxic") == 1).alias("revealed"),
+    )
+    wrapped = F.struct(one.alias("data"))
+    kinds = []
+    for kind, (root, item) in enumerate((("readings", one), ("letture", one), ("readings", wrapped))):
+        part = lab.where(F.col("doc_id") % 3 == kind).groupBy((F.col("doc_id") % 64).alias("sheet"))
+        kinds.append(part.agg(F.to_json(F.struct(F.collect_list(item).alias(root))).alias("value")))
+    path = staging_path(spark)
+    for i, export in enumerate(kinds):
+        export.write.partitionBy("sheet").text(f"{path}/{i}")
+    imported = [files.read_labels(spark, f"{path}/{i}") for i in range(len(kinds))]
+    return m.compare_models(*imported).select("case", "sensor", "label", "revealed")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import config_from_file
 from ..operators.metrics import run_manifest
-from ..operators.ordering import positions
+from ..operators.ordering import match, positions
 
 TRACE_SCHEMA = (
     "engine_id bigint, true_rul double, pred_rul double, reasoning string, arm string, "
@@ -44,12 +44,14 @@ def read_trajectories(spark: SparkSession, path: str, columns: Sequence[str] | N
 
 
 def read_terminal_labels(spark: SparkSession, path: str) -> DataFrame:
-    """One label per line; `pos` is the line number within the file.
+    """One label per line; `pos` is the line number within the dataset's file (or folder `dataset=…` with one file).
 
     Lines are numbered per file block in parallel and the blocks are put in order by their offset.
     """
-    raw = spark.read.text(path).select(
-        F.regexp_extract("_metadata.file_name", r"([A-Za-z]+\d+)\.txt$", 1).alias("dataset"),
+    lines = spark.read.text(path)
+    named = F.regexp_extract("_metadata.file_name", r"([A-Za-z]+\d+)\.txt$", 1)
+    raw = lines.select(
+        (F.col("dataset") if "dataset" in lines.columns else named).alias("dataset"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
         F.trim("value").alias("v"),
@@ -59,6 +61,11 @@ def read_terminal_labels(spark: SparkSession, path: str) -> DataFrame:
     return numbered.select("dataset", "pos", F.col("v").cast("double").alias("rul"))
 
 
+def record_path() -> Column:
+    """Path of a record's file; for a folder that holds one file's parts, the folder's."""
+    return F.regexp_replace(F.col("_metadata.file_path"), r"/part-[^/]+$", "")
+
+
 def read_traces(spark: SparkSession, path: str, array_files: bool = True) -> DataFrame:
     """Prediction records with the run configuration from the file name.
 
@@ -66,10 +73,12 @@ def read_traces(spark: SparkSession, path: str, array_files: bool = True) -> Dat
     per line, which Spark can split and which suits large exports.
     """
     df = spark.read.option("multiLine", array_files).schema(TRACE_SCHEMA).json(path)
-    file = F.col("_metadata.file_name")
+    whole = record_path()
+    file = F.regexp_extract(whole, r"([^/=]+)$", 1)
     config = {name: c for name, c in config_from_file(file).items()}
     own = {"k": F.coalesce(F.col("k"), config["k"]), "seed": F.coalesce(F.col("seed"), config["seed"])}
     return df.select(
+        whole.alias("path"),
         file.alias("file"),
         config["dataset"].alias("dataset"),
         config["mode"].alias("mode"),
@@ -135,30 +144,48 @@ def write_claims(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("dataset").parquet(path)
 
 
-# Experiment class by folder or file name, first match wins.
-EXPERIMENT_PATTERNS = (
-    ("original grid", r"/results/[^/]+$"),
-    ("control arms", r"/results_p0/[^/]+$"),
-    ("corrected grid", r"_grid_[^/]*$"),
-    ("example-set experiment", r"_fs_k5_n5_(asis|strat|random)_seed[^/]*$"),
-    ("multi-condition", r"/traces_p2_[^/]*$"),
-)
-OTHER_EXPERIMENT = "model sweep"
+def file_manifest(
+    spark: SparkSession, path: str, classes: Sequence[tuple[str, str]] = (), otherwise: str = "other", root: str = ""
+) -> DataFrame:
+    """Path below `root`, size, SHA-256 and experiment class of every file.
+
+    `classes` are (name, pattern) pairs tried on the path in order. The file source
+    hands a file over whole, so files are limited to what one row can hold (2 GB).
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    place, kind = record_path(), F.lit(otherwise)
+    for label, pattern in reversed(list(classes)):
+        kind = F.when(place.rlike(pattern), F.lit(label)).otherwise(kind)
+    return files.select(
+        place.alias("path"),
+        F.replace(place, F.lit(root), F.lit("")).alias("below_root") if root else place.alias("below_root"),
+        F.col("length").alias("bytes"),
+        F.sha2("content", 256).alias("sha256"),
+        kind.alias("experiment"),
+    )
+
+
+def trace_manifest(
+    spark: SparkSession, path: str, classes: Sequence[tuple[str, str]] = (), array_files: bool = True, default_model: str | None = None
+) -> DataFrame:
+    """The file manifest with each file's configuration, model and run statistics, keyed by path.
+
+    The model is the record's own, else the variant in the file name, else the default.
+    """
+    by = ["path", "file", "dataset", "mode", "k", "n_cycles", "run", "seed", "model"]
+    traces = read_traces(spark, path, array_files).where(F.col("pred").isNotNull())
+    traces = traces.withColumn("model", F.coalesce("model", "variant", F.lit(default_model)))
+    stats = run_manifest(traces, by, "text")
+    return match(file_manifest(spark, path, classes), stats, ["path"], "left")
 
 
-def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """File name, size, SHA-256 and experiment class. Trace files are small, so their bytes pass one task each."""
-    files = spark.read.format("binaryFile").load(path)
-    kind = F.lit(OTHER_EXPERIMENT)
-    for label, pattern in reversed(EXPERIMENT_PATTERNS):
-        kind = F.when(F.col("path").rlike(pattern), F.lit(label)).otherwise(kind)
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    return files.select(name.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), kind.alias("experiment"))
+def write_label_lines(df: DataFrame, path: str, label: str = "rul", pos: str = "pos") -> None:
+    """One label per line in the order of `pos`, a folder with one file per dataset."""
+    rows = df.select("dataset", pos, F.col(label).cast("string").alias("value"))
+    ordered = rows.repartition("dataset").sortWithinPartitions("dataset", pos)
+    ordered.select("dataset", "value").write.partitionBy("dataset").text(path)
 
 
-def trace_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The file manifest with each file's configuration and run statistics."""
-    by = ["file", "dataset", "mode", "k", "n_cycles", "run", "seed"]
-    traces = read_traces(spark, path).where(F.col("pred").isNotNull())
-    stats = run_manifest(traces.fillna(-1, ["seed"]).fillna("", ["dataset", "mode"]), by, "text")
-    return file_manifest(spark, path).join(stats, "file", "left").withColumn("seed", F.when(F.col("seed") >= 0, F.col("seed")))
+def write_traces(df: DataFrame, path: str, file: str = "file") -> None:
+    """Records as JSON lines, a folder with the name of each file."""
+    df.repartition(file).write.partitionBy(file).json(path)
