@@ -84,7 +84,7 @@ def test_experiment_classes(spark, tmp_path):
         ("multi-condition", r"/traces_p2_[^/]*$"),
     )
     where = str(tmp_path / "results*" / "*.json")
-    root = f"file://{tmp_path}/"
+    root = f"file:{tmp_path}/"
     got = {r.below_root: r.experiment for r in files.file_manifest(spark, where, classes, "model sweep", root).collect()}
     assert got == names
     runs = {r.path.removeprefix(root): r for r in files.trace_manifest(spark, where, classes, default_model="base").collect()}
