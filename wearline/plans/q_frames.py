@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as nm
 from ..operators import claims as cl
 from ..operators import frames as fr
 from ..operators import prompts as pr
-from ..operators.ordering import value_positions
+from ..operators import sampling as sp
+from ..operators.ordering import match, value_positions
 from ..session import staging_path
 from ..sources import files
 from . import bindings as b
-from .oracle import RANGES, d6, long, sql
+from .oracle import RANGES, d6, h, long, sql
 from .registry import query
 
 S4 = ("s1", "s2", "s3", "s4")
@@ -340,6 +342,43 @@ def prompts(spark, d):
     return pr.render_prompts(blocks, TEMPLATE, CUE, PROMPT_ARMS, 15)
 
 
+SHOTS, SHOT_EDGES = 5, (0, 13, 26, 40)
+SHOT_TEMPLATE = "Dataset {dataset}, last {n} cycles.\n{examples}\n{sensor_block}\nGive RUL_ESTIMATE and REASONING."
+SHOT_BIN = "case when rul<=13 then 0 when rul<=26 then 1 else 2 end"
+SHOT_TIER = f"case when rul>80 then '{nm.TIER_HEALTHY}' when rul>40 then '{nm.TIER_MIDDLE}' else '{nm.TIER_WORN}' end"
+
+
+@query(
+    "I7_few_shot_prompts",
+    sql(
+        "train tails",
+        f"""select dataset, unit, md5('Dataset '||dataset||', last 15 cycles.'||chr(10)||examples||chr(10)||block||chr(10)||'Give RUL_ESTIMATE and REASONING.') as prompt_md5
+        from ({BLOCK.format(n=15)}) join (
+        select dataset, string_agg('Example '||slot||' — True RUL: '||rul||chr(10)||'Sensor readings:'||chr(10)||block||chr(10)||'Pattern: '||{SHOT_TIER}||chr(10), chr(10) order by slot) as examples from (
+        select s.dataset, slot, s.rul, string_agg('  t-'||(s.cycle-t.cycle+1)||': s1='||printf('%.3f',round(t.s1,3))||'  s2='||printf('%.3f',round(t.s2,3)), chr(10) order by t.cycle) as block
+        from shots s join train t on t.dataset=s.dataset and t.unit=s.unit and t.cycle between s.cycle-14 and s.cycle group by all) group by 1) using (dataset)""",
+        shots=f"""select *, row_number() over (partition by dataset order by bin, unit, cycle, drawn_cycle) as slot from (
+        select d.dataset, d.unit, cast(d.rul as bigint) as rul, bin, d.cycle as drawn_cycle, m.cycle from (
+        select *, row_number() over (partition by dataset, bin order by {h('examples', 'dataset', 'unit', 'cycle')}, dataset, unit, cycle) as r from (select *, {SHOT_BIN} as bin from train where cycle>=15)) d
+        join (select dataset, unit, rul, max(cycle) as cycle from train where cycle>=15 group by all) m using (dataset, unit, rul) where r<=case when bin<2 then 2 else 1 end)""",
+    ),
+)
+def few_shot_prompts(spark, d):
+    """Prompts with five worked examples, drawn evenly over the label range of the unit's dataset."""
+    traj = b.trajectories(spark, d)
+    train = fr.with_rul(traj, b.CAP).select("dataset", "unit", "cycle", "rul", "s1", "s2")
+    picks = sp.stratified_examples(train.select("dataset", "unit", "cycle", "rul"), SHOTS, 15, edges=SHOT_EDGES)
+    order = Window.partitionBy("dataset").orderBy("bin", "unit", "cycle", "drawn_cycle")  # a handful of rows each
+    shots = picks.withColumn("slot", F.row_number().over(order)).select("dataset", "unit", "slot", "rul", F.col("cycle").alias("until"))
+    rows = match(train.drop("rul"), shots, ["dataset", "unit"]).withColumn("back", F.col("until") - F.col("cycle") + 1)
+    shown = rows.where((F.col("back") >= 1) & (F.col("back") <= 15))
+    blocks = pr.render_block(shown, ["s1", "s2"], 15, ["dataset", "slot", "rul"])
+    examples = pr.example_block(blocks, ["dataset"])
+    own = pr.render_block(fr.tail_window(b.observed(traj), 15), ["s1", "s2"], 15)
+    values = {"dataset": F.col("dataset"), "n": F.lit("15"), "examples": F.col("examples"), "sensor_block": F.col("block")}
+    return match(own, examples, ["dataset"]).select("dataset", "unit", F.md5(pr.fill(SHOT_TEMPLATE, values)).alias("prompt_md5"))
+
+
 @query(
     "D27_sensor_directions",
     sql(

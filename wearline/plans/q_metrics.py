@@ -70,12 +70,12 @@ def best_constant(spark, d):
         "preds",
         f"""select dataset, count(*) as draws, {d6('avg(rmse)','rmse')}, {d6('avg(mae)','mae')}, {d6('avg(score)','score')} from (
         select dataset, draw, {ERR[0]} as rmse, {ERR[1]} as mae, {ERR[2]} as score from (
-        select *, floor({u('random','draw','unit')}*{b.CAP + 1}) as pred from test, (select unnest(range(1,201)) as draw)) group by all) group by 1""",
+        select *, floor({u('random','draw','unit')}*{b.CAP + 1}) as pred from test, (select unnest(range(1,1001)) as draw)) group by all) group by 1""",
         test=TEST,
     ),
 )
 def random_baseline(spark, d):
-    return m.random_baseline(labels(b.predictions(spark, d)), ["unit"], 200, b.CAP)
+    return m.random_baseline(labels(b.predictions(spark, d)), ["unit"], 1000, b.CAP)
 
 
 CONC = """select {by}, cast(sum(c) as bigint) as n, count(*) as distinct_values, round(arg_min(v, struct_pack(a := -c, b := v)),6) as modal_value,
