@@ -28,6 +28,8 @@ TUPLE = 2
 VALUE_BITS = 40
 #: Bytes of text whose k-mers are sorted together.
 TOGETHER = 1 << 20
+#: Parts of the sorted order to a shuffle partition, so that hashing parts to partitions evens out.
+PARTS_PER_PARTITION = 4
 #: Fills texts shorter than k; no code point has this value.
 FILLER = 0x110000
 
@@ -125,13 +127,13 @@ def beside_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
     )
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    parts = width(spark)
+    parts = PARTS_PER_PARTITION * width(spark)
     cut = with_bucket(rows, "doc_id", cut_points(rows.select("doc_id"), "doc_id", parts), "part")
     cut = cut.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("part")).cast("int"))
     heads = cut.groupBy("part").agg(F.max(F.struct("doc_id", "tie")).alias("head")).collect()
     heads.sort(key=lambda r: -r["part"])
     goes = [(h["head"]["doc_id"], h["head"]["tie"], heads[i - 1]["part"]) for i, h in enumerate(heads)]
-    # one row per part, so as many as there are shuffle partitions
+    # one row per part, so a few times as many as there are shuffle partitions
     guests = F.broadcast(spark.createDataFrame(goes, "head_id long, head_tie long, host int"))
     met = cut.join(guests, F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie")), "left")
     home = F.struct("part", F.lit(False).alias("guest"))
@@ -141,7 +143,7 @@ def beside_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         "p.part", "p.guest", "doc_id", "tie", "text"
     )
     return (
-        dealt.repartition(parts, "part")
+        dealt.repartition(width(spark), "part")
         .sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), F.desc("tie"))
         .select("part", "guest", "doc_id", "text")
     )
