@@ -9,9 +9,10 @@ from ..operators import claims as cl
 from ..operators import frames as fr
 from ..operators import resample as rs
 from ..operators import sampling as sp
+from ..operators.ordering import match
 from ..session import shared
 from . import bindings as b
-from .oracle import h, sql, u
+from .oracle import CTX, h, mentions, sql, u
 from .q_metrics import RANKED
 from .registry import query
 
@@ -267,6 +268,23 @@ def multiplicity(spark, d):
     return rs.adjust_pvalues(p, ["family"], "p")
 
 
+OFF_TREND = "blest|therr|eurs"
+SETS = {
+    "docs": "select doc_id as resp, text from documents",
+    "off": f"""select resp, sensor from (select resp, sensor, string_agg({CTX}, ' || ' order by i) as clause
+        from {mentions('docs', 'resp', 60, 80)} group by all) where regexp_matches(clause, '{OFF_TREND}')""",
+    "sets": "select 'all' as set, * from claims union all select 'unflagged', * from claims anti join off using (resp, sensor)",
+}
+
+
+def _sets(spark, d):
+    """Every claim, and those whose clause speaks of a trend and not of levels, side by side."""
+    claims = b.claims_table(spark, d)
+    docs = b.documents(spark, d).select(F.col("doc_id").alias("resp"), "text")
+    clauses = cl.matched_clauses(docs, ["resp"], "text", b.TERMS, OFF_TREND).select("resp", "sensor", "off_trend")
+    return rs.with_and_without(match(claims, clauses, ["resp", "sensor"], "left").fillna(False, ["off_trend"]), "off_trend")
+
+
 @query(
     "F12_sensitivity",
     sql(
@@ -274,13 +292,12 @@ def multiplicity(spark, d):
         f"""select set, sensor, max(claims) as claims, round(max(gap),6) as gap, {ENDS.format(v='v')} from (
         select set, sensor, b, (sum(hh)-sum(g))/sum(n)::double as v from {drawn('select set, sensor, unit, count(*) as n, count(*) filter (where input_hit) as hh, count(*) filter (where base_hit) as g from sets group by all', 'set,sensor', 'unit', 'boot')} group by all)
         join (select set, sensor, count(*) as claims, avg(cast(input_hit as double))-avg(cast(base_hit as double)) as gap from sets group by all) using (set, sensor) group by all""",
-        sets="select 'all' as set, * from claims union all select 'unflagged', * from claims where mentions<=5",
+        **SETS,
     ),
 )
 def sensitivity(spark, d):
-    """The same contrast with and without flagged claims (here: many mentions), from one pass."""
-    claims = b.claims_table(spark, d).withColumn("flag", F.col("mentions") > 5)
-    sets = rs.with_and_without(claims, "flag").withColumns(
+    """Gap between window faithfulness and base rate, with and without claims about levels, from one pass."""
+    sets = _sets(spark, d).withColumns(
         {"n": F.lit(1.0), "hh": F.col("input_hit").cast("double"), "g": F.col("base_hit").cast("double")}
     )
     stat = ratio(F.col("hh") - F.col("g"), "n")
@@ -290,6 +307,57 @@ def sensitivity(spark, d):
     return sets.groupBy(*by).agg(F.count(F.lit(1)).alias("claims"), gap.alias("gap")).join(ci, by)
 
 
+@query(
+    "F12_cue_gap",
+    sql(
+        "claims",
+        f"""select set, count(v) as replicates, {ENDS.format(v='v')} from (select set, b, sum(h1)/nullif(sum(n1),0)::double-sum(h0)/nullif(sum(n0),0)::double as v
+        from {drawn(f'select set, unit, {CUED_SUMS} from sets group by all', 'set', 'unit', 'boot')} group by all) group by 1""",
+        **SETS,
+    ),
+)
+def sensitivity_cue_gap(spark, d):
+    """Cued minus uncued agreement in both sets, resampling units."""
+    return rs.cluster_bootstrap(_sided(_sets(spark, d)), ["set"], ["unit"], SUMS, gap_column(), B)
+
+
+@query(
+    "F12_relabelled_sensors",
+    sql(
+        "claims",
+        f"""select set, round(max(obs),6) as observed, count(v) as permutations, count(*) filter (where abs(v)>=abs(obs)-1e-12) as hits, round(count(*) filter (where abs(v)>=abs(obs)-1e-12)/count(v)::double,6) as p, round(0.1e0,6) as floor_p from (
+        select set, x.s1, x.s2, x.s3, avg(cast(reference_hit as double)) filter (where sensor in (x.s1,x.s2,x.s3)) - avg(cast(reference_hit as double)) filter (where sensor not in (x.s1,x.s2,x.s3)) as v,
+        avg(cast(reference_hit as double)) filter (where cued) - avg(cast(reference_hit as double)) filter (where not cued) as obs
+        from sets, (select a.s as s1, b.s as s2, c.s as s3 from sen a, sen b, sen c where a.s<b.s and b.s<c.s) x group by all) group by 1""",
+        **SETS,
+        sen="select unnest(['s1','s2','s3','s5','s6']) as s",
+    ),
+)
+def sensitivity_sensors(spark, d):
+    """All relabellings of the cued sensors in both sets."""
+    return rs.permute_sensors(_sets(spark, d), ["set"], "sensor", b.CUED, b.SCORED, "reference_hit")
+
+
+@query(
+    "F12_relabelled_templates",
+    sql(
+        "claims",
+        f"""select set, dataset, round(max(obs),6) as observed, {P_SQL.format(hit='abs(v)>=abs(obs)-1e-12')} from (select set, dataset, b,
+        sum(h) filter (where lab)/sum(n) filter (where lab)-sum(h) filter (where not lab)/sum(n) filter (where not lab) as v from (
+        select s.*, p.lab from (select set, dataset, b, config, n, h, row_number() over (partition by set, dataset, b order by {h('labels', 'b', 'config')}, config) as pos from items, {REPS}) s
+        join pos p on p.set=s.set and p.dataset=s.dataset and p.pos=s.pos) group by all)
+        join (select set, dataset, sum(h) filter (where lab)/sum(n) filter (where lab)-sum(h) filter (where not lab)/sum(n) filter (where not lab) as obs from items group by all) using (set, dataset) group by set, dataset""",
+        **SETS,
+        items="select set, dataset, config, mode='zero_shot' as lab, count(*)::double as n, count(*) filter (where reference_hit)::double as h from sets group by all",
+        pos=f"select *, row_number() over (partition by set, dataset order by {h('labels', 'config')}, config) as pos from items",
+    ),
+)
+def sensitivity_templates(spark, d):
+    """Template labels shuffled over configurations in both sets."""
+    sets = _sets(spark, d).withColumn("zs", F.col("mode") == "zero_shot")
+    return rs.permute_labels(sets, ["set", "dataset"], "config", "zs", "reference_hit", B)
+
+
 # ------------------------------------------------------------------ sampling
 QUOTA = {"increase": 40, "decrease": 40, "stable": 9, "unspecified": 30, "absent": 20}
 QUOTA_CASE = "case claimed " + " ".join(f"when '{k}' then {v}" for k, v in QUOTA.items()) + " end"
