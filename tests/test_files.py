@@ -132,5 +132,7 @@ def test_arriving_records_skip_finished_keys(spark, tmp_path):
 
     arrive("1.json", ("a", 1, 10.0, 12.0), ("a", 1, 10.0, 12.0), ("a", 2, 10.0, 10.0))
     arrive("2.json", ("a", 2, 99.0, 10.0), ("a", 3, 14.0, 10.0))
+    mark = str(tmp_path / "another")  # a new checkpoint sees every file again and must keep what is stored
+    arrive("3.json", ("a", 3, 77.0, 10.0))
     got = arrivals.stored_metrics(spark, store, ["config"]).first()
     assert got.n == 3 and got.rmse == pytest.approx(((4 + 0 + 16) / 3) ** 0.5)

@@ -613,7 +613,7 @@ def score_models(spark, d):
     return m.score_models(m.compare_models(p.select("dataset", "truth", "pred", F.lit("line").alias("model")), flat))
 
 
-@query("B4_operating_regimes")
+@query("B4_operating_regimes", sql("traj", "select setting1, setting2, 1::bigint as regimes, count(*) as rows from traj group by all"))
 def operating_regimes(spark, d):
     """Six k-means regimes on the settings, and how the rows spread over them."""
     traj = b.trajectories(spark, d)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,20 +21,27 @@ def arriving_records(spark: SparkSession, folder: str, schema: str) -> DataFrame
 def append_new(stream: DataFrame, store: str, checkpoint: str, keys: Sequence[str]) -> StreamingQuery:
     """Append records whose key is not stored yet.
 
-    Each batch goes to a folder of its own number and overwrites it, so a batch
-    that is repeated after a failure leaves the same rows.
+    Each batch goes to a folder of its checkpoint and number and overwrites only
+    that, so a batch that is repeated after a failure leaves the same rows, and a
+    stream with a new checkpoint adds to the store. Keys are compared with all of
+    the store but the batch's own folder. Give every checkpoint a path of its own.
     """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    # an empty part, so that the store can always be read
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{store}/run=none/batch=0")
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(list(keys))
-        if number > 0:
-            earlier = spark.read.schema(batch.schema).parquet(store).where(F.col("batch") < number)
-            fresh = pending(fresh, earlier, keys)
-        fresh.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        stored = batch.sparkSession.read.schema(f"{schema_of(batch)}, run string, batch bigint").parquet(store)
+        others = stored.where((F.col("run") != run) | (F.col("batch") != number))
+        fresh = pending(batch.dropDuplicates(list(keys)), others, keys)
+        fresh.write.mode("overwrite").parquet(f"{store}/run={run}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def schema_of(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def stored_metrics(spark: SparkSession, store: str, by: Sequence[str]) -> DataFrame:
     return error_metrics(spark.read.parquet(store), list(by))
