@@ -104,16 +104,15 @@ def claim_figures(label: str) -> dict[str, tuple[Column, Column | None]]:
 
     Expects columns expected, actual, measured, attested, conflict.
     """
-    said = F.col(label)
-    stated = is_directional(label)
-    hits = lambda other: stated & (said == F.col(other))
+    said, stated = F.col(label), is_directional(label)
+    agrees = lambda other: stated & (said == F.col(other))
     return {
-        "claims": (stated, None),
-        "ref": (hits("expected"), stated),
-        "window": (hits("actual"), stated),
-        "base": (stated & (F.col("expected") == F.col("actual")), stated),
-        "bench": (hits("measured") & F.col("attested"), stated & F.col("attested")),
-        "conflict_ref": (hits("expected") & F.col("conflict"), stated & F.col("conflict")),
+        "stated_claims": (stated, None),
+        "base_rate_pct": (stated & (F.col("expected") == F.col("actual")), stated),
+        "input_pct": (agrees("actual"), stated),
+        "reference_pct": (agrees("expected"), stated),
+        "conflict_reference_pct": (agrees("expected") & F.col("conflict"), stated & F.col("conflict")),
+        "measured_pct": (agrees("measured") & F.col("attested"), stated & F.col("attested")),
     }
 
 
@@ -137,7 +136,7 @@ class WeightedFigures:
                         self.columns[column] = F.when(condition, F.col(weight)).otherwise(0.0)
                         sums.append(F.col(column))
                 own[name] = sums[0] if bottom is None else percent(*sums)
-            own["gap"] = own["window"] - own["base"]
+            own["input_over_base_pct"] = own["input_pct"] - own["base_rate_pct"]
             self.values[reading] = own
 
     def differences(self, first: str, second: str) -> dict[str, Column]:

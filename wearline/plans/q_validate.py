@@ -100,23 +100,23 @@ def pooled_scores(spark, d):
 
 
 FIG = {
-    "claims": ("c", None),
-    "ref": ("c and lab=expected", "c"),
-    "window": ("c and lab=actual", "c"),
-    "base": ("c and expected=actual", "c"),
-    "gap": (None, "c"),
-    "bench": ("c and attested and lab=measured", "c and attested"),
-    "conflict_ref": ("c and conflict and lab=expected", "c and conflict"),
+    "stated_claims": ("c", None),
+    "reference_pct": ("c and lab=expected", "c"),
+    "input_pct": ("c and lab=actual", "c"),
+    "base_rate_pct": ("c and expected=actual", "c"),
+    "input_over_base_pct": (None, "c"),
+    "measured_pct": ("c and attested and lab=measured", "c and attested"),
+    "conflict_reference_pct": ("c and conflict and lab=expected", "c and conflict"),
 }
 
 
 def figure_sql(lab: str, name: str) -> str:
     s = lambda cond: f"sum(case when {cond} then weight else 0 end)".replace("lab", lab).replace("c and", f"{lab} in ('increase','decrease') and") if cond != "c" else f"sum(case when {lab} in ('increase','decrease') then weight else 0 end)"
     num, den = FIG[name]
-    if name == "claims":
+    if name == "stated_claims":
         return s("c")
-    if name == "gap":
-        return f"100e0*({s(FIG['window'][0])}-{s(FIG['base'][0])})/{s('c')}"
+    if name == "input_over_base_pct":
+        return f"100e0*({s(FIG['input_pct'][0])}-{s(FIG['base_rate_pct'][0])})/{s('c')}"
     return f"100e0*{s(num)}/{s(den)}"
 
 
