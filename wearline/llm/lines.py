@@ -51,10 +51,8 @@ def spread_lines(
     often = found.groupBy("h").agg(
         F.count(F.lit(1)).alias("n"), F.min("site").alias("first"), F.max("site").alias("last")
     )
-    several = 1 if min_sites <= 1 else 2
-    could = keep(
-        often.where((F.col("n") >= min_sites) & (F.lit(several == 1) | (F.col("first") != F.col("last")))).select("h")
-    )
+    several = F.lit(min_sites <= 1) | (F.col("first") != F.col("last"))
+    could = keep(often.where((F.col("n") >= min_sites) & several).select("h"))
     pairs = found.join(could, "h", "left_semi")
     error = 0.83 / 2 ** (log_registers / 2)
     sketched = keep(
