@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import uniform
 from ..functions.numeric import RUL_CAP, asymmetric_penalty, mean_flag, percent, ratio, to_grid
 from ..functions import tails
+from ..session import shared
 from .ordering import match
 
 
@@ -51,7 +52,7 @@ def constant_baselines(train: DataFrame, test: DataFrame, cap: float = RUL_CAP,
     `train` has (dataset, rul), `test` has (dataset, truth), both capped whole numbers. Everything is
     computed from label counts: at most cap + 1 values per dataset.
     """
-    tr, te = truth_counts(train, truth="rul"), truth_counts(test)
+    tr, te = shared(truth_counts(train, truth="rul")), shared(truth_counts(test))
     by = ["dataset"]
 
     def mean(c: DataFrame, name: str) -> DataFrame:

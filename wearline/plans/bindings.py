@@ -78,9 +78,9 @@ def observed(traj: DataFrame) -> DataFrame:
     return with_life(traj).where(F.col("cycle") <= end)
 
 
-def predictions(spark: SparkSession, d: str) -> DataFrame:
+def predictions(spark: SparkSession, d: str, traj: DataFrame | None = None) -> DataFrame:
     """Nine run configurations (window n × output quantum q) on every observed unit."""
-    seen = observed(trajectories(spark, d))
+    seen = observed(traj if traj is not None else trajectories(spark, d))
     tails = tail_windows(seen, LENGTHS)
     means = tails.groupBy("dataset", "unit", "n").agg(
         F.avg("s2").alias("m"), F.first("life").alias("life"), F.max("cycle").alias("last")

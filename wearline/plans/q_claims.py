@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import claims as cl
 from ..operators import metrics as m
 from ..operators import validate as va
+from ..session import shared
 from . import bindings as b
 from .oracle import d6, direction, sql
 from .q_frames import attested_sql
@@ -186,8 +187,8 @@ def arms_chi2(spark, d):
 @query("C9_lookup_unique", sql("opps", "select dataset, config, unit, sensor, count(*) as matches, case when count(*)=1 then min(claimed) end as claimed from opps group by all"))
 def lookup_unique(spark, d):
     """Every (config, unit, sensor) looked up in the claims; only exact single matches give a value."""
-    claims = b.opportunities(spark, d)
     keys = ["dataset", "config", "unit", "sensor"]
+    claims = shared(b.opportunities(spark, d).select(*keys, "claimed"))
     return va.lookup_unique(claims.select(*keys).distinct(), claims, keys, "claimed")
 
 

@@ -12,6 +12,7 @@ from ..operators import models as md
 from ..operators import rank as rk
 from ..operators import sampling as sp
 from ..operators import validate as va
+from ..session import shared
 from . import bindings as b
 from .noskill import baselines, beats_a_constant, labels
 from .oracle import d6, sql, u
@@ -554,7 +555,7 @@ def set_equal(spark, d):
     sql("arms", "select engine, sensor from arms where arm='repl' and directional intersect select engine, sensor from arms where arm='revdata' and directional"),
 )
 def common_keys(spark, d):
-    a = b.arm_claims(spark, d).where("directional")
+    a = shared(b.arm_claims(spark, d).where("directional").select("arm", "engine", "sensor"))
     return va.common_keys(a.where(F.col("arm") == "repl"), a.where(F.col("arm") == "revdata"), ["engine", "sensor"])
 
 
