@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import workers_import_this
 
-WORDS_KEPT = 400_000
-PAIRS_KEPT = 2_000_000
+WORDS_KEPT = 250_000
+PAIRS_KEPT = 400_000
 NEVER = 1 << 60
 # fixed value: the splitting pattern of the vocabulary's library
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -70,7 +70,7 @@ class Vocabulary:
             self.halves.setdefault(ids[spell[left] + spell[right]], (a, b, r))
         self.pattern = regex.compile(PATTERN)
         self.split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self._forget()
 
@@ -89,7 +89,8 @@ class Vocabulary:
 
     def stay_apart(self, a: int, b: int) -> bool:
         """Does encoding a's bytes followed by b's bytes give exactly [a, b]?"""
-        hit = self.apart.get((a, b))
+        key = a << 32 | b
+        hit = self.apart.get(key)
         if hit is not None:
             return hit
         left, right = self._edge(a, True), self._edge(b, False)
@@ -110,7 +111,7 @@ class Vocabulary:
                 j += 1
         if len(self.apart) >= PAIRS_KEPT:
             self.apart.clear()
-        self.apart[a, b] = hit
+        self.apart[key] = hit
         return hit
 
     def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
