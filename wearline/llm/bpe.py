@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import workers_import_this
 
-WORDS_KEPT = 250_000
+WORDS_KEPT = 300_000
 PAIRS_KEPT = 400_000
 NEVER = 1 << 60
 # fixed value: the splitting pattern of the vocabulary's library
@@ -70,6 +70,9 @@ class Vocabulary:
             self.halves.setdefault(ids[spell[left] + spell[right]], (a, b, r))
         self.pattern = regex.compile(PATTERN)
         self.split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        top = max(self.bytes_of) + 1
+        self.size_of = [len(self.bytes_of.get(i, b"")) for i in range(top)]
+        self.edges = [[self._edge(i, right) for i in range(top)] for right in (False, True)]
         self.apart: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self._forget()
@@ -93,7 +96,7 @@ class Vocabulary:
         hit = self.apart.get(key)
         if hit is not None:
             return hit
-        left, right = self._edge(a, True), self._edge(b, False)
+        left, right = self.edges[1][a], self.edges[0][b]
         i = j = 0
         while True:
             (x, x_gone), (y, y_gone) = left[i], right[j]
@@ -117,6 +120,7 @@ class Vocabulary:
     def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Encodings of distinct words in byte order, in that order."""
         out, last, path = [], b"", []
+        apart, ends, size_of = self.apart, self.ends.iter, self.size_of
         for word in words:
             same, most = 0, min(len(word), len(last))
             if word[:most] == last[:most]:
@@ -126,15 +130,22 @@ class Vocabulary:
                     same += 1
             del path[same:]
             done = same - 1
-            for end, (t, n) in self.ends.iter(word.decode("latin-1")):
-                if end > done and (n > end or self.stay_apart(path[end - n], t)):
+            for end, (t, n) in ends(word.decode("latin-1")):
+                if end > done:
+                    if n <= end:
+                        u = path[end - n]
+                        free = apart.get(u << 32 | t)
+                        if not (self.stay_apart(u, t) if free is None else free):
+                            continue
                     path.append(t)
                     done = end
             last, ids, at = word, [], len(word)
             while at:
-                ids.append(path[at - 1])
-                at -= len(self.bytes_of[path[at - 1]])
-            out.append(tuple(reversed(ids)))
+                t = path[at - 1]
+                ids.append(t)
+                at -= size_of[t]
+            ids.reverse()
+            out.append(tuple(ids))
         return out
 
     def learn(self, words: set[str]) -> None:
