@@ -34,13 +34,13 @@ def scan_verdict(text, term):
     return next((x for x in ("increase", "decrease", "stable", "unspecified") if x in ranks), "absent")
 
 
-def scan_reader(text, term):
+def scan_reader(text, term, cap=None):
     out = []
     for b, t, a, m in contexts(text, term, 120, 160):
         left = "..." if m.start() > 120 else ""
         right = "..." if m.end() + 160 < len(text) else ""
         out.append(left + (b + t + a).replace("\n", " ") + right)
-    return " || ".join(out)[:1200]
+    return " || ".join(out)[:cap]
 
 
 CASES = [
@@ -82,6 +82,7 @@ def test_verdicts_match_a_positional_scan(texts):
 def test_clauses_and_reader_contexts(texts):
     clauses = {(r.id, r.sensor): r for r in cl.matched_clauses(texts, ["id"], "text", TERMS).collect()}
     reader = {(r.id, r.sensor): r for r in cl.reader_contexts(texts, ["id"], "text", TERMS).collect()}
+    capped = {(r.id, r.sensor): r for r in cl.reader_contexts(texts, ["id"], "text", TERMS, cap=1200).collect()}
     for i, text in enumerate(CASES):
         for sensor, term in TERMS.items():
             text = text or ""
@@ -89,6 +90,7 @@ def test_clauses_and_reader_contexts(texts):
             assert clauses[i, sensor].clause == want
             assert clauses[i, sensor].off_trend == bool(re.search(tx.OFF_TREND, want))
             assert reader[i, sensor].context == scan_reader(text, term)
+            assert capped[i, sensor].context == scan_reader(text, term, 1200)
             assert reader[i, sensor].mentions == len(scan_clause(text, term))
 
 
