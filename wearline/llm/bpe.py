@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import workers_import_this
 
-WORDS_KEPT = 300_000
-PAIRS_KEPT = 400_000
+WORDS_KEPT = 400_000
+PAIRS_KEPT = 1_000_000
 NEVER = 1 << 60
 # fixed value: the splitting pattern of the vocabulary's library
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
