@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline as pipeline
 from tools.check import compare, connect
 from wearline.llm import lines, queries
 
@@ -50,3 +51,13 @@ def test_empty_table(spark, docs_of):
     docs = docs_of([(1, "a")])
     assert lines.without_boilerplate(docs.limit(0)).count() == 0
     assert lines.without_boilerplate(docs.withColumn("text", F.lit(None).cast("string"))).first()["text"] is None
+
+
+def test_all_sites_of_mirrored_articles_count_in_the_pipeline(spark):
+    rows = [(i, "one article\nfooter", s) for i, s in enumerate("abc")]
+    rows += [(i + 10, "another\nfooter", s) for i, s in enumerate("ade")]
+    rows += [(i + 20, "mirrored\nby many", s) for i, s in enumerate("abcdefg")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = docs.selectExpr("doc_id", "text", "'en' lang", "source", "1L n_chars").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in pipeline.without_boilerplate(spark, docs, "").collect()}
+    assert got == {i: t.removesuffix("\nfooter") for i, t, _ in rows}

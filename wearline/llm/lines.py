@@ -31,11 +31,13 @@ def spread_lines(
     min_sites: int = 5,
     log_registers: int = LOG_REGISTERS,
     zone: float = ZONE,
+    every_copy: bool = False,
 ) -> DataFrame:
     """(h, sites, exact): hashes of the non-blank lines on at least `min_sites` distinct sites.
 
-    Exact copies of a document count as one, on the first of their sites: a document
-    that many sites mirror is no boilerplate.
+    A document that many sites mirror is no boilerplate. By default its exact copies
+    count as one, on the first of their sites. With `every_copy` the sites of all
+    copies count, and a line must be in two different texts (unless one site is enough).
 
     `sites` is the exact count where `exact` is true and the sketch's estimate
     elsewhere. A line's hash is the 64-bit hash of its text. A null site is a site
@@ -47,11 +49,16 @@ def spread_lines(
         F.xxhash64(F.col(f"`{text}`")).alias("copy"),
         own.alias("site"),
     ).where(F.length(F.trim("line")) > 0)
-    found = cut.groupBy(F.xxhash64("line").alias("h"), "copy").agg(F.min("site").alias("site")).select("h", "site")
+    found = cut.select(F.xxhash64("line").alias("h"), "copy", "site")
+    if not every_copy:
+        found = found.groupBy("h", "copy").agg(F.min("site").alias("site"))
     often = found.groupBy("h").agg(
-        F.count(F.lit(1)).alias("n"), F.min("site").alias("first"), F.max("site").alias("last")
+        F.count(F.lit(1)).alias("n"),
+        F.min("site").alias("first"),
+        F.max("site").alias("last"),
+        (F.min("copy") != F.max("copy")).alias("texts"),
     )
-    several = F.lit(min_sites <= 1) | (F.col("first") != F.col("last"))
+    several = F.lit(min_sites <= 1) | ((F.col("first") != F.col("last")) & (F.col("texts") | F.lit(not every_copy)))
     could = keep(often.where((F.col("n") >= min_sites) & several).select("h"))
     pairs = found.join(could, "h", "left_semi")
     error = 0.83 / 2 ** (log_registers / 2)
@@ -63,6 +70,7 @@ def spread_lines(
     near = F.col("sites") <= min_sites * (1 + zone * error) + 1
     exact = (
         found.join(sketched.where(near).select("h"), "h", "left_semi")
+        .select("h", "site")
         .distinct()
         .groupBy("h")
         .agg(F.count(F.lit(1)).alias("sites"))
