@@ -572,7 +572,7 @@ FEATURE_SENSORS = ("s1", "s2", "s5", "s6")
 
 
 def model_predictions(spark, d):
-    """Small versions of both supervised references and the constant, long form."""
+    """Both supervised references and the constant, long form."""
     traj = b.trajectories(spark, d)
     train = fr.sliding_features(fr.with_rul(traj, b.CAP), FEATURE_SENSORS, 30, keep=["rul"])
     names = md.feature_names(FEATURE_SENSORS)
@@ -582,8 +582,8 @@ def model_predictions(spark, d):
     test = test.join(truth, ["dataset", "unit"])
     parts = []
     for name, predict in (
-        ("forest", md.fit_forest(train, names, trees=20, depth=8)),
-        ("boosting", md.fit_boosting(train, names, rounds=10)),
+        ("forest", md.fit_forest(train, names)),
+        ("boosting", md.fit_boosting(train, names)),
     ):
         parts.append(predict(test, b.CAP).select("dataset", "unit", F.lit(name).alias("model"), "pred", "truth"))
     consts = baselines(spark, d).where(F.col("baseline") == "train_mean").select("dataset", F.col("constant").alias("pred"))
