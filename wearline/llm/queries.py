@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, mixing, neighbours, ngrams, omh, simhash, suffixes, tokencounts, tokenizers
+from . import bpe, langid, lines, mixing, neighbours, ngrams, omh, pieces, simhash, suffixes, tokencounts, tokenizers
 from .common import WORD_PATTERN, keep, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,10 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
     before = counted.withColumn("n_tokens_before", F.col("n_tokens"))
     after = tokencounts.apply_edits(before, tokenizers.content())
     return after.select("doc_id", "n_tokens_before", F.col("n_tokens").alias("n_tokens_after"), "n_reread")
+
+
+@query("op13_sentencepiece_encode_decode")
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of every text's piece ids, with begin and end, and of the text they decode to."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return pieces.digests(docs, pieces.content()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
