@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, mixing, neighbours, ngrams, omh, pieces, simhash, suffixes, tokencounts, tokenizers
+from . import (
+    bpe,
+    centroids,
+    langid,
+    lines,
+    mixing,
+    neighbours,
+    ngrams,
+    omh,
+    pieces,
+    simhash,
+    suffixes,
+    tokencounts,
+    tokenizers,
+    vectorcodes,
+)
 from .common import WORD_PATTERN, keep, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,3 +214,83 @@ def op13(spark: SparkSession, d: str) -> DataFrame:
     """Digests of every text's piece ids, with begin and end, and of the text they decode to."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     return pieces.digests(docs, pieces.content()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+FINITE = "embedding is not null and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0"
+UNITS = "list_transform(embedding, lambda e: floor(1024 * e::double)::bigint)"
+
+
+def floor_mean(s: str, n: str) -> str:
+    return f"((({s}) - ((({s}) % {n}) + {n}) % {n}) // {n})::bigint"
+
+
+def cluster_rounds(rounds: int) -> str:
+    """Common tables c0, c1, ... of centroid components, and n0, n1, ... of each vector's nearest centroid."""
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"""n{r} as materialized (
+        select vec_id, arg_min(k, d * 8 + k) k, min(d) d from (
+            select vec_id, k, sum((x.a - c.a) * (x.a - c.a))::bigint d from x join c{r} c using (i) group by all) group by vec_id)""")
+        if r < rounds:
+            out.append(f"""c{r + 1} as materialized (
+        select c.k, i, coalesce(m.a, c.a) a from c{r} c left join (
+            select k, i, {floor_mean("sum(a)", "count(*)")} a from x join n{r} using (vec_id) group by k, i) m using (k, i))""")
+    return ",\n    ".join(out)
+
+
+@query(
+    "op11_centroid_clusters",
+    f"""
+    with kept as materialized (select vec_id, {UNITS} v from embeddings where {FINITE} and len(embedding) = 64),
+    x as materialized (select vec_id, unnest(v) a, generate_subscripts(v, 1) i from kept),
+    seeds as (select v, row_number() over (order by sha256('3:' || vec_id), v) - 1 k from kept qualify k < 8),
+    c0 as materialized (select k, unnest(v) a, generate_subscripts(v, 1) i from seeds),
+    {cluster_rounds(10)}
+    select vec_id, k::int as "cluster", d as distance, (sum(d) over (partition by k))::bigint cluster_inertia,
+           (sum(d) over ())::bigint inertia, h as centroid_sha256
+    from n10 join (select k, sha256(string_agg(a::varchar, ',' order by i)) h from c10 group by k) using (k)
+    """,
+)
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    """The centroid of every vector after ten rounds from eight seeds."""
+    return centroids.assign(centroids.fit(table(spark, d, "embeddings").select("vec_id", "embedding")))
+
+
+def code_rounds(rounds: int) -> str:
+    """Common tables b0, b1, ... of codebook entries, and n0, n1, ... of each part's nearest entry."""
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"""n{r} as materialized (
+        select vec_id, p, arg_min(e, d * 256 + e) e, min(d) d from (
+            select vec_id, x.p, e, {' + '.join(f'(x.v[{i}] - b.v[{i}]) * (x.v[{i}] - b.v[{i}])' for i in range(1, 17))} d
+            from x join b{r} b using (p)) group by vec_id, p)""")
+        if r < rounds:
+            means = ", ".join(floor_mean(f"sum(v[{i}])", "count(*)") for i in range(1, 17))
+            out.append(f"""b{r + 1} as materialized (
+        select b.p, b.e, coalesce(m.v, b.v) v from b{r} b left join (
+            select p, e, [{means}] v from x join n{r} using (vec_id, p) group by p, e) m using (p, e))""")
+    return ",\n    ".join(out)
+
+
+@query(
+    "op12_vector_codes",
+    f"""
+    with kept as materialized (select vec_id, "label", {UNITS} v from embeddings where {FINITE}),
+    x as materialized (select vec_id, p, v[p * 16 + 1 : p * 16 + 16] v from kept, (select unnest(range(4)) p)),
+    firsts as (select vec_id, row_number() over (order by vec_id) - 1 e from kept qualify e < 256),
+    b0 as materialized (select p, e, v from x join firsts using (vec_id)),
+    {code_rounds(4)},
+    coded as (
+        select vec_id, string_agg(format('{{:02x}}', e), '' order by p) code, sum(d)::bigint error from n4 group by vec_id),
+    digest as (
+        select sha256(string_agg(a::varchar, ',' order by p, e, j)) h
+        from (select p, e, unnest(v) a, generate_subscripts(v, 1) j from b4))
+    select vec_id, code, error, (sum(error) over (partition by "label"))::bigint label_error, h as codebooks_sha256
+    from coded join kept using (vec_id), digest
+    """,
+)
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    """Four-part codes of every vector after four rounds of the codebooks."""
+    found = vectorcodes.fit(table(spark, d, "embeddings").select("vec_id", "embedding", "label"))
+    coded = vectorcodes.with_label_error(vectorcodes.encode(found))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vectorcodes.digest(found)).alias("codebooks_sha256"))
