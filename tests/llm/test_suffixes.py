@@ -1,7 +1,10 @@
+import glob
 import hashlib
+import os
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from wearline.llm import queries, suffixes
@@ -36,19 +39,43 @@ def digest(df):
     return sorted(map(tuple, df.select(*columns).collect()), key=repr)
 
 
-def test_small_chunks(spark, docs_of, monkeypatch):
-    monkeypatch.setattr(suffixes, "CHUNK_BYTES", 600)
-    monkeypatch.setattr(suffixes, "PIECE", 257)
-    rng = random.Random(11)
-    passages = ["".join(rng.choices("abc de", k=rng.randint(80, 260))) for _ in range(8)] + ["ab" * 120, "x" * 300]
+def chunk_count(spark):
+    """Chunks of the last run, from the folder that staged tables are in."""
+    folder = max(glob.glob(spark.conf.get("spark.checkpoint.dir") + "/wearline-llm/wearline_*"), key=os.path.getmtime)
+    return spark.read.parquet(folder).count()
+
+
+def repeating(rng, letters, own, n):
+    passages = ["".join(rng.choices(letters, k=rng.randint(80, 260))) for _ in range(8)] + [letters[:2] * 120, letters[-1] * 300]
     texts = []
-    for _ in range(60):
-        own = ["".join(rng.choices("pqrst uv", k=rng.randint(0, 150))) for _ in range(3)]
-        texts.append("".join(x for pair in zip(own, rng.choices(passages, k=3)) for x in pair))
+    for _ in range(n):
+        mine = ["".join(rng.choices(own, k=rng.randint(0, 150))) for _ in range(3)]
+        texts.append("".join(x for pair in zip(mine, rng.choices(passages, k=3)) for x in pair))
+    return texts
+
+
+def test_small_chunks(spark, docs_of):
+    texts = repeating(random.Random(11), "abc de", "pqrst uv", 60)
     texts += [None, "", "a" * 99, "a" * 100, "a" * 101, "\x00" * 205, "é" * 90, texts[3], texts[3] + "tail"]
     rows = list(enumerate(texts))
     docs = docs_of(rows, 5).withColumn("chunk", F.lit("x")).withColumn("part", F.lit(1))
-    assert digest(suffixes.without_repeats(docs)) == sorted(plain(rows), key=repr)
+    got = digest(suffixes.without_repeats(docs, chunk_bytes=600, piece=257))
+    assert chunk_count(spark) > 30
+    assert got == sorted(plain(rows), key=repr)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_zero_bytes_inside_between_and_behind_passages(spark, docs_of, seed):
+    rng = random.Random(seed)
+    passages = ["".join(rng.choices("ab\0", k=rng.randint(90, 180))) for _ in range(6)]
+    texts = []
+    for _ in range(120):
+        fields = [rng.choice([*passages, "".join(rng.choices("abcd", k=rng.randint(0, 60)))]) for _ in range(3)]
+        texts.append("".join(f[: rng.choice([len(f), 110])].ljust(rng.choice([0, 120, 200]), "\0") for f in fields))
+    rows = list(enumerate(texts))
+    got = digest(suffixes.without_repeats(docs_of(rows, 4), chunk_bytes=2_000))
+    assert chunk_count(spark) > 20
+    assert got == sorted(plain(rows), key=repr)
 
 
 def test_odd_rows(spark, docs_of):
@@ -61,8 +88,8 @@ def test_odd_rows(spark, docs_of):
 
 def test_merge_equals_sorting():
     rng = random.Random(5)
-    for count in (1, 2, 3, 7):
-        runs = [sorted("".join(rng.choices("ab", k=rng.randint(1, 12))).encode() for _ in range(rng.randint(0, 30))) for _ in range(count)]
+    for count in [1, 2, 3, 7] * 30:
+        runs = [sorted("".join(rng.choices("\1\2", k=rng.randint(1, 12))).encode() for _ in range(rng.randint(0, 30))) for _ in range(count)]
         coded = []
         for run in runs:
             rows = np.zeros((len(run), suffixes.LENGTH), np.uint8)

@@ -18,6 +18,10 @@ the bytes before it. The sort is a string merge sort that sends little:
    the earliest are repeats; chunks get back which.
 
 A passage repeated any number of times sends one suffix per chunk and anchor.
+
+Bytes are sorted one higher than they are (UTF-8 has no byte 255), so that zero is
+an end mark below every byte: what lies behind the end of a document or behind the
+part of a suffix that is sent never equals a byte, U+0000 included.
 """
 
 from __future__ import annotations
@@ -43,11 +47,12 @@ PIECE = 1 << 19
 HEAD = 7
 HEADS = 64
 BASE = 0x9E3779B97F4A7C15
+RAISED = bytes((b + 1) & 255 for b in range(256))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) rows to chunks of whole documents."""
+def _chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) rows to chunks of whole documents, of `most` bytes or one document."""
     numbers = chunk_numbers()
     ids, parts, total = [], [], 0
 
@@ -55,7 +60,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal total
         text = b"".join(parts)
         at = np.linspace(0, max(len(text) - HEAD, 0), HEADS).astype(int)
-        heads = [int.from_bytes(text[i : i + HEAD].ljust(HEAD, b"\0"), "big") for i in at.tolist()]
+        heads = [int.from_bytes(text[i : i + HEAD].translate(RAISED).ljust(HEAD, b"\0"), "big") for i in at.tolist()]
         ties = [int.from_bytes(hashlib.md5(p).digest()[:2], "big") for p in parts]
         row = [
             pa.array([next(numbers)], pa.int64()),
@@ -72,7 +77,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc, text in zip(batch.column(0), batch.column(1), strict=True):
             body = text.as_py() or b""
-            if total and total + len(body) > CHUNK_BYTES:
+            if total and total + len(body) > most:
                 yield close()
             ids.append(doc.as_py())
             parts.append(body)
@@ -83,7 +88,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the k-gram at every position: differences of a running polynomial."""
-    size = PIECE + LENGTH + 1
+    size = max(PIECE, len(data)) + LENGTH + 1
     if size not in _powers:
         up = np.full(size, BASE, np.uint64)
         down = np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
@@ -99,21 +104,22 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
 class Anchors:
     """Anchors of a chunk: position, hash, document, and the range of string starts each one has."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, piece: int = PIECE):
+        self.piece = piece
         self.data = np.frombuffer(expand(row["text"]), np.uint8)
         self.sizes = unpack(row["sizes"])
         self.ids, self.ties = row["ids"], unpack(row["ties"])
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
         owner = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
-        found = [self._piece(owner, at) for at in range(0, max(len(self.data) - LENGTH + 1, 0), PIECE)]
+        found = [self._piece(owner, at) for at in range(0, max(len(self.data) - LENGTH + 1, 0), piece)]
         columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
         self.at, self.hash, self.first, self.last = columns
         self.hash = self.hash.astype(np.uint64)
         self.doc = owner[self.at] if len(self.at) else np.zeros(0, np.int32)
 
     def _piece(self, owner: np.ndarray, begin: int) -> tuple[np.ndarray, ...]:
-        data = self.data[begin : begin + PIECE + LENGTH - 1]
+        data = self.data[begin : begin + self.piece + LENGTH - 1]
         hashes = _gram_hashes(data)
         value, place = hashes, np.arange(len(hashes), dtype=np.int32)
         wide = 1
@@ -137,11 +143,11 @@ class Anchors:
         return at + begin, hashes[at], start[first] + begin, start[last] + begin
 
     def rows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes from the chosen anchors on, and before them in reverse, zeros beyond the document."""
+        """Raised bytes from the chosen anchors on, and before them in reverse, end marks beyond the document."""
         at, doc = self.at[chosen, None], self.doc[chosen]
         right = at + np.arange(LENGTH)
         left = at - 1 - np.arange(SPAN - 1)
-        padded = np.append(self.data, np.uint8(0))
+        padded = np.append(self.data + np.uint8(1), np.uint8(0))
         right = np.where(right < self.ends[doc, None], right, len(self.data))
         left = np.where(left >= self.starts[doc, None], left, len(self.data))
         return padded[right], padded[left]
@@ -194,12 +200,12 @@ def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, np.nonzero(edge == -1)[1] - 1
 
 
-def _ask(parts: int):
+def _ask(parts: int, piece: int):
     """Every chunk's distinct k-gram hashes, to the partitions that own them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            keys = np.unique(Anchors(row).hash)
+            keys = np.unique(Anchors(row, piece).hash)
             edge = cuts(keys, parts)
             for part in np.flatnonzero(np.diff(edge)).tolist():
                 blob = pack_sorted(keys[edge[part] : edge[part + 1]])
@@ -221,7 +227,7 @@ def _shared(part: int, rows: list[dict]) -> Iterator[tuple]:
         start += len(k)
 
 
-def _runs(splitters: list[int], parts: int):
+def _runs(splitters: list[int], parts: int, piece: int):
     """Sort a chunk's suffixes that may repeat; settle the chunk's own repeats; send the rest as runs.
 
     Rows (part, chunk, start, run) hold front-coded runs; a row with start -1 holds
@@ -231,7 +237,7 @@ def _runs(splitters: list[int], parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            a = Anchors(row)
+            a = Anchors(row, piece)
             keys, at, counts = np.unique(a.hash, return_inverse=True, return_counts=True)
             bits = [np.unpackbits(unpack(x["bits"]))[: x["n"]] for x in sorted(row["answers"] or [], key=lambda x: x["part"])]
             again = (np.concatenate(bits) > 0) | (counts > 1) if bits else counts > 1
@@ -277,7 +283,8 @@ def _row(part: int, chunk: int, start: int, cells: list[bytes]) -> pa.RecordBatc
 
 
 def _front_coded(rows: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Shared prefix lengths and the remaining bytes of sorted rows, each cut to its size."""
+    """Shared prefix lengths and the remaining bytes of sorted rows, each cut to its size and its end mark."""
+    sizes = np.minimum(sizes, (rows != 0).sum(axis=1))
     whole = [x[:n].tobytes() for x, n in zip(rows, sizes.tolist(), strict=True)]
     shared, before = [], b""
     for s in whole:
@@ -291,13 +298,14 @@ def _front_coded(rows: np.ndarray, sizes: np.ndarray) -> list[bytes]:
 
 
 def _suffixes(cells: list[bytes]) -> Iterator[tuple[bytes, int]]:
-    """The suffixes of a front-coded run, zero-padded, and what each shares with the one before."""
+    """The suffixes of a front-coded run, filled up with end marks, and what each shares with the one before."""
     shared, sizes, tails = unpack(cells[0]).tolist(), unpack(cells[1]).tolist(), expand(cells[2])
     at, before = 0, b""
     for n, size in zip(shared, sizes, strict=True):
+        same = n == size == len(before)
         before = before[:n] + tails[at : at + size - n]
         at += size - n
-        yield before.ljust(LENGTH, b"\0"), n
+        yield before.ljust(LENGTH, b"\0"), LENGTH if same else n
 
 
 def merge(runs: list[Iterator[tuple[bytes, int]]]) -> Iterator[tuple[int, int]]:
@@ -433,29 +441,32 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, piece: int = PIECE
+) -> DataFrame:
     """Every document without the bytes of 100-byte strings that also start earlier.
 
     (doc_id, n_bytes, n_removed, starts, ends, kept): the removed spans as byte
     offsets, end exclusive, and the remaining bytes. Earlier means in a document
     with a smaller id, or further left in the same one; null ids come last, and
     rows of equal id are ordered by a hash of their text. A null text is empty.
-    Strings are judged on the input and never cross documents.
+    Strings are judged on the input and never cross documents. A chunk has
+    `chunk_bytes` at most, or one document, and is hashed by `piece` bytes at once.
     """
     spark = docs.sparkSession
     workers_import_this(spark)
     parts = width(spark)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("binary"))
     kind = "chunk long, ids array<long>, ties binary, sizes binary, text binary, heads array<long>"
-    chunks = keep_bucketed(rows.mapInArrow(_chunks, kind), "chunk")
+    chunks = keep_bucketed(rows.mapInArrow(lambda b: _chunks(b, chunk_bytes), kind), "chunk")
     probs = [i / parts for i in range(1, parts)]
     heads = chunks.select(F.explode("heads").alias("head"))
     splitters = heads.agg(F.percentile_approx("head", probs or [0.5], 100 * parts)).first()[0] or []
-    asked = chunks.mapInArrow(_ask(parts), "part int, chunk long, keys binary")
+    asked = chunks.mapInArrow(_ask(parts, piece), "part int, chunk long, keys binary")
     bits = by_owner(asked, "part", _shared, "chunk long,part int,bits binary,n long")
     answers = bits.groupBy("chunk").agg(F.collect_list(F.struct("part", "bits", "n")).alias("answers"))
     runs = chunks.join(answers, "chunk", "left").mapInArrow(
-        _runs(sorted(splitters), parts), "part int, chunk long, start long, cells array<binary>"
+        _runs(sorted(splitters), parts, piece), "part int, chunk long, start long, cells array<binary>"
     )
     told = keep(by_owner(runs, "part", _merged, "chunk long,start long,cells array<binary>"))
     mine = told.groupBy("chunk").agg(F.collect_list(F.struct("start", "cells")).alias("answers"))
