@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """The name, with as many underscores behind it as it takes to differ from all columns."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def workers_import_this(spark: SparkSession) -> None:
     """Let Python workers import the package when it is not installed but run from its folder."""
     env = spark.sparkContext.environment

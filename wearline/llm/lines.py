@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, unused
 
 #: log2 of a sketch's registers; the standard error of an estimate is 0.83 / sqrt(registers).
 LOG_REGISTERS = 11
@@ -31,13 +31,11 @@ def spread_lines(
     min_sites: int = 5,
     log_registers: int = LOG_REGISTERS,
     zone: float = ZONE,
-    every_copy: bool = False,
 ) -> DataFrame:
     """(h, sites, exact): hashes of the non-blank lines on at least `min_sites` distinct sites.
 
-    A document that many sites mirror is no boilerplate. By default its exact copies
-    count as one, on the first of their sites. With `every_copy` the sites of all
-    copies count, and a line must be in two different texts (unless one site is enough).
+    The sites of all copies of a document count. A document that many sites mirror is
+    no boilerplate, so a line must also be in two different texts (unless one site is enough).
 
     `sites` is the exact count where `exact` is true and the sketch's estimate
     elsewhere. A line's hash is the 64-bit hash of its text. A null site is a site
@@ -50,15 +48,13 @@ def spread_lines(
         own.alias("site"),
     ).where(F.length(F.trim("line")) > 0)
     found = cut.select(F.xxhash64("line").alias("h"), "copy", "site")
-    if not every_copy:
-        found = found.groupBy("h", "copy").agg(F.min("site").alias("site"))
     often = found.groupBy("h").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("site").alias("first"),
         F.max("site").alias("last"),
         (F.min("copy") != F.max("copy")).alias("texts"),
     )
-    several = F.lit(min_sites <= 1) | ((F.col("first") != F.col("last")) & (F.col("texts") | F.lit(not every_copy)))
+    several = F.lit(min_sites <= 1) | ((F.col("first") != F.col("last")) & F.col("texts"))
     could = keep(often.where((F.col("n") >= min_sites) & several).select("h"))
     pairs = found.join(could, "h", "left_semi")
     error = 0.83 / 2 ** (log_registers / 2)
@@ -96,15 +92,14 @@ def without_boilerplate(
     ids are treated alike, since a line's fate depends on the line alone.
     """
     wide = keep(spread_lines(docs, text, site, min_sites, **sketch).select("h"))
+    own, gone = unused("_doc", docs), unused("_out", docs)
     line_hashes = F.transform(_lines(F.col(f"`{text}`")), lambda x: F.xxhash64(x))
-    held = docs.select(
-        F.col(f"`{doc_id}`").alias("_doc"), F.explode(F.array_distinct(line_hashes)).alias("h")
-    ).join(wide, "h")
-    per_doc = held.distinct().groupBy("_doc").agg(F.collect_list("h").alias("_out"))
-    out = F.coalesce(F.col("_out"), F.array().cast("array<bigint>"))
+    held = docs.select(F.col(f"`{doc_id}`").alias(own), F.explode(F.array_distinct(line_hashes)).alias("h")).join(wide, "h")
+    per_doc = held.distinct().groupBy(own).agg(F.collect_list("h").alias(gone))
+    out = F.coalesce(F.col(gone), F.array().cast("array<bigint>"))
     stay = F.filter(_lines(F.col(f"`{text}`")), lambda x: ~F.array_contains(out, F.xxhash64(x)))
-    joined = docs.join(per_doc, docs[f"`{doc_id}`"].eqNullSafe(per_doc["_doc"]), "left")
-    touched = F.col("_out").isNotNull() & F.col(f"`{text}`").isNotNull()
+    joined = docs.join(per_doc, docs[f"`{doc_id}`"].eqNullSafe(per_doc[own]), "left")
+    touched = F.col(gone).isNotNull() & F.col(f"`{text}`").isNotNull()
     columns = [
         (F.when(touched, F.array_join(stay, "\n")).otherwise(docs[f"`{c}`"]) if c == text else docs[f"`{c}`"]).alias(c)
         for c in docs.columns

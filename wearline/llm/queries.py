@@ -68,9 +68,10 @@ def op3(spark: SparkSession, d: str) -> DataFrame:
     "op8_line_dedup",
     """
     with cut as (select doc_id, text, source, string_split(text, chr(10)) ls from documents where text is not null),
-    once as (select text, min(coalesce('s' || source, '')) source from cut group by text),
-    l as (select distinct source, unnest(string_split(text, chr(10))) line from once),
-    wide as (select line from l where length(trim(line)) > 0 group by line having count(*) >= 5),
+    l as (select distinct coalesce('s' || source, '') site, text, unnest(ls) line from cut),
+    wide as (
+        select line from l where length(trim(line)) > 0 group by line
+        having count(distinct site) >= 5 and count(distinct text) >= 2),
     placed as (select doc_id, unnest(ls) line, generate_subscripts(ls, 1) i from cut),
     kept as (
         select a.doc_id, string_agg(a.line, chr(10) order by i) filter (w.line is null) body,
@@ -82,7 +83,7 @@ def op3(spark: SparkSession, d: str) -> DataFrame:
     """,
 )
 def op8(spark: SparkSession, d: str) -> DataFrame:
-    """Every document without the lines that five sources or more share; exact copies count once."""
+    """Every document without the lines that five sources or more share, the sources of all copies included."""
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
     sized = docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long"))
     clean = lines.without_boilerplate(sized, removed="n_removed")
