@@ -1,17 +1,120 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from wearline.operators import boosting
 from wearline.operators import models as md
 from wearline.plans import q_metrics
+from wearline.plans.registry import QUERIES
+
+
+def curve(rng, n):
+    x = rng.normal(size=(n, 4))
+    return x, 10 * np.sin(x[:, 0]) + 5 * (x[:, 1] > 0) * x[:, 2] + rng.normal(scale=0.3, size=n)
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    rng = np.random.default_rng(5)
+    x, y = curve(rng, 3000)
+    data = [(*map(float, a), float(b), i % 4 == 0) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    return spark.createDataFrame(data, "a double, b double, c double, d double, rul double, test boolean").repartition(5).cache()
+
+
+def error(df, label="rul", pred="pred"):
+    return df.agg(F.sqrt(F.avg((F.col(label) - F.col(pred)) ** 2))).first()[0]
+
+
+def test_small_models_beat_the_constant_and_repeat(rows):
+    train, test = rows.where("not test"), rows.where("test")
+    spread = test.agg(F.stddev("rul")).first()[0]
+    for fit, share in (
+        (lambda t: md.fit_boosting(t, "abcd", rounds=80), 0.25),
+        (lambda t: md.fit_forest(t, "abcd", trees=10, depth=8), 0.5),
+    ):
+        free = fit(train)(test, 1e9)
+        wide = free.withColumn("rul", F.greatest("rul", F.lit(0.0)))  # predictions are cut at zero
+        assert error(wide) < share * spread
+        again = fit(train.repartition(3))(test, 1e9) if share < 0.5 else free
+        assert error(free.join(again.select("a", F.col("pred").alias("p")), "a"), "p") < 1e-9
+
+
+def test_shards_train_on_all_rows_and_agree(rows):
+    train, test = rows.where("not test"), rows.where("test")
+    s = boosting.Settings(rounds=80)
+    one = boosting.fit(train, "abcd", "rul", s)(test)
+    many = boosting.fit(train, "abcd", "rul", s, shard_rows=600)(test)
+    sample = boosting.fit(train, "abcd", "rul", s, shard_rows=300, most_shards=2)(test)
+    spread = test.agg(F.stddev("rul")).first()[0]
+    assert error(one) < 0.2 * spread and error(many) < 0.3 * spread and error(sample) < 0.5 * spread
+
+
+def test_undefined_features_and_labels(spark, rows):
+    odd = [(None, 1.0, 1.0, 1.0, 3.0, True), (1.0, float("nan"), 1.0, 1.0, 3.0, True), (1.0, 1.0, 1.0, 1.0, None, False)]
+    more = rows.unionByName(spark.createDataFrame(odd, rows.schema))
+    got = boosting.fit(more.where("not test"), "abcd", "rul", boosting.Settings(rounds=5))(more.where("test"))
+    assert got.where("pred is null").count() == 2 and got.count() == rows.where("test").count() + 2
+    with pytest.raises(ValueError, match="no rows"):
+        boosting.fit(rows.limit(0), "abcd", "rul")
+
+
+def plain_tree(codes, residual, depth, used):
+    """Leaf value of every row by trying every split of every node."""
+    s = boosting.Settings()
+
+    def value(rows):
+        return residual[rows].sum() ** 2 / (len(rows) + s.penalty)
+
+    def split(rows, level):
+        best, cut = value(rows) + 1e-12, None
+        if level < depth:
+            for f in used:
+                for b in range(boosting.BINS):
+                    low = rows[codes[rows, f] <= b]
+                    if 0 < len(low) < len(rows):
+                        gain = value(low) + value(rows[codes[rows, f] > b])
+                        if gain > best + 1e-9:
+                            best, cut = gain, (f, b)
+        if cut is None:
+            out[rows] = s.rate * residual[rows].sum() / (len(rows) + s.penalty)
+            return
+        side = codes[rows, cut[0]] <= cut[1]
+        split(rows[side], level + 1)
+        split(rows[~side], level + 1)
+
+    out = np.zeros(len(codes))
+    split(np.arange(len(codes)), 0)
+    return out
+
+
+def test_a_tree_equals_trying_every_split():
+    rng = np.random.default_rng(2)
+    for depth in (1, 2, 4):
+        codes = rng.integers(0, 20, (60, 3)).astype(np.uint8)
+        residual = rng.normal(size=60)
+        used = np.array([0, 2])
+        s = boosting.Settings(depth=depth)
+        f, b, leaf = boosting.grow(codes, residual, used, s)
+        got = boosting.Trees(0.0, f[None], b[None], leaf[None]).predict(codes)
+        assert np.allclose(got, plain_tree(codes, residual, depth, used))
 
 
 def test_registered_models_have_the_reference_sizes(spark, sf_dir, monkeypatch):
     sizes = []
 
-    def fit(train, features, label, estimator):
-        names = ("numTrees", "maxIter", "maxDepth")
-        sizes.append({n: estimator.getOrDefault(n) for n in names if estimator.hasParam(n)})
-        return lambda df, cap: df.withColumn("pred", F.lit(1.0))
+    def boosted(train, features, label, settings):
+        sizes.append((settings.rounds, settings.depth, settings.rate, settings.rows, settings.columns))
+        return lambda df, out: df.withColumn(out, F.lit(1.0))
+
+    class Forest:
+        def __init__(self, **settings):
+            sizes.append((settings["numTrees"], settings["maxDepth"]))
+
+        def fit(self, df):
+            return type("Model", (), {"transform": lambda _, d: d.withColumn("_raw", F.lit(1.0))})()
 
-    monkeypatch.setattr(md, "_fit", fit)
-    q_metrics.model_predictions(spark, sf_dir)
-    assert sizes == [{"numTrees": 200, "maxDepth": 12}, {"maxIter": 600, "maxDepth": 6}]
+    monkeypatch.setattr(boosting, "fit", boosted)
+    monkeypatch.setattr(md, "RandomForestRegressor", Forest)
+    QUERIES["K1_forest"](spark, sf_dir)
+    QUERIES["K2_boosting"](spark, sf_dir)
+    assert sizes == [(200, 12), (600, 6, 0.05, 0.8, 0.8)] and q_metrics.FEATURE_SENSORS
