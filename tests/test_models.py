@@ -1,11 +1,12 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wearline.operators import boosting
+from wearline.operators import trees
 from wearline.operators import models as md
-from wearline.plans import q_metrics
-from wearline.plans.registry import QUERIES
+from wearline.plans.catalog import QUERIES
 
 
 def curve(rng, n):
@@ -30,21 +31,21 @@ def test_small_models_beat_the_constant_and_repeat(rows):
     spread = test.agg(F.stddev("rul")).first()[0]
     for fit, share in (
         (lambda t: md.fit_boosting(t, "abcd", rounds=80), 0.25),
-        (lambda t: md.fit_forest(t, "abcd", trees=10, depth=8), 0.5),
+        (lambda t: md.fit_forest(t, "abcd", size=16, depth=8), 0.5),
     ):
         free = fit(train)(test, 1e9)
         wide = free.withColumn("rul", F.greatest("rul", F.lit(0.0)))  # predictions are cut at zero
         assert error(wide) < share * spread
-        again = fit(train.repartition(3))(test, 1e9) if share < 0.5 else free
+        again = fit(train.repartition(3))(test, 1e9)
         assert error(free.join(again.select("a", F.col("pred").alias("p")), "a"), "p") < 1e-9
 
 
 def test_shards_train_on_all_rows_and_agree(rows):
     train, test = rows.where("not test"), rows.where("test")
-    s = boosting.Settings(rounds=80)
-    one = boosting.fit(train, "abcd", "rul", s)(test)
-    many = boosting.fit(train, "abcd", "rul", s, shard_rows=600)(test)
-    sample = boosting.fit(train, "abcd", "rul", s, shard_rows=300, most_shards=2)(test)
+    s = trees.Settings(rounds=80)
+    one = trees.fit_boosting(train, "abcd", "rul", s)(test)
+    many = trees.fit_boosting(train, "abcd", "rul", s, shard_rows=600)(test)
+    sample = trees.fit_boosting(train, "abcd", "rul", s, shard_rows=300, most_shards=2)(test)
     spread = test.agg(F.stddev("rul")).first()[0]
     assert error(one) < 0.2 * spread and error(many) < 0.3 * spread and error(sample) < 0.5 * spread
 
@@ -52,15 +53,15 @@ def test_shards_train_on_all_rows_and_agree(rows):
 def test_undefined_features_and_labels(spark, rows):
     odd = [(None, 1.0, 1.0, 1.0, 3.0, True), (1.0, float("nan"), 1.0, 1.0, 3.0, True), (1.0, 1.0, 1.0, 1.0, None, False)]
     more = rows.unionByName(spark.createDataFrame(odd, rows.schema))
-    got = boosting.fit(more.where("not test"), "abcd", "rul", boosting.Settings(rounds=5))(more.where("test"))
+    got = trees.fit_boosting(more.where("not test"), "abcd", "rul", trees.Settings(rounds=5))(more.where("test"))
     assert got.where("pred is null").count() == 2 and got.count() == rows.where("test").count() + 2
     with pytest.raises(ValueError, match="no rows"):
-        boosting.fit(rows.limit(0), "abcd", "rul")
+        trees.fit_boosting(rows.limit(0), "abcd", "rul")
 
 
 def plain_tree(codes, residual, depth, used):
     """Leaf value of every row by trying every split of every node."""
-    s = boosting.Settings()
+    s = trees.Settings()
 
     def value(rows):
         return residual[rows].sum() ** 2 / (len(rows) + s.penalty)
@@ -69,7 +70,7 @@ def plain_tree(codes, residual, depth, used):
         best, cut = value(rows) + 1e-12, None
         if level < depth:
             for f in used:
-                for b in range(boosting.BINS):
+                for b in range(trees.BINS):
                     low = rows[codes[rows, f] <= b]
                     if 0 < len(low) < len(rows):
                         gain = value(low) + value(rows[codes[rows, f] > b])
@@ -93,28 +94,42 @@ def test_a_tree_equals_trying_every_split():
         codes = rng.integers(0, 20, (60, 3)).astype(np.uint8)
         residual = rng.normal(size=60)
         used = np.array([0, 2])
-        s = boosting.Settings(depth=depth)
-        f, b, leaf = boosting.grow(codes, residual, used, s)
-        got = boosting.Trees(0.0, f[None], b[None], leaf[None]).predict(codes)
+        s = trees.Settings(depth=depth)
+        f, b, leaf = trees.grow(codes, residual, np.ones(60), used, s)
+        got = trees.Trees(0.0, f[None], b[None], leaf[None]).predict(codes)
         assert np.allclose(got, plain_tree(codes, residual, depth, used))
 
 
+def test_a_forest_tree_is_the_mean_of_its_bootstrap():
+    rng = np.random.default_rng(4)
+    codes, label = rng.integers(0, 30, (200, 3)).astype(np.uint8), rng.normal(size=200)
+    one = trees.bag(codes, label, [7], trees.FOREST)
+    weight = np.bincount(np.random.default_rng([42, 7]).integers(0, 200, 200), minlength=200)
+    got = one.predict(codes)
+    for value in np.unique(got):
+        mine = (got == value) & (weight > 0)
+        assert np.isclose(np.average(label[mine], weights=weight[mine]), value)
+    assert len(np.unique(got)) > 60
+
+
+def test_forests_of_many_shards(rows):
+    train, test = rows.where("not test"), rows.where("test")
+    s = replace(trees.FOREST, rounds=24, depth=9)
+    spread = test.agg(F.stddev("rul")).first()[0]
+    one = trees.fit_forest(train, "abcd", "rul", s)(test)
+    many = trees.fit_forest(train, "abcd", "rul", s, shard_rows=500)(test)
+    assert error(one) < 0.3 * spread and error(many) < 0.45 * spread
+
+
 def test_registered_models_have_the_reference_sizes(spark, sf_dir, monkeypatch):
     sizes = []
 
-    def boosted(train, features, label, settings):
-        sizes.append((settings.rounds, settings.depth, settings.rate, settings.rows, settings.columns))
+    def fit(train, features, label, s):
+        sizes.append((s.rounds, s.depth, s.rate, s.rows, s.columns))
         return lambda df, out: df.withColumn(out, F.lit(1.0))
 
-    class Forest:
-        def __init__(self, **settings):
-            sizes.append((settings["numTrees"], settings["maxDepth"]))
-
-        def fit(self, df):
-            return type("Model", (), {"transform": lambda _, d: d.withColumn("_raw", F.lit(1.0))})()
-
-    monkeypatch.setattr(boosting, "fit", boosted)
-    monkeypatch.setattr(md, "RandomForestRegressor", Forest)
+    monkeypatch.setattr(trees, "fit_boosting", fit)
+    monkeypatch.setattr(trees, "fit_forest", fit)
     QUERIES["K1_forest"](spark, sf_dir)
     QUERIES["K2_boosting"](spark, sf_dir)
-    assert sizes == [(200, 12), (600, 6, 0.05, 0.8, 0.8)] and q_metrics.FEATURE_SENSORS
+    assert sizes == [(200, 12, 1.0, 1.0, 1.0), (600, 6, 0.05, 0.8, 0.8)]

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import RUL_CAP, clip
-from ..session import shared
-from . import boosting
+from . import trees
 
 
 def fit_regimes(train: DataFrame, settings: Sequence[str], k: int = 6, seed: int = 42):
@@ -22,35 +21,17 @@ def fit_regimes(train: DataFrame, settings: Sequence[str], k: int = 6, seed: int
     return lambda df: model.transform(vec.transform(df)).drop("_settings").withColumn("regime", F.col("regime").cast("long"))
 
 
-#: Rows of a partition that trees are trained on.
-PARTITION_ROWS = 100_000
-#: Memory for the histograms of one pass, so that a pass serves many nodes of many trees.
-HISTOGRAM_MB = 1024
-
-
-def fit_forest(train: DataFrame, features: Sequence[str], label: str = "rul", trees: int = 200, seed: int = 42, depth: int = 12):
-    """A random forest; partitions follow the number of rows, and one pass serves as many nodes as fit the memory."""
-    vec = VectorAssembler(inputCols=list(features), outputCol="_features")
-    rows = shared(vec.transform(train).select("_features", F.col(label).cast("double").alias("_label")))
-    parts = max(1, -(-rows.count() // PARTITION_ROWS))
-    forest = RandomForestRegressor(
-        featuresCol="_features", labelCol="_label", predictionCol="_raw", numTrees=trees, seed=seed, maxDepth=depth,
-        maxMemoryInMB=HISTOGRAM_MB,
-    )
-    near = rows.coalesce(parts) if parts < rows.rdd.getNumPartitions() else rows.repartition(parts)
-    model = forest.fit(near)
-    rows.unpersist()
-
-    def predict(df: DataFrame, cap: float = RUL_CAP) -> DataFrame:
-        return model.transform(vec.transform(df)).withColumn("pred", clip("_raw", 0, cap)).drop("_features", "_raw")
-
-    return predict
+def fit_forest(train: DataFrame, features: Sequence[str], label: str = "rul", size: int = 200, seed: int = 42, depth: int = 12):
+    """A random forest of the reference's size."""
+    return _clipped(trees.fit_forest(train, features, label, replace(trees.FOREST, rounds=size, depth=depth, seed=seed)))
 
 
 def fit_boosting(train: DataFrame, features: Sequence[str], label: str = "rul", rounds: int = 600, seed: int = 42, depth: int = 6):
-    """Boosted trees with the reference's sizes."""
-    model = boosting.fit(train, features, label, boosting.Settings(rounds=rounds, depth=depth, seed=seed))
+    """Boosted trees of the reference's size."""
+    return _clipped(trees.fit_boosting(train, features, label, trees.Settings(rounds=rounds, depth=depth, seed=seed)))
+
 
+def _clipped(model):
     def predict(df: DataFrame, cap: float = RUL_CAP) -> DataFrame:
         return model(df, "_raw").withColumn("pred", clip("_raw", 0, cap)).drop("_raw")
 
