@@ -1,6 +1,6 @@
 """Regression trees on shards of the rows: gradient boosting and random forests.
 
-Features are binned once, at quantiles of the whole table. Rows are dealt by hash to
+Features are binned once, at quantiles of a bounded sample by hash. Rows are dealt by hash to
 shards of a bounded number of rows; a task grows trees on its shard by histograms
 over the binned rows, all nodes of a level in one pass, with the node of every row
 kept from level to level. All shards train side by side in one Spark job, and a lost
@@ -39,6 +39,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHARD_ROWS = 200_000
 MOST_SHARDS = 64
 BINS = 64
+#: Rows that bin edges are taken from, by hash.
+EDGE_ROWS = 50_000
+HASH_RANGE = 1 << 30
 
 
 @dataclass
@@ -193,17 +196,20 @@ def _fit(train: DataFrame, features: Sequence[str], label: str, grown, tasks: in
     whole = reduce(lambda a, b: a & b, [c.isNotNull() & ~F.isnan(c) for c in columns])
     rows = shared(train.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).where(whole))
     names = rows.columns
-    probs = [i / BINS for i in range(1, BINS)]
-    cuts = rows.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, probs, 20 * BINS).alias(c) for c in names[1:]]).first()
-    if not cuts["n"]:
+    h, turn = F.xxhash64(*names), F.pmod(F.xxhash64(*names), F.lit(HASH_RANGE))
+    n = rows.count()
+    if not n:
         raise ValueError("no rows to train on")
-    edges = [np.unique(np.array(cuts[c])) for c in names[1:]]
-    shards = min(most_shards, -(-cuts["n"] // shard_rows))
+    # exact quantiles of a sample by hash, so that the edges do not depend on partitions
+    probs = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
+    some = rows.where(turn <= int(min(1.0, EDGE_ROWS / n) * HASH_RANGE))
+    cuts = some.agg(*[F.percentile(c, probs).alias(c) for c in names[1:]]).first()
+    edges = [np.unique(np.array(cuts[c] or [0.0])) for c in names[1:]]
+    shards = min(most_shards, -(-n // shard_rows))
     copies = max(1, tasks // shards)
-    groups, share = shards * copies, min(1.0, shards * shard_rows / cuts["n"])
-    h = F.xxhash64(*names)
+    groups, share = shards * copies, min(1.0, shards * shard_rows / n)
     shard = F.pmod(F.xxhash64("h"), F.lit(shards)) * copies
-    dealt = rows.withColumn("h", h).where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    dealt = rows.withColumn("h", h).where(turn <= int(share * HASH_RANGE))
     dealt = dealt.select(*names, F.explode(F.sequence(shard, shard + copies - 1)).alias("g"))
 
     def train_one(part: pd.DataFrame) -> pd.DataFrame:
