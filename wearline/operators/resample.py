@@ -1,24 +1,34 @@
 """Resampling inference on sufficient statistics.
 
 Rows are reduced to one row of sums per cluster before anything is drawn, and
-replicates only recombine those sums. Replicates are spread by their number, so
-no task ever holds one contrast as a whole.
+replicates only recombine those sums (`replicates`). Statistics that are no function
+of sums, ranks and permuted lookups, work on arrays of replicates per group where a
+group's cells fit a task, and on rows per replicate beyond that.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.draws import hash_int, pick
 from ..functions.numeric import ratio
 from ..session import shared
 from .metrics import association_of_cells
 from .ordering import cut_points_of, hash_positions, match, running_total
-from .rank import correlation, spearman_of_cells
+from .rank import spearman_of_cells, value_cells
+from .replicates import LABELLED, SIGNED, generator, replicate_sums
+
+# Executors get this module with the plan; the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Replicates per contrast, tails of a 95 % interval, comparison tolerance.
 REPLICATES = 10_000
@@ -26,6 +36,9 @@ TAILS = (0.025, 0.975)
 TOLERANCE = 1e-12
 #: Buckets of [0, 1] that a family of p-values is ranked in.
 P_CELLS = 4096
+#: Distinct pairs of a group, or cells of a dataset, up to which replicates are arrays in a task; replicates of such a task.
+CELLS = 1 << 16
+REPLICATE_BLOCK = 500
 
 
 def interval(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
@@ -36,20 +49,25 @@ def interval(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFram
     )
 
 
-def resample(items: DataFrame, by: Sequence[str], key: Sequence[str], b: int, seed, payload: DataFrame | None = None) -> DataFrame:
-    """Draw as many items as a group has, with replacement, b times: one row per draw with the item's columns.
-
-    Items get a position in hash order; draw j of replicate b picks one of them
-    by hash. `payload` (several rows per item) replaces the item's own columns.
-    """
-    by, key = list(by), list(key)
-    numbered = shared(hash_positions(shared(items), by, key, seed, "_pos", "_size"))
-    slots = numbered.select(*by, "_size", "_pos", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("b"))
-    picks = slots.select(*by, "b", pick(seed, F.col("_size"), F.col("b"), F.col("_pos")).alias("_pos"))
-    if payload is None:
-        return match(picks, numbered.drop("_size"), [*by, "_pos"]).drop("_pos")
-    drawn = match(picks, numbered.select(*by, *key, "_pos"), [*by, "_pos"]).drop("_pos")
-    return match(drawn, payload, [*by, *key])
+def rank_replicates(x: np.ndarray, y: np.ndarray, n: np.ndarray, draw: np.random.Generator, b: int) -> np.ndarray:
+    """Spearman's rho of b resamples of value pairs (sorted by x) that occur n times; 0 where a side has no variation."""
+    out = np.zeros(b)
+    total = int(n.sum())
+    middle = (total + 1) / 2
+    sides = [np.unique(v, return_inverse=True)[1] for v in (x, y)]
+    orders = [np.argsort(side, kind="stable") for side in sides]
+    starts = [np.flatnonzero(np.diff(side[order], prepend=-1)) for side, order in zip(sides, orders, strict=True)]
+    rows = max(1, (1 << 20) // len(n))
+    for at in range(0, b, rows):
+        w = draw.multinomial(total, n / total, min(rows, b - at)).astype(np.float64)
+        ranks = []
+        for side, order, start in zip(sides, orders, starts, strict=True):
+            ties = np.add.reduceat(w[:, order], start, axis=1)
+            ranks.append((np.cumsum(ties, axis=1) - (ties - 1) / 2 - middle)[:, side])
+        xx, yy, xy = ((w * p * q).sum(axis=1) for p, q in ((ranks[0], ranks[0]), (ranks[1], ranks[1]), ranks))
+        defined = (xx > 0) & (yy > 0)
+        out[at : at + len(w)][defined] = (xy / np.sqrt(np.where(defined, xx * yy, 1.0)))[defined]
+    return out
 
 
 def cluster_sums(df: DataFrame, by: Sequence[str], cluster: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -65,9 +83,8 @@ def cluster_bootstrap(
     """
     by = list(by)
     sums = cluster_sums(df, by, cluster, columns)
-    drawn = resample(sums, by, cluster, b, seed)
-    each = drawn.groupBy(*by, "b").agg(*[F.sum(c).alias(c) for c in columns]).withColumn("value", statistic)
-    return interval(each, by)
+    each = replicate_sums(sums, by, cluster, columns, b, seed)
+    return interval(each.withColumn("value", statistic), by)
 
 
 def estimate(df: DataFrame, by: Sequence[str], columns: Sequence[str], statistic: Column) -> DataFrame:
@@ -87,9 +104,7 @@ def bootstrap_association(
     """Interval of Cramér's V, resampling clusters; a cluster's statistic is its contingency cells."""
     by, cluster = list(by), list(cluster)
     cells = df.groupBy(*by, *cluster, a, c).agg(F.count(F.lit(1)).alias("c"))
-    clusters = cells.select(*by, *cluster).distinct()
-    drawn = resample(clusters, by, cluster, b, seed, cells)
-    tables = drawn.groupBy(*by, "b", a, c).agg(F.sum("c").alias("c"))
+    tables = replicate_sums(cells, by, cluster, ["c"], b, seed, cells=[a, c]).where("c > 0")
     each = association_of_cells(tables, [*by, "b"], a, c)
     return interval(each.withColumn("value", F.col("cramers_v")), by)
 
@@ -99,32 +114,76 @@ def bootstrap_rank_ci(
 ) -> DataFrame:
     """Interval of Spearman's rho under resampling of rows; a replicate without variation counts as 0.
 
-    Each replicate is re-ranked from its counts by distinct value.
+    A row is drawn by drawing its pair of values. The order of distinct values is the
+    same in every replicate, so mean ranks are running sums of multiplicities. Groups
+    of more than CELLS distinct pairs are ranked anew per replicate, as tables.
     """
     by = list(by)
-    items = shared(df.select(*dict.fromkeys([*by, *key, x, y])))
-    both = cut_points_of(items, [x, y])
-    cuts = both[x], both[y]
-    drawn = resample(items, by, key, b, seed)
-    cells = drawn.groupBy(*by, "b", x, y).agg(F.count(F.lit(1)).alias("_w"))
-    rho = spearman_of_cells(cells, [*by, "b"], x, y, cuts)
-    return interval(rho.withColumn("value", F.coalesce("rho", F.lit(0.0))), by)
+    cells = shared(value_cells(df, by, x, y))
+    sizes = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("_cells"))
+    parts = [_small_rank_replicates(match(cells, sizes.where(F.col("_cells") <= CELLS), by), by, x, y, b, seed)]
+    if sizes.where(F.col("_cells") > CELLS).limit(1).count():
+        large = match(df, sizes.where(F.col("_cells") > CELLS).drop("_cells"), by)
+        items = shared(large.select(*dict.fromkeys([*by, *key, x, y])))
+        both = cut_points_of(items, [x, y])
+        drawn = replicate_sums(items.withColumn("_w", F.lit(1.0)), by, key, ["_w"], b, seed, cells=[x, y]).where("_w > 0")
+        drawn = drawn.withColumn("_w", F.col("_w").cast("long"))
+        rho = spearman_of_cells(drawn, [*by, "b"], x, y, (both[x], both[y]))
+        parts.append(rho.select(*by, F.coalesce("rho", F.lit(0.0)).alias("value")))
+    return interval(reduce(DataFrame.unionByName, parts), by)
+
+
+def _small_rank_replicates(cells: DataFrame, by: list[str], x: str, y: str, b: int, seed) -> DataFrame:
+    """(by…, value): rho of every replicate, a block of replicates of a group at a time."""
+    blocks = -(-b // REPLICATE_BLOCK)
+    rows = cells.select(
+        *by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.col("_w").cast("long").alias("_w"),
+        F.xxhash64(F.lit(str(seed)), *by).alias("_key"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"),
+    )
+    n_by, step = len(by), REPLICATE_BLOCK
+
+    def one_block(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["_x", "_y"])
+        block = int(part["_block"].iloc[0])
+        value = rank_replicates(
+            part["_x"].to_numpy(), part["_y"].to_numpy(), part["_w"].to_numpy(),
+            generator(int(part["_key"].iloc[0]), block, 1), min(step, b - block * step),
+        )
+        frame = pd.DataFrame({name: [k] * len(value) for name, k in zip(by, keys[:n_by], strict=True)}, index=range(len(value)))
+        return frame.assign(value=value)
+
+    schema = rows.select(*by, F.lit(0.0).alias("value")).schema
+    return rows.groupBy(*by, "_block").applyInPandas(one_block, schema)
 
 
 def bootstrap_pearson_ci(
     df: DataFrame, by: Sequence[str], key: Sequence[str], x: str, y: str, b: int = REPLICATES, seed="pearson"
 ) -> DataFrame:
-    """Interval of Pearson's r; replicates without variation are skipped."""
+    """Interval of Pearson's r; replicates without variation are skipped.
+
+    Values are centred on their group's means, so sums of squares keep their digits.
+    """
     by = list(by)
-    drawn = resample(df.select(*dict.fromkeys([*by, *key, x, y])), by, key, b, seed)
-    return interval(drawn.groupBy(*by, "b").agg(correlation(x, y).alias("value")), by)
+    whole = df.select(*dict.fromkeys([*by, *key, x, y])).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    means = whole.groupBy(*by).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
+    u, v = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my")
+    sums = {"_n": F.lit(1.0), "_u": u, "_v": v, "_uu": u * u, "_vv": v * v, "_uv": u * v}
+    rows = match(whole, means, by).select(*by, *key, *[c.alias(n) for n, c in sums.items()])
+    each = replicate_sums(rows, by, key, list(sums), b, seed)
+
+    def spread(one: str, two: str, square: str) -> Column:
+        return F.col(square) - F.col(one) * F.col(two) / F.col("_n")
+
+    varies = (spread("_u", "_u", "_uu") > F.col("_uu") * TOLERANCE) & (spread("_v", "_v", "_vv") > F.col("_vv") * TOLERANCE)
+    r = spread("_u", "_v", "_uv") / F.sqrt(spread("_u", "_u", "_uu") * spread("_v", "_v", "_vv"))
+    return interval(each.select(*by, F.when(varies, r).alias("value")), by)
 
 
 def stratified_bootstrap(
     df: DataFrame, stratum: str, key: Sequence[str], columns: Sequence[str], statistics: dict[str, Column], b: int = REPLICATES, seed="strata"
 ) -> DataFrame:
     """Intervals of statistics of weighted sums, resampling rows within strata."""
-    drawn = resample(df.select(stratum, *key, *columns), [stratum], key, b, seed)
+    drawn = replicate_sums(df.select(stratum, *key, *columns), [stratum], key, columns, b, seed)
     sums = drawn.groupBy("b").agg(*[F.sum(c).alias(c) for c in columns])
     cells = [F.struct(F.lit(n).alias("figure"), s.cast("double").alias("value")) for n, s in statistics.items()]
     return interval(sums.select(F.inline(F.array(*cells))), ["figure"])
@@ -193,19 +252,15 @@ def permute_labels(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(hit).cast("double")).alias("h"), F.max(label).alias("_lab")
     )
     items = shared(items)
-    base = shared(hash_positions(items, by, [item], seed, "_pos"))
-    rows = base.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(b))))
-    shuffled = hash_positions(rows.drop("_pos", "_lab"), [*by, "b"], ["b", item], seed, "_pos")
-    moved = match(shuffled, base.select(*by, "_pos", "_lab"), [*by, "_pos"])
-
-    def gap() -> Column:
-        side = lambda c, cond: F.sum(F.when(cond, F.col(c)).otherwise(0.0))
-        lab = F.col("_lab")
-        return ratio(side("h", lab), side("n", lab)) - ratio(side("h", ~lab), side("n", ~lab))
-
-    observed = items.groupBy(*by).agg(gap().alias("observed"))
-    each = moved.groupBy(*by, "b").agg(gap().alias("value"))
-    return hits_to_p(match(each, observed, by), by)
+    sums = lambda c, cond: F.sum(F.when(cond, F.col(c)).otherwise(0.0))
+    lab = F.col("_lab")
+    observed = items.groupBy(*by).agg(
+        (ratio(sums("h", lab), sums("n", lab)) - ratio(sums("h", ~lab), sums("n", ~lab))).alias("observed"),
+        F.sum("n").alias("_n"), F.sum("h").alias("_h"),
+    )
+    moved = match(replicate_sums(items, by, [item], ["n", "h"], b, seed, LABELLED, label="_lab"), observed, by)
+    other = ratio(F.col("_h") - F.col("h"), F.col("_n") - F.col("n"))
+    return hits_to_p(moved.withColumn("value", ratio("h", "n") - other), by)
 
 
 def unit_permutations(units: DataFrame, b: int, seed, block: str = "dataset", unit: str = "unit") -> DataFrame:
@@ -232,11 +287,17 @@ def permute_units(
     so each permuted lookup finds its cell. Claims enter as counts.
     """
     by, on = list(by), list(on)
-    cells = claims.groupBy("dataset", "unit", *on, a).agg(F.count(F.lit(1)).alias("k"))
-    swaps = unit_permutations(full, b, seed)
-    moved = cells.join(swaps, ["dataset", "unit"]).drop("unit").withColumnRenamed("swapped", "unit")
-    looked = moved.join(full.select("dataset", "unit", *on, c), ["dataset", "unit", *on])
-    tables = looked.groupBy(*by, "b", a, c).agg(F.sum("k").alias("c"))
+    cells = shared(claims.groupBy(*dict.fromkeys(["dataset", "unit", *on, *by, a])).agg(F.count(F.lit(1)).alias("k")))
+    full = shared(full.select("dataset", "unit", *on, c))
+    sizes = full.groupBy("dataset").agg(F.count(F.lit(1)).alias("_cells"))
+    small, large = (sizes.where(w).select("dataset") for w in (F.col("_cells") <= CELLS, F.col("_cells") > CELLS))
+    parts = [_small_lookups(cells.join(small, "dataset"), full.join(small, "dataset"), on, by, a, c, b, seed)]
+    if large.limit(1).count():
+        some = full.join(large, "dataset")
+        moved = cells.join(unit_permutations(some, b, seed), ["dataset", "unit"]).drop("unit").withColumnRenamed("swapped", "unit")
+        looked = moved.join(some, ["dataset", "unit", *on])
+        parts.append(looked.groupBy(*by, "b", a, c).agg(F.sum("k").cast("double").alias("c")))
+    tables = reduce(DataFrame.unionByName, parts).groupBy(*by, "b", a, c).agg(F.sum("c").alias("c"))
     each = association_of_cells(tables, [*by, "b"], a, c).select(*by, "b", F.col("cramers_v").alias("value"))
     observed = (
         association_of_cells(claims.groupBy(*by, a, c).agg(F.count(F.lit(1)).alias("c")), by, a, c)
@@ -246,15 +307,48 @@ def permute_units(
     return hits_to_p(match(each, observed, by), by, two_sided=False)
 
 
+def _small_lookups(cells: DataFrame, full: DataFrame, on: list[str], by: list[str], a: str, c: str, b: int, seed) -> DataFrame:
+    """(by…, b, a, c, c): counts of stated and looked-up direction, a block of permutations of a dataset at a time."""
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-b // REPLICATE_BLOCK) - 1))).alias("_block")
+    step = REPLICATE_BLOCK
+
+    def one_block(keys: tuple, claimed: pd.DataFrame, shown: pd.DataFrame) -> pd.DataFrame:
+        block = int(keys[1])
+        units = np.sort(shown["unit"].unique())
+        place = shown.groupby(on, dropna=False).ngroup()
+        kinds, looked = pd.factorize(shown[c], use_na_sentinel=True)
+        grid = np.full((place.max() + 1, len(units)), -1)
+        grid[place, np.searchsorted(units, shown["unit"])] = kinds
+        rows = claimed.merge(shown[on].assign(_place=place).drop_duplicates(), on=on)
+        rows = rows[rows["unit"].isin(units)]
+        group = rows.groupby([*by, a], dropna=False, sort=False).ngroup().to_numpy()
+        names = rows[[*by, a]].iloc[np.unique(group, return_index=True)[1]].reset_index(drop=True)
+        own, line = np.searchsorted(units, rows["unit"]), rows["_place"].to_numpy()
+        k, width = rows["k"].to_numpy(np.float64), len(looked)
+        draw, out = generator(int(claimed["_key"].iloc[0]) if len(claimed) else 0, block, 2), []
+        for r in range(block * step + 1, min(b, (block + 1) * step) + 1):
+            seen = grid[line, draw.permutation(len(units))[own]]
+            there = seen >= 0
+            count = np.bincount(group[there] * width + seen[there], k[there], len(names) * width)
+            full_ = np.flatnonzero(count)
+            out.append(names.iloc[full_ // width].assign(b=r, **{c: looked[full_ % width]}, c=count[full_]))
+        made = pd.concat(out) if out and len(names) else pd.DataFrame(columns=schema.names)
+        return made[schema.names]
+
+    of = {f.name: f for f in [*cells.schema, *full.schema]}
+    schema = T.StructType([*[of[x] for x in by], T.StructField("b", T.LongType()), of[a], of[c], T.StructField("c", T.DoubleType())])
+    left = cells.select("*", F.xxhash64(F.lit(str(seed)), "dataset").alias("_key"), blocks)
+    right = full.select("*", blocks)
+    return left.groupBy("dataset", "_block").cogroup(right.groupBy("dataset", "_block")).applyInPandas(one_block, schema)
+
+
 def sign_flip(df: DataFrame, by: Sequence[str], cluster: Sequence[str], diff: str, b: int = REPLICATES, seed="flip") -> DataFrame:
     """Test that a paired difference is zero: whole clusters change sign together."""
     by, cluster = list(by), list(cluster)
     sums = shared(df.groupBy(*by, *cluster).agg(F.sum(diff).cast("double").alias("_s"), F.count(diff).alias("_n")))
-    sign = (hash_int(seed, F.col("b"), *[F.col(c) for c in cluster]) % 2) * 2 - 1
-    each = sums.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(b)))).groupBy(*by, "b").agg(
-        (F.sum(sign * F.col("_s")) / F.sum("_n")).alias("value"), (F.sum("_s") / F.sum("_n")).alias("observed")
-    )
-    return hits_to_p(each, by)
+    whole = sums.groupBy(*by).agg(F.sum("_n").alias("_n"), (F.sum("_s") / F.sum("_n")).alias("observed"))
+    each = match(replicate_sums(sums, by, cluster, ["_s"], b, seed, SIGNED), whole, by)
+    return hits_to_p(each.withColumn("value", F.col("_s") / F.col("_n")), by)
 
 
 # ------------------------------------------------------------------ multiplicity

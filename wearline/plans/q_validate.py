@@ -12,7 +12,7 @@ from ..sources import files
 from . import bindings as b
 from .oracle import d6, sql
 from .q_metrics import ERRS
-from .q_resample import B, ENDS, drawn
+from .q_resample import B
 from .registry import query
 
 DIRN = ("increase", "decrease")
@@ -177,22 +177,9 @@ def extraction_errors(spark, d):
 
 
 READERS = ("extractor", "reader")
-DRAWN_FIGURES = ", ".join(f"{figure_sql(r, k)} as {r}_{k}" for r in READERS for k in FIG)
-FIGURE_NAMES = [f"{r}/{k}" for r in (*READERS, "difference") for k in FIG]
-FIGURE_VALUES = [f"{r}_{k}" for r in READERS for k in FIG] + [f"reader_{k}-extractor_{k}" for k in FIG]
-WEIGHTED = f"select s.*, weight from ({SAMPLE_Q}) s join ({WEIGHTS}) w using (extractor)"
 
 
-@query(
-    "F8_stratified_bootstrap",
-    sql(
-        "",
-        f"""select figure, count(v) as replicates, {ENDS.format(v='v')} from (
-        select unnest({FIGURE_NAMES}) as figure, unnest([{', '.join(FIGURE_VALUES)}]) as v
-        from (select b, {DRAWN_FIGURES} from {drawn(WEIGHTED, 'extractor', 'l_orderkey,line,l_partkey,l_suppkey', 'strata')} group by b)) group by 1""",
-        readings=READ,
-    ),
-)
+@query("F8_stratified_bootstrap")
 def stratified_bootstrap(spark, d):
     """All corpus figures of both readings and their differences, the sample resampled within strata."""
     sample, weights = _sample(spark, d)
