@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
-from wearline.llm import langid, mixing, simhash
+from wearline.llm import langid, mixing
 
 WORD = r"[^\x20\x09-\x0D]+"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -42,24 +42,24 @@ def brute_force(rows):
     docs = [r for r in rows if r[1] and re.search("[a-z]", r[1])]
     assert set(langid.Model(samples).predict([r[1] for r in docs])[0]) == {"en"}
     docs = [(r[0], r[1], "en", r[3]) for r in docs]
-    first, sites = {}, {}
+    sites, texts = {}, {}
     for _, text, _, site in docs:
-        first[text] = min(first.get(text, "~"), site or "")
-    for text, site in first.items():
         for x in text.split("\n"):
             sites.setdefault(x, set()).add(site)
+            texts.setdefault(x, set()).add(text)
     clean = []
     for i, text, lang, site in docs:
-        kept = [x for x in text.split("\n") if len(sites[x]) < 5]
+        kept = [x for x in text.split("\n") if len(sites[x]) < 5 or len(texts[x]) < 2]
         new = "\n".join(kept)
         if new == text or re.search(WORD, new):
             clean.append((i, new, lang, site))
     clean = sorted(set(clean), key=lambda r: (r[0] is None, r[0] or 0))
-    prints = [simhash.fingerprint(r[1].encode(), 5) for r in clean]
+    words = [re.findall(WORD, r[1].lower()) for r in clean]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
     group = list(range(len(clean)))
     for i in range(len(clean)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 7 and group[i] != group[j]:
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and group[i] != group[j]:
                 old = group[i]
                 group = [group[j] if g == old else g for g in group]
     return [r for i, r in enumerate(clean) if group.index(group[i]) == i]
@@ -94,6 +94,27 @@ def test_stages_equal_brute_force(spark, rows):
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
 
 
+def test_unknown_scripts_go_and_clean_texts_stay(spark):
+    rows = [(i, f"plain words in number {i}", "en", "s", 1) for i in range(20)]
+    rows += [(50, "日本語の文", "en", "s", 1), (51, "日本 words", None, "s", 1)]
+    rows = rows[:-2] + [(50, "日本語の文", None, "s", 1), rows[-1]]
+    got = pipeline.known_language(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert {r["doc_id"] for r in got.collect()} == {*range(20), 51}
+
+
+def test_rows_that_differ_in_other_columns_only(spark):
+    """Reruns agree on which of them stays, and very long texts go through all stages."""
+    long = "word " + " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, "same text of five words", lang, s, 1) for lang in ("en", "fr") for s in ("a", "b", None)] + [(2, long, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for stage in (pipeline.one_of_each_group, pipeline.mixed):
+        seen = [sorted(map(tuple, stage(spark, docs.repartition(n), "").collect()), key=repr) for n in (1, 3, 5)]
+        assert seen[0] == seen[1] == seen[2]
+    for _, stage in pipeline.STAGES:
+        docs = stage(spark, docs, "")
+    assert {r["doc_id"]: r["n_tokens"] > 100_000 for r in docs.collect()}[2]
+
+
 def test_whole_run(spark, sf_dir):
     got = pipeline.run(spark, sf_dir)
     ids = {r["doc_id"] for r in got.select("doc_id").collect()}
