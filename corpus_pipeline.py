@@ -26,14 +26,15 @@ def _row_key() -> list[Column]:
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a recognised language, which becomes their `lang`.
 
-    Null texts and texts without a letter go. The languages are those of the labels
-    in `docs`; where there are none at all, nothing is rejected for its language.
+    Null texts and texts without a letter go, and texts none of whose letters is in the
+    sample of any language. The languages are those of the labels in `docs`; where
+    there are none at all, nothing is rejected for its language.
     """
     learned = langid.sample(docs)
-    named = langid.identify(docs.select(*COLUMNS), learned, out="_lang", score="_score")
+    named = langid.identify(docs.select(*COLUMNS), learned, out="_lang", score="_score", known="_known")
     if not learned:
         return docs.where(F.col("text").rlike("\\p{L}")).select(*COLUMNS)
-    return named.where(F.col("_lang") != langid.UNKNOWN).withColumn("lang", F.col("_lang")).select(*COLUMNS)
+    return named.where((F.col("_lang") != langid.UNKNOWN) & (F.col("_known") > 0)).withColumn("lang", F.col("_lang")).select(*COLUMNS)
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,33 +50,44 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     )
 
 
+def _distinct(keyed: DataFrame) -> DataFrame:
+    """One row per id and text, the least of those that differ in other columns."""
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    rows = keyed.groupBy("_id", "_text").agg(F.min(F.struct(*rest, "doc_id", "text")).alias("_row"))
+    return rows.select("_id", "_text", *[F.col(f"_row.{c}").alias(c) for c in COLUMNS])
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every near-duplicate group.
 
     Links are pairs of texts whose sets of five-word shingles have a Jaccard
-    similarity of 0.8 or more. Rows of equal id are told apart by their text,
-    repeated rows are one, and null ids come after all others.
+    similarity of 0.8 or more, all decided on the sets themselves. Candidates are
+    what the SimHash operator's covering masks link within seven bits, and, since
+    fingerprints of similarity 0.8 mostly differ in more, texts with a common MinHash
+    band. Rows of equal id are told apart by their text, repeated rows are one (of
+    the least other columns), and null ids come after all others.
     """
     keyed = docs.select(*COLUMNS, *_row_key())
     found = keep(shingles.groups(keyed, ["_id", "_text"], size=5, least=0.8))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("_id") == NO_ID, "_id", "_text")).alias("first"))
     kept = first.select("first._id", "first._text")
-    return keyed.join(kept, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select(*COLUMNS)
+    return _distinct(keyed.join(kept, ["_id", "_text"], "left_semi")).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents drawn until every source is near its target weight, up to three times each.
 
     One partition per shard of the splitting tree, in the shard's random order. A
-    repeated row counts once.
+    repeated row counts once. Of rows with equal id and text but another language or
+    source, the least counts, in the sizes and in the mix.
     """
     keyed = docs.select(*COLUMNS, *_row_key())
-    sized = keep(keyed.select("_id", "_text", "source", mixing.words(F.col("text")).alias("size")).distinct())
+    sized = keep(_distinct(keyed).select("_id", "_text", "source", mixing.words(F.col("text")).alias("size")))
     levels = max(1, (width(spark) - 1).bit_length())
     draws, _ = mixing.mix(sized, "_id", "size", "source", block_words=None, levels=levels, tie="_text")
     placed = draws.select(F.col("row").alias("_id"), F.col("tie").alias("_text"), "shard", "place")
     return (
-        keyed.dropDuplicates(["_id", "_text"])
+        _distinct(keyed)
         .join(placed, ["_id", "_text"])
         .repartition(1 << levels, "shard")
         .sortWithinPartitions("shard", "place")
