@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 
 import pytest
 
@@ -43,6 +44,31 @@ def write_trace(path, rows):
     path.write_text(json.dumps(rows))
 
 
+def test_array_files_are_read_in_byte_ranges(spark, tmp_path):
+    """Strings with braces, quotes and backslashes, nested objects, and every layout of a file, cut at any byte."""
+    rng = random.Random(4)
+    marks = ["{", "}", '"', "\\", "\n", ",", "[", "]", "é", "日", " word ", '\\"}', "}, {", "\\\\"]
+    record = lambda i: {
+        "engine_id": i, "true_rul": 1.5 * i, "pred_rul": None if i % 7 == 0 else i,
+        "reasoning": "".join(rng.choices(marks, k=rng.randint(0, 30))), "raw": "x" * rng.choice([0, 0, 900]),
+    }
+    files_ = {"one": [record(i) for i in range(400)], "two": [record(1000 + i) for i in range(50)], "three": [], "four": [record(9)]}
+    for k, (name, rows) in enumerate(files_.items()):
+        nested = [{**r, "more": {"a": {"b": "}"}, "c": [{}, {"d": "{"}]}} if r["engine_id"] % 5 == 0 else r for r in rows]
+        text = json.dumps(nested, indent=[None, 2, None, 1][k], ensure_ascii=k % 2 == 0)
+        (tmp_path / f"traces_FD001_{name}_k3_n15_run{k}.json").write_text(text + "\n" * k)
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("1500", "7001", keep):
+        try:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert size == keep or spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions() > 4
+            got = files.read_traces(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+        want = sorted((r["engine_id"], r["true_rul"], r["pred_rul"], r["reasoning"], r["raw"]) for rows in files_.values() for r in rows)
+        assert sorted((r.unit, r.truth, r.pred, r.text, r.raw) for r in got) == want
+
+
 def test_traces_and_manifest(spark, tmp_path):
     rows = [{"engine_id": 1, "true_rul": 112.0, "pred_rul": 45, "reasoning": "s11 rising"}, {"engine_id": 2, "true_rul": 98.0, "pred_rul": None}]
     write_trace(tmp_path / "traces_FD001_few_shot_k3_n15_run2.json", rows)

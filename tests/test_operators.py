@@ -328,3 +328,28 @@ def test_reversal_pairs(spark):
     rev = cl.trend_reversals(df)
     assert sorted((r.engine, r.changed) for r in rev.collect()) == [(1, False), (3, True)]
     assert [(r.sensor, r.engine) for r in cl.worked_example(rev).collect()] == [("s1", 1)]
+
+
+def test_rank_sum_test_of_small_samples(spark):
+    """Tabulated values, every alternative, and all orders of small samples."""
+    assert tails.mann_whitney_counts(3, 2) == [1, 1, 2, 2, 2, 1, 1]
+    for n1, n2 in ((1, 1), (4, 3), (2, 6)):
+        us = [sum(a > b for a in first for b in set(range(n1 + n2)) - set(first)) for first in itertools.combinations(range(n1 + n2), n1)]
+        assert tails.mann_whitney_counts(n1, n2) == [us.count(u) for u in range(n1 * n2 + 1)]
+    # critical values of the 5 % tables: 2 for five against five, 13 for eight against eight (two-sided)
+    assert tails.mann_whitney_exact(2, 5, 5, "two-sided") < 0.05 < tails.mann_whitney_exact(3, 5, 5, "two-sided")
+    assert tails.mann_whitney_exact(13, 8, 8, "two-sided") < 0.05 < tails.mann_whitney_exact(14, 8, 8, "two-sided")
+    assert abs(tails.mann_whitney_exact(4, 5, 5, "less") - 12 / 252) < 1e-12
+    rows = [("s", "a", float(v)) for v in (1, 2, 4)] + [("s", "b", float(v)) for v in (3, 5, 6, 7)]
+    rows += [("tied", "a", 1.0), ("tied", "a", 2.0), ("tied", "b", 2.0), ("tied", "b", 3.0), ("one", "a", 1.0)]
+    df = spark.createDataFrame(rows, "g string, side string, v double")
+    got = {x: {r.g: r for r in rk.mann_whitney(df, ["g"], "side", "v", "a", "b", x).collect()} for x in ("less", "greater", "two-sided")}
+    assert got["less"]["s"].u == 1.0
+    assert got["less"]["s"].p == pytest.approx(2 / 35) and got["two-sided"]["s"].p == pytest.approx(4 / 35)
+    assert got["greater"]["s"].p == pytest.approx(34 / 35)
+    # ties: normal with corrections; U = 0.5, mean 2, variance 4/12 * (5 - 6/12)
+    z = (2 - 0.5 - 0.5) / math.sqrt(4 / 12 * (5 - 6 / 12))
+    assert got["less"]["tied"].p == pytest.approx(math.erfc(z / math.sqrt(2)) / 2)
+    assert got["less"]["one"].p is None
+    with pytest.raises(ValueError):
+        rk.mann_whitney(df, ["g"], "side", "v", "a", "b", "lower")

@@ -159,3 +159,54 @@ def _kendall(n: pd.Series, net: pd.Series, tied: pd.Series, z: pd.Series) -> pd.
 def kendall_two_sided(n: Column, net: Column, tied: Column, z: Column) -> Column:
     """p of tau: exact for few rows without ties, else normal with the tie-corrected variance."""
     return _kendall(n.cast("double"), net.cast("double"), tied, z)
+
+
+#: Rows of the smaller sample, and pairs of both, up to which untied samples are tested exactly (the first is a fixed value).
+EXACT_SMALLER = 8
+EXACT_PAIRS = 100_000
+
+
+def mann_whitney_counts(n1: int, n2: int) -> list[int]:
+    """Orders of two untied samples by U: the coefficients of the Gaussian binomial of n1 + n2 over n1."""
+    small, large = sorted((n1, n2))
+    counts = [1] + [0] * (small * large)
+    for i in range(1, small + 1):
+        # times 1 - q^(large + i), then divided by 1 - q^i
+        for u in range(len(counts) - 1, large + i - 1, -1):
+            counts[u] -= counts[u - large - i]
+        for u in range(i, len(counts)):
+            counts[u] += counts[u - i]
+    return counts
+
+
+def mann_whitney_exact(u: float, n1: int, n2: int, alternative: str) -> float:
+    """p of U of the first sample without ties."""
+    counts = mann_whitney_counts(n1, n2)
+    total = sum(counts)
+    below = sum(counts[: int(u) + 1]) / total
+    above = sum(counts[math.ceil(u) :]) / total
+    return {"less": below, "greater": above}.get(alternative, min(1.0, 2 * min(below, above)))
+
+
+def mann_whitney_p(u: Column, n1: Column, n2: Column, tied: Column, z: Column, alternative: str) -> Column:
+    """p of a rank sum test: exact for a small untied sample, else normal.
+
+    `z` is the score towards the alternative; two-sided scores are never below zero.
+    """
+
+    @F.pandas_udf(T.DoubleType())
+    def p(u: pd.Series, n1: pd.Series, n2: pd.Series, tied: pd.Series, z: pd.Series) -> pd.Series:
+        out = []
+        for value, a, b, ties, score in zip(u, n1, n2, tied, z, strict=True):
+            if not (a > 0 and b > 0):
+                out.append(None)
+            elif not ties and min(a, b) <= EXACT_SMALLER and a * b <= EXACT_PAIRS:
+                out.append(mann_whitney_exact(value, int(a), int(b), alternative))
+            elif score is None or score != score:
+                out.append(None)
+            else:
+                tail = math.erfc(score / math.sqrt(2.0)) / 2
+                out.append(min(1.0, 2 * tail) if alternative == "two-sided" else tail)
+        return pd.Series(out, dtype="float64")
+
+    return p(u.cast("double"), n1.cast("double"), n2.cast("double"), tied, z.cast("double"))

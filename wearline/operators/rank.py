@@ -187,8 +187,18 @@ def rank_sums(df: DataFrame, by: Sequence[str], group: str, value: str) -> DataF
     return match(sums, tie_term, by)
 
 
-def mann_whitney(df: DataFrame, by: Sequence[str], group: str, value: str, first, second) -> DataFrame:
-    """U of the first sample, z with tie and continuity correction, two-sided p."""
+def mann_whitney(
+    df: DataFrame, by: Sequence[str], group: str, value: str, first, second, alternative: str = "two-sided"
+) -> DataFrame:
+    """U of the first sample, z with tie and continuity correction, p.
+
+    The alternative is "two-sided", "less" (the first sample tends to smaller values)
+    or "greater"; z is the score towards it. p is exact where there are no ties and
+    the smaller sample has eight rows or fewer (and 100,000 pairs at most), else normal.
+    """
+    if alternative not in ("two-sided", "less", "greater"):
+        raise ValueError("the alternative is two-sided, less or greater")
+    by = list(by)
     two = rank_sums(df.where(F.col(group).isin(first, second)), by, group, value)
     pick = lambda c, g: F.max(F.when(F.col(group) == g, F.col(c))).cast("double")
     wide = two.groupBy(*by).agg(
@@ -198,11 +208,11 @@ def mann_whitney(df: DataFrame, by: Sequence[str], group: str, value: str, first
     total = n1 + n2
     u = F.col("_r") - n1 * (n1 + 1) / 2.0
     sd = F.sqrt(n1 * n2 / 12.0 * ((total + 1) - F.col("_t") / (total * (total - 1))))
-    bigger = F.greatest(u, n1 * n2 - u)
-    z = ratio(bigger - n1 * n2 / 2.0 - 0.5, sd)
-    return wide.select(
-        *by, "n1", "n2", u.alias("u"), z.alias("z"), tails.normal_two_sided(F.when(z < 0, F.lit(0.0)).otherwise(z)).alias("p")
-    )
+    towards = {"less": n1 * n2 - u, "greater": u}.get(alternative, F.greatest(u, n1 * n2 - u))
+    z = ratio(towards - n1 * n2 / 2.0 - 0.5, sd)
+    score = F.when(z < 0, F.lit(0.0)).otherwise(z) if alternative == "two-sided" else z
+    p = tails.mann_whitney_p(u, n1, n2, F.col("_t") > 0, score, alternative)
+    return wide.select(*by, "n1", "n2", u.alias("u"), z.alias("z"), p.alias("p"))
 
 
 def kruskal_wallis(df: DataFrame, by: Sequence[str], group: str, value: str) -> DataFrame:

@@ -264,19 +264,54 @@ RSUM = """select {by}, {g} as g, count(*)::double as n, sum(rk)::double as rs, m
         count(*) over (partition by {by}, {v})::double as k, row_number() over (partition by {by}, {v})=1 as first from {t})) group by all"""
 
 
+def u_sql(by: str, group: str, value: str, table: str, first: str, second: str, towards: str) -> str:
+    """U of the first sample and its score towards the alternative."""
+    n = lambda g: f"max(n) filter (where g={g})"
+    return f"""select {by}, n1, n2, u, round(({towards}-n1*n2/2-0.5)/nullif(sqrt(n1*n2/12*((n1+n2+1)-tt/((n1+n2)*(n1+n2-1)))),0),6) as z from (
+        select {by}, {n(first)} as n1, {n(second)} as n2, max(tt) as tt, max(rs) filter (where g={first})-{n(first)}*({n(first)}+1)/2 as u
+        from ({RSUM.format(by=by, g=group, v=value, t=table)}) group by 1)"""
+
+
+LINES = "(select *, l_returnflag as flag from lineitem)"
+
+
+@query("D22_mann_whitney", sql("", u_sql("flag", "l_linestatus", "l_quantity", LINES, "'F'", "'O'", "greatest(u,n1*n2-u)")))
+def mann_whitney(spark, d):
+    li = b.table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "flag")
+    return rk.mann_whitney(li, ["flag"], "l_linestatus", "l_quantity", "F", "O").drop("p")
+
+
+@query("D22_mann_whitney_less", sql("", u_sql("flag", "l_linestatus", "l_extendedprice", LINES, "'F'", "'O'", "n1*n2-u")))
+def mann_whitney_less(spark, d):
+    """One-sided: are prices of the first status smaller?"""
+    li = b.table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "flag")
+    return rk.mann_whitney(li, ["flag"], "l_linestatus", "l_extendedprice", "F", "O", "less").drop("p")
+
+
+RUN_ERRORS = "(select dataset, w, q, sqrt(avg((pred-truth)*(pred-truth))) as rmse from (select dataset, n as w, q, pred, truth from preds) group by all)"
+
+
+def _p_exact_sql(n: int) -> str:
+    """P(U <= u) of two untied samples of n rows each, by listing which ranks the first may have."""
+    ranks = ", ".join(f"(select unnest(range(1,{2 * n + 1})) as r{i}) t{i}" for i in range(n))
+    order = " and ".join(f"r{i}<r{i + 1}" for i in range(n - 1))
+    return f"(select {'+'.join(f'r{i}' for i in range(n))}-{n * (n + 1) // 2} as v from {ranks} where {order})"
+
+
 @query(
-    "D22_mann_whitney",
+    "D22_exact_less",
     sql(
-        "",
-        f"""select flag, n1, n2, u, round((greatest(u,n1*n2-u)-n1*n2/2-0.5)/sqrt(n1*n2/12*((n1+n2+1)-tt/((n1+n2)*(n1+n2-1)))),6) as z from (
-        select flag, max(n) filter (where g='F') as n1, max(n) filter (where g='O') as n2, max(tt) as tt,
-        max(rs) filter (where g='F')-max(n) filter (where g='F')*(max(n) filter (where g='F')+1)/2 as u
-        from ({RSUM.format(by='flag', g='l_linestatus', v='l_quantity', t='(select *, l_returnflag as flag from lineitem)')}) group by 1)""",
+        "preds",
+        f"""select dataset, n1, n2, u, case when untied then round((select count(*) from {_p_exact_sql(3)} where v<=u)/20e0,6) end as p from (
+        select dataset, count(*) filter (where q=1)::double as n1, count(*) filter (where q=40)::double as n2, count(distinct rmse)=count(*) as untied,
+        (select count(*) from {RUN_ERRORS} x, {RUN_ERRORS} y where x.dataset=r.dataset and y.dataset=r.dataset and x.q=1 and y.q=40 and y.rmse<x.rmse)::double as u
+        from {RUN_ERRORS} r where q in (1,40) group by dataset)""",
     ),
 )
-def mann_whitney(spark, d):
-    li = b.table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "flag")
-    return rk.mann_whitney(li, ["flag"], "l_linestatus", "l_quantity", "F", "O").drop("p")
+def exact_less(spark, d):
+    """Do fine quanta have smaller errors than coarse ones? Three runs each, so the null distribution is exact."""
+    runs = _run_metrics(spark, d)
+    return rk.mann_whitney(runs, ["dataset"], "q", "rmse", 1, 40, "less").select("dataset", "n1", "n2", "u", "p")
 
 
 @query(

@@ -330,7 +330,7 @@ TRACED = """select *, 'traces_'||dataset||'1_'||mode||'_k'||k||'_n'||n||'.json'
         select dataset, mode, n, case mode when 'zero_shot' then 0 else 3 end as k, unit, resp, length(text)%126 as truth, resp%126 as pred, text from resp)"""
 
 
-def _trace_files(spark, d):
+def _trace_files(spark, d, write=files.write_traces):
     """Responses written as trace files, one per dataset, mode and window length."""
     r = b.responses(spark, d)
     k = F.when(F.col("mode") == "zero_shot", 0).otherwise(3)
@@ -343,23 +343,32 @@ def _trace_files(spark, d):
         name.alias("file"),
     )
     path = staging_path(spark)
-    files.write_traces(rows, path)
+    write(rows, path)
     return path
 
 
 TRACE_KEYS = "dataset||'1' as dataset, mode, k::bigint as k, n as n_cycles"
 
 
-@query(
-    "A3_trace_files",
-    sql("resp", f"select {TRACE_KEYS}, count(*) as n, {ERRS} from (select *, n as w from traced) group by dataset, mode, k, n", traced=TRACED),
+TRACE_SCORES = sql(
+    "resp", f"select {TRACE_KEYS}, count(*) as n, {ERRS} from (select *, n as w from traced) group by dataset, mode, k, n", traced=TRACED
 )
+
+
+@query("A3_trace_files", TRACE_SCORES)
 def trace_files(spark, d):
     """Trace files read back with the configuration in their names, and scored."""
     traces = files.read_traces(spark, _trace_files(spark, d), array_files=False)
     return m.error_metrics(traces, ["dataset", "mode", "k", "n_cycles"])
 
 
+@query("A3_array_files", TRACE_SCORES)
+def array_files(spark, d):
+    """The same from files of JSON arrays, read in byte ranges."""
+    traces = files.read_traces(spark, _trace_files(spark, d, files.write_array_traces))
+    return m.error_metrics(traces, ["dataset", "mode", "k", "n_cycles"])
+
+
 @query(
     "A6_trace_manifest",
     sql(
@@ -385,6 +394,10 @@ def trace_manifest(spark, d):
     )
 
 
+#: Documents of a sheet, so that sheets grow in number and not in size.
+SHEET_IDS = 5_000
+
+
 @query(
     "A5_label_export",
     sql("", "select doc_id as \"case\", 's'||quality as sensor, case when toxic=1 then 'increase' else 'stable' end as label, toxic=1 as revealed from labels"),
@@ -401,7 +414,7 @@ def label_export(spark, d):
     wrapped = F.struct(one.alias("data"))
     kinds = []
     for kind, (root, item) in enumerate((("readings", one), ("letture", one), ("readings", wrapped))):
-        part = lab.where(F.col("doc_id") % 3 == kind).groupBy((F.col("doc_id") % 64).alias("sheet"))
+        part = lab.where(F.col("doc_id") % 3 == kind).groupBy(F.floor(F.col("doc_id") / SHEET_IDS).alias("sheet"))
         kinds.append(part.agg(F.to_json(F.struct(F.collect_list(item).alias(root))).alias("value")))
     path = staging_path(spark)
     for i, export in enumerate(kinds):

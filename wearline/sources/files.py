@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import config_from_file
 from ..operators.metrics import run_manifest
-from ..operators.ordering import match, positions
+from ..operators.ordering import match, positions, running_total
 
 TRACE_SCHEMA = (
     "engine_id bigint, true_rul double, pred_rul double, reasoning string, arm string, "
@@ -66,19 +66,58 @@ def record_path() -> Column:
     return F.regexp_replace(F.col("_metadata.file_path"), r"/part-[^/]+$", "")
 
 
+def array_records(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value): every object of files that hold JSON arrays, one or one after the other, as text.
+
+    A file is read in parallel byte ranges, cut at closing braces. Whether a piece
+    begins inside a string follows from the quotes before it, how deep it is nested
+    from the braces outside strings before it, and which record it belongs to from the
+    records that are complete before it: three running totals over the pieces of a
+    file, whose order is that of byte ranges and of the pieces in them. Only the pieces
+    of one record are put together in one place. A byte range must fit a task, a file
+    need not; compressed files are one range.
+    """
+    pieces = spark.read.option("lineSep", "}").text(path).select(
+        record_path().alias("path"),
+        F.col("_metadata.file_path").alias("part"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+        "value",
+    )
+    by = ["path", "part"]
+    plain = F.regexp_replace("value", r"(?s)\\.", "")  # without escaped characters
+    count = lambda c, mark: F.length(c) - F.length(F.replace(c, F.lit(mark)))
+    quoted = pieces.withColumn("plain", plain).withColumn("quotes", count(F.col("plain"), '"').cast("long"))
+    quoted = running_total(quoted, by, "block", ["line"], F.col("quotes"), "_before")
+    inside = F.col("_before") % 2 == 1
+    outside = F.regexp_replace(F.when(inside, F.concat(F.lit('"'), "plain")).otherwise(F.col("plain")), r'"[^"]*("|$)', "")
+    closes = ((F.col("_before") + F.col("quotes")) % 2 == 0).cast("long")
+    nested = quoted.select(*by, "block", "line", "value", closes.alias("closes"), (count(outside, "{") - closes).alias("step"))
+    nested = running_total(nested, by, "block", ["line"], F.col("step"), "_depth")
+    whole = ((F.col("closes") == 1) & (F.col("_depth") + F.col("step") == 0)).cast("long")
+    numbered = running_total(nested.withColumn("whole", whole), by, "block", ["line"], F.col("whole"), "record")
+    joined = numbered.groupBy(*by, "record").agg(F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("_p"))
+    text = F.concat(F.array_join(F.transform("_p", lambda x: x["value"]), "}"), F.lit("}"))
+    return joined.select("path", F.regexp_replace(text, r"^[\s,\[\]]+", "").alias("value")).where(F.col("value").startswith("{"))
+
+
 def read_traces(spark: SparkSession, path: str, array_files: bool = True) -> DataFrame:
     """Prediction records with the run configuration from the file name.
 
-    The usual files hold one JSON array each; `array_files=False` reads one record
-    per line, which Spark can split and which suits large exports.
+    The usual files hold one JSON array each, `array_files=False` reads one record per
+    line; both are split by byte ranges.
     """
-    df = spark.read.option("multiLine", array_files).schema(TRACE_SCHEMA).json(path)
-    whole = record_path()
+    if array_files:
+        records = array_records(spark, path)
+        df = records.select("path", F.from_json("value", TRACE_SCHEMA).alias("r")).select("path", "r.*")
+    else:
+        df = spark.read.schema(TRACE_SCHEMA).json(path).select(record_path().alias("path"), "*")
+    whole = F.col("path")
     file = F.regexp_extract(whole, r"([^/=]+)$", 1)
     config = {name: c for name, c in config_from_file(file).items()}
     own = {"k": F.coalesce(F.col("k"), config["k"]), "seed": F.coalesce(F.col("seed"), config["seed"])}
     return df.select(
-        whole.alias("path"),
+        "path",
         file.alias("file"),
         config["dataset"].alias("dataset"),
         config["mode"].alias("mode"),
@@ -189,3 +228,14 @@ def write_label_lines(df: DataFrame, path: str, label: str = "rul", pos: str = "
 def write_traces(df: DataFrame, path: str, file: str = "file") -> None:
     """Records as JSON lines, a folder with the name of each file."""
     df.repartition(file).write.partitionBy(file).json(path)
+
+
+#: Records of an array.
+ARRAY_ROWS = 1_000
+
+
+def write_array_traces(df: DataFrame, path: str, file: str = "file") -> None:
+    """Records as JSON arrays of at most ARRAY_ROWS records, a folder with the name of each file; rows stay spread over tasks."""
+    records = F.collect_list(F.struct(*[c for c in df.columns if c != file]))
+    some = df.withColumn("_some", F.floor(F.monotonically_increasing_id() / ARRAY_ROWS))
+    some.groupBy(file, "_some").agg(F.to_json(records).alias("value")).drop("_some").write.partitionBy(file).text(path)
