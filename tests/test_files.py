@@ -7,6 +7,7 @@ import random
 import pytest
 
 from wearline.operators import frames as fr
+from wearline.operators import metrics
 from wearline.sources import files
 from wearline.streaming import arrivals
 
@@ -162,3 +163,34 @@ def test_arriving_records_skip_finished_keys(spark, tmp_path):
     arrive("3.json", ("a", 3, 77.0, 10.0))
     got = arrivals.stored_metrics(spark, store, ["config"]).first()
     assert got.n == 3 and got.rmse == pytest.approx(((4 + 0 + 16) / 3) ** 0.5)
+
+
+def test_running_metrics_of_late_and_repeated_records(spark, tmp_path):
+    """In runs over arriving files, state alone gives the errors and concentration of the whole."""
+    rng = random.Random(3)
+    schema = "config string, unit bigint, pred double, truth double, at timestamp"
+    rows = [(f"c{i % 3}", i, float(rng.randint(0, 5)), float(rng.randint(0, 40)), f"2024-01-{1 + i // 30:02d} 0{i % 9}:00:00") for i in range(180)]
+    late = rows[5:9] + rows[100:104]  # they come a run later, within the delay
+    runs = [[r for r in rows[:90] if r not in late], rows[60:150] + late[:4], rows[140:] + late[4:] + rows[175:], []]
+    folder, store, out = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "out")
+    folder.mkdir()
+    seen = []
+    for k, some in enumerate(runs):
+        rng.shuffle(some)
+        names = schema.replace(",", "").split()[::2]
+        (folder / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(names, r))) for r in some))
+        stream = arrivals.arriving_records(spark, str(folder), schema)
+        arrivals.append_distinct(stream, store, str(tmp_path / "mark"), ["config", "unit"], "at", "10 days").awaitTermination(120)
+        running = arrivals.running_metrics(spark, store, schema, ["config"], out, str(tmp_path / "state"))
+        for query in running:
+            query.awaitTermination(120)
+        seen.append(sum(p["numInputRows"] for p in running[0].recentProgress))
+    assert sum(seen) == 180 and seen[1] < 100  # every stored record is read once
+    whole = spark.createDataFrame([r[:4] for r in rows], "config string, unit bigint, pred double, truth double")
+    for got, want in (
+        (arrivals.current_errors(spark, out), metrics.error_metrics(whole, ["config"])),
+        (arrivals.current_concentration(spark, out, ["config"]), metrics.concentration(whole, ["config"])),
+    ):
+        assert got.columns == want.columns
+        for a, b in zip(got.orderBy("config").collect(), want.orderBy("config").collect(), strict=True):
+            assert list(a)[1:] == pytest.approx(list(b)[1:])

@@ -130,7 +130,11 @@ def concentration(df: DataFrame, by: Sequence[str], value: str = "pred", grid: f
 
     Two aggregations by (group, value) and by group; neither ever holds a group's rows.
     """
-    freq = value_frequencies(df, by, value, grid)
+    return concentration_of(value_frequencies(df, by, value, grid), by)
+
+
+def concentration_of(freq: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The same from rows counted by value (columns `value` and `count`)."""
     per = freq.groupBy(*by).agg(
         F.sum("count").alias("n"),
         F.count(F.lit(1)).alias("distinct_values"),
