@@ -52,3 +52,19 @@ def test_small_blocks_ties_and_bad_vectors(spark, scale, monkeypatch):
     assert [g[:3] for g in got] == [w[:3] for w in want]
     assert [g[3] for g in got] == [w[3] for w in want]
     assert neighbours.search(df.limit(0), df).count() == neighbours.search(df, df.limit(0)).count() == 0
+
+
+def test_bounds_that_are_not_finite(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=4) * 10.0 ** rng.choice([150, 153, 0])).tolist()) for i in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(map(tuple, neighbours.search(df.where("vec_id % 20 = 0"), df, k=5).collect()))
+    assert [g[:3] for g in got] == [w[:3] for w in plain(rows, 5)]
+
+
+def test_repeated_query_rows_have_their_neighbours_once_each(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 4)
+    rows = [(i, [float(i % 7), 1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = sorted(map(tuple, neighbours.search(df.where("vec_id % 5 = 0"), df, k=3).collect()))
+    assert len(got) == 36 and len({g[:2] for g in got}) == 36

@@ -61,6 +61,7 @@ def test_small_chunks(spark, docs_of):
     docs = docs_of(rows, 5).withColumn("chunk", F.lit("x")).withColumn("part", F.lit(1))
     got = digest(suffixes.without_repeats(docs, chunk_bytes=600, piece=257))
     assert chunk_count(spark) > 30
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("wearline_")]
     assert got == sorted(plain(rows), key=repr)
 
 

@@ -23,11 +23,16 @@ from .common import width
 
 
 def keep_bucketed(df: DataFrame, key: str) -> DataFrame:
-    """Write a table bucketed by `key` to the cluster's shared folder and go on from the copy."""
+    """Write a table bucketed by `key` to the cluster's shared folder and go on from the copy.
+
+    Only tables can be bucketed, so it is one until its files are found; the catalog keeps nothing.
+    """
     spark, name = df.sparkSession, f"wearline_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/wearline-llm/{name}"
     df.write.option("path", path).bucketBy(width(spark), key).format("parquet").saveAsTable(name)
-    return spark.table(name)
+    copy = spark.table(name)
+    spark.sql(f"drop table {name}")
+    return copy
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

@@ -6,8 +6,9 @@ tile is the product of the int8 codes, and each code is off by half a step at
 most, so every estimate comes with a bound on its error. Per query, candidates
 whose upper bound is under the k-th largest lower bound cannot be among the k
 nearest; the survivors are recomputed in double precision from the vectors as
-given. Heaps of k keep a task's best, and heaps merge them per query. The result
-is exact.
+given, as are pairs whose bounds are not finite. Heaps of k keep the best of one
+query block against the candidates of a cell, and heaps merge them per query; a
+task never holds more than one block's. The result is exact.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import width, workers_import_this
+from .exchange import rows_of
 
 #: Rows in a block.
 BLOCK_ROWS = 2048
@@ -99,7 +101,7 @@ def _tile(q: _Block, c: _Block, k: int) -> Iterator[tuple[int, list[tuple[float,
         bar = np.partition(lower, len(c.ids) - k, axis=1)[:, len(c.ids) - k]
     else:
         bar = np.full(len(q.ids), -np.inf)
-    rows, columns = np.nonzero((upper >= bar[:, None]) & ~own)
+    rows, columns = np.nonzero(~(upper < bar[:, None]) & ~own)  # also where a bound is not a number
     score = np.empty(len(rows))
     for s in range(0, len(rows), 1 << 16):
         part = slice(s, s + (1 << 16))
@@ -145,20 +147,23 @@ def search(
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: dict[int, list[tuple[float, int]]] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
+        now, left = None, None
+        for r in rows_of(batches):
+            if r["q_ids"] != now:  # the join hands on a query block with all candidate blocks of its cell
+                yield from _rows(heaps.items())
+                heaps, now = {}, r["q_ids"]
                 left = _Block(r["dim"], *[r[f"q_{x}"] for x in _SIDE])
-                right = _Block(r["dim"], *[r[f"c_{x}"] for x in _SIDE])
-                for i, found in _tile(left, right, k):
-                    heap = heaps.setdefault(i, [])
-                    for item in found:
-                        if len(heap) < k:
-                            heapq.heappush(heap, item)
-                        elif item > heap[0]:
-                            heapq.heapreplace(heap, item)
-                        else:
-                            break
-        yield from _rows((i, heap) for i, heap in heaps.items())
+            right = _Block(r["dim"], *[r[f"c_{x}"] for x in _SIDE])
+            for i, found in _tile(left, right, k):
+                heap = heaps.setdefault(i, [])
+                for item in found:
+                    if len(heap) < k:
+                        heapq.heappush(heap, item)
+                    elif item > heap[0]:
+                        heapq.heapreplace(heap, item)
+                    else:
+                        break
+        yield from _rows(heaps.items())
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups():
@@ -178,7 +183,7 @@ def search(
 
         yield from _rows(groups(), ranked=True)
 
-    pairs = q.join(c, ["dim", "row", "column"]).drop("row", "column")
+    pairs = q.join(c.hint("merge"), ["dim", "row", "column"]).drop("row", "column")
     kept = pairs.mapInArrow(best, "query_id long, vec_id long, score double")
     dealt = kept.repartition(width(spark), "query_id").sortWithinPartitions("query_id")
     return dealt.mapInArrow(merged, "query_id long, vec_id long, score double, rank int").select(
