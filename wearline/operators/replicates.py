@@ -66,10 +66,13 @@ def weights(kind: str, key: int, size: int, labels: int, b: int, first: int, las
 
 def replicate_sums(
     rows: DataFrame, by: Sequence[str], cluster: Sequence[str], columns: Sequence[str], b: int, seed,
-    kind: str = DRAWN, cells: Sequence[str] = (), label: str | None = None,
+    kind: str = DRAWN, cells: Sequence[str] = (), label: str | None = None, span: int | None = None,
 ) -> DataFrame:
     """(by…, cells…, b, columns…): weighted sums over the clusters of a group, for replicates 1 to b.
 
+    A task holds b sums for every cell of a range of `span` clusters; where nearly every
+    cluster is a cell of its own, ranges must be short.
+
     A cluster may have several rows, told apart by `cells`. With LABELLED, as many
     clusters of a group weigh 1 as have a true `label`, all others 0. Null sums count as zero.
     """
@@ -83,10 +86,11 @@ def replicate_sums(
         placed = match(placed, counts, by)
     else:
         placed = placed.withColumn("_labels", F.lit(0).cast("long"))
+    span = span or RANGE
     at = (F.col("_pos") - 1).cast("long")
     placed = placed.select(
         *by, *cells, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns], "_labels",
-        F.col("_size").cast("long").alias("_size"), at.alias("_at"), F.floor(at / RANGE).cast("long").alias("_range"),
+        F.col("_size").cast("long").alias("_size"), at.alias("_at"), F.floor(at / span).cast("long").alias("_range"),
         F.xxhash64(F.lit(str(seed)), *by).alias("_key"),
     )
     n_by = len(by)
@@ -98,7 +102,7 @@ def replicate_sums(
         first = {c: part.iloc[i] for c, i in zip(*np.unique(cell, return_index=True), strict=True)}
         place, amounts = part["_at"].to_numpy(), part[columns].to_numpy(np.float64)
         total = {c: np.zeros((b, len(columns))) for c in first}
-        lo, hi = start * RANGE, min(size, (start + 1) * RANGE)
+        lo, hi = start * span, min(size, (start + 1) * span)
         held: list[np.ndarray] = []
         begin = lo
         for at, w in weights(kind, key, size, labels, b, lo, hi):

@@ -126,7 +126,7 @@ def bootstrap_rank_ci(
         large = match(df, sizes.where(F.col("_cells") > CELLS).drop("_cells"), by)
         items = shared(large.select(*dict.fromkeys([*by, *key, x, y])))
         both = cut_points_of(items, [x, y])
-        drawn = replicate_sums(items.withColumn("_w", F.lit(1.0)), by, key, ["_w"], b, seed, cells=[x, y]).where("_w > 0")
+        drawn = replicate_sums(items.withColumn("_w", F.lit(1.0)), by, key, ["_w"], b, seed, cells=[x, y], span=64).where("_w > 0")
         drawn = drawn.withColumn("_w", F.col("_w").cast("long"))
         rho = spearman_of_cells(drawn, [*by, "b"], x, y, (both[x], both[y]))
         parts.append(rho.select(*by, F.coalesce("rho", F.lit(0.0)).alias("value")))

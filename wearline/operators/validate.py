@@ -270,14 +270,14 @@ def phrase_audit(phrases: DataFrame, corpus: DataFrame, key: str, text: str) ->
     word of every text that holds the phrase, so texts and phrases meet on each
     phrase's rarest inner word, and only those pairs are compared. Phrases without
     an inner word meet on an inner letter sequence, all GRAM-grams of a text, in
-    the same way; those shorter than GRAM are tested against every text, in one scan.
+    the same way; those shorter than GRAM meet on all strings of a text that are as short.
     """
     listed = phrases.select("phrase").where("phrase is not null").distinct()
     texts = corpus.select(F.col(key).alias("_id"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     words = F.array_distinct(F.split("_text", " "))
     inner = F.filter(F.split("phrase", " "), lambda w, i: (i > 0) & (i < F.size(F.split("phrase", " ")) - 1) & (w != ""))
-    grams = lambda c: F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.length(c) - GRAM + 1), lambda i: F.substring(c, i, F.lit(GRAM)))
+    grams = lambda c, n=GRAM: F.array_distinct(
+        F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))
     )
     wordy = listed.where(F.size(inner) > 0).withColumn("_k", F.explode(F.array_distinct(inner)))
     gramy = listed.where((F.size(inner) == 0) & (F.length("phrase") >= GRAM)).withColumn("_k", F.explode(grams("phrase")))
@@ -292,9 +292,9 @@ def phrase_audit(phrases: DataFrame, corpus: DataFrame, key: str, text: str) ->
         )
         near = at.join(rarest, "_k").select("phrase", "_id")
         parts.append(near.join(texts, "_id").where(F.contains("_text", F.col("phrase"))).select("phrase", "_id").distinct())
-    tiny = [r["phrase"] for r in short.collect()]  # at most as many as there are strings under GRAM letters
-    hits = F.array_compact(F.array(*[F.when(F.contains("_text", F.lit(x)), F.lit(x)) for x in tiny] or [F.lit(None).cast("string")]))
-    parts.append(texts.select(F.explode(hits).alias("phrase"), "_id").distinct())
+    pieces = [F.array(F.lit(""))] + [F.when(F.length("_text") >= n, grams("_text", n)).otherwise(F.array(F.lit(""))) for n in range(1, GRAM)]
+    tiny = texts.select("_id", F.explode(F.array_distinct(F.concat(*pieces))).alias("phrase"))
+    parts.append(tiny.join(short, "phrase").select("phrase", "_id").distinct())
     counts = reduce(DataFrame.unionByName, parts).groupBy("phrase").agg(F.count(F.lit(1)).alias("texts"))
     found = listed.join(counts, "phrase", "left").withColumn("texts", F.coalesce("texts", F.lit(0).cast("long")))
     return found.withColumn("present", F.col("texts") > 0)
