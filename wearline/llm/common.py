@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import sys
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import zstandard
@@ -16,6 +19,33 @@ SPACES = rb"\x20\x09-\x0D"
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 
+#: Where modules keep what a worker has loaded, by module.
+LOADED = {"bpe": "_loaded", "pieces": "_loaded", "langid": "_models"}
+
+
+def release(keep: str | None = None) -> None:
+    """Forget the models and vocabularies that tasks of other operators have left in this worker.
+
+    Workers outlive stages, and the next stage needs their memory for itself.
+    """
+    for name, cache in LOADED.items():
+        module = sys.modules.get(f"{__package__}.{name}")
+        if module is not None and name != keep:
+            getattr(module, cache).clear()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Arrow batches of at most `size` for the jobs inside, where rows hold texts and a task needs memory beside them."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

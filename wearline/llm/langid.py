@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import workers_import_this
+from .common import release, workers_import_this
 
 #: Bounds of the training sample: symbols for all languages and for one; characters of a row; rows looked at per language.
 ALL_CHARS = 400_000
@@ -288,6 +288,7 @@ def identify(
     schema = source.withColumns({out: F.lit("")} | {c: F.lit(0.0) for c in new[1:]}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keep="langid")
         learned = model(samples) if samples else None
         for batch in batches:
             at = batch.schema.get_field_index(text)

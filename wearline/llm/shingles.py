@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, width, workers_import_this
+from .common import keep, release, small_batches, width, workers_import_this
 from .components import components
 from .simhash import WORD, links as simhash_links
 
@@ -79,9 +79,11 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 def majority(hashes: np.ndarray) -> int:
     """SimHash fingerprint of a set: bits that are set in over half the hashes."""
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    votes = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
-    return int(np.packbits(votes, bitorder="little").view(np.int64)[0])
+    votes = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        some = hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8)
+        votes += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
 def prints(docs: DataFrame, keys: list[str], text: str, size: int) -> DataFrame:
@@ -91,6 +93,7 @@ def prints(docs: DataFrame, keys: list[str], text: str, size: int) -> DataFrame:
     at = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             fp, n, bands, sig, sim = [], [], [], [], []
             for t in batch.column(at):
@@ -231,6 +234,11 @@ def groups(
     `keys` must determine the text. Null and empty texts have the empty set, which
     equals itself. Other columns take no part, whatever their names.
     """
+    with small_batches(docs.sparkSession):
+        return _groups(docs, keys, text, size, least, crowd, radius)
+
+
+def _groups(docs: DataFrame, keys: list[str], text: str, size: int, least: float, crowd: int, radius: int) -> DataFrame:
     spark = docs.sparkSession
     numbered = [f"k{i}" for i in range(len(keys))]
     docs = docs.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, numbered, strict=True)], F.col(f"`{text}`").alias("text"))
