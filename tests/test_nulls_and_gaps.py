@@ -1,6 +1,7 @@
 """Null keys, gaps between cycles, large windows and quotas, and undefined values."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +129,14 @@ def test_phrases_by_their_rarest_word(spark):
     got = validate.phrase_audit(spark.createDataFrame([(p,) for p in phrases], "phrase string"), corpus, "i", "text")
     want = {p: sum(p in t for t in texts if t is not None) for p in phrases}
     assert {r["phrase"]: r["texts"] for r in got.collect()} == want
+
+
+def test_phrases_in_one_long_text(spark):
+    """Letter sequences of a text are cut in one scan: by position, a text of this length takes minutes."""
+    text = "".join(chr(97 + i * i % 23) + ("😀" if i % 1000 == 0 else " " if i % 7 == 0 else "") for i in range(400_000)) + "zebra 7"
+    corpus = spark.createDataFrame([(1, text), (2, "no 😀zeb"), (3, "")], "i long, text string")
+    begin = time.monotonic()
+    got = validate.phrase_audit(spark.createDataFrame([(p,) for p in ("bra 7", "zebra", "a😀", "q😀zeb", "😀zeb")], "phrase string"), corpus, "i", "text")
+    want = {p: sum(p in t for t in (text, "no 😀zeb")) for p in ("bra 7", "zebra", "a😀", "q😀zeb", "😀zeb")}
+    assert {r["phrase"]: r["texts"] for r in got.collect()} == want
+    assert time.monotonic() - begin < 30

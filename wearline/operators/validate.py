@@ -276,9 +276,8 @@ def phrase_audit(phrases: DataFrame, corpus: DataFrame, key: str, text: str) ->
     texts = corpus.select(F.col(key).alias("_id"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     words = F.array_distinct(F.split("_text", " "))
     inner = F.filter(F.split("phrase", " "), lambda w, i: (i > 0) & (i < F.size(F.split("phrase", " ")) - 1) & (w != ""))
-    grams = lambda c, n=GRAM: F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))
-    )
+    # one scan of the text: a substring by its position walks there from the text's start
+    grams = lambda c, n=GRAM: F.array_distinct(F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}}))."), 1))
     wordy = listed.where(F.size(inner) > 0).withColumn("_k", F.explode(F.array_distinct(inner)))
     gramy = listed.where((F.size(inner) == 0) & (F.length("phrase") >= GRAM)).withColumn("_k", F.explode(grams("phrase")))
     short = listed.where((F.size(inner) == 0) & (F.length("phrase") < GRAM))
