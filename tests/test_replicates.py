@@ -171,3 +171,77 @@ def test_association_of_resampled_clusters(spark):
     e = picks.sum(axis=2, keepdims=True) * picks.sum(axis=1, keepdims=True) / picks.sum(axis=(1, 2), keepdims=True)
     v = np.sqrt(((picks - e) ** 2 / e).sum(axis=(1, 2)) / picks.sum(axis=(1, 2)))
     assert near(rs.bootstrap_association(df, ["g"], ["u"], "said", "shown").first(), v)
+
+
+@pytest.mark.parametrize("kind", [rp.DRAWN, rp.LABELLED])
+def test_small_nodes_of_large_groups_deal_whole_replicates(kind):
+    """Nodes of at most seven positions deal their draws at once: the same weights for every range, and plain resampling's moments."""
+    size, labels, b, leaf = 40, 13, 4000, 7
+
+    def listed_by_node(first, last):
+        w = np.full((size, b), -1)
+        for lo, hi, held, draw in rp.nodes(kind, 5, size, labels, b, first, last, leaf):
+            assert hi - lo <= leaf
+            for replicates, some in rp.dealt(kind, draw, held, hi - lo):
+                w[lo:hi, replicates] = some.T
+        return w[first:last]
+
+    whole = listed_by_node(0, size)
+    assert (np.concatenate([listed_by_node(at, at + 10) for at in range(0, size, 10)]) == whole).all()
+    if kind == rp.DRAWN:
+        assert (whole.sum(axis=0) == size).all() and whole.min() >= 0
+        assert abs(whole.mean(axis=1) - 1).max() < 0.1 and abs(whole.var(axis=1) - (1 - 1 / size)).max() < 0.2
+    else:
+        assert (whole.sum(axis=0) == labels).all() and set(np.unique(whole)) == {0, 1}
+        assert abs(whole.mean(axis=1) - labels / size).max() < 0.05
+    assert abs(np.corrcoef(whole) + 1 / (size - 1))[~np.eye(size, dtype=bool)].max() < 0.08
+
+
+def test_intervals_of_large_groups_equal_those_of_single_clusters(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(u, "pq"[rng.integers(0, 2)], "ab"[rng.integers(0, 2)], float(rng.integers(0, 5))) for u in range(200) for _ in range(3)]
+    df = spark.createDataFrame(rows, "u int, said string, shown string, v double").withColumns({"g": F.lit("a"), "n": F.lit(1.0)})
+    both = []
+    for leaf in (1024, 16):
+        monkeypatch.setattr(rp, "LEAF", leaf)
+        ci = rs.cluster_bootstrap(df, ["g"], ["u"], ["n", "v"], ratio("v", "n"), 4000).first()
+        both.append((ci, rs.bootstrap_association(df, ["g"], ["u"], "said", "shown", 4000).first()))
+    for one, two in zip(*both, strict=True):
+        wide = one.hi - one.lo
+        assert one != two and abs(one.lo - two.lo) < 0.15 * wide and abs(one.hi - two.hi) < 0.15 * wide
+
+
+def test_dealt_profiles_are_a_permutation():
+    counts, b = np.array([9, 0, 4, 27]), 3000
+    got = np.full((40, b), -1)
+    before, rs.LEAF = rs.LEAF, 6
+    try:
+        for lo, hi, replicates, dealt in rs.deal_profiles(2, 40, counts, b, 0, 40):
+            got[lo:hi, replicates] = dealt.T
+    finally:
+        rs.LEAF = before
+    assert all((np.bincount(got[:, r], minlength=4) == counts).all() for r in range(b))
+    for i, n in enumerate(counts):
+        assert abs((got == i).mean(axis=1) - n / 40).max() < 0.05
+
+
+def test_units_of_large_datasets_are_permuted_in_ranges(spark, monkeypatch):
+    """Datasets beyond CELLS make no row per unit and replicate, and give the p-values of plain permutation."""
+    rng = np.random.default_rng(21)
+    shown = {(u, n, s): "ud"[rng.integers(0, 2)] for u in range(60) for n in (5, 9) for s in "xy" if (u + n) % 7}
+    claims = [("D", *key, v if rng.random() < 0.56 else "ud"[rng.integers(0, 2)]) for key, v in shown.items()]
+    full = spark.createDataFrame([("D", *key, v) for key, v in shown.items()], "dataset string, unit int, n int, sensor string, actual string")
+    said = spark.createDataFrame(claims, "dataset string, unit int, n int, sensor string, claimed string")
+    said = said.join(full, ["dataset", "unit", "n", "sensor"])
+    args = (["n", "sensor"], ["sensor"], "claimed", "actual")
+    small = {r.sensor: r for r in rs.permute_units(said, full, *args, b=3000).collect()}
+    for name, value in (("CELLS", 3), ("LEAF", 8), ("RANGE", 20)):
+        monkeypatch.setattr(rs, name, value)
+    large = rs.permute_units(said, full, *args, b=3000)
+    assert "Generate explode(sequence(1, 3000" not in large._jdf.queryExecution().optimizedPlan().toString()
+    large = {r.sensor: r for r in large.collect()}
+    assert set(small) == set(large) == {"x", "y"}
+    for s, r in large.items():
+        assert r.permutations == 3000 and np.isclose(r.observed, small[s].observed) and abs(r.p - small[s].p) < 0.04
+    whole = rs.permute_units(said, full, ["n", "sensor"], [], "claimed", "actual", b=500).first()
+    assert whole.permutations == 500

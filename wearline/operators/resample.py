@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -25,7 +25,7 @@ from ..session import shared
 from .metrics import association_of_cells
 from .ordering import cut_points_of, hash_positions, match, running_total
 from .rank import spearman_of_cells, value_cells
-from .replicates import LABELLED, SIGNED, generator, replicate_sums
+from .replicates import DEALT, LABELLED, LEAF, RANGE, SIGNED, generator, replicate_sums
 
 # Executors get this module with the plan; the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -39,6 +39,8 @@ P_CELLS = 4096
 #: Distinct pairs of a group, or cells of a dataset, up to which replicates are arrays in a task; replicates of such a task.
 CELLS = 1 << 16
 REPLICATE_BLOCK = 500
+#: Counts of profiles that a node of permuted units holds at once.
+PROFILES_HELD = 1 << 20
 
 
 def interval(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
@@ -293,10 +295,7 @@ def permute_units(
     small, large = (sizes.where(w).select("dataset") for w in (F.col("_cells") <= CELLS, F.col("_cells") > CELLS))
     parts = [_small_lookups(cells.join(small, "dataset"), full.join(small, "dataset"), on, by, a, c, b, seed)]
     if large.limit(1).count():
-        some = full.join(large, "dataset")
-        moved = cells.join(unit_permutations(some, b, seed), ["dataset", "unit"]).drop("unit").withColumnRenamed("swapped", "unit")
-        looked = moved.join(some, ["dataset", "unit", *on])
-        parts.append(looked.groupBy(*by, "b", a, c).agg(F.sum("k").cast("double").alias("c")))
+        parts.append(_large_lookups(cells.join(large, "dataset"), full.join(large, "dataset"), on, by, a, c, b, seed))
     tables = reduce(DataFrame.unionByName, parts).groupBy(*by, "b", a, c).agg(F.sum("c").alias("c"))
     each = association_of_cells(tables, [*by, "b"], a, c).select(*by, "b", F.col("cramers_v").alias("value"))
     observed = (
@@ -342,6 +341,107 @@ def _small_lookups(cells: DataFrame, full: DataFrame, on: list[str], by: list[st
     return left.groupBy("dataset", "_block").cogroup(right.groupBy("dataset", "_block")).applyInPandas(one_block, schema)
 
 
+def deal_profiles(key: int, size: int, counts: np.ndarray, b: int, first: int, last: int) -> Iterator[tuple[int, int, slice, np.ndarray]]:
+    """(lo, hi, replicates, profile at each position from lo to hi - 1): `counts` profiles in random order over 0 to size - 1.
+
+    The tree of `replicates.nodes` for several labels: a node knows how many of each
+    profile fall into its range, a small one deals them. Only nodes that meet first to last - 1 are shown.
+    """
+    step = max(1, PROFILES_HELD // len(counts))
+    for at in range(0, b, step):
+        stack = [(0, size, np.tile(counts, (min(step, b - at), 1)))]
+        while stack:
+            lo, hi, held = stack.pop()
+            if hi <= first or lo >= last:
+                continue
+            draw = generator(key + at, lo, hi)
+            if hi - lo > LEAF:
+                mid = (lo + hi) // 2
+                left, need, others = np.empty_like(held), np.full(len(held), mid - lo), np.full(len(held), hi - lo)
+                for i in range(held.shape[1]):
+                    others = others - held[:, i]
+                    left[:, i] = draw.hypergeometric(held[:, i], others, need)
+                    need = need - left[:, i]
+                stack += [(mid, hi, held - left), (lo, mid, left)]
+                continue
+            some = max(1, DEALT // (hi - lo))
+            for i in range(0, len(held), some):
+                part = held[i : i + some]
+                one = np.repeat(np.tile(np.arange(part.shape[1]), len(part)), part.reshape(-1)).reshape(len(part), hi - lo)
+                yield lo, hi, slice(at + i, at + i + len(part)), draw.permuted(one, axis=1)
+
+
+def _large_lookups(cells: DataFrame, full: DataFrame, on: list[str], by: list[str], a: str, c: str, b: int, seed) -> DataFrame:
+    """The same for datasets of any size, a range of units at a time.
+
+    What a claim finds at another unit depends on that unit's profile only: its
+    directions in the group's cells. A permutation of units deals the dataset's
+    profiles, counted by value, over its units in random order. Groups told apart by
+    columns of `on` are dealt independently, since each has its own test.
+    """
+    split = [x for x in by if x in on]
+    rest = [x for x in on if x not in split]
+    key, more = ["dataset", *split], [x for x in by if x not in on]
+    units = shared(full.select("dataset", "unit").distinct())
+    numbered = hash_positions(units, ["dataset"], ["unit"], seed, "_pos", "_size")
+    at = (F.col("_pos") - 1).cast("long")
+    placed = match(cells, numbered, ["dataset", "unit"]).select(
+        *key, *[x for x in more if x not in key], *rest, a, "k", at.alias("_at"),
+        F.col("_size").cast("long").alias("_size"), F.floor(at / RANGE).cast("long").alias("_range"),
+    )
+    placed = shared(placed)
+    shown = full.groupBy(*key, "unit").agg(F.array_sort(F.collect_list(F.struct(*rest, c))).alias("_seen"))
+    every = match(units, full.select(*key).distinct(), ["dataset"])
+    classes = match(every, shown, [*key, "unit"], "left").groupBy(*key, "_seen").agg(F.count(F.lit(1)).alias("_n"))
+    name = F.coalesce(F.to_json("_seen", {"ignoreNullFields": "false"}), F.lit("")).alias("_class")
+    flat = classes.select(*key, "_n", name, F.explode_outer("_seen").alias("_s"))
+    flat = flat.select(*key, "_n", "_class", F.col("_s").isNotNull().alias("_there"), *[F.col("_s")[x].alias(x) for x in [*rest, c]])
+    ranges = placed.select(*[F.col(x).alias(x) for x in (*key, "_range", "_size")]).distinct()
+    right = match(ranges, flat, key).withColumn("_key", F.xxhash64(F.lit(str(seed)), *key))
+
+    def one_range(keys: tuple, claimed: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(claimed) or not len(known):
+            return pd.DataFrame(columns=schema.names)
+        first = int(keys[-1]) * RANGE
+        size, seeded = int(known["_size"].iloc[0]), int(known["_key"].iloc[0])
+        profile, names = pd.factorize(known["_class"], sort=True)
+        counts = np.zeros(len(names), np.int64)
+        counts[profile] = known["_n"]
+        known, profile = known[known["_there"]], profile[known["_there"].to_numpy(bool)]
+        kinds, looked = pd.factorize(known[c], use_na_sentinel=True)
+        place = known.groupby(rest, dropna=False).ngroup().to_numpy() if rest else np.zeros(len(known), np.int64)
+        if not len(looked):
+            return pd.DataFrame(columns=schema.names)
+        grid = np.full((len(counts), place.max() + 1), -1)
+        grid[profile, place] = kinds
+        if rest:
+            rows = claimed.merge(known[rest].assign(_place=place).drop_duplicates(), on=rest)
+        else:
+            rows = claimed.assign(_place=0)
+        if not len(rows):
+            return pd.DataFrame(columns=schema.names)
+        rows = rows.sort_values("_at", kind="stable").reset_index(drop=True)
+        group = rows.groupby([*by, a], dropna=False, sort=False).ngroup().to_numpy()
+        labels = rows[[*by, a]].iloc[np.unique(group, return_index=True)[1]].reset_index(drop=True)
+        own, line, k = rows["_at"].to_numpy(), rows["_place"].to_numpy(), rows["k"].to_numpy(np.float64)
+        total, width = np.zeros((b, len(labels) * len(looked))), len(labels) * len(looked)
+        for lo, hi, replicates, dealt in deal_profiles(seeded, size, counts, b, first, min(size, first + RANGE)):
+            mine = slice(*np.searchsorted(own, [lo, hi]))
+            seen = grid[dealt[:, own[mine] - lo], line[mine]]
+            cell = np.arange(len(seen))[:, None] * width + group[mine] * len(looked) + seen
+            there = seen >= 0
+            amount = np.broadcast_to(k[mine], seen.shape)[there]
+            total[replicates] += np.bincount(cell[there], amount, len(seen) * width).reshape(-1, width)
+        replicate, cell = np.nonzero(total)
+        out = labels.iloc[cell // len(looked)].assign(b=replicate + 1, **{c: np.asarray(looked)[cell % len(looked)]}, c=total[replicate, cell])
+        return out[schema.names]
+
+    of = {f.name: f for f in [*cells.schema, *full.schema]}
+    schema = T.StructType([*[of[x] for x in by], T.StructField("b", T.LongType()), of[a], of[c], T.StructField("c", T.DoubleType())])
+    left = placed.drop("_size")
+    return left.groupBy(*key, "_range").cogroup(right.groupBy(*key, "_range")).applyInPandas(one_range, schema)
+
+
 def sign_flip(df: DataFrame, by: Sequence[str], cluster: Sequence[str], diff: str, b: int = REPLICATES, seed="flip") -> DataFrame:
     """Test that a paired difference is zero: whole clusters change sign together."""
     by, cluster = list(by), list(cluster)
