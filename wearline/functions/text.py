@@ -1,14 +1,12 @@
 """Mentions of a term in a text, and what is said around them, as column expressions.
 
-A text is cut once, in front of every mention of any term. The context of a
-mention then needs only a few neighbouring pieces: each piece is at least one
-term and one separator long, which bounds how many pieces a context of fixed
-width can span. The work is linear in the text, whatever its length.
+Two scans of a text, one of them backwards, capture the context of every mention
+of any term on either side, of fixed width. The work is linear in the text,
+whatever its length.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Sequence
 from functools import reduce
@@ -40,7 +38,6 @@ WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\p{Z}\x09-\x0d\x1c-\x1f\x85]"
 # The clause ends at a sentence end, a semicolon, or a comma before the next sensor.
 CLAUSE_END = rf"(?s)(?:[;.](?:{SPACE}|\z)|,{SPACE}*s\p{{Nd}}).*"
-HEAD_MARK = "\x01"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
@@ -62,45 +59,22 @@ def any_case(term: str) -> str:
     return "".join(out)
 
 
-def pieces(text, terms: Sequence[str]) -> Column:
-    """The text before the first mention of any term, then one piece per mention that starts with it.
+def lefts_and_rights(text, terms: Sequence[str], before: int, after: int) -> tuple[Column, Column]:
+    """Arrays over all mentions of any term: the text before, reversed and last mention first, and the text from the mention on.
 
-    The mark in front keeps that first piece when the text opens with a mention.
+    Both hold one character more than a context needs, and both are captured ahead of the
+    mention in one scan, the left ones in the reversed text.
     """
-    text = F.col(text) if isinstance(text, str) else text
-    marked = F.concat(F.lit(HEAD_MARK), F.coalesce(text, F.lit("")))
-    words = "|".join(any_case(t) for t in terms)
-    cut = F.split(marked, rf"(?=(?:{words})(?!{WORD}))(?<!{WORD})", -1)
-    return F.transform(cut, lambda p, i: F.when(i == 0, F.substr(p, F.lit(2))).otherwise(p))
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    words, turned = ("|".join(any_case(t[::step]) for t in terms) for step in (1, -1))
+    right = rf"(?s)(?=(?:{words})(?!{WORD}))(?<!{WORD})(?=(.{{1,{max(map(len, terms)) + after + 1}}}))"
+    left = rf"(?s)(?!{WORD})(?<=(?<!{WORD})(?:{turned}))(?=(.{{0,{before + 1}}}))"
+    return F.regexp_extract_all(F.reverse(text), F.lit(left), 1), F.regexp_extract_all(text, F.lit(right), 1)
 
 
-def _reach(width: int, terms: Sequence[str]) -> int:
-    return math.ceil(width / (min(map(len, terms)) + 1)) + 1
-
-
-def heads_and_tails(parts: str, terms: Sequence[str], before: int, after: int) -> tuple[Column, Column]:
-    """The pieces trimmed at either end to what a context can need, plus one character that tells of more."""
-    need = max(map(len, terms)) + after + 1
-    heads = F.transform(parts, lambda p: F.left(p, F.lit(need)))
-    return heads, F.transform(parts, lambda p: F.substr(p, F.lit(-before - 1), F.lit(before + 1)))
-
-
-def mentions(heads: str, tails: str, terms: Sequence[str], before: int, after: int) -> Column:
+def mentions(lefts: str, rights: str) -> Column:
     """Array over all mentions in text order: `left` text (one character more than the context) and `right` text from the mention on."""
-    longest = max(map(len, terms))
-    back, ahead = _reach(before + 1, terms), _reach(longest + after + 1, terms)
-
-    def one(i: Column) -> Column:
-        first = F.greatest(F.lit(1), i - back)
-        left = F.array_join(F.slice(tails, first, i - first), "")
-        right = F.array_join(F.slice(heads, i, F.lit(ahead)), "")
-        return F.struct(
-            F.substr(left, F.lit(-before - 1), F.lit(before + 1)).alias("left"),
-            F.left(right, F.lit(longest + after + 1)).alias("right"),
-        )
-
-    none = F.array().cast("array<int>")
-    return F.transform(F.when(F.size(heads) > 1, F.sequence(F.lit(2), F.size(heads))).otherwise(none), one)
+    return F.zip_with(F.reverse(lefts), rights, lambda x, y: F.struct(F.reverse(x).alias("left"), y.alias("right")))
 
 
 def per_mention(found: str, term: str, before: int, after: int, use) -> Column:
@@ -108,8 +82,16 @@ def per_mention(found: str, term: str, before: int, after: int, use) -> Column:
 
     The last two tell whether the text goes on beyond the context.
     """
+    return F.transform(own_mentions(found, term), in_context(term, before, after, use))
+
+
+def own_mentions(found: str, term: str) -> Column:
+    return F.filter(found, lambda m: m["right"].rlike(rf"^{any_case(term)}(?!{WORD})"))
+
+
+def in_context(term: str, before: int, after: int, use):
+    """Function of a mention of the term: use(before, token, after, more_left, more_right)."""
     size = len(term)
-    own = F.filter(found, lambda m: m["right"].rlike(rf"^{any_case(term)}(?!{WORD})"))
 
     def one(m: Column) -> Column:
         left, right = m["left"], m["right"]
@@ -121,7 +103,7 @@ def per_mention(found: str, term: str, before: int, after: int, use) -> Column:
             F.length(right) > size + after,
         )
 
-    return F.transform(own, one)
+    return one
 
 
 def clause(before: Column, token: Column, after: Column) -> Column:
@@ -133,8 +115,11 @@ def says_any(text: Column, words: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
-def strongest(contexts, lexicon: dict[str, Sequence[str]]) -> Column:
-    """Verdict over all mentions: the first lexicon entry any mention says, 'unspecified', or 'absent'."""
+def strongest(own: str, context, lexicon: dict[str, Sequence[str]]) -> Column:
+    """Verdict over the mentions of a term: the first lexicon entry any context says, 'unspecified', or 'absent'.
+
+    `context` makes a mention's context; none is made once the first entry is said.
+    """
     labels = list(lexicon)
 
     def rank(ctx: Column) -> Column:
@@ -143,9 +128,13 @@ def strongest(contexts, lexicon: dict[str, Sequence[str]]) -> Column:
             out = F.when(says_any(ctx, lexicon[labels[i]]), F.lit(i)).otherwise(out)
         return out
 
-    best = F.array_min(F.transform(contexts, rank))
+    def least(best: Column, m: Column) -> Column:
+        said = F.get(F.transform(F.array(context(m)), rank), F.lit(0))
+        return F.when(best == 0, best).otherwise(F.least(best, said))
+
+    best = F.aggregate(own, F.lit(len(labels)), least)
     names = F.array(*[F.lit(x) for x in [*labels, "unspecified"]])
-    return F.coalesce(F.get(names, best), F.lit("absent"))
+    return F.when(F.size(own) > 0, F.get(names, best)).otherwise(F.lit("absent"))
 
 
 # ------------------------------------------------------------------ responses

@@ -21,15 +21,9 @@ def _literal_map(values: Mapping[str, str]) -> Column:
 
 # ------------------------------------------------------------------ text to verdicts
 def _with_mentions(df: DataFrame, keys: Sequence[str], text: str, terms: Mapping[str, str], before: int, after: int) -> DataFrame:
-    """The keys and `_m`, the contexts of all mentions of all terms; the text itself is dropped.
-
-    The steps are separate projections so that Spark computes each array once.
-    """
-    words = list(terms.values())
-    cut = df.select(*keys, tx.pieces(text, words).alias("_p"))
-    heads, tails = tx.heads_and_tails("_p", words, before, after)
-    trimmed = cut.select(*keys, heads.alias("_h"), tails.alias("_t"))
-    return trimmed.select(*keys, tx.mentions("_h", "_t", words, before, after).alias("_m"))
+    """The keys and `_m`, the contexts of all mentions of all terms; the text itself is dropped."""
+    lefts, rights = tx.lefts_and_rights(text, list(terms.values()), before, after)
+    return df.select(*keys, lefts.alias("_l"), rights.alias("_r")).select(*keys, tx.mentions("_l", "_r").alias("_m"))
 
 
 def _per_term(df, keys, terms: Mapping[str, str], make) -> DataFrame:
@@ -52,17 +46,14 @@ def classify(
     projection: no join, no shuffle, and the text itself is dropped at once.
     """
     cut = _with_mentions(df, keys, text, terms, before, after)
-    contexts = [
-        tx.per_mention("_m", t, before, after, lambda b, m, a, _l, _r: tx.clause(b, m, a)).alias(f"_c{i}")
-        for i, t in enumerate(terms.values())
-    ]
+    own = [tx.own_mentions("_m", t).alias(f"_o{i}") for i, t in enumerate(terms.values())]
     return _per_term(
-        cut.select(*keys, *contexts),
+        cut.select(*keys, *own),
         keys,
         terms,
-        lambda i, _t: (
-            tx.strongest(f"_c{i}", lexicon).alias("claimed"),
-            F.size(f"_c{i}").cast("long").alias("mentions"),
+        lambda i, t: (
+            tx.strongest(f"_o{i}", tx.in_context(t, before, after, lambda b, m, a, _l, _r: tx.clause(b, m, a)), lexicon).alias("claimed"),
+            F.size(f"_o{i}").cast("long").alias("mentions"),
         ),
     )
 
