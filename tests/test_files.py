@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from wearline.operators import frames as fr
 from wearline.operators import metrics
@@ -194,3 +195,17 @@ def test_running_metrics_of_late_and_repeated_records(spark, tmp_path):
         assert got.columns == want.columns
         for a, b in zip(got.orderBy("config").collect(), want.orderBy("config").collect(), strict=True):
             assert list(a)[1:] == pytest.approx(list(b)[1:])
+
+
+def test_a_trace_file_of_many_parts_is_one_file(spark, tmp_path, monkeypatch):
+    """No task writes or hashes a whole trace file, and the manifest has one row for it."""
+    monkeypatch.setattr(files, "PART_ROWS", 10)
+    name = "traces_FD0011_zero_shot_k0_n5.json"
+    rows = spark.range(45).select(F.col("id").alias("engine_id"), F.lit(1.0).alias("true_rul"), F.lit(2.0).alias("pred_rul"), F.lit("r").alias("reasoning"), F.lit(name).alias("file"))
+    files.write_traces(rows.repartition(2), str(tmp_path / "t"))
+    parts = sorted(tmp_path.glob("t/*/part-*.json"))
+    assert len(parts) >= 5 and max(len(p.read_text().splitlines()) for p in parts) <= 10
+    found = files.trace_manifest(spark, str(tmp_path / "t"), array_files=False).collect()
+    assert [(r.file, r.n, r.bytes) for r in found] == [(name, 45, sum(p.stat().st_size for p in parts))]
+    hashes = "".join(hashlib.sha256(p.read_bytes()).hexdigest() for p in parts)
+    assert found[0].sha256 == hashlib.sha256(hashes.encode()).hexdigest()

@@ -189,17 +189,25 @@ def file_manifest(
     """Path below `root`, size, SHA-256 and experiment class of every file.
 
     `classes` are (name, pattern) pairs tried on the path in order. The file source
-    hands a file over whole, so files are limited to what one row can hold (2 GB).
+    hands a file over whole, so files are limited to what one row can hold (2 GB). A file
+    that is a folder of parts is one row: the hash of its parts' hashes, in the order of their names.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    place, kind = record_path(), F.lit(otherwise)
+    parts = files.select(
+        record_path().alias("path"), F.col("_metadata.file_path").alias("part"), "length", F.sha2("content", 256).alias("hash")
+    )
+    whole = parts.groupBy("path").agg(
+        F.sum("length").alias("bytes"), F.array_sort(F.collect_list(F.struct("part", "hash"))).alias("_p")
+    )
+    place, kind = F.col("path"), F.lit(otherwise)
     for label, pattern in reversed(list(classes)):
         kind = F.when(place.rlike(pattern), F.lit(label)).otherwise(kind)
-    return files.select(
-        place.alias("path"),
+    joined = F.array_join(F.transform("_p", lambda x: x["hash"]), "")
+    return whole.select(
+        "path",
         F.replace(place, F.lit(root), F.lit("")).alias("below_root") if root else place.alias("below_root"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
+        "bytes",
+        F.when(F.size("_p") == 1, joined).otherwise(F.sha2(joined, 256)).alias("sha256"),
         kind.alias("experiment"),
     )
 
@@ -225,9 +233,13 @@ def write_label_lines(df: DataFrame, path: str, label: str = "rul", pos: str = "
     ordered.select("dataset", "value").write.partitionBy("dataset").text(path)
 
 
+#: Records of a part.
+PART_ROWS = 20_000
+
+
 def write_traces(df: DataFrame, path: str, file: str = "file") -> None:
-    """Records as JSON lines, a folder with the name of each file."""
-    df.repartition(file).write.partitionBy(file).json(path)
+    """Records as JSON lines, a folder of parts of at most PART_ROWS records with the name of each file; rows stay spread over tasks."""
+    df.write.option("maxRecordsPerFile", PART_ROWS).partitionBy(file).json(path)
 
 
 #: Records of an array.
