@@ -308,9 +308,9 @@ def worked_example(reversals: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ measured directions
 def sensor_rank_correlation(long: DataFrame, target: str, min_rows: int = 10, keys=("dataset", "sensor", "unit")) -> DataFrame:
     """Spearman correlation of each sensor with `target` inside each unit; short or constant units are left out."""
-    from .rank import spearman
+    from .rank import spearman_of_many
 
-    rho = spearman(long, list(keys), "reading", target)
+    rho = spearman_of_many(long, list(keys), "reading", target)
     return rho.where((F.col("n") >= min_rows) & F.col("rho").isNotNull())
 
 

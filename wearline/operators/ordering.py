@@ -23,6 +23,8 @@ from ..session import shuffle_width
 
 #: Most ranges that a column is cut into; quantiles are exact to a tenth of a range.
 MOST_PARTS = 2_000
+#: Rows of a group beyond which it is split into buckets, where groups are many and most of them small.
+BUSY = 1 << 16
 
 
 def cut_points(df: DataFrame, column: str, parts: int | None = None) -> list[float]:
@@ -102,6 +104,17 @@ def positions(
     return numbered.withColumn(out, F.col(out) + 1).drop("_bucket")
 
 
+def busy_groups(df: DataFrame, by: Sequence[str], rows: int | None = None) -> DataFrame:
+    """Keys of the groups with more than `rows` rows (BUSY, if not given): they are few, at most one per `rows` rows of the table."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > (BUSY if rows is None else rows)).drop("_n")
+
+
+def split_busy(df: DataFrame, by: Sequence[str], bucket: Column, rows: int | None = None) -> DataFrame:
+    """The table with `_bucket`: the given one in busy groups, null in all others, whose rows fit one bucket."""
+    busy = busy_groups(df, by, rows).withColumn("_busy", F.lit(True))
+    return match(df, busy, by, "left").withColumn("_bucket", F.when(F.col("_busy"), bucket)).drop("_busy")
+
+
 def value_positions(
     df: DataFrame, by: Sequence[str], value: str, out: str = "pos", total: str | None = None
 ) -> DataFrame:

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
 from ..functions.numeric import ratio
 from ..session import shared
-from .ordering import average_ranks, cut_points_of, match, running_total, with_bucket
+from .ordering import average_ranks, busy_groups, cut_points_of, match, running_total, with_bucket
 
 
 def value_cells(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
@@ -52,6 +52,33 @@ def spearman_of_cells(cells: DataFrame, by: Sequence[str], x: str, y: str, cuts=
     return sums.select(*by, "n", ratio("_xy", F.sqrt(F.col("_xx")) * F.sqrt(F.col("_yy"))).alias("rho"))
 
 
+def spearman_of_many(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
+    """`spearman` where groups are many and most of them small: these are ranked by windows, after one shuffle for both sides.
+
+    Groups of more than BUSY rows, which are few, are ranked from counts and running totals.
+    """
+    by = list(by)
+    rows = shared(df.select(*by, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()))
+    busy = shared(busy_groups(rows, by))
+    small = match(rows, busy, by, "left_anti") if busy.limit(1).count() else rows
+
+    def rank(c: str) -> Column:
+        # rows below and tied ones, from both ends of the ties
+        order = Window.partitionBy(*by).orderBy(c)
+        return (F.rank().over(order) + F.count(F.lit(1)).over(order.rangeBetween(Window.unboundedPreceding, 0))) / 2.0
+
+    mid = (F.count(F.lit(1)).over(Window.partitionBy(*by)) + 1) / 2.0
+    ranked = small.select(*by, x, y, rank(x).alias("_rx")).select(*by, "_rx", rank(y).alias("_ry"), mid.alias("_mid"))
+    dx, dy = F.col("_rx") - F.col("_mid"), F.col("_ry") - F.col("_mid")
+    sums = ranked.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(dx * dy).alias("_xy"), F.sum(dx * dx).alias("_xx"), F.sum(dy * dy).alias("_yy")
+    )
+    found = sums.select(*by, "n", ratio("_xy", F.sqrt(F.col("_xx")) * F.sqrt(F.col("_yy"))).alias("rho"))
+    if small is rows:
+        return found
+    return found.unionByName(spearman(match(rows, busy, by, "left_semi"), by, x, y))
+
+
 def correlation(x: str, y: str) -> Column:
     """Aggregate: Pearson's r, null where a side is constant (`corr` fails there under ANSI division)."""
     varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))

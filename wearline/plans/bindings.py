@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import uniform
 from ..operators import claims as cl
 from ..operators.frames import apply_minmax, fit_minmax, tail_windows, window_direction, with_life
-from ..operators.ordering import positions
+from ..operators.ordering import positions, split_busy
 from ..session import shared, spread
 
 SENSORS = ("s1", "s2", "s3", "s4", "s5", "s6")
@@ -56,7 +56,8 @@ def trajectories(spark: SparkSession, d: str) -> DataFrame:
         F.length("event_type").cast("double").alias("s3"),
         F.lit(1.0).alias("s4"),
     )
-    numbered = positions(e, ["dataset", "unit"], ["ts", "event_id"], F.date_trunc("hour", "ts"), "cycle", "life")
+    cut = split_busy(e, ["dataset", "unit"], F.date_trunc("hour", "ts"))
+    numbered = positions(cut, ["dataset", "unit"], ["ts", "event_id"], F.col("_bucket"), "cycle", "life")
     return numbered.select(
         "dataset",
         "unit",
