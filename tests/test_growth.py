@@ -1,11 +1,13 @@
-"""Steps that must not grow faster than their tables: one shuffle for small groups."""
+"""Steps that must not grow faster than their tables: one shuffle for small groups, one search of a text."""
 
 import random
 
 from pyspark.sql import functions as F
 
+from wearline.functions import text as tx
 from wearline.operators import claims as cl
 from wearline.operators import ordering, rank
+from wearline.plans import q_resample
 
 
 def plan(df):
@@ -45,3 +47,18 @@ def test_only_busy_groups_are_split(spark):
     got = ordering.positions(cut, ["u"], ["at"], F.col("_bucket"), "pos", "total").collect()
     sizes = {1: 4, 2: 50, None: 7}
     assert sorted((str(r.u), r.at, r.pos, r.total) for r in got) == sorted((str(u), i, i + 1, sizes[u]) for u, i, _ in rows)
+
+
+def test_claims_and_clauses_come_from_one_search(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(None, "The end is the start; and so on."), (-1, None), (-1, "")], docs.schema)
+    docs, terms = docs.unionByName(odd), q_resample.b.TERMS
+    both = cl.classify_with_clauses(docs, ["doc_id"], "text", terms, q_resample.b.LEXICON, q_resample.OFF_TREND)
+    said = cl.classify(docs, ["doc_id"], "text", terms, q_resample.b.LEXICON)
+    clauses = cl.matched_clauses(docs, ["doc_id"], "text", terms, q_resample.OFF_TREND)
+    assert sorted(map(str, both.select(*said.columns).collect())) == sorted(map(str, said.collect()))
+    assert sorted(map(str, both.select(*clauses.columns).collect())) == sorted(map(str, clauses.collect()))
+    searches, search = [], tx.lefts_and_rights
+    monkeypatch.setattr(tx, "lefts_and_rights", lambda *a: searches.append(a) or search(*a))
+    q_resample._sets(spark, sf_dir)
+    assert len(searches) == 1

@@ -47,28 +47,46 @@ def classify(
     """
     cut = _with_mentions(df, keys, text, terms, before, after)
     own = [tx.own_mentions("_m", t).alias(f"_o{i}") for i, t in enumerate(terms.values())]
-    return _per_term(
-        cut.select(*keys, *own),
-        keys,
-        terms,
-        lambda i, t: (
-            tx.strongest(f"_o{i}", tx.in_context(t, before, after, lambda b, m, a, _l, _r: tx.clause(b, m, a)), lexicon).alias("claimed"),
-            F.size(f"_o{i}").cast("long").alias("mentions"),
-        ),
+    return _per_term(cut.select(*keys, *own), keys, terms, _verdict(lexicon, before, after))
+
+
+def _verdict(lexicon: Mapping[str, Sequence[str]], before: int, after: int):
+    """Makes the columns of `classify` from the i-th term's own mentions."""
+    return lambda i, t: (
+        tx.strongest(f"_o{i}", tx.in_context(t, before, after, lambda b, m, a, _l, _r: tx.clause(b, m, a)), lexicon).alias("claimed"),
+        F.size(f"_o{i}").cast("long").alias("mentions"),
     )
 
 
+def _clauses(own: str, term: str, before: int, after: int) -> Column:
+    found = F.transform(own, tx.in_context(term, before, after, lambda b, m, a, _l, _r: tx.clause(b, m, a)))
+    return F.array_join(found, " || ").alias("clause")
+
+
 def matched_clauses(
     df: DataFrame, keys: Sequence[str], text: str, terms: Mapping[str, str], off_trend: str = tx.OFF_TREND
 ) -> DataFrame:
     """The clause around every mention, joined by ' || ', and whether it talks of levels rather than trends."""
     cut = _with_mentions(df, keys, text, terms, tx.BEFORE, tx.AFTER)
+    own = [tx.own_mentions("_m", t).alias(f"_o{i}") for i, t in enumerate(terms.values())]
+    make = lambda i, t: (_clauses(f"_o{i}", t, tx.BEFORE, tx.AFTER),)
+    return _per_term(cut.select(*keys, *own), keys, terms, make).withColumn("off_trend", F.col("clause").rlike(off_trend))
 
-    def make(_i, t):
-        clauses = tx.per_mention("_m", t, tx.BEFORE, tx.AFTER, lambda b, m, a, _l, _r: tx.clause(b, m, a))
-        return (F.array_join(clauses, " || ").alias("clause"),)
 
-    return _per_term(cut, keys, terms, make).withColumn("off_trend", F.col("clause").rlike(off_trend))
+def classify_with_clauses(
+    df: DataFrame,
+    keys: Sequence[str],
+    text: str,
+    terms: Mapping[str, str],
+    lexicon: Mapping[str, Sequence[str]] = tx.DIRECTION_WORDS,
+    off_trend: str = tx.OFF_TREND,
+) -> DataFrame:
+    """`classify` and `matched_clauses` side by side, from one search for the mentions."""
+    cut = _with_mentions(df, keys, text, terms, tx.BEFORE, tx.AFTER)
+    own = [tx.own_mentions("_m", t).alias(f"_o{i}") for i, t in enumerate(terms.values())]
+    verdict = _verdict(lexicon, tx.BEFORE, tx.AFTER)
+    make = lambda i, t: (*verdict(i, t), _clauses(f"_o{i}", t, tx.BEFORE, tx.AFTER))
+    return _per_term(cut.select(*keys, *own), keys, terms, make).withColumn("off_trend", F.col("clause").rlike(off_trend))
 
 
 def reader_contexts(

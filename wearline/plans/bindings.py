@@ -146,6 +146,7 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
 
 def windows(traj: DataFrame) -> DataFrame:
     """Observed tails of every length, scaled with the ranges of the full trajectories."""
+    traj = shared(traj)
     scaler = fit_minmax(traj, SENSORS)
     return tail_windows(apply_minmax(observed(traj), scaler, SENSORS), LENGTHS)
 
@@ -154,17 +155,27 @@ def window_directions(spark: SparkSession, d: str, eps: float = 0.01) -> DataFra
     return window_direction(windows(trajectories(spark, d)), SCORED, ["dataset", "unit", "n"], eps=eps)
 
 
-def opportunities(spark: SparkSession, d: str, shown: DataFrame | None = None) -> DataFrame:
+RESPONSE = ("resp", "dataset", "unit", "config", "mode", "n")
+
+
+def opportunities(spark: SparkSession, d: str, shown: DataFrame | None = None, said: DataFrame | None = None) -> DataFrame:
     """Every (response, sensor) pair with the stated, the asserted and the shown direction."""
-    said = cl.classify(responses(spark, d), ["resp", "dataset", "unit", "config", "mode", "n"], "text", TERMS, LEXICON)
+    said = said or cl.classify(responses(spark, d), list(RESPONSE), "text", TERMS, LEXICON)
     shown = shown or window_directions(spark, d)
     joined = said.join(shown, ["dataset", "unit", "n", "sensor"])
     return cl.score_claims(cl.with_reference(joined, ASSERTED, CUED))
 
 
-def claims_table(spark: SparkSession, d: str, shown: DataFrame | None = None) -> DataFrame:
+def claims_table(spark: SparkSession, d: str, shown: DataFrame | None = None, said: DataFrame | None = None) -> DataFrame:
     """The directional claims, shared by the several passes of an inference."""
-    return shared(cl.directional(opportunities(spark, d, shown)))
+    return shared(cl.directional(opportunities(spark, d, shown, said)))
+
+
+def claims_and_levels(spark: SparkSession, d: str, off_trend: str) -> tuple[DataFrame, DataFrame]:
+    """The directional claims, and whether the clauses of each (response, sensor) speak of levels, from one search of the texts."""
+    both = cl.classify_with_clauses(responses(spark, d), list(RESPONSE), "text", TERMS, LEXICON, off_trend)
+    both = shared(both.drop("clause"))
+    return claims_table(spark, d, said=both.drop("off_trend")), both.select("resp", "sensor", "off_trend")
 
 
 def arm_claims(spark: SparkSession, d: str) -> DataFrame:

@@ -167,9 +167,7 @@ SETS = {
 
 def _sets(spark, d):
     """Every claim, and those whose clause speaks of a trend and not of levels, side by side."""
-    claims = b.claims_table(spark, d)
-    docs = b.documents(spark, d).select(F.col("doc_id").alias("resp"), "text")
-    clauses = cl.matched_clauses(docs, ["resp"], "text", b.TERMS, OFF_TREND).select("resp", "sensor", "off_trend")
+    claims, clauses = b.claims_and_levels(spark, d, OFF_TREND)
     return rs.with_and_without(match(claims, clauses, ["resp", "sensor"], "left").fillna(False, ["off_trend"]), "off_trend")
 
 
