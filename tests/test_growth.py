@@ -1,5 +1,6 @@
-"""Steps that must not grow faster than their tables: one shuffle for small groups, one search of a text."""
+"""Steps that must not grow faster than their tables: one shuffle for small groups, one search of a text, one parse of a record."""
 
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from wearline.functions import text as tx
 from wearline.operators import claims as cl
 from wearline.operators import ordering, rank
 from wearline.plans import q_resample
+from wearline.sources import files
 
 
 def plan(df):
@@ -62,3 +64,15 @@ def test_claims_and_clauses_come_from_one_search(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(tx, "lefts_and_rights", lambda *a: searches.append(a) or search(*a))
     q_resample._sets(spark, sf_dir)
     assert len(searches) == 1
+
+
+def test_records_are_parsed_once_and_stay_where_they_are_read(spark, tmp_path):
+    rows = [{"engine_id": i, "true_rul": 2.0 * i, "pred_rul": 1.0 * i, "reasoning": f'a "b" \\{"}" if i % 50 == 0 else "{"}'} for i in range(300)]
+    (tmp_path / "traces_FD001_few_shot_k3_n15.json").write_text(json.dumps(rows))
+    got = files.read_traces(spark, str(tmp_path)).select("k", "n_cycles", "unit", "pred", "truth", "text")
+    shown = plan(got).split("InMemoryRelation")[0]
+    assert plan(got).count("from_json(") == 1
+    assert "Exchange" not in shown
+    assert sorted((r.unit, r.truth, r.pred, r.text, r.k, r.n_cycles) for r in got.collect()) == [
+        (r["engine_id"], r["true_rul"], r["pred_rul"], r["reasoning"], 3, 15) for r in rows
+    ]

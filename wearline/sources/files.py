@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import config_from_file
 from ..operators.metrics import run_manifest
 from ..operators.ordering import match, positions, running_total
+from ..session import shared
 
 TRACE_SCHEMA = (
     "engine_id bigint, true_rul double, pred_rul double, reasoning string, arm string, "
@@ -73,32 +74,48 @@ def array_records(spark: SparkSession, path: str) -> DataFrame:
     begins inside a string follows from the quotes before it, how deep it is nested
     from the braces outside strings before it, and which record it belongs to from the
     records that are complete before it: three running totals over the pieces of a
-    file, whose order is that of byte ranges and of the pieces in them. Only the pieces
-    of one record are put together in one place. A byte range must fit a task, a file
-    need not; compressed files are one range.
+    file, whose order is that of byte ranges and of the pieces in them. They run on
+    counts, without the texts; a piece that is a record of its own stays where it was
+    read, and only the pieces of one record are put together in one place. A byte range
+    must fit a task, a file need not; compressed files are one range.
     """
-    pieces = spark.read.option("lineSep", "}").text(path).select(
-        record_path().alias("path"),
-        F.col("_metadata.file_path").alias("part"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-        "value",
+    pieces = shared(
+        spark.read.option("lineSep", "}").text(path).select(
+            record_path().alias("path"),
+            F.col("_metadata.file_path").alias("part"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line"),
+            "value",
+        )
+    )
+    by, place = ["path", "part"], ["path", "part", "block", "line"]
+    plain = F.replace(F.replace(F.col("value"), F.lit("\\\\")), F.lit('\\"'))  # without escaped backslashes and quotes
+    count = lambda c, mark: (F.length(c) - F.length(F.replace(c, F.lit(mark)))).cast("long")
+    # every other stretch between quotes is outside strings, from the first or from the second on
+    stretches = pieces.select(*place, F.split(plain, '"', -1).alias("_s"))
+    first = F.array_join(F.filter("_s", lambda _, i: i % 2 == 0), "")
+    counts = stretches.select(
+        *place,
+        (F.size("_s") - 1).cast("long").alias("quotes"),
+        count(first, "{").alias("first"),
+        count(F.array_join("_s", ""), "{").alias("braces"),
     )
-    by = ["path", "part"]
-    plain = F.regexp_replace("value", r"(?s)\\.", "")  # without escaped characters
-    count = lambda c, mark: F.length(c) - F.length(F.replace(c, F.lit(mark)))
-    quoted = pieces.withColumn("plain", plain).withColumn("quotes", count(F.col("plain"), '"').cast("long"))
-    quoted = running_total(quoted, by, "block", ["line"], F.col("quotes"), "_before")
-    inside = F.col("_before") % 2 == 1
-    outside = F.regexp_replace(F.when(inside, F.concat(F.lit('"'), "plain")).otherwise(F.col("plain")), r'"[^"]*("|$)', "")
+    quoted = running_total(shared(counts), by, "block", ["line"], F.col("quotes"), "_before")
+    outside = F.when(F.col("_before") % 2 == 0, F.col("first")).otherwise(F.col("braces") - F.col("first"))
     closes = ((F.col("_before") + F.col("quotes")) % 2 == 0).cast("long")
-    nested = quoted.select(*by, "block", "line", "value", closes.alias("closes"), (count(outside, "{") - closes).alias("step"))
+    nested = shared(quoted.select(*place, closes.alias("closes"), (outside - closes).alias("step")))
     nested = running_total(nested, by, "block", ["line"], F.col("step"), "_depth")
     whole = ((F.col("closes") == 1) & (F.col("_depth") + F.col("step") == 0)).cast("long")
-    numbered = running_total(nested.withColumn("whole", whole), by, "block", ["line"], F.col("whole"), "record")
-    joined = numbered.groupBy(*by, "record").agg(F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("_p"))
-    text = F.concat(F.array_join(F.transform("_p", lambda x: x["value"]), "}"), F.lit("}"))
-    return joined.select("path", F.regexp_replace(text, r"^[\s,\[\]]+", "").alias("value")).where(F.col("value").startswith("{"))
+    numbered = running_total(nested.select(*place, whole.alias("whole")), by, "block", ["line"], F.col("whole"), "record")
+    size = F.count(F.lit(1)).over(Window.partitionBy(*by, "record"))
+    torn = shared(numbered.select(*place, "record", size.alias("_n")).where(F.col("_n") > 1).drop("_n"))
+    torn.count()  # its size decides how the texts meet it
+    alone = pieces.join(torn.select(*place), place, "left_anti").select("path", "value")
+    joined = pieces.join(torn, place).groupBy(*by, "record").agg(F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("_p"))
+    joined = joined.select("path", F.array_join(F.transform("_p", lambda x: x["value"]), "}").alias("value"))
+    text = F.concat("value", F.lit("}"))
+    records = alone.unionByName(joined).select("path", F.regexp_replace(text, r"^[\s,\[\]]+", "").alias("value"))
+    return records.where(F.col("value").startswith("{"))
 
 
 def read_traces(spark: SparkSession, path: str, array_files: bool = True) -> DataFrame:
@@ -109,7 +126,8 @@ def read_traces(spark: SparkSession, path: str, array_files: bool = True) -> Dat
     """
     if array_files:
         records = array_records(spark, path)
-        df = records.select("path", F.from_json("value", TRACE_SCHEMA).alias("r")).select("path", "r.*")
+        # a row of its own, so that a record is parsed once and not once per column
+        df = records.select("path", F.inline(F.array(F.from_json("value", TRACE_SCHEMA))))
     else:
         df = spark.read.schema(TRACE_SCHEMA).json(path).select(record_path().alias("path"), "*")
     whole = F.col("path")
