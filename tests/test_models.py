@@ -1,3 +1,4 @@
+import tracemalloc
 from dataclasses import replace
 
 import numpy as np
@@ -121,6 +122,58 @@ def test_forests_of_many_shards(rows):
     assert error(one) < 0.3 * spread and error(many) < 0.45 * spread
 
 
+def test_trees_grow_in_few_bytes_a_row():
+    rng = np.random.default_rng(6)
+    n = 50_000
+    codes, label = np.asfortranarray(rng.integers(0, trees.BINS, (n, 12)).astype(np.uint8)), rng.normal(size=n)
+    for s in (trees.Settings(columns=1.0), trees.FOREST):
+        tracemalloc.start()
+        trees.grow(codes, label, np.ones(n), np.arange(12), s)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        # beside the rows, a feature's histograms of all nodes of a level
+        assert peak < 90 * n + 10 * min(n, 2 ** (s.depth - 1)) * trees.BINS * 8
+
+
+def test_rows_that_come_many_times_meet_in_a_shard_as_one(spark, rows):
+    hot = spark.range(50_000).selectExpr("1.0 a", "2.0 b", "3.0 c", "4.0 d", "5.0 rul", "false test")
+    train = rows.where("not test").unionByName(hot)
+    held, n = [], train.count()
+
+    def grown(codes, label, *more):
+        copies = more[0] if len(more) == 3 and more[0] is not None else np.ones(len(codes))
+        return trees.Trees(float(len(codes)), copies.sum(keepdims=True), np.zeros(0), np.zeros(0))
+
+    def weight(models):
+        held.extend((int(base), int(total[0])) for base, total, _, _ in models)
+        return 1.0
+
+    trees._fit(train, "abcd", "rul", grown, 1, 1000, 64, weight)
+    assert max(total for _, total in held) >= 50_000 and max(different for different, _ in held) <= 2000
+    assert sum(total for _, total in held) == n
+    test = rows.where("test")
+    got = trees.fit_boosting(train, "abcd", "rul", trees.Settings(rounds=80), shard_rows=30_000)(test)
+    assert error(got) < 0.5 * test.agg(F.stddev("rul")).first()[0]
+
+
+def test_counted_copies_train_like_listed_ones():
+    rng = np.random.default_rng(8)
+    codes, label, copies = rng.integers(0, 30, (400, 3)).astype(np.uint8), rng.normal(size=400), rng.integers(1, 9, 400)
+    label += codes[:, 0]
+    listed = codes.repeat(copies, axis=0), label.repeat(copies)
+    every = trees.Settings(rounds=30, depth=4, rows=1.0, columns=1.0)
+    one = trees.boost(codes, label, every, copies).predict(codes)
+    assert np.allclose(one, trees.boost(*listed, every).predict(codes))
+    some = replace(every, rows=0.8)
+    one = trees.boost(codes, label, some, copies).predict(codes)
+    assert np.std(one - trees.boost(*listed, some).predict(codes)) < 0.1 * label.std()
+    # the means of bootstrap samples have the mean and the spread of those of listed rows
+    whole = replace(trees.FOREST, depth=0)
+    means = trees.bag(codes, label, list(range(400)), whole, copies).leaf[:, 0]
+    error = listed[1].std() / len(listed[1]) ** 0.5
+    assert abs(means.mean() - listed[1].mean()) < 0.25 * error and 0.8 < means.std() / error < 1.2
+
+
 def test_registered_models_have_the_reference_sizes(spark, sf_dir, monkeypatch):
     sizes = []
 

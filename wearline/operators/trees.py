@@ -6,6 +6,10 @@ over the binned rows, all nodes of a level in one pass, with the node of every r
 kept from level to level. All shards train side by side in one Spark job, and a lost
 task trains its shard again to the same trees.
 
+A task reads its shard in batches and keeps bins and labels only, some 20 bytes a row.
+Equal rows are one row with a count by then, as rows that come many times would make
+a shard of any size.
+
 Every shard boosts its own rounds, and the prediction is the mean over shards; a table
 of one shard is plain boosting. A forest's trees are dealt over the shards, each on a
 bootstrap sample of its shard; where there are fewer shards than cores, a shard goes
@@ -20,12 +24,13 @@ from __future__ import annotations
 import math
 import pickle
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import astuple, dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +46,8 @@ MOST_SHARDS = 64
 BINS = 64
 #: Rows that bin edges are taken from, by hash.
 EDGE_ROWS = 50_000
+#: Copies of equal rows are listed in shards of up to so many times the rows aimed at; above, they are counts.
+LISTED = 2
 HASH_RANGE = 1 << 30
 
 
@@ -91,37 +98,46 @@ def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)], axis=1).astype(np.uint8)
 
 
+def best_splits(codes, used, rows, at, amount, weight, sums, counts, s: Settings) -> tuple[np.ndarray, ...]:
+    """Per open node the best gain, its feature and bin, and amount and weight left of it. One feature's histograms at a time."""
+    n = len(sums)
+    best, which, cuts, low, few = np.full(n, -np.inf), np.full(n, used[0]), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+    amount, weight, every = amount[rows], weight[rows], np.arange(n)
+    for f in used:
+        cell = at * BINS + codes[rows, f]
+        total = np.bincount(cell, amount, n * BINS).reshape(n, BINS).cumsum(axis=1)
+        count = np.bincount(cell, weight, n * BINS).reshape(n, BINS).cumsum(axis=1)
+        other, rest = sums[:, None] - total, counts[:, None] - count
+        both = (count > 0.5) & (rest > 0.5)
+        gain = np.where(both, total**2 / np.maximum(count + s.penalty, 0.5) + other**2 / np.maximum(rest + s.penalty, 0.5), -np.inf)
+        cut = gain.argmax(axis=1)
+        more = np.flatnonzero(gain[every, cut] > best)
+        at_cut = (more, cut[more])
+        best[more], which[more], cuts[more], low[more], few[more] = gain[at_cut], f, cut[more], total[at_cut], count[at_cut]
+    return best, which, cuts, low, few
+
+
 def grow(codes: np.ndarray, target: np.ndarray, weight: np.ndarray, used: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One tree on weighted rows: features, bins, and leaf values. A node without a gain sends all rows left."""
     inner = 2**s.depth - 1
     feature, cut, leaf = np.zeros(inner, np.int32), np.full(inner, BINS, np.uint8), np.zeros(2**s.depth)
     rows = np.flatnonzero(weight)
-    own = codes[:, used].astype(np.int32) + np.arange(len(used), dtype=np.int32) * BINS
-    wide, amount = len(used) * BINS, target * weight
+    amount = target * weight
     # open nodes of the level by their number in it, and the open node of every row
     nodes, at = np.zeros(1, np.int64), np.zeros(len(rows), np.int64)
     sums, counts = np.array([amount.sum()]), np.array([float(weight.sum())])
     for level in range(s.depth):
-        n = len(nodes)
-        cell = (at[:, None] * wide + own[rows]).reshape(-1)
-        total = np.bincount(cell, np.repeat(amount[rows], len(used)), n * wide).reshape(n, len(used), BINS).cumsum(axis=2)
-        count = np.bincount(cell, np.repeat(weight[rows], len(used)), n * wide).reshape(n, len(used), BINS).cumsum(axis=2)
-        other, rest = sums[:, None, None] - total, counts[:, None, None] - count
-        both = (count > 0.5) & (rest > 0.5)
-        gain = np.where(both, total**2 / np.maximum(count + s.penalty, 0.5) + other**2 / np.maximum(rest + s.penalty, 0.5), -np.inf)
-        best = gain.reshape(n, -1).argmax(axis=1)
-        where = (np.arange(n), best // BINS, best % BINS)
-        split = gain[where] > sums**2 / (counts + s.penalty) * (1 + 1e-12) + 1e-12
+        best, which, cuts, low, few = best_splits(codes, used, rows, at, amount, weight, sums, counts, s)
+        split = best > sums**2 / (counts + s.penalty) * (1 + 1e-12) + 1e-12
         # a node that stays whole is the leftmost leaf below it
         leaf[nodes[~split] << (s.depth - level)] = s.rate * sums[~split] / (counts[~split] + s.penalty)
         place = 2**level - 1 + nodes[split]
-        feature[place], cut[place] = used[where[1][split]], where[2][split]
-        low, few = total[where][split], count[where][split]
-        sums, counts = (np.stack([a, b - a], axis=1).reshape(-1) for a, b in ((low, sums[split]), (few, counts[split])))
+        feature[place], cut[place] = which[split], cuts[split]
+        sums, counts = (np.stack([a, b - a], axis=1).reshape(-1) for a, b in ((low[split], sums[split]), (few[split], counts[split])))
         nodes = (2 * nodes[split][:, None] + np.arange(2)).reshape(-1)
         stay = split[at]
         rows, at = rows[stay], at[stay]
-        right = codes[rows, used[where[1][at]]] > where[2][at]
+        right = codes[rows, which[at]] > cuts[at]
         at = 2 * (np.cumsum(split) - 1)[at] + right
         if not len(nodes):
             break
@@ -129,15 +145,15 @@ def grow(codes: np.ndarray, target: np.ndarray, weight: np.ndarray, used: np.nda
     return feature, cut, leaf
 
 
-def boost(codes: np.ndarray, label: np.ndarray, s: Settings) -> Trees:
-    """Rounds of trees, each on the residuals of a share of the rows and features."""
+def boost(codes: np.ndarray, label: np.ndarray, s: Settings, copies: np.ndarray | None = None) -> Trees:
+    """Rounds of trees, each on the residuals of a share of the rows and features. `copies`: how many rows each row stands for."""
     draw = np.random.default_rng(s.seed)
     n, features = codes.shape
     take = max(1, int(s.columns * features))
-    trees = Trees.empty(float(label.mean()), s.rounds, s.depth)
+    trees = Trees.empty(float(np.average(label, weights=copies)), s.rounds, s.depth)
     residual = label - trees.base
     for r in range(s.rounds):
-        weight = (draw.random(n) < s.rows).astype(np.float64)
+        weight = (draw.random(n) < s.rows if copies is None else draw.binomial(copies, s.rows)).astype(np.float64)
         used = np.sort(draw.choice(features, take, replace=False))
         if weight.any():
             trees.feature[r], trees.bin[r], trees.leaf[r] = grow(codes, residual, weight, used, s)
@@ -146,13 +162,16 @@ def boost(codes: np.ndarray, label: np.ndarray, s: Settings) -> Trees:
     return trees
 
 
-def bag(codes: np.ndarray, label: np.ndarray, numbers: list[int], s: Settings) -> Trees:
-    """The trees of the given numbers, each on a bootstrap sample of the rows."""
+def bag(codes: np.ndarray, label: np.ndarray, numbers: list[int], s: Settings, copies: np.ndarray | None = None) -> Trees:
+    """The trees of the given numbers, each on a bootstrap sample of the rows. `copies` as in `boost`."""
     n, features = codes.shape
     trees = Trees.empty(0.0, len(numbers), s.depth)
     for i, number in enumerate(numbers):
         draw = np.random.default_rng([s.seed, number])
-        weight = np.bincount(draw.integers(0, n, n), minlength=n).astype(np.float64)
+        if copies is None:
+            weight = np.bincount(draw.integers(0, n, n), minlength=n).astype(np.float64)
+        else:
+            weight = draw.multinomial(copies.sum(), copies / copies.sum()).astype(np.float64)
         trees.feature[i], trees.bin[i], trees.leaf[i] = grow(codes, label, weight, np.arange(features), s)
     return trees
 
@@ -169,8 +188,8 @@ def fit_boosting(
     """
     s = settings or Settings()
 
-    def grown(codes: np.ndarray, label: np.ndarray, group: int, groups: int) -> Trees:
-        return boost(codes, label, s)
+    def grown(codes: np.ndarray, label: np.ndarray, copies: np.ndarray | None, group: int, groups: int) -> Trees:
+        return boost(codes, label, s, copies)
 
     return _fit(train, features, label, grown, 1, shard_rows, most_shards, lambda models: 1.0 / len(models))
 
@@ -183,14 +202,20 @@ def fit_forest(
     s = settings
     copies = min(s.rounds, train.sparkSession.sparkContext.defaultParallelism)
 
-    def grown(codes: np.ndarray, label: np.ndarray, group: int, groups: int) -> Trees:
-        return bag(codes, label, list(range(group, s.rounds, groups)), s)
+    def grown(codes: np.ndarray, label: np.ndarray, copies: np.ndarray | None, group: int, groups: int) -> Trees:
+        return bag(codes, label, list(range(group, s.rounds, groups)), s, copies)
 
     return _fit(train, features, label, grown, copies, shard_rows, min(most_shards, s.rounds), lambda _: 1.0 / s.rounds)
 
 
+def shard_part(batch: pa.RecordBatch, edges: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Bins, labels and numbers of copies of a batch's rows, and their group."""
+    label, *x, copies, group = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+    return binned(np.stack(x, axis=1), edges), label.copy(), copies.copy(), int(group[0])
+
+
 def _fit(train: DataFrame, features: Sequence[str], label: str, grown, tasks: int, shard_rows: int, most_shards: int, weight):
-    """Bin, deal, train `grown(codes, label, group, groups)` in at least `tasks` groups, and return the predictor."""
+    """Bin, deal, train `grown(codes, label, copies, group, groups)` in at least `tasks` groups, and return the predictor."""
     spark = train.sparkSession
     columns = [F.col(c).cast("double") for c in [label, *features]]
     whole = reduce(lambda a, b: a & b, [c.isNotNull() & ~F.isnan(c) for c in columns])
@@ -209,16 +234,25 @@ def _fit(train: DataFrame, features: Sequence[str], label: str, grown, tasks: in
     copies = max(1, tasks // shards)
     groups, share = shards * copies, min(1.0, shards * shard_rows / n)
     shard = F.pmod(F.xxhash64("h"), F.lit(shards)) * copies
+    # equal rows are counted before they meet in a shard, which has at most about `shard_rows` different ones
     dealt = rows.withColumn("h", h).where(turn <= int(share * HASH_RANGE))
-    dealt = dealt.select(*names, F.explode(F.sequence(shard, shard + copies - 1)).alias("g"))
-
-    def train_one(part: pd.DataFrame) -> pd.DataFrame:
-        group = int(part["g"].iloc[0])
-        part = part.sort_values(names, kind="stable")
-        found = grown(binned(part[names[1:]].to_numpy(np.float64), edges), part["c0"].to_numpy(np.float64), group, groups)
-        return pd.DataFrame({"g": [group], "model": [pickle.dumps(astuple(found))]})
-
-    found = dealt.groupBy("g").applyInPandas(train_one, "g long, model binary").collect()
+    dealt = dealt.groupBy(shard.alias("shard"), *names).agg(F.count("*").alias("n"))
+    dealt = dealt.select(*names, "n", F.explode(F.sequence("shard", F.col("shard") + copies - 1)).alias("g"))
+    dealt = dealt.repartitionById(groups, F.col("g").cast("int")).sortWithinPartitions(*names)
+
+    def train_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = [shard_part(b, edges) for b in batches if b.num_rows]
+        if read:
+            group = read[0][3]
+            codes, label, many = (np.concatenate(part) for part in zip(*[r[:3] for r in read], strict=True))
+            read.clear()
+            if len(many) < many.sum() <= LISTED * shard_rows:
+                codes, label = codes.repeat(many, axis=0), label.repeat(many)
+                many = np.ones(len(label), np.int64)
+            found = grown(np.asfortranarray(codes), label, None if many.sum() == len(many) else many, group, groups)
+            yield pa.record_batch({"g": pa.array([group], pa.int64()), "model": pa.array([pickle.dumps(astuple(found))], pa.binary())})
+
+    found = dealt.mapInArrow(train_one, "g long, model binary").collect()
     models = [pickle.loads(bytes(r["model"])) for r in sorted(found, key=lambda r: r["g"])]
     rows.unpersist()
     factor, sent = weight(models), spark.sparkContext.broadcast(models)
