@@ -174,6 +174,46 @@ def test_counted_copies_train_like_listed_ones():
     assert abs(means.mean() - listed[1].mean()) < 0.25 * error and 0.8 < means.std() / error < 1.2
 
 
+def test_bin_edges_are_quantiles_of_all_rows(spark):
+    rng = np.random.default_rng(9)
+    x = np.stack([rng.normal(size=3000), rng.integers(-3, 3, 3000), rng.lognormal(0, 50, 3000), np.full(3000, -0.0)], axis=1)
+    x[:5, 0] = 1e300, -1e300, 5e-324, -5e-324, 0.0
+    df = spark.createDataFrame([(0.0, *map(float, r)) for r in x], "c0 double, c1 double, c2 double, c3 double, c4 double")
+    listed = trees.bin_edges(df, 3000)
+    scanned = trees.bin_edges(df.repartition(7), 3000, most=0)
+    for a, b, values in zip(listed, scanned, x.T, strict=True):
+        assert np.array_equal(a, b) and np.allclose(a, np.unique(np.quantile(values, np.arange(1, 64) / 64)), rtol=1e-9)
+    # more rows than Spark's percentile takes: no sample of them
+    many = spark.range(120_001).selectExpr("0D c0", "cast(id as double) c1")
+    assert np.array_equal(trees.bin_edges(many, 120_001)[0], np.arange(1, 64) * 1875.0)
+
+
+def test_every_row_is_dealt_however_few_shards(rows):
+    held = []
+
+    def grown(codes, label, copies, *more):
+        return trees.Trees(float(len(codes) if copies is None else copies.sum()), *[np.zeros(0)] * 3)
+
+    def weight(models):
+        held.extend(base for base, *_ in models)
+        return 1.0
+
+    trees._fit(rows, "abcd", "rul", grown, 1, 300, 2, weight)
+    assert len(held) == 2 and sum(held) == 3000
+
+
+def test_boosting_is_one_model_of_all_rows(rows):
+    hot = rows.limit(1).crossJoin(rows.sparkSession.range(700)).drop("id")
+    train, s = rows.unionByName(hot), trees.Settings(rounds=4, rows=1.0, columns=1.0)
+    kinds = {"plain": {}, "blocks": {"shard_rows": 300, "most_shards": 2}, "jobs": {"shard_rows": 300, "most_shards": 2, "alone_rows": 0}}
+    got = {k: trees.fit_boosting(train, "abcd", "rul", s, **more)(rows).select("pred").toPandas()["pred"].to_numpy() for k, more in kinds.items()}
+    assert np.allclose(got["plain"], got["blocks"], atol=1e-6) and np.array_equal(got["blocks"], got["jobs"])
+    some = replace(s, rows=0.8, columns=0.8)
+    a = trees.fit_boosting(train, "abcd", "rul", some, shard_rows=300)(rows)
+    b = trees.fit_boosting(train.repartition(3), "abcd", "rul", some, shard_rows=300, alone_rows=0)(rows)
+    assert a.exceptAll(b).count() == 0
+
+
 def test_registered_models_have_the_reference_sizes(spark, sf_dir, monkeypatch):
     sizes = []
 
