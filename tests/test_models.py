@@ -202,7 +202,8 @@ def test_every_row_is_dealt_however_few_shards(rows):
     assert len(held) == 2 and sum(held) == 3000
 
 
-def test_boosting_is_one_model_of_all_rows(rows):
+def test_boosting_is_one_model_of_all_rows(rows, monkeypatch):
+    monkeypatch.setattr(trees, "FORGET", 2)
     hot = rows.limit(1).crossJoin(rows.sparkSession.range(700)).drop("id")
     train, s = rows.unionByName(hot), trees.Settings(rounds=4, rows=1.0, columns=1.0)
     kinds = {"plain": {}, "blocks": {"shard_rows": 300, "most_shards": 2}, "jobs": {"shard_rows": 300, "most_shards": 2, "alone_rows": 0}}
@@ -214,6 +215,21 @@ def test_boosting_is_one_model_of_all_rows(rows):
     assert a.exceptAll(b).count() == 0
 
 
+def test_model_scores_compute_shared_tables_once(spark, sf_dir, monkeypatch):
+    from wearline.plans import q_metrics
+
+    asked = []
+
+    def once(s, d, made=q_metrics.b.trajectories):
+        asked.append(d)
+        return made(s, d)
+
+    monkeypatch.setattr(q_metrics.b, "trajectories", once)
+    got = q_metrics.model_predictions(spark, sf_dir, "one", lambda train, names: lambda df, cap: df.withColumn("pred", F.lit(1.0)))
+    kept = [line for line in got._jdf.queryExecution().withCachedData().toString().splitlines() if "InMemoryRelation" in line]
+    assert len(asked) == 1 and kept
+
+
 def test_registered_models_have_the_reference_sizes(spark, sf_dir, monkeypatch):
     sizes = []
 

@@ -17,7 +17,7 @@ bootstrap sample of its shard; where there are fewer shards than cores, a shard
 to several tasks, which grow some of its trees each.
 
 Where one task trains, there is no job per tree level: 600 rounds of depth 6 are 3,600
-levels, which as jobs take some 7 minutes for any number of rows.
+levels, which as jobs take some 8 minutes for any number of rows.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHARD_ROWS = 200_000
 MOST_SHARDS = 64
 #: The most rows that one task boosts.
-ALONE_ROWS = 2_000_000
+ALONE_ROWS = 4_000_000
 #: Rows that a block aims at: their bins stay in a core's cache. And the most blocks that a partition aims at.
 BLOCK_ROWS = 1 << 16
 PART_BLOCKS = 256
@@ -181,6 +181,9 @@ class Block:
     copies: np.ndarray | None
     turn: int | None = None
 
+    def plain(self) -> tuple:
+        return self.number, self.codes, self.residual, self.copies
+
     def begin(self, turn: int, s: Settings) -> None:
         """All rows to the root, and the round's rows drawn, unless the block is in this round."""
         if self.turn != turn:
@@ -496,14 +499,15 @@ def _fit_together(rows: DataFrame, edges: list[np.ndarray], n: int, s: Settings,
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in read(batches):
-            yield boxed((b.number, b.codes, b.residual, b.copies))
+            yield boxed(b.plain())
 
-    first = dealt.mapInArrow(pack, "x binary").rdd.map(lambda r: Block(*pickle.loads(bytes(r[0]))))
+    # as plain tuples, since executors' pickles cannot name this module
+    first = dealt.mapInArrow(pack, "x binary").rdd.map(lambda r: pickle.loads(bytes(r[0])))
     kept: list[RDD] = [first.persist(StorageLevel.MEMORY_AND_DISK)]
     rounds = 0
 
     def count(*by) -> np.ndarray:
-        cells = sum(kept[-1].mapPartitions(lambda held: [histograms(held, *by)]).collect())
+        cells = sum(kept[-1].mapPartitions(lambda held: [histograms((Block(*b) for b in held), *by)]).collect())
         for old in kept[:-1]:  # the level has kept the newest
             old.unpersist()
         del kept[:-1]
@@ -511,15 +515,14 @@ def _fit_together(rows: DataFrame, edges: list[np.ndarray], n: int, s: Settings,
 
     def learn(*tree) -> None:
         nonlocal rounds
-        newest = kept[-1].mapPartitions(lambda held: learned(held, *tree))
+        newest = kept[-1].mapPartitions(lambda held: (b.plain() for b in learned((Block(*b) for b in held), *tree)))
         rounds += 1
-        if rounds % FORGET:
-            newest.persist(StorageLevel.MEMORY_AND_DISK)
-        else:
+        newest.persist(StorageLevel.MEMORY_AND_DISK)
+        if rounds % FORGET == 0:
             newest.localCheckpoint()
         kept.append(newest)
 
-    whole = sum(kept[0].map(lambda b: b.whole(scale)).collect())
+    whole = sum(kept[0].map(lambda b: Block(*b).whole(scale)).collect())
     found = boost_together(whole, features, scale, s, count, learn)
     for old in kept:
         old.unpersist()

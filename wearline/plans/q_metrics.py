@@ -608,14 +608,16 @@ FEATURE_SENSORS = ("s1", "s2", "s5", "s6")
 
 def model_predictions(spark, d, name, fit):
     """A supervised reference and the constant, long form."""
-    traj = b.trajectories(spark, d)
+    traj = shared(b.trajectories(spark, d))
     train = fr.sliding_features(fr.with_rul(traj, b.CAP), FEATURE_SENSORS, 30, keep=["rul"])
     obs = b.observed(traj)
     test = fr.tail_features(obs, FEATURE_SENSORS, 30)
     truth = obs.groupBy("dataset", "unit").agg(F.least(F.lit(b.CAP), F.max("life") - F.max("cycle")).cast("double").alias("truth"))
     predict = fit(train, md.feature_names(FEATURE_SENSORS))
-    own = predict(test.join(truth, ["dataset", "unit"]), b.CAP)
-    consts = baselines(spark, d).where(F.col("baseline") == "train_mean").select("dataset", F.col("constant").alias("pred"))
+    # all trees on few wide rows: a partition a core, and once for all scores
+    known = test.join(truth, ["dataset", "unit"]).repartition(spark.sparkContext.defaultParallelism, "dataset", "unit")
+    own = shared(predict(known, b.CAP).select("dataset", "unit", "pred", "truth"))
+    consts = baselines(spark, d, traj).where(F.col("baseline") == "train_mean").select("dataset", F.col("constant").alias("pred"))
     flat = truth.join(consts, "dataset")
     parts = ((name, own), ("train_mean", flat))
     return m.compare_models(*[p.select("dataset", "unit", F.lit(n).alias("model"), "pred", "truth") for n, p in parts])
